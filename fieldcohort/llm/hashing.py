@@ -80,10 +80,8 @@ def shingles(hashed: np.ndarray, owner: np.ndarray, n_texts: int, width: int) ->
         if b - a >= width:
             out.append(np.unique(rolled[a : b - width + 1]))
         elif b > a:
-            whole = np.zeros(1, dtype=np.uint64)
-            for j in range(b - a):
-                whole += hashed[a + j] * (seed(1000 + j) | U(1))
-            out.append(mix(whole + seed(2000 + int(b - a))))
+            factors = np.array([seed(1000 + j) | U(1) for j in range(b - a)])
+            out.append(mix((hashed[a:b] * factors).sum(keepdims=True) + seed(2000 + int(b - a))))
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
@@ -112,7 +113,7 @@ def count_documents(df: DataFrame, path: str, limit: int = LIMIT, chunk: int = C
                 counts[k] = tool.count(texts[k])
             yield pa.RecordBatch.from_pydict({
                 "doc_id": batch.column("doc_id"),
-                "n_bytes": pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).cast(pa.int64()),
+                "n_bytes": pc.fill_null(pc.binary_length(batch.column("text")), 0).cast(pa.int64()),
                 "n_tokens": pa.array(counts),
                 "over_limit": pa.array(counts > limit),
             })
