@@ -30,7 +30,7 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, tag: str, rows_per_file: int = 0) -> DataFrame:
+def staged(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: the lineage ends there, and losing an executor
     costs no recomputation of what stands above."""
     spark, schema = df.sparkSession, df.schema

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from fieldcohort.llm import hashing
 from fieldcohort.llm.common import arrow_limits, slices
 
-ITEMS, PASSAGE, SKETCH, LATENT = 2000, 32, 32, 24
-COSINE, MEMBERS, LCS, SURE, ANSWER = 0.7, 0.55, 0.7, 0.9, 0.6
+ITEMS, PASSAGE, SKETCH, LATENT = 2000, 64, 20, 16
+COSINE, MEMBERS, LCS, SURE, ANSWER = 0.75, 0.6, 0.7, 0.9, 0.6
 #: Window lengths in words; an item belongs to the longest that is at most 1.2 times its own length.
 SCALES = (8, 16, 32, 64)
 UNIT = 4
@@ -200,6 +200,8 @@ class Finder:
         for k, item in enumerate(items):
             self.member[k, _terms(vocabulary, item.words)] = True
         self.member[:, -1] = False
+        self.lengths = np.array([len(x.words) for x in items])
+        self.shortest = {s: min(len(x.words) for x in items if x.scale == s) for s in self.queries}
 
     def find(self, texts: list[bytes]) -> list[tuple[int, int, float, float, float, int]]:
         """(text index, item index, cosine, share of the item, share of its answer, first word of the window)."""
@@ -217,6 +219,7 @@ class Finder:
         first_word = bounds[unit_owner] + within * UNIT
         sums = np.zeros((len(unit_owner) + 1, self.project.shape[1]))
         np.cumsum(np.add.reduceat(self.project[term], first_word, axis=0), axis=0, dtype=np.float64, out=sums[1:])
+        known = np.concatenate(([0], np.cumsum(np.add.reduceat((term >= 0).astype(np.int64), first_word))))
         found: dict[tuple[int, int], tuple[float, float, float, int]] = {}
         for scale, (vectors, owners) in self.queries.items():
             wide, step = max(1, scale // UNIT), max(1, scale // 4 // UNIT)
@@ -226,6 +229,9 @@ class Finder:
             k = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
             start = np.minimum(k * step, room[text])
             stop = np.minimum(start + wide, units[text])
+            # a window with fewer terms of the benchmark than _check asks of a single item's cannot pass there
+            enough = known[unit_from[text] + stop] - known[unit_from[text] + start] >= MEMBERS * min(scale, self.shortest[scale])
+            text, start, stop = text[enough], start[enough], stop[enough]
             v = (sums[unit_from[text] + stop] - sums[unit_from[text] + start]).astype(np.float32)
             v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
             w_from = bounds[text] + start * UNIT
@@ -239,13 +245,15 @@ class Finder:
 
     def _check(self, found, hashed, term, bounds, text, at, item, cosine, w_from, w_to, scale) -> None:
         # a window inside a copy holds few words that the item has not
+        flat, padded = self.member.ravel(), np.where(term < 0, self.member.shape[1] - 1, term)
         for low in range(0, len(at), 65536):
             a, i, c = at[low : low + 65536], item[low : low + 65536], cosine[low : low + 65536]
             place = w_from[a][:, None] + np.arange(scale)
             inside = place < w_to[a][:, None]
-            shared = (self.member[i[:, None], term[np.minimum(place, len(term) - 1)]] & inside).sum(axis=1)
-            lengths = np.array([len(x.words) for x in self.items])[i]
-            good = shared >= MEMBERS * np.minimum(scale, lengths)
+            # words past the window's end count as the term that no item has
+            words = np.where(inside, padded[np.minimum(place, len(term) - 1)], self.member.shape[1] - 1)
+            shared = np.take(flat, i[:, None] * self.member.shape[1] + words).sum(axis=1, dtype=np.int16)
+            good = shared >= MEMBERS * np.minimum(scale, self.lengths[i])
             for row in np.flatnonzero(good).tolist():
                 key, window = (int(text[a[row]]), int(i[row])), int(a[row])
                 if found.get(key, (0, 0))[1] >= SURE:
@@ -316,3 +324,9 @@ def _search(docs: DataFrame, items: list[Item]) -> DataFrame:
             )
 
     return docs.mapInArrow(run, schema)
+
+
+def reject_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
+    """The rows of ``docs`` whose doc_id holds no benchmark item; same columns.  Rows without doc_id are kept."""
+    leaks = find_leaks(docs, benchmark, **how).where("doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(leaks, docs["doc_id"] == leaks["__id"], "left_anti")

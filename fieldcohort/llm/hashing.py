@@ -66,6 +66,15 @@ def words(texts: list[bytes], separators: np.ndarray = SPACE) -> tuple[np.ndarra
     return hashed, owner, starts, ends, low
 
 
+def prefixes(low: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the ``length`` bytes from each start."""
+    up, _ = _powers(length)
+    out = np.zeros(len(starts), dtype=np.uint64)
+    for j in range(length):
+        out += _BYTES[low[starts + j]] * up[j]
+    return mix(out + U(length))
+
+
 def shingles(hashed: np.ndarray, owner: np.ndarray, n_texts: int, width: int) -> list[np.ndarray]:
     """The distinct shingle hashes of each text, sorted; a text of fewer words than ``width`` has its whole sequence
     as one, a text without words none."""

@@ -171,3 +171,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
 
     final = rows_of.select("doc_id", "n_shingles").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return final.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"), F.coalesce(F.col("label").isNull() | (F.col("label") == F.col("doc_id")), F.lit(True)).alias("kept"))
+
+
+def reject_copies(docs: DataFrame, **how) -> DataFrame:
+    """One document of each component of near duplicates, that with the smallest doc_id; same columns.
+
+    Of rows that repeat a kept doc_id all stay; rows without doc_id are kept."""
+    copies = near_duplicates(docs, **how).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(copies, docs["doc_id"] == copies["__id"], "left_anti")

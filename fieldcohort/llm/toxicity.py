@@ -5,8 +5,10 @@ columns before it; in training those are out-of-fold predictions, so that a late
 kind it will meet.  Each model is a logistic regression with an L1 penalty (accelerated proximal gradient), which leaves
 words without a clear effect at zero; long texts then gather no noise from thousands of small weights.
 
-Words are runs of ASCII letters and digits and non-ASCII characters, hashed to BUCKETS; a feature says that a word is in
-the text.  The features kept are those with the largest chi-square over any label, counted in Spark.
+Words are runs of ASCII letters and digits and non-ASCII characters.  Words and their first bytes (stems of the lengths
+STEMS) are hashed to buckets.  Features say that a word is in the text, or that a stem makes up a share of its words (the
+steps SHARES), with one word or with two different ones at least; shares keep long texts comparable with short ones.
+The features kept are those with the largest chi-square over any label, counted in Spark.
 """
 
 from __future__ import annotations
@@ -24,17 +26,45 @@ from fieldcohort.llm.quality import training_rows
 
 #: Labelled rows that the chain is fitted on, at most.
 TRAIN_ROWS = 16_000
-BUCKETS, FEATURES, PENALTY, STEPS, INNER = 1 << 20, 1024, 0.002, 200, 4
+FEATURES, PENALTY, STEPS, INNER = 1024, 0.0003, 300, 4
+#: Buckets for words and for stems of each length; a feature is a bucket and one of KINDS ways to be there.
+BITS, STEMS, SHARES, KINDS = 18, (4, 5, 6), (0.004, 0.008, 0.016), 8
 THRESHOLD = 0.5
 #: name: label column and the value that counts as the category; earlier ones feed later ones.
 CHAIN = (("low_quality", "quality", 0), ("toxic", "toxic", 1))
 
 
-def buckets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (text index, bucket) of the words of all texts, ordered."""
-    hashed, owner, *_ = hashing.words(texts, hashing.NOT_ALNUM)
-    pairs = np.unique(owner.astype(np.int64) * BUCKETS + (hashed % np.uint64(BUCKETS)).astype(np.int64))
-    return pairs // BUCKETS, pairs % BUCKETS
+def present(texts: list[bytes], kept: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The (text index, feature) of all texts, ordered; with ``kept``, a flag for each bucket, of those buckets only."""
+    hashed, owner, starts, ends, low = hashing.words(texts, hashing.NOT_ALNUM)
+    sizes = np.bincount(owner, minlength=len(texts))
+    # the distinct words of each text, with a place where each occurs and how often
+    order = np.lexsort((hashed, owner))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (hashed[order][1:] != hashed[order][:-1]) | (owner[order][1:] != owner[order][:-1])
+    first = np.flatnonzero(new)
+    times = np.diff(np.append(first, len(order)))
+    at = order[first]
+    text = owner[at].astype(np.int64)
+    mask, width = np.uint64((1 << BITS) - 1), (1 + len(STEMS)) << BITS
+    bucket = (hashed[at] & mask).astype(np.int64)
+    use = slice(None) if kept is None else kept[bucket]
+    found = [(text[use] * width + bucket[use]) * KINDS]
+    for k, length in enumerate(STEMS):
+        long = ends[at] - starts[at] >= length
+        stem = hashing.prefixes(low, starts[at][long], length)
+        bucket = (stem & mask).astype(np.int64) + ((k + 1) << BITS)
+        owners, counts = text[long], times[long]
+        if kept is not None:
+            use = kept[bucket]
+            bucket, owners, counts = bucket[use], owners[use], counts[use]
+        keys, inverse, different = np.unique(owners * width + bucket, return_inverse=True, return_counts=True)
+        share = np.bincount(inverse, counts, len(keys)) / np.maximum(1, sizes[keys // width])
+        for j, least in enumerate(SHARES):
+            found.append(keys[share >= least] * KINDS + 1 + 2 * j)
+            found.append(keys[(share >= least) & (different > 1)] * KINDS + 2 + 2 * j)
+    pairs = np.unique(np.concatenate(found))
+    return pairs // (width * KINDS), pairs % (width * KINDS)
 
 
 class Sparse:
@@ -87,14 +117,16 @@ def fit_linear(x: Sparse, y: np.ndarray, penalty: float = PENALTY, steps: int =
 
 
 class Chain:
-    """A fitted chain: the kept buckets and a weight vector for each category."""
+    """A fitted chain: the kept features and a weight vector for each category."""
 
     def __init__(self, kept: np.ndarray, names: tuple[str, ...]):
         self.kept, self.names, self.weights = kept, names, []
+        self.used = np.zeros((1 + len(STEMS)) << BITS, dtype=bool)
+        self.used[kept // KINDS] = True
 
     def rows(self, texts: list[bytes]) -> Sparse:
-        row, bucket = buckets(texts)
-        return self.sparse(row, bucket, len(texts))
+        row, feature = present(texts, self.used)
+        return self.sparse(row, feature, len(texts))
 
     def sparse(self, row: np.ndarray, bucket: np.ndarray, n: int) -> Sparse:
         at = np.searchsorted(self.kept, bucket)
@@ -135,7 +167,7 @@ def fit_chain(docs: DataFrame, labels: DataFrame, chain=CHAIN, train_rows: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            row, bucket = buckets([(t or "").encode() for t in batch.column("text").to_pylist()])
+            row, bucket = present([(t or "").encode() for t in batch.column("text").to_pylist()])
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[batch.column(n) for n in names], pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))], names=["doc_id", *names, "words"])
 
