@@ -6,11 +6,15 @@ fill every coordinate; two sets agree in a coordinate with probability J, and th
 as for independent hashes.  Most texts need two rounds.
 
 Texts with equal shingle sets are one node.  Bands of the sketch give buckets; with BANDS bands of ROWS coordinates a pair
-of similarity 0.8 shares a bucket but with probability (1 - 0.8^4)^32 < 5e-8.  Pairs from buckets are verified on the
-full sets.  Not all pairs of a bucket are formed: only components matter, so first each node meets the smallest node that
-shares a bucket with it; then, in buckets that still span several components, the nodes outside the bucket's largest
-component meet the others - all of them where they are few, else some at a time, until every pair of different components
-that shares a bucket has been verified.  No bucket is cut or left out.
+of similarity 0.8 shares a bucket but with probability (1 - 0.8^4)^32 < 5e-8.  Only components matter, so not all pairs of a
+bucket are looked at: first each node meets the best connected node of its buckets (its hub), then the hubs of its other
+buckets that it is not yet joined to.  In buckets that still span several components, the nodes outside the bucket's largest
+component then meet all others that they are not joined to: as pairs where these are at most PAIRS, else block by block inside
+tasks that return links only.  After that every pair that shares a bucket is in one component or has been verified; no bucket
+is cut or left out.
+
+Verification: pairs whose sketches agree in under AGREE of their coordinates are dropped (for a pair of similarity 0.8 or more
+that has a probability under 2e-9 by Chernoff's bound); the others are compared on the full sets.
 """
 
 from __future__ import annotations
@@ -19,7 +23,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldcohort.llm import hashing
@@ -27,8 +32,9 @@ from fieldcohort.llm.common import arrow_limits, slices, staged, within
 from fieldcohort.llm.components import components
 
 BANDS, ROWS, WORDS, PERCENT = 32, 4, 5, 80
-#: Nodes outside a bucket's largest component that meet the bucket's others in one round.
-AT_ONCE = 16
+#: Pairs of a bucket up to which they are formed as rows, and shingles of a bucket in a block of a larger one.
+PAIRS, BLOCK = 256, 1 << 18
+AGREE = 0.55
 #: Ids up to which the table of ids to verify is broadcast (a long each).
 BROADCAST_IDS = 1_000_000
 U = np.uint64
@@ -74,12 +80,15 @@ def _sets(batch: pa.RecordBatch, words: int) -> list[np.ndarray]:
 
 
 def sketch_documents(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """(doc_id, n_shingles, h1, h2, bands): the size, identity and band keys of each document's shingle set."""
+    """(doc_id, n_shingles, h1, h2, bands, low): the size, identity and band keys of each document's shingle set, and the
+    low 16 bits of its sketch's coordinates."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
             sets = _sets(batch, words)
-            keys = band_keys(sketches(sets, bands * rows), bands, rows)
+            sketch = sketches(sets, bands * rows)
+            keys = band_keys(sketch, bands, rows)
+            low = (sketch & U(0xFFFF)).astype(np.uint16).view(np.int16)
             sums = np.array([(s.sum(dtype=U), hashing.mix(s).sum(dtype=U)) if len(s) else (U(0), U(0)) for s in sets], dtype=U).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -88,11 +97,12 @@ def sketch_documents(docs: DataFrame, words: int, bands: int, rows: int) -> Data
                     pa.array(sums[:, 0].astype(np.int64)),
                     pa.array(sums[:, 1].astype(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.arange(0, len(sets) * bands + 1, bands, dtype=np.int32)), pa.array(keys.astype(np.int64).ravel())),
+                    pa.ListArray.from_arrays(pa.array(np.arange(0, low.size + 1, low.shape[1], dtype=np.int32)), pa.array(low.ravel())),
                 ],
-                names=["doc_id", "n_shingles", "h1", "h2", "bands"],
+                names=["doc_id", "n_shingles", "h1", "h2", "bands", "low"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>, low array<smallint>")
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -107,16 +117,55 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, shingles array<long>")
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, lows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets have 100 * intersection >= percent * union."""
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-    joined = pairs.join(left, "a").join(right, "b")
-    joined = joined.where(100 * F.least(F.size("sa"), F.size("sb")) >= percent * F.greatest(F.size("sa"), F.size("sb")))
+    near = pairs.join(lows.select(F.col("id").alias("a"), F.col("low").alias("la"), F.col("n").alias("na")), "a").join(lows.select(F.col("id").alias("b"), F.col("low").alias("lb"), F.col("n").alias("nb")), "b")
+    agree = F.size(F.filter(F.zip_with("la", "lb", lambda x, y: x == y), lambda x: x))
+    near = near.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).where(agree >= AGREE * F.size("la")).select("a", "b").distinct()
+    joined = near.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
     both = F.size(F.array_intersect("sa", "sb")).cast("long")
     return joined.withColumn("both", both).where(F.expr(f"100 * both >= {percent} * (size(sa) + size(sb) - both)")).select("a", "b").distinct()
 
 
+def _links(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
+    """Links between two blocks of (id, label, shingles) across labels."""
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    if not left.num_rows or not right.num_rows:
+        return none
+
+    def sets(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        column = t["shingles"].combine_chunks()
+        sizes = pc.list_value_length(column).to_numpy().astype(np.int64)
+        return column.flatten().to_numpy(), np.repeat(np.arange(t.num_rows), sizes), sizes
+
+    (x, owner_x, size_x), (y, owner_y, size_y) = sets(left), sets(right)
+    # only shingles of both sides count; their columns are taken some thousands at a time
+    shared = np.intersect1d(x, y)
+    both = np.zeros((left.num_rows, right.num_rows), dtype=np.float32)
+    at_x, at_y = np.searchsorted(shared, x), np.searchsorted(shared, y)
+    at_x[at_x == len(shared)], at_y[at_y == len(shared)] = 0, 0
+    in_x, in_y = (shared[at_x] == x, shared[at_y] == y) if len(shared) else (np.zeros(len(x), bool), np.zeros(len(y), bool))
+    at_x, owner_x, at_y, owner_y = at_x[in_x], owner_x[in_x], at_y[in_y], owner_y[in_y]
+    order_x, order_y = np.argsort(at_x, kind="stable"), np.argsort(at_y, kind="stable")
+    at_x, owner_x, at_y, owner_y = at_x[order_x], owner_x[order_x], at_y[order_y], owner_y[order_y]
+    for k in range(0, len(shared), 4096):
+        p, q = (slice(*np.searchsorted(a, (k, k + 4096))) for a in (at_x, at_y))
+        m, n = np.zeros((left.num_rows, 4096), dtype=np.float32), np.zeros((right.num_rows, 4096), dtype=np.float32)
+        m[owner_x[p], at_x[p] - k] = 1
+        n[owner_y[q], at_y[q] - k] = 1
+        both += m @ n.T
+    union = size_x[:, None] + size_y[None, :] - both
+    good = (100 * both >= percent * union) & (left["label"].to_numpy()[:, None] != right["label"].to_numpy()[None, :])
+    i, j = np.nonzero(good)
+    return pa.table({"a": left["id"].to_numpy()[i], "b": right["id"].to_numpy()[j]}) if len(i) else none
+
+
+def _labelled(df: DataFrame, labels: DataFrame, column: str, out: str) -> DataFrame:
+    """Add the label of the ids in ``column``; an id without one is its own."""
+    found = labels.select(F.col("id").alias(column), F.col("label").alias("__label"))
+    return df.join(found, column, "left").withColumn(out, F.coalesce("__label", column)).drop("__label")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The component of every row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -127,8 +176,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     row without doc_id takes no part: component_id null, kept true.  An empty table gives no rows; other columns are not
     read.
     """
-    spark = docs.sparkSession
-    arrow_limits(spark)
+    arrow_limits(docs.sparkSession)
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     rows_of = staged(sketch_documents(docs, words, bands, rows), "sketches")
     some = rows_of.where("n_shingles > 0 and doc_id is not null")
@@ -137,37 +185,45 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     copies = some.join(same.where("n > 1"), ["h1", "h2"]).where("doc_id <> rep").selectExpr("doc_id a", "rep b").distinct()
     nodes = some.join(same.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi")
     keyed = nodes.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first <> last").select("key", "first")
-    members = staged(keyed.join(shared, "key"), "buckets")
-    wanted = members.select("id").distinct()
-    wanted = F.broadcast(wanted) if within(wanted, BROADCAST_IDS) else wanted
-    sets = staged(shingle_sets(docs.join(wanted.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi"), words), "sets")
-
-    pairs = members.where("id <> first").groupBy(F.col("id").alias("a")).agg(F.min("first").alias("b"))
-    edges = staged(copies.unionByName(verified(pairs, sets, percent)), "edges")
-    labels = components(edges)
-    done = None
-    while True:
-        # where the bucket still spans several components
-        labelled = members.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("label", "id").alias("label"))
-        parts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-        split = parts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1").select("key", F.col("most.label").alias("largest"))
-        active = labelled.join(split, "key")
-        rest = active.where("label <> largest").select("key", F.col("id").alias("u"), F.col("label").alias("lu"))
-        if done is not None:
-            rest = rest.join(done, ["key", "u"], "left_anti")
-        # the smallest ids first, AT_ONCE of a bucket at most; Spark cuts groups to that before it shuffles them
-        chosen = rest.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("u"))).where(f"r <= {AT_ONCE}").drop("r")
-        chosen = staged(chosen, "chosen")
-        if chosen.isEmpty():
-            break
-        done_now = chosen.select("key", "u")
-        done = done_now if done is None else done.unionByName(done_now)
-        others = active.select("key", "id", "label")
-        pairs = chosen.join(others, "key").where("lu <> label").select(F.least("u", "id").alias("a"), F.greatest("u", "id").alias("b")).distinct()
-        found = staged(verified(pairs, sets, percent), "edges")
-        if not found.isEmpty():
-            labels = components(found, labels)
+    shared = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first <> last").select("key", "n")
+    shared = staged(keyed.join(shared, "key"), "buckets")
+    # a node's weight: the members of its buckets, all told
+    weights = shared.groupBy("id").agg(F.sum("n").alias("w"))
+    members = staged(shared.join(weights, "id").select("key", "id", "w"), "members")
+    hubs = staged(members.groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("m"))).alias("hub")), "hubs")
+    met = staged(members.join(hubs, "key").select("id", F.col("hub.w").alias("w"), (-F.col("hub.m")).alias("hub")).where("id <> hub").distinct(), "met")
+    wanted = weights.select(F.col("id").alias("doc_id"))
+    near = F.broadcast(wanted) if within(wanted, BROADCAST_IDS) else wanted
+    sets = staged(shingle_sets(docs.join(near, "doc_id", "left_semi"), words), "sets")
+    lows = staged(nodes.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "low", F.col("n_shingles").alias("n")), "lows")
+
+    # first the hub of the largest weight
+    pairs = met.groupBy(F.col("id").alias("a")).agg(F.max(F.struct("w", (-F.col("hub")).alias("m"))).alias("best")).select("a", (-F.col("best.m")).alias("b"))
+    labels = components(staged(copies.unionByName(verified(pairs, lows, sets, percent)), "edges"))
+    # then the other hubs that a node is not joined to
+    apart = _labelled(_labelled(met.select(F.col("id").alias("a"), F.col("hub").alias("b")), labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
+    found = staged(verified(apart, lows, sets, percent), "edges")
+    labels = labels if found.isEmpty() else components(found, labels)
+    # then all that share a bucket and are not joined
+    labelled = _labelled(members.select("key", "id"), labels, "id", "label")
+    parts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    split = parts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
+    split = split.select("key", F.col("most.label").alias("largest"), (F.col("n") * (F.col("n") - F.col("most.n"))).alias("cost"))
+    active = staged(labelled.join(split, "key"), "active")
+    few = active.where(f"cost <= {PAIRS}")
+    outside = few.where("label <> largest").select("key", F.col("id").alias("u"), F.col("label").alias("lu"))
+    pairs = outside.join(few.select("key", "id", "label"), "key").where("lu <> label").select(F.least("u", "id").alias("a"), F.greatest("u", "id").alias("b")).distinct()
+    links = verified(pairs, lows, sets, percent)
+    many = active.where(f"cost > {PAIRS}").join(sets, "id")
+    blocks = many.groupBy("key").agg(F.ceil(F.sum(F.size("shingles")) / BLOCK).cast("int").alias("blocks"))
+    many = many.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = many.where("label <> largest").select("key", F.col("block").alias("s"), every.alias("m"), "id", "label", "shingles")
+    # both sides come from one table; names of its own keep the right side's columns apart
+    right = many.select(F.col("key").alias("k2"), every.alias("s2"), F.col("block").alias("m2"), *[F.col(c).alias(f"{c}2") for c in ("id", "label", "shingles")])
+    cells = left.groupBy("key", "s", "m").cogroup(right.groupBy("k2", "s2", "m2")).applyInArrow(lambda x, y: _links(x, y.rename_columns(["key", "s", "m", "id", "label", "shingles"]), percent), "a long, b long")
+    found = staged(links.unionByName(cells.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "edges")
+    labels = labels if found.isEmpty() else components(found, labels)
 
     final = rows_of.select("doc_id", "n_shingles").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return final.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"), F.coalesce(F.col("label").isNull() | (F.col("label") == F.col("doc_id")), F.lit(True)).alias("kept"))
