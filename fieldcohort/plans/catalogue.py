@@ -1,15 +1,628 @@
-"""Query catalogue of the core engine."""
+"""Query catalogue of the core engine: each operator on the supplied tables, with DuckDB text that gives the same rows.
+
+Floats are rounded to six digits on both sides; iterative operators have no SQL form and are tested
+against brute force and known fields instead.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from fieldcohort.functions import expr as X
+from fieldcohort.operators import cases, cohort, inference, resample, stats
+from fieldcohort.operators import contracts as C
+from fieldcohort.operators import kernels as K
+from fieldcohort.operators import voxel as V
+from fieldcohort.plans import proxies as P
+from fieldcohort.session import table
+from fieldcohort.sources import report
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query, with its DuckDB text."""
+
+    def add(f: Query) -> Query:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def r6(c: Column | str) -> Column:
+    return X.rounded(F.col(c) if isinstance(c, str) else c)
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: r6(c) for c in columns})
+
+
+def s6(text: str, name: str) -> str:
+    return f"round({text}, 6) + 0.0 AS {name}"
+
+
+# --- summaries, contracts, cohort -----------------------------------------------------------------------------------
+
+_MS = ["mae", "r2"]
+
+
+@query("q01_model_summary", P.sql("metrics_long") + "SELECT model, " + ", ".join(f"{s6(f'avg({m})', f'{m}_mean')}, {s6(f'coalesce(stddev_samp({m}), 0)', f'{m}_sd')}, {s6(f'quantile_cont({m}::DOUBLE, 0.025)', f'{m}_p025')}, {s6(f'quantile_cont({m}::DOUBLE, 0.975)', f'{m}_p975')}" for m in _MS) + ", min(repeat) AS first_repeat FROM metrics_long GROUP BY model")
+def q01(spark, d):
+    got = stats.summarize_metrics(P.metrics_long(spark, d), "model", "repeat", _MS)
+    return rounded(got, *[c for c in got.columns if c not in ("model", "first_repeat")])
+
+
+@query("q02_duplicate_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1 ORDER BY n DESC, l_orderkey, l_linenumber LIMIT 5")
+def q02(spark, d):
+    return C.duplicate_keys(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber").orderBy(F.col("n").desc(), "l_orderkey", "l_linenumber").limit(5)
+
+
+_FLAG = "CASE o_orderstatus WHEN 'F' THEN ' Yes' WHEN 'O' THEN 'TRUE' ELSE '1.0' END"
+
+
+@query("q03_boolean_parsers", f"SELECT o_orderstatus, count(*) FILTER (WHERE lower(trim({_FLAG})) IN ('1', 'true', 'yes', 'y')) AS truthy, count(*) FILTER (WHERE lower({_FLAG}) = 'true') AS strict FROM orders GROUP BY 1")
+def q03(spark, d):
+    flag = F.expr(_FLAG)
+    return table(spark, d, "orders").groupBy("o_orderstatus").agg(F.count_if(X.truthy(flag)).alias("truthy"), F.count_if(X.strict_true(flag)).alias("strict"))
+
+
+@query(
+    "q04_coercion",
+    "WITH t AS (SELECT event_id, try_cast(json_extract_string(props, '$.k') AS DOUBLE) AS k, try_cast(event_type AS DOUBLE) AS bad, CASE WHEN event_id % 10 = 0 THEN 'inf'::DOUBLE WHEN event_id % 10 = 1 THEN 'nan'::DOUBLE ELSE value END AS v FROM events) "
+    "SELECT event_id, k, bad, CASE WHEN isfinite(v) THEN round(ln(1 + abs(v)), 6) + 0.0 END AS log1p_v FROM t",
+)
+def q04(spark, d):
+    e = table(spark, d, "events")
+    v = F.when(F.col("event_id") % 10 == 0, float("inf")).when(F.col("event_id") % 10 == 1, float("nan")).otherwise(F.col("value"))
+    return e.select("event_id", X.to_number(F.get_json_object("props", "$.k")).alias("k"), X.to_number(F.col("event_type")).alias("bad"), r6(F.log1p(F.abs(X.finite(v)))).alias("log1p_v"))
+
+
+_GOOD = "laterality_supported = 'true' AND normalized_field_folding_fraction <= 0.05 AND n_voxels >= 1000"
+
+
+@query("q05_manifest_report", P.sql("manifest") + f"SELECT count(*) AS cases, count(DISTINCT subject) AS subjects, count(*) FILTER (WHERE {_GOOD}) AS qc_pass, count(*) FILTER (WHERE NOT ({_GOOD})) AS qc_fail, " + ", ".join(f"count(*) FILTER (WHERE lesion_side = '{s}') AS side_{s}" for s in ("left", "right", "bilateral")) + " FROM manifest")
+def q05(spark, d):
+    return cohort.manifest_report(P.manifest(spark, d).withColumnRenamed("n_voxels", "mass_effect_3_20mm_magnitude_mm_n_voxels"))
+
+
+@query("q06_prefixed_join", P.sql("manifest", "clinical") + f"SELECT c.case_id, {s6('c.outcome', 'outcome')}, m.segment AS me_segment, m.bal AS me_bal FROM clinical c JOIN manifest m USING (case_id)")
+def q06(spark, d):
+    m = C.require_unique(P.manifest(spark, d), "case_id")
+    c = C.require_unique(P.clinical(spark, d), "case_id")
+    return rounded(c.join(cohort.small(cohort.prefix_nonkeys(m.drop("subject"), "me_")), "case_id").select("case_id", "outcome", "me_segment", "me_bal"), "outcome")
+
+
+@query("q07_optional_join", P.sql("manifest") + ", u AS (SELECT user_id, avg(value) AS v FROM events GROUP BY 1) SELECT (SELECT round(avg(CASE WHEN user_id IS NULL THEN 0.0 ELSE 1.0 END), 6) + 0.0 FROM manifest LEFT JOIN u ON case_id = user_id) AS coverage, false AS used, (SELECT count(*) FROM manifest) AS n")
+def q07(spark, d):
+    m = P.manifest(spark, d)
+    u = table(spark, d, "events").groupBy(F.col("user_id").cast("long").alias("case_id")).agg(F.avg("value").alias("v"))
+    joined, used = cohort.join_optional(m, u, "unc_", 0.95)
+    share = cohort.coverage(m, u)
+    return joined.agg(F.count(F.lit(1)).alias("n")).select(r6(F.lit(share)).alias("coverage"), F.lit(used).alias("used"), "n")
+
+
+@query("q08_qc_subset_join", P.sql("manifest", "clinical") + f"SELECT c.case_id, {s6('outcome', 'outcome')}, lesion_side FROM clinical c JOIN manifest m USING (case_id) WHERE {_GOOD}")
+def q08(spark, d):
+    m = P.manifest(spark, d)
+    good = cohort.qc_filter(F.col("laterality_supported"), F.col("normalized_field_folding_fraction"), F.col("n_voxels"), None)
+    return rounded(P.clinical(spark, d).join(m.where(good), "case_id").select("case_id", "outcome", "lesion_side"), "outcome")
+
+
+@query("q09_versions", "SELECT DISTINCT trim(l_linestatus || ' ') AS version FROM lineitem")
+def q09(spark, d):
+    return C.distinct_versions(table(spark, d, "lineitem").select(F.concat("l_linestatus", F.lit(" ")).alias("version")), "version")
+
+
+@query("q10_design_index", P.sql("manifest", "clinical") + f"SELECT case_id, (row_number() OVER (ORDER BY subject, case_id) - 1)::INT AS row FROM clinical c JOIN manifest m USING (case_id) WHERE {_GOOD}")
+def q10(spark, d):
+    m = P.manifest(spark, d).drop("subject").withColumnRenamed("n_voxels", "mass_effect_3_20mm_magnitude_mm_n_voxels")
+    c = P.clinical(spark, d).withColumnsRenamed({"outcome": "wab_aq"}).withColumn("subject", F.col("case_id"))
+    design, _ = cohort.build_design(m, c)
+    return design.select("case_id", "row")
+
+
+# --- statistics -----------------------------------------------------------------------------------------------------
+
+_RANK = "rank() OVER (PARTITION BY {g} ORDER BY {c}) + (count(*) OVER (PARTITION BY {g}, {c}) - 1) / 2.0"
+
+
+@query("q11_average_rank", "SELECT p_partkey, p_brand, " + _RANK.format(g="p_brand", c="p_size") + " AS size_rank FROM part")
+def q11(spark, d):
+    return table(spark, d, "part").select("p_partkey", "p_brand", stats.average_rank("p_size", ["p_brand"]).alias("size_rank"))
+
+
+def _spearman_sql(source: str, x: str, y: str, g: str) -> str:
+    return f"SELECT {g}, count(*) AS n, {s6('corr(rx, ry)', 'rho')} FROM (SELECT {g}, {_RANK.format(g=g, c=x)} AS rx, {_RANK.format(g=g, c=y)} AS ry FROM {source}) GROUP BY {g}"
+
+
+@query("q12_spearman", _spearman_sql("part", "p_size", "p_retailprice", "p_brand"))
+def q12(spark, d):
+    return rounded(stats.spearman(table(spark, d, "part"), "p_size", "p_retailprice", ["p_brand"]), "rho")
+
+
+@query("q13_pearson", "SELECT l_linenumber, count(*) AS n, round(corr(l_quantity, l_extendedprice), 6) + 0.0 AS r, CAST(NULL AS DOUBLE) AS flat FROM lineitem GROUP BY 1")
+def q13(spark, d):
+    return table(spark, d, "lineitem").withColumn("one", F.lit(1.0)).groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"), r6(X.pearson("l_quantity", "l_extendedprice")).alias("r"), X.pearson("one", "l_quantity").alias("flat"))
+
+
+@query("q14_holm", "WITH t AS (SELECT p_partkey, p_brand, ((p_partkey * 7919) % 1000 + 1) / 20000.0 AS p FROM part), o AS (SELECT *, (count(*) OVER (PARTITION BY p_brand) - row_number() OVER (PARTITION BY p_brand ORDER BY p, p_partkey) + 1) * p AS s FROM t) SELECT p_partkey, p_brand, round(least(1.0, max(s) OVER (PARTITION BY p_brand ORDER BY p, p_partkey ROWS UNBOUNDED PRECEDING)), 6) + 0.0 AS p_holm FROM o")
+def q14(spark, d):
+    t = table(spark, d, "part").select("p_partkey", "p_brand", (((F.col("p_partkey") * 7919) % 1000 + 1) / 20000.0).alias("p"))
+    return rounded(stats.holm(t, "p", ["p_brand"], "p_partkey").select("p_partkey", "p_brand", "p_holm"), "p_holm")
+
+
+_MODELS = ["global", "nation", "segment"]
+_ERR = P.sql("pred_long") + "SELECT subject, " + ", ".join(f"round(avg(abs(observed - predicted)) FILTER (WHERE model = '{m}') + 1e-6, 4) + 0.0 AS {m}" for m in _MODELS) + " FROM pred_long GROUP BY 1"
+
+
+def _errors(spark, d):
+    return stats.subject_errors(P.pred_long(spark, d).withColumn("absolute_error", F.abs(F.col("observed") - F.col("predicted"))), "subject", "model", "absolute_error", _MODELS)
+
+
+@query("q15_subject_errors", _ERR)
+def q15(spark, d):
+    # means of cents end in halves of the last digit, which a little more than nothing rounds alike everywhere
+    return _errors(spark, d).withColumns({m: F.round(F.col(m) + 1e-6, 4) + 0.0 for m in _MODELS})
+
+
+@query("q16_paired_advantage", "WITH e AS (" + _ERR.replace("round(", "(").replace(", 4) + 0.0", ")") + ") " + " UNION ALL ".join(f"SELECT '{m}' AS model, count(*) AS n_subjects, round(avg(\"global\" - {m}), 4) + 0.0 AS mean_advantage, round(avg(CASE WHEN \"global\" - {m} > 1e-4 THEN 1.0 ELSE 0.0 END), 6) + 0.0 AS improved_fraction FROM e" for m in ("nation", "segment")))
+def q16(spark, d):
+    got = stats.paired_advantage(_errors(spark, d), "subject", "global", ["nation", "segment"], 1e-4)
+    return rounded(got.withColumn("mean_advantage", F.round("mean_advantage", 4) + 0.0), "improved_fraction")
+
+
+def _wilcoxon_sql(zeros: str) -> str:
+    keep = "WHERE d <> 0" if zeros == "wilcox" else ""
+    return (
+        f"WITH t AS (SELECT l_returnflag AS g, (l_quantity - l_linenumber * 7)::DOUBLE AS d FROM lineitem), u AS (SELECT g, d, abs(d) AS a FROM t {keep}), "
+        "r AS (SELECT g, d, rank() OVER (PARTITION BY g ORDER BY a) + (count(*) OVER (PARTITION BY g, a) - 1) / 2.0 AS k, count(*) OVER (PARTITION BY g, a) AS t FROM u), "
+        "s AS (SELECT g, count(*)::DOUBLE AS n, count(*) FILTER (WHERE d = 0)::DOUBLE AS z0, coalesce(sum(k) FILTER (WHERE d > 0), 0.0) AS w_plus, coalesce(sum(k) FILTER (WHERE d < 0), 0.0) AS w_minus, coalesce(sum(t * t - 1.0) FILTER (WHERE d <> 0), 0.0) AS ties FROM r GROUP BY g) "
+        "SELECT g, n::BIGINT AS n, w_plus::DOUBLE AS w_plus, w_minus::DOUBLE AS w_minus, least(w_plus, w_minus)::DOUBLE AS statistic, "
+        "round((least(w_plus, w_minus) - (n * (n + 1) - z0 * (z0 + 1)) / 4) / sqrt((n * (n + 1) * (2 * n + 1) - z0 * (z0 + 1) * (2 * z0 + 1)) / 24 - ties / 48), 6) + 0.0 AS z FROM s"
+    )
+
+
+def _wilcoxon(zeros: str) -> Query:
+    def run(spark, d):
+        t = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), (F.col("l_quantity") - F.col("l_linenumber") * 7).cast("double").alias("d"))
+        return rounded(stats.wilcoxon(t, "d", ["g"], zeros), "z")
+
+    return run
+
+
+query("q17_wilcoxon_pratt", _wilcoxon_sql("pratt"))(_wilcoxon("pratt"))
+query("q17_wilcoxon_dropped_zeros", _wilcoxon_sql("wilcox"))(_wilcoxon("wilcox"))
+
+
+@query("q18_coefficient_summary", f"SELECT l_returnflag AS model, l_linestatus AS feature, {s6('avg(l_tax)', 'mean')}, {s6('stddev_samp(l_tax)', 'std')}, {s6('quantile_cont(l_tax::DOUBLE, 0.5)', 'median')}, count(*) AS n FROM lineitem GROUP BY 1, 2")
+def q18(spark, d):
+    from fieldcohort.operators import cv
+
+    t = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("model"), F.col("l_linestatus").alias("feature"), F.col("l_tax").alias("standardized_coefficient"))
+    return rounded(cv.coefficient_summary(t), "mean", "std", "median")
+
+
+@query("q19_cohort_summary", "SELECT source, count(*) AS n, " + ", ".join(s6(f"quantile_cont(n_chars::DOUBLE, {q})", n) for n, q in (("minimum", 0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("maximum", 1))) + ", count(*) FILTER (WHERE lang = 'en') AS n_en, count(*) FILTER (WHERE NOT regexp_matches(coalesce(lang, ''), '^\\s*$')) AS n_lang FROM documents GROUP BY 1")
+def q19(spark, d):
+    t = table(spark, d, "documents")
+    got = t.groupBy("source").agg(F.count(F.lit(1)).alias("n"), *X.five_numbers(F.col("n_chars")), F.count_if(F.col("lang") == "en").alias("n_en"), F.count_if(~F.coalesce("lang", F.lit("")).rlike(r"^\s*$")).alias("n_lang"))
+    return rounded(got, "minimum", "q1", "median", "q3", "maximum")
+
+
+@query(
+    "q20_feature_comparison",
+    "WITH n AS (SELECT o_custkey AS k, sum(o_totalprice) AS a, count(*)::DOUBLE AS b, CASE WHEN o_custkey % 5 = 0 THEN NULL ELSE max(o_totalprice) END AS c FROM orders GROUP BY 1), o AS (SELECT k, a + CASE WHEN k % 7 = 0 THEN 0.5 ELSE 0 END AS a, b, c FROM n), "
+    "l AS (SELECT k, unnest(['a', 'b', 'c']) AS feature, unnest([a, b, c]) AS new FROM n), m AS (SELECT k, unnest(['a', 'b', 'c']) AS feature, unnest([a, b, c]) AS old FROM o) "
+    "SELECT feature, count(abs(new - old)) AS comparable, count(*) FILTER (WHERE (new IS NULL) <> (old IS NULL)) AS one_sided, count(*) FILTER (WHERE abs(new - old) > 0.01) AS above_tolerance, round(coalesce(max(abs(new - old)), 0.0), 4) + 0.0 AS largest FROM l JOIN m USING (k, feature) GROUP BY 1",
+)
+def q20(spark, d):
+    o = table(spark, d, "orders")
+    new = o.groupBy(F.col("o_custkey").alias("k")).agg(F.sum("o_totalprice").alias("a"), F.count(F.lit(1)).cast("double").alias("b"), F.max("o_totalprice").alias("c")).withColumn("c", F.when(F.col("k") % 5 != 0, F.col("c")))
+    old = new.withColumn("a", F.col("a") + F.when(F.col("k") % 7 == 0, 0.5).otherwise(0.0))
+    return cohort.compare_features(new, old, "k", ["a", "b", "c"], 0.01).withColumn("largest", F.round("largest", 4) + 0.0)
+
+
+@query(
+    "q21_histogram",
+    "WITH s AS (SELECT min(o_totalprice) AS a, max(o_totalprice) AS b FROM orders), f AS (SELECT i AS bin, a, b FROM s, range(20) r(i)), c AS (SELECT least(floor((o_totalprice - a) / (b - a) * 20), 19)::INT AS bin, count(*) AS n FROM orders, s GROUP BY 1) "
+    "SELECT f.bin::INT AS bin, round(a + f.bin * ((b - a) / 20), 4) + 0.0 AS low, round(a + (f.bin + 1) * ((b - a) / 20), 4) + 0.0 AS high, coalesce(n, 0) AS n FROM f LEFT JOIN c ON f.bin = c.bin",
+)
+def q21(spark, d):
+    return stats.histogram(table(spark, d, "orders"), "o_totalprice").withColumns({c: F.round(c, 4) + 0.0 for c in ("low", "high")})
+
+
+@query("q22_error_metrics", P.sql("pred_long") + "SELECT repeat, model, count(*) AS n, round(avg(abs(observed - predicted)), 4) + 0.0 AS mae, round(sqrt(avg((observed - predicted) ** 2)), 4) + 0.0 AS rmse, round(1 - avg((observed - predicted) ** 2) / var_pop(observed), 6) + 0.0 AS r2 FROM pred_long GROUP BY 1, 2")
+def q22(spark, d):
+    got = stats.error_metrics(P.pred_long(spark, d), "observed", "predicted", ["repeat", "model"])
+    return rounded(got.withColumns({c: F.round(c, 4) + 0.0 for c in ("mae", "rmse")}), "r2").drop("pearson_r")
+
+
+# --- voxels ---------------------------------------------------------------------------------------------------------
+
+
+@query("q23_laterality", P.sql("side") + f"SELECT case_id, l AS left_voxels, r AS right_voxels, side, {s6('abs(l - r)::DOUBLE / (l + r)', 'laterality_index')} FROM lat JOIN side USING (case_id)")
+def q23(spark, d):
+    return rounded(V.laterality(P.lesion(P.vfield(spark, d)), P.SIZE), "laterality_index")
+
+
+@query("q24_hemispheres", P.sql("vfield") + "SELECT case_id, count(*) FILTER (WHERE x < 1.5) AS n_left, count(*) FILTER (WHERE x > 1.5) AS n_right, count(*) FILTER (WHERE x > 2.5) AS n_far FROM vfield GROUP BY 1")
+def q24(spark, d):
+    x = F.col("x")
+    return P.vfield(spark, d).groupBy("case_id").agg(F.count_if(V.hemisphere(x, P.SIZE, "left")).alias("n_left"), F.count_if(V.hemisphere(x, P.SIZE, "right")).alias("n_right"), F.count_if(V.contralateral(x, P.SIZE, "left", 1.0)).alias("n_far"))
+
+
+@query("q25_mirror", P.sql("vfield") + f"SELECT case_id, 3 - x AS x, y, z, {s6('-u0', 'm_u0')}, {s6('u1', 'm_u1')}, {s6('u2', 'm_u2')} FROM vfield")
+def q25(spark, d):
+    return rounded(V.mirrored(P.vfield(spark, d), P.SIZE, ["u0", "u1", "u2"]), "m_u0", "m_u1", "m_u2")
+
+
+@query("q26_effect", P.sql("effect") + f"SELECT case_id, x, y, z, ev AS effect_valid, {', '.join(s6(c, c) for c in ('e0', 'e1', 'e2', 'logj'))} FROM effect")
+def q26(spark, d):
+    return rounded(V.effect(V.jacobian(P.sided(spark, d)), P.SIZE), "e0", "e1", "e2", "logj")
+
+
+@query("q27_gradients", P.sql("grads") + "SELECT case_id, x, y, z, " + ", ".join(s6(f"g{k}{a}", f"du{k}_d{a}") for k in range(3) for a in "xyz") + " FROM grads")
+def q27(spark, d):
+    g = V.gradients(P.vfield(spark, d), ["u0", "u1", "u2"])
+    names = [f"du{k}_d{a}" for k in range(3) for a in "xyz"]
+    return rounded(g.select("case_id", "x", "y", "z", *names), *names)
+
+
+@query("q28_folding", P.sql("jac") + f"SELECT case_id, {s6('avg(CASE WHEN jac <= 0 THEN 1.0 ELSE 0.0 END)', 'folding_fraction')}, {s6('min(jac)', 'minimum_jacobian')} FROM jac WHERE valid GROUP BY 1")
+def q28(spark, d):
+    return rounded(V.folding(V.jacobian(P.sided(spark, d)), valid=F.col("valid")), "folding_fraction", "minimum_jacobian")
+
+
+@query("q29_lesion_distance", P.sql("norm") + f"SELECT case_id, x, y, z, {s6('distance', 'distance')}, {', '.join(s6(f'n{k}', f'n{k}') for k in range(3))} FROM norm")
+def q29(spark, d):
+    f = P.vfield(spark, d)
+    got = V.normals(V.lesion_distance(f.select("case_id", "x", "y", "z"), P.lesion(f)))
+    return rounded(got, "distance", "n0", "n1", "n2")
+
+
+@query("q30_radial_magnitude", P.sql("rows") + f"SELECT case_id, x, y, z, {s6('radial', 'radial')}, {s6('magnitude', 'magnitude')} FROM rows")
+def q30(spark, d):
+    return rounded(P.effect_rows(spark, d).select("case_id", "x", "y", "z", "radial", "magnitude"), "radial", "magnitude")
+
+
+_SHELLS = "(VALUES " + ", ".join(f"('{n}', {a}, {b})" for n, a, b in (("1_2mm", 1.0, 2.0), ("2_3mm", 2.0, 3.0), *V.SHELLS, V.NEAR)) + ") s(shell, lo, hi)"
+_SHELL_ROWS = P.sql("rows") + f", t AS (SELECT rows.*, shell FROM rows JOIN {_SHELLS} ON distance >= lo AND distance < hi WHERE ev) "
+
+
+def _shells(spark, d):
+    # the supplied volumes are small, so two nearer shells are asked for as well
+    return V.shell_summary(P.effect_rows(spark, d), F.col("effect_valid"), shells=(("1_2mm", 1.0, 2.0), ("2_3mm", 2.0, 3.0), *V.SHELLS, V.NEAR))
+
+
+_SUMMARY = ["n_voxels", "mean", "median", "p25", "p75", "p95"]
+
+
+@query("q31_shell_summaries", _SHELL_ROWS + "SELECT case_id, shell, " + ", ".join(f"count({v}) AS {v}_n_voxels, {s6(f'avg({v})', f'{v}_mean')}, " + ", ".join(s6(f"quantile_cont({v}, {q})", f"{v}_{n}") for n, q in (("median", 0.5), ("p25", 0.25), ("p75", 0.75), ("p95", 0.95))) for v in ("magnitude", "radial", "logj")) + " FROM t GROUP BY 1, 2")
+def q31(spark, d):
+    names = [f"{v}_{n}" for v in ("magnitude", "radial", "logj") for n in _SUMMARY]
+    return rounded(_shells(spark, d).select("case_id", "shell", *names), *[n for n in names if not n.endswith("n_voxels")])
+
+
+_INTEGRALS = {
+    "outward_fraction": "avg(CASE WHEN radial > 0 THEN 1.0 ELSE 0.0 END)", "inward_fraction": "avg(CASE WHEN radial < 0 THEN 1.0 ELSE 0.0 END)", "mean_absolute_radial": "avg(abs(radial))",
+    "outward_integral": "sum(greatest(radial, 0.0)) / 1000", "inward_integral": "sum(greatest(-radial, 0.0)) / 1000", "magnitude_integral": "sum(magnitude) / 1000",
+    "expansion_integral": "sum(greatest(logj, 0.0)) / 1000", "compression_integral": "sum(greatest(-logj, 0.0)) / 1000",
+}
+
+
+@query("q32_shell_integrals", _SHELL_ROWS + "SELECT case_id, shell, " + ", ".join(s6(e, n) for n, e in _INTEGRALS.items()) + " FROM t GROUP BY 1, 2")
+def q32(spark, d):
+    return rounded(_shells(spark, d).select("case_id", "shell", *_INTEGRALS), *_INTEGRALS)
+
+
+@query(
+    "q33_qc_flags",
+    P.sql("rows", "side") + ", f AS (SELECT case_id, avg(CASE WHEN jac <= 0 THEN 1.0 ELSE 0.0 END) AS folding FROM jac WHERE valid GROUP BY 1), n AS (SELECT case_id, count(*) AS near_voxels, quantile_cont(magnitude, 0.5) AS mm, quantile_cont(abs(radial), 0.5) AS sm FROM rows WHERE ev AND distance >= 1 AND distance < 3 GROUP BY 1) "
+    f"SELECT case_id, near_voxels, {s6('CASE WHEN sm > 0 THEN mm / sm END', 'signal_ratio')}, abs(l - r)::DOUBLE / (l + r) >= 0.2 AND folding <= 0.5 AND near_voxels >= 5 AS deformation_qc_pass FROM n JOIN f USING (case_id) JOIN lat USING (case_id)",
+)
+def q33(spark, d):
+    near = P.effect_rows(spark, d).where("effect_valid and distance >= 1 and distance < 3").groupBy("case_id").agg(F.count(F.lit(1)).alias("near_voxels"), F.percentile("magnitude", F.lit(0.5)).alias("magnitude_median"), F.percentile(F.abs("radial"), F.lit(0.5)).alias("sensitivity_median"))
+    fold = V.folding(V.jacobian(P.sided(spark, d)), valid=F.col("valid"))
+    lat = V.laterality(P.lesion(P.vfield(spark, d)), P.SIZE)
+    got = V.qc_flags(near.join(fold, "case_id").join(lat, "case_id"), 0.2, 0.5, 5.0, 1.0)
+    return rounded(got.select("case_id", "near_voxels", "signal_ratio", "deformation_qc_pass"), "signal_ratio")
+
+
+@query("q34_dice_correlation", P.sql("vfield") + f"SELECT case_id, {s6('CASE WHEN sum((u0 > 0.1)::INT) + sum((u1 > 0.1)::INT) = 0 THEN 1.0 ELSE 2.0 * sum((u0 > 0.1 AND u1 > 0.1)::INT) / (sum((u0 > 0.1)::INT) + sum((u1 > 0.1)::INT)) END', 'dice')}, {s6('corr(u0, u1) FILTER (WHERE u2 > 0)', 'r')} FROM vfield GROUP BY 1")
+def q34(spark, d):
+    f = P.vfield(spark, d)
+    masked = f.withColumns({"a": F.when(F.col("u2") > 0, F.col("u0")), "b": F.when(F.col("u2") > 0, F.col("u1"))})
+    return masked.groupBy("case_id").agg(r6(X.dice(F.col("u0") > 0.1, F.col("u1") > 0.1)).alias("dice"), r6(X.pearson("a", "b")).alias("r"))
+
+
+@query("q35_support_audit", P.sql("effect", "sided") + "SELECT case_id, count(*) FILTER (WHERE e1 <> 0) AS nonzero, max(abs(e1)) AS largest FROM effect JOIN sided USING (case_id, x, y, z) WHERE (side = 'left' AND x > 1.5) OR (side = 'right' AND x < 1.5) GROUP BY 1")
+def q35(spark, d):
+    f = P.sided(spark, d)
+    e = V.effect(V.jacobian(f), P.SIZE).join(f.select("case_id", "x", "y", "z", "side"), ["case_id", "x", "y", "z"]).where("side <> 'bilateral'")
+    return V.support_audit(e, "e1", P.SIZE)
+
+
+@query("q36_strides", P.sql("vfield") + f"SELECT case_id, x // 2 AS x, y // 2 AS y, z // 2 AS z, {s6('u0', 'u0')}, n FROM vfield JOIN (SELECT case_id, count(*) AS n FROM (SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY x, y, z) - 1 AS k FROM vfield WHERE u0 > 0) WHERE k % 3 = 0 GROUP BY 1) USING (case_id) WHERE x % 2 = 0 AND y % 2 = 0 AND z % 2 = 0")
+def q36(spark, d):
+    f = P.vfield(spark, d)
+    n = V.strided_rows(f.where("u0 > 0"), 3).groupBy("case_id").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(V.strided(f, 2).join(n, "case_id").select("case_id", "x", "y", "z", "u0", "n"), "u0")
+
+
+# --- resampling -----------------------------------------------------------------------------------------------------
+
+_DRAW = "(('0x' || substr(md5(concat_ws(':', {k})), 1, 8))::BIGINT % {n})"
+_SUP = "SELECT s_nationkey AS g, s_suppkey AS k, s_acctbal::DOUBLE AS v, (s_suppkey * 37 % 101)::DOUBLE AS w FROM supplier"
+_BOOT = (
+    f"WITH t AS ({_SUP}), i AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM t), "
+    f"s AS (SELECT g, b, {_DRAW.format(k='1, b, i', n='n')} AS j FROM i, range(100) r(b)), q AS (SELECT s.g, s.b, i.v, i.w FROM s JOIN i ON s.g = i.g AND s.j = i.i) "
+)
+
+
+def _suppliers(spark, d):
+    return table(spark, d, "supplier").select(F.col("s_nationkey").alias("g"), F.col("s_suppkey").alias("k"), F.col("s_acctbal").cast("double").alias("v"), ((F.col("s_suppkey") * 37) % 101).cast("double").alias("w"))
+
+
+@query("q37_bootstrap_mean", _BOOT + f", m AS (SELECT g, b, avg(v) AS m FROM q GROUP BY 1, 2), c AS (SELECT g, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY 1) SELECT t.g, count(*) AS n, {s6('avg(v)', 'mean')}, {s6('any_value(lo)', 'ci025')}, {s6('any_value(hi)', 'ci975')} FROM t JOIN c ON t.g = c.g GROUP BY t.g")
+def q37(spark, d):
+    return rounded(resample.bootstrap_mean(_suppliers(spark, d), "v", ["g"], "k", 100), "mean", "ci025", "ci975")
+
+
+@query("q38_bootstrap_spearman", _BOOT + f", r AS (SELECT g, b, {_RANK.format(g='g, b', c='v')} AS rv, {_RANK.format(g='g, b', c='w')} AS rw FROM q), c AS (SELECT g, b, CASE WHEN stddev_pop(rv) > 1e-12 AND stddev_pop(rw) > 1e-12 THEN corr(rv, rw) END AS rho FROM r GROUP BY 1, 2) SELECT g, count(rho) AS defined, {s6('quantile_cont(rho, 0.025)', 'ci025')}, {s6('quantile_cont(rho, 0.975)', 'ci975')} FROM c GROUP BY 1")
+def q38(spark, d):
+    return rounded(resample.bootstrap_spearman(_suppliers(spark, d), "v", "w", ["g"], "k", 100), "ci025", "ci975")
+
+
+@query(
+    "q39_permutation",
+    f"WITH t AS ({_SUP}), i AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY k) - 1 AS i FROM t), p AS (SELECT g, b, v, row_number() OVER (PARTITION BY g, b ORDER BY md5(concat_ws(':', 1, b, i)), i) - 1 AS j FROM i, range(100) r(b)), "
+    "e AS (SELECT p.g, p.b, CASE WHEN stddev_pop(p.v) > 1e-12 AND stddev_pop(i.w) > 1e-12 THEN corr(p.v, i.w) END AS r FROM p JOIN i ON p.g = i.g AND p.j = i.i GROUP BY 1, 2), o AS (SELECT g, CASE WHEN stddev_pop(v) > 1e-12 AND stddev_pop(w) > 1e-12 THEN corr(v, w) END AS observed FROM t GROUP BY 1) "
+    f"SELECT e.g, {s6('any_value(observed)', 'observed')}, {s6('(1 + count(*) FILTER (WHERE abs(r) >= abs(observed) - 1e-12)) / 101.0', 'p_value')} FROM e JOIN o ON e.g = o.g GROUP BY 1",
+)
+def q39(spark, d):
+    return rounded(resample.permutation_test(_suppliers(spark, d), "v", "w", ["g"], "k", 100), "observed", "p_value")
+
+
+@query("q40_folds", "SELECT c_custkey, ntile(5) OVER (ORDER BY md5(concat_ws(':', 1, c_custkey)), c_custkey)::INT AS fold FROM customer")
+def q40(spark, d):
+    return resample.folds(table(spark, d, "customer").select("c_custkey"), "c_custkey", 5)
+
+
+# --- kernels --------------------------------------------------------------------------------------------------------
+
+_S = [("x", "x"), ("x", "y"), ("x", "z"), ("x", "c"), ("y", "y"), ("y", "z"), ("y", "c"), ("z", "z"), ("z", "c"), ("c", "c")]
+
+
+@query("q41_affine_equations", P.sql("sided") + "SELECT case_id, " + ", ".join(f"sum({'1' if a == 'c' else a}::DOUBLE * {'1' if b == 'c' else b}) AS s_{a}{b}" for a, b in _S) + ", " + ", ".join(s6(f"sum({'1' if a == 'c' else a}::DOUBLE * u{k})", f"t_{a}_u{k}") for a in "xyzc" for k in range(3)) + " FROM sided WHERE valid GROUP BY 1")
+def q41(spark, d):
+    got = V.affine_normal_equations(P.sided(spark, d).where("valid"), ("u0", "u1", "u2"))
+    return rounded(got, *[c for c in got.columns if c.startswith("t_")])
+
+
+def _fields(spark, d, scale: float = 1.0):
+    """(case_id, shape, field, valid) rows of the vector fields."""
+    f = P.sided(spark, d)
+    rows = f.groupBy("case_id").agg(F.array_sort(F.collect_list(F.struct("x", "y", "z", "u0", "u1", "u2", "valid"))).alias("v"))
+    return rows.select("case_id", F.array(*[F.lit(n) for n in P.SHAPE]).alias("shape"), F.flatten(F.transform("v", lambda r: F.array(r["u0"] * scale, r["u1"] * scale, r["u2"] * scale))).alias("field"), F.transform("v", lambda r: r["valid"].cast("int")).alias("valid"))
+
+
+@query("q41_robust_affine")
+def q41b(spark, d):
+    got = cases.affine_fits(_fields(spark, d), 1, 12)
+    return got.select("case_id", "points", r6("rmse").alias("rmse"), r6("inliers").alias("inliers"))
+
+
+_W = V.gaussian_weights(0.6)
+
+
+def _smooth_sql(value: str, axis: str) -> str:
+    across = ", ".join(a for a in "xyz" if a != axis)
+    w = f"OVER (PARTITION BY case_id, {across} ORDER BY {axis})"
+    return f"{value} * {_W[0]!r}" + "".join(f" + (coalesce(lag({value}, {k}) {w}, 0) + coalesce(lead({value}, {k}) {w}, 0)) * {v!r}" for k, v in enumerate(_W[1:], start=1))
+
+
+@query("q42_gaussian", P.sql("vfield") + f", a AS (SELECT case_id, x, y, z, {_smooth_sql('u0', 'x')} AS v FROM vfield), b AS (SELECT case_id, x, y, z, {_smooth_sql('v', 'y')} AS v FROM a), c AS (SELECT case_id, x, y, z, {_smooth_sql('v', 'z')} AS v FROM b) SELECT case_id, x, y, z, {s6('v', 'v')} FROM c")
+def q42(spark, d):
+    f = P.vfield(spark, d).select("case_id", "x", "y", "z", F.col("u0").alias("v"))
+    for a in V.AXES:
+        f = V.smooth_axis(f, "v", a, _W, "v")
+    return rounded(f, "v")
+
+
+_AT = "SELECT case_id, x, y, z, u1, x + u0 AS cx, y + u1 AS cy, z + u2 AS cz FROM vfield"
+
+
+def _coordinates(spark, d):
+    f = P.vfield(spark, d)
+    return f.select("case_id", "x", "y", "z", *[(F.col(a) + F.col(u)).alias(f"c{a}") for a, u in zip(V.AXES, ("u0", "u1", "u2"), strict=True)]), f
+
+
+@query(
+    "q43_sampling",
+    P.sql("vfield") + f", a AS ({_AT}), k AS (SELECT a.*, i, j, l, floor(cx)::INT + i AS gx, floor(cy)::INT + j AS gy, floor(cz)::INT + l AS gz FROM a, range(2) r(i), range(2) s(j), range(2) t(l)), "
+    "w AS (SELECT k.case_id, k.x, k.y, k.z, sum(CASE WHEN cx BETWEEN 0 AND 3 AND cy BETWEEN 0 AND 3 AND cz BETWEEN 0 AND 3 THEN coalesce(f.u1, 0) * (CASE WHEN i = 1 THEN cx - floor(cx) ELSE 1 - (cx - floor(cx)) END) * (CASE WHEN j = 1 THEN cy - floor(cy) ELSE 1 - (cy - floor(cy)) END) * (CASE WHEN l = 1 THEN cz - floor(cz) ELSE 1 - (cz - floor(cz)) END) ELSE 0 END) AS linear "
+    "FROM k LEFT JOIN vfield f ON f.case_id = k.case_id AND f.x = gx AND f.y = gy AND f.z = gz GROUP BY 1, 2, 3, 4) "
+    f"SELECT w.case_id, w.x, w.y, w.z, {s6('linear', 'linear')}, {s6('coalesce(f.u1, 0)', 'nearest')} FROM w JOIN a USING (case_id, x, y, z) LEFT JOIN vfield f ON f.case_id = a.case_id AND f.x = round_even(cx, 0) AND f.y = round_even(cy, 0) AND f.z = round_even(cz, 0)",
+)
+def q43(spark, d):
+    at, f = _coordinates(spark, d)
+    near = V.nearest_sample(at, f, ("cx", "cy", "cz"), "u1", "nearest").select("case_id", "x", "y", "z", "nearest")
+    lin = V.trilinear_sample(at, f, ("cx", "cy", "cz"), "u1", P.SHAPE, "linear").select("case_id", "x", "y", "z", "linear")
+    return rounded(lin.join(near, ["case_id", "x", "y", "z"]), "linear", "nearest")
+
+
+@query("q43_valid_map", P.sql("vfield") + f", a AS ({_AT}) SELECT a.case_id, count(*) FILTER (WHERE a.u1 > -0.2 AND cx BETWEEN 0 AND 3 AND cy BETWEEN 0 AND 3 AND cz BETWEEN 0 AND 3 AND f.u0 <= 0.1) AS n_valid FROM a LEFT JOIN vfield f ON f.case_id = a.case_id AND f.x = round_even(cx, 0) AND f.y = round_even(cy, 0) AND f.z = round_even(cz, 0) GROUP BY 1")
+def q43b(spark, d):
+    at, f = _coordinates(spark, d)
+    rows = at.join(f.select("case_id", "x", "y", "z", (F.col("u1") > -0.2).alias("target")), ["case_id", "x", "y", "z"])
+    got = V.valid_map(rows, f.where(F.col("u0") <= 0.1), P.SHAPE)
+    return got.groupBy("case_id").agg(F.count_if("valid").alias("n_valid"))
+
+
+@query("q44_flow_exponential")
+def q44(spark, d):
+    got = cases.flow_exp(_fields(spark, d, 0.5))
+    return got.select("case_id", F.size("field").alias("n"), F.round(F.array_max("field"), 4).alias("largest"))
+
+
+@query("q45_flow_logarithm")
+def q45(spark, d):
+    got = cases.flow_log(_fields(spark, d, 0.2))
+    return got.select("case_id", "iterations", F.round("relative_rmse", 4).alias("relative_rmse"), F.round("minimum_jacobian", 4).alias("minimum_jacobian"))
+
+
+_HODGE = K.HodgeConfig(stride=1, padding=2, taper=2.0, sigma=0.6, tolerance=0.05)
+
+
+@query("q46_hodge_features")
+def q46(spark, d):
+    got = cases.hodge(_fields(spark, d), _HODGE, isolate=True)
+    return got.select("case_id", "velocity_qc_pass", "velocity_log_iterations", "failure_reason", *[F.round(c, 4).alias(c) for c in ("curl_free_energy_fraction", "divergence_free_energy_fraction", "harmonic_energy_fraction", "total_rms_mm")])
+
+
+# --- validation, robustness, comparison -----------------------------------------------------------------------------
+
+_FOLDED = "WITH f AS (SELECT c_custkey AS k, c_acctbal::DOUBLE AS x, (c_custkey * 53 % 997)::DOUBLE + c_acctbal / 50 AS y, ntile(5) OVER (ORDER BY md5(concat_ws(':', 1, c_custkey)), c_custkey)::INT AS fold FROM customer)"
+
+
+def _folded(spark, d):
+    c = resample.folds(table(spark, d, "customer"), "c_custkey", 5)
+    return c.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").cast("double").alias("x"), (((F.col("c_custkey") * 53) % 997).cast("double") + F.col("c_acctbal") / 50).alias("y"), "fold")
+
+
+@query("q47_intercept_cv", _FOLDED + ", s AS (SELECT fold, sum(y) AS sy, count(*) AS n FROM f GROUP BY 1), t AS (SELECT fold, (sum(sy) OVER () - sy) / (sum(n) OVER () - n) AS p FROM s) SELECT f.fold, count(*) AS n, round(any_value(p), 6) + 0.0 AS predicted, round(avg(abs(y - p)), 6) + 0.0 AS mae FROM f JOIN t ON f.fold = t.fold GROUP BY 1")
+def q47(spark, d):
+    f = _folded(spark, d)
+    sums = f.groupBy("fold").agg(F.sum("y").alias("sy"), F.count(F.lit(1)).alias("n"))
+    total = sums.agg(F.sum("sy").alias("ty"), F.sum("n").alias("tn"))
+    train = sums.join(F.broadcast(total)).select("fold", ((F.col("ty") - F.col("sy")) / (F.col("tn") - F.col("n"))).alias("p"))  # one row of totals
+    return f.join(F.broadcast(train), "fold").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), r6(F.first("p")).alias("predicted"), r6(F.avg(F.abs(F.col("y") - F.col("p")))).alias("mae"))  # a row for each fold
+
+
+_ALPHAS = (0.01, 1.0, 100.0, 10000.0)
+
+
+@query(
+    "q48_single_ridge",
+    _FOLDED + ", h AS (SELECT o.fold, f.x, f.y FROM (SELECT DISTINCT fold FROM f) o JOIN f ON f.fold <> o.fold), m AS (SELECT fold, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, covar_pop(x, y) * count(*) / stddev_pop(x) AS sxy, count(*)::DOUBLE AS n FROM h GROUP BY 1), "
+    f"w AS (SELECT m.*, alpha, sxy / (n + alpha) AS b FROM m, (VALUES {', '.join(f'({a})' for a in _ALPHAS)}) v(alpha)) SELECT w.fold, alpha::DOUBLE AS alpha, round(any_value(b), 6) + 0.0 AS slope, round(avg(abs(y - my - b * (x - mx) / sx)), 6) + 0.0 AS mae FROM w JOIN f ON f.fold = w.fold GROUP BY 1, 2",
+)
+def q48(spark, d):
+    f = _folded(spark, d)
+    outer = F.explode(F.filter(F.array(*[F.lit(k) for k in range(1, 6)]), lambda k: k != F.col("fold"))).alias("fold")
+    m = f.select(outer, "x", "y").groupBy("fold").agg(F.avg("x").alias("mx"), F.stddev_pop("x").alias("sx"), F.avg("y").alias("my"), (F.covar_pop("x", "y") * F.count(F.lit(1)) / F.stddev_pop("x")).alias("sxy"), F.count(F.lit(1)).cast("double").alias("n"))
+    w = m.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in _ALPHAS]))).withColumn("b", F.col("sxy") / (F.col("n") + F.col("alpha")))
+    j = f.join(F.broadcast(w), "fold")  # folds times alphas rows
+    return j.groupBy("fold", "alpha").agg(r6(F.first("b")).alias("slope"), r6(F.avg(F.abs(F.col("y") - F.col("my") - F.col("b") * (F.col("x") - F.col("mx")) / F.col("sx")))).alias("mae"))
+
+
+_VARIANTS = "SELECT vec_id AS case_id, v.variant, embedding[1]::DOUBLE AS p, embedding[1]::DOUBLE * v.k + embedding[2] * 0.1 AS q, embedding[3]::DOUBLE AS y, vec_id % 17 <> 0 AS good FROM embeddings, (VALUES ('low', 0.8), ('high', 1.2)) v(variant, k)"
+
+
+@query(
+    "q49_variant_agreement",
+    f"WITH t AS ({_VARIANTS}), g AS (SELECT * FROM t WHERE good), r AS (SELECT variant, p, q, " + ", ".join(f"{_RANK.format(g='variant', c=c)} AS r{c}" for c in "pqy") + f" FROM g) SELECT variant, 'a' AS feature, count(*) AS n, {s6('corr(rp, rq)', 'rho_primary')}, {s6('corr(rq, ry)', 'rho_outcome')}, {s6('quantile_cont(abs(p - q), 0.5)', 'median_abs_difference')} FROM r GROUP BY 1",
+)
+def q49(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("case_id"), *[F.get("embedding", k).cast("double").alias(n) for k, n in enumerate(("hhd_a", "o", "y"))])
+    variants = e.withColumn("v", F.explode(F.array(F.struct(F.lit("low").alias("variant"), F.lit(0.8).alias("k")), F.struct(F.lit("high").alias("variant"), F.lit(1.2).alias("k")))))
+    # the third number is a float in the tables, so its product with 0.1 is taken in double
+    rows = variants.select("case_id", "v.variant", (F.col("hhd_a") * F.col("v.k") + F.col("o") * 0.1).alias("a"), (F.col("case_id") % 17 != 0).cast("string").alias("velocity_qc_pass"))
+    got = inference.variant_agreement(e, rows, ["a"], "y")
+    return rounded(got, "rho_primary", "rho_outcome", "median_abs_difference")
+
+
+@query("q50_pipeline_agreement", "WITH a AS (SELECT vec_id, embedding[1]::DOUBLE AS d1, embedding[2]::DOUBLE AS d2 FROM embeddings), t AS (SELECT 'd1' AS descriptor, a.d1 AS x, b.d1 AS y FROM a JOIN a b ON a.vec_id = b.vec_id + 1 UNION ALL SELECT 'd2', a.d2, b.d2 FROM a JOIN a b ON a.vec_id = b.vec_id + 1) " + _spearman_sql("t", "x", "y", "descriptor"))
+def q50(spark, d):
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("case_id"), *[F.get("embedding", k).cast("double").alias(f"d{k + 1}") for k in range(2)])
+    shifted = e.withColumn("case_id", F.col("case_id") + 1)
+    return rounded(inference.descriptor_agreement(e, shifted, ["d1", "d2"], replicates=2).select("descriptor", "n", "rho"), "rho")
+
+
+@query("q51_paired_pipelines", P.sql("pred_long") + ", e AS (SELECT model, subject, avg(abs(observed - predicted * 0.9) - abs(observed - predicted)) AS d FROM pred_long GROUP BY 1, 2) SELECT model, count(*) AS n, round(avg(d), 4) + 0.0 AS mean FROM e GROUP BY 1")
+def q51(spark, d):
+    p = P.pred_long(spark, d).withColumnRenamed("o_orderkey", "case_id").withColumn("outer_fold", F.lit(1))
+    a = p.withColumn("absolute_error", F.abs(F.col("observed") - F.col("predicted")))
+    b = p.withColumn("predicted", F.col("predicted") * 0.9).withColumn("absolute_error", F.abs(F.col("observed") - F.col("predicted")))
+    return inference.paired_pipelines(a, b, replicates=2).select("model", "n", (F.round("mean", 4) + 0.0).alias("mean"))
+
+
+@query("q52_set_operations", "SELECT 'both' AS what, (SELECT count(*) FROM (SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders)) AS n UNION ALL SELECT 'left', (SELECT count(*) FROM (SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders)) UNION ALL SELECT 'right', (SELECT count(*) FROM (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)) UNION ALL SELECT 'selected', (SELECT count(*) FROM customer WHERE c_custkey IN (SELECT item_id + 1 FROM benchmark))")
+def q52(spark, d):
+    c, o = table(spark, d, "customer").select(F.col("c_custkey").alias("k")), table(spark, d, "orders").select(F.col("o_custkey").alias("k"))
+    picked = C.select_exact(c, table(spark, d, "benchmark").select((F.col("item_id") + 1).alias("k")), "k")
+    parts = {"both": c.intersect(o), "left": c.subtract(o), "right": o.subtract(c), "selected": picked}
+    out = None
+    for name, df in parts.items():
+        row = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@query("q53_redaction", "SELECT page_id, string_split(url, '/')[-1] AS url_basename, string_split('/data/' || page_id || '/map.nii.gz', '/')[-1] AS map_basename, page_id * 2 AS kept FROM pages")
+def q53(spark, d):
+    p = table(spark, d, "pages").select("page_id", F.col("url").alias("url_path"), F.concat(F.lit("/data/"), "page_id", F.lit("/map.nii.gz")).alias("map"), (F.col("page_id") * 2).alias("kept"))
+    return report.redact_columns(p, ["map"])
+
+
+@query("q54_flow_counts", "WITH f AS (SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE role = 'user') AS users, min(turn) AS first_turn FROM conversations GROUP BY 1) SELECT count(*) AS conversations, count(*) FILTER (WHERE turns >= 4) AS long_ones, sum(users)::BIGINT AS user_turns, max(turns) AS most FROM f")
+def q54(spark, d):
+    f = table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "user").alias("users"))
+    return f.agg(F.count(F.lit(1)).alias("conversations"), F.count_if(F.col("turns") >= 4).alias("long_ones"), F.sum("users").alias("user_turns"), F.max("turns").alias("most"))
+
+
+@query("q55_first_appearance", "SELECT role, min(conv_id * 1000 + turn) AS first FROM conversations GROUP BY 1")
+def q55(spark, d):
+    return table(spark, d, "conversations").groupBy("role").agg(F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("first"))
+
+
+@query("q56_argmax_slice", P.sql("lesion") + "SELECT case_id, arg_max(z, n * 10 - z) AS z, max(n) AS n FROM (SELECT case_id, z, count(*) AS n FROM lesion GROUP BY 1, 2) GROUP BY 1")
+def q56(spark, d):
+    n = P.lesion(P.vfield(spark, d)).groupBy("case_id", "z").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("case_id").agg(F.max_by(F.col("z").cast("long"), F.col("n") * 10 - F.col("z")).alias("z"), F.max("n").alias("n"))
+
+
+@query("q57_cycle_error", P.sql("vfield") + f", k AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY x, y, z) - 1 AS k FROM vfield) SELECT case_id, count(*) AS n, {s6('sqrt(avg(u0 * u0 + u1 * u1 + u2 * u2))', 'rmse')}, {s6('max(sqrt(u0 * u0 + u1 * u1 + u2 * u2))', 'largest')} FROM k WHERE k % 5 = 0 GROUP BY 1")
+def q57(spark, d):
+    square = F.col("u0") ** 2 + F.col("u1") ** 2 + F.col("u2") ** 2
+    return V.strided_rows(P.vfield(spark, d), 5).groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), r6(F.sqrt(F.avg(square))).alias("rmse"), r6(F.max(F.sqrt(square))).alias("largest"))
+
+
+@query("q58_table_text", r"SELECT c_custkey, replace(replace(replace(c_name, '#', '\#'), '_', '\_'), '&', '\&') AS name, CASE WHEN c_custkey % 1000 < 1 THEN '<0.001' ELSE printf('%.3f', (c_custkey % 1000) / 1000.0) END AS p, printf('%.2f', c_acctbal) AS bal FROM customer")
+def q58(spark, d):
+    p = (F.col("c_custkey") % 1000) / 1000.0
+    return table(spark, d, "customer").select("c_custkey", X.tex_escape(F.col("c_name")).alias("name"), X.p_text(p).alias("p"), F.format_string("%.2f", "c_acctbal").alias("bal"))
+
+
+@query("q59_nested_cv")
+def q59(spark, d):
+    from fieldcohort.operators import cv
+
+    # one repeat over customers with orders: standardised account balance, order count and lowest order against mean order
+    m = P.clinical(spark, d).join(table(spark, d, "customer").select(F.col("c_custkey").alias("case_id"), "c_acctbal"), "case_id").withColumn("row", F.row_number().over(Window.orderBy("case_id")) - 1)
+    models = {"intercept_only": (), "balance": ("c_acctbal",), "orders": ("n_orders", "low", "c_acctbal")}
+    tasks = cv.nested_cv(m, models, cv.CvConfig(outcome="outcome", repeats=1, alphas=(0.1, 1.0, 10.0, 100.0)))
+    long = cv.predictions(tasks, m, "outcome")
+    got = stats.error_metrics(long, "observed", "predicted", ["repeat", "model"])
+    return got.select("repeat", "model", "n", *[F.round(c, 3).alias(c) for c in ("mae", "rmse", "r2", "pearson_r")])
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voxels, mirrored effect, distance shells, summaries of every case."""
+    return QUERIES["q31_shell_summaries"](spark, sf_dir)
