@@ -118,3 +118,103 @@ def affine_fits(df: DataFrame, subsample: int = 1, minimum: int = 4) -> DataFram
         return {"case_id": row["case_id"], "coefficients": fit.coefficients.ravel().tolist(), "rmse": fit.rmse, "points": fit.points, "inliers": fit.inliers}
 
     return map_cases(small_batches(df), run, "case_id long, coefficients array<double>, rmse double, points int, inliers double")
+
+
+# --- extraction ------------------------------------------------------------------------------------------------------
+
+#: Distance shells in mm. Fixed values.
+SHELLS = ((3.0, 5.0), (5.0, 10.0), (10.0, 20.0), (20.0, 40.0))
+NEAR = (3.0, 20.0)
+
+
+def finite_summary(values: np.ndarray, prefix: str) -> dict:
+    """Count, mean and percentiles of the finite values; none: count 0 and NaN."""
+    v = np.asarray(values, dtype=np.float64)
+    v = v[np.isfinite(v)]
+    names = ("mean", "median", "p25", "p75", "p95")
+    stats = [v.mean(), *np.percentile(v, [50, 25, 75, 95])] if len(v) else [np.nan] * 5
+    return {f"{prefix}_n_voxels": len(v)} | {f"{prefix}_{n}": float(s) for n, s in zip(names, stats, strict=True)}
+
+
+def case_metrics(lesion: np.ndarray, target: np.ndarray, norm: K.Normalized, effect: np.ndarray, logj: np.ndarray, valid: np.ndarray, spacing: tuple[float, float, float], sensitivity: np.ndarray | None = None, minimum_laterality: float = 0.8, minimum_near_mm3: float = 1000.0) -> dict:
+    """The flat record of a case: laterality, volumes, fit, summaries by shell, clipped integrals, ratio and check."""
+    side, index, left, right = K.laterality(lesion)
+    ml = float(np.prod(spacing)) / 1000.0
+    away, normal = K.distance_and_normals(lesion, spacing)
+    analysis = valid & K.hemisphere(lesion.shape, side)
+    maps = {"magnitude_mm": np.linalg.norm(effect.astype(np.float64), axis=-1), "radial_mm": (effect.astype(np.float64) * normal).sum(axis=-1), "log_jacobian_asymmetry": logj.astype(np.float64)}
+    out = {
+        "effect_field_support": "lesional_hemisphere_only",
+        "contralesional_effect_value": 0.0,
+        "lesion_side": side,
+        "lesion_laterality_index": index,
+        "laterality_supported": bool(index >= minimum_laterality),
+        "lesion_left_voxels_atlas": left,
+        "lesion_right_voxels_atlas": right,
+        "lesion_volume_atlas_ml": float(lesion.sum() * ml),
+        "inpainting_target_volume_atlas_ml": float(target.sum() * ml),
+        "valid_analysis_volume_ml": float(analysis.sum() * ml),
+        "contralateral_affine_fit_rmse_mm": norm.rmse_mm,
+        "contralateral_affine_fit_points": norm.fit.points,
+        "contralateral_affine_fit_inlier_fraction": norm.fit.inliers,
+        "normalized_field_folding_fraction": norm.folding,
+    }
+    regions = {"ipsilateral": analysis} | {f"shell_{a:g}_{b:g}mm".replace(".", "p"): analysis & (away >= a) & (away < b) for a, b in SHELLS}
+    near = analysis & (away >= NEAR[0]) & (away < NEAR[1])
+    for name, region in (regions | {"mass_effect_3_20mm": near}).items():
+        for m, values in maps.items():
+            out |= finite_summary(values[region], f"{name}_{m}")
+        if name.startswith("shell"):
+            r = maps["radial_mm"][region]
+            out |= {f"{name}_outward_fraction": float((r > 0).mean()) if len(r) else np.nan, f"{name}_inward_fraction": float((r < 0).mean()) if len(r) else np.nan}
+    magnitude, radial, logs = (maps[m][near] for m in maps)
+    gain = lambda v: float(np.maximum(v, 0).sum() * ml)
+    out |= {
+        "mass_effect_3_20mm_mean_absolute_radial_mm": float(np.abs(radial).mean()) if near.any() else np.nan,
+        "mass_effect_3_20mm_outward_integral_ml_mm": gain(radial),
+        "mass_effect_3_20mm_inward_integral_ml_mm": gain(-radial),
+        "mass_effect_3_20mm_magnitude_integral_ml_mm": float(magnitude.sum() * ml),
+        "mass_effect_3_20mm_logjac_expansion_integral_ml": gain(logs),
+        "mass_effect_3_20mm_logjac_compression_integral_ml": gain(-logs),
+    }
+    out |= finite_summary(sensitivity[near], "registration_sensitivity_3_20mm_mm") if sensitivity is not None else {"registration_sensitivity_3_20mm_mm_n_voxels": 0}
+    signal, noise = out["mass_effect_3_20mm_magnitude_mm_median"], out.get("registration_sensitivity_3_20mm_mm_median", np.nan)
+    out["mass_effect_to_registration_sensitivity_ratio"] = float(signal / noise) if np.isfinite(signal) and noise > 0 else np.nan
+    least = int(np.ceil(minimum_near_mm3 / np.prod(spacing)))
+    out["deformation_qc_pass"] = bool(out["laterality_supported"] and norm.folding <= 0.05 and int(near.sum()) >= least)
+    return out
+
+
+def extract_case(at: np.ndarray, source_mask: np.ndarray, target_mask: np.ndarray, lesion: np.ndarray, target: np.ndarray, spacing: tuple[float, float, float], source_spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), raw: np.ndarray | None = None, smoothing_mm: float = 2.0, subsample: int = 8, minimum_points: int = 10_000, **limits) -> dict:
+    """From a coordinate map and masks on the atlas grid to the case's record; ``raw`` is a second map whose effect gives the
+    registration sensitivity, zero off the common support."""
+    lesion, target = lesion.astype(bool), target.astype(bool) | lesion.astype(bool)
+    side = K.laterality(lesion)[0]
+
+    def field_of(coordinates: np.ndarray) -> tuple:
+        valid = K.valid_coordinates(coordinates, source_mask, target_mask)
+        norm = K.normalize(coordinates, valid, side, spacing, source_spacing, smoothing_mm, subsample, minimum_points)
+        return norm, *K.effect(norm.displacement, norm.valid, norm.jacobian, target, side)
+
+    norm, effect, logj, keep = field_of(at)
+    sensitivity = None
+    if raw is not None:
+        _, other, _, other_keep = field_of(raw)
+        sensitivity = np.where(keep & other_keep, np.linalg.norm(effect - other, axis=-1), 0.0)
+    return case_metrics(lesion, target, norm, effect, logj, keep, spacing, sensitivity, **limits)
+
+
+def extract_cases(df: DataFrame, spacing: tuple[float, float, float], **how) -> DataFrame:
+    """Records of (case_id, shape, field as coordinates, source_shape, source_mask, mask, lesion, target) rows, as JSON text
+    beside the columns that filters need."""
+    import json
+
+    from fieldcohort.sources.report import strict_json
+
+    def run(row: dict) -> dict:
+        source = np.asarray(row["source_mask"]).reshape([int(n) for n in row["source_shape"]]).astype(bool)
+        masks = [field(row, n, 0).astype(bool) for n in ("mask", "lesion", "target")]
+        got = extract_case(field(row).astype(np.float64), source, *masks, spacing, **how)
+        return {"case_id": row["case_id"], "lesion_side": got["lesion_side"], "lesion_laterality_index": got["lesion_laterality_index"], "deformation_qc_pass": got["deformation_qc_pass"], "metrics": json.dumps(strict_json(got))}
+
+    return map_cases(small_batches(df), run, "case_id long, lesion_side string, lesion_laterality_index double, deformation_qc_pass boolean, metrics string")
