@@ -25,7 +25,7 @@ from fieldcohort.llm.common import arrow_limits, slices
 from fieldcohort.llm.hashing import mix
 
 #: Entries of each of the memo's two generations of encoded pre-tokens; when the young one is full, it replaces the old.
-MEMO = 250_000
+MEMO = 150_000
 #: Longer pre-tokens are not kept in the memo.
 MEMO_LENGTH = 64
 
@@ -216,5 +216,7 @@ def encode_documents(df: DataFrame, path: str, pattern: str, keep_ids: bool = Fa
             if keep_ids:
                 out["ids"] = pa.array([x.astype(np.int64) for x in cuts], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_pydict(out)
+        # the worker lives on after the task; what it has memorised need not
+        tool.memo, tool.old = {}, {}
 
     return df.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)

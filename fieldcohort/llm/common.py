@@ -66,6 +66,19 @@ def within(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
+#: Ids up to which a table of ids is broadcast; a long each, some 32 MB as a hash table.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``ids`` (id); rows without doc_id stay.
+
+    Up to BROADCAST_IDS ids are broadcast, so that the texts stay where they are; beyond that both sides are shuffled."""
+    gone = staged(ids.where("id is not null").select(F.col("id").alias("__gone")).distinct(), tag)
+    gone = F.broadcast(gone) if within(gone, BROADCAST_IDS) else gone
+    return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+
+
 def crc32_fold(column, folds: int):
     """crc32 of the value as text, modulo ``folds``."""
     return F.crc32(column.cast("string").cast("binary")) % folds

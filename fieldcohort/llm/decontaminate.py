@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldcohort.llm import hashing
-from fieldcohort.llm.common import arrow_limits, slices
+from fieldcohort.llm.common import arrow_limits, slices, without
 
 ITEMS, PASSAGE, SKETCH, LATENT = 2000, 64, 20, 16
 COSINE, MEMBERS, LCS, SURE, ANSWER = 0.75, 0.6, 0.7, 0.9, 0.6
@@ -328,5 +328,4 @@ def _search(docs: DataFrame, items: list[Item]) -> DataFrame:
 
 def reject_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` whose doc_id holds no benchmark item; same columns.  Rows without doc_id are kept."""
-    leaks = find_leaks(docs, benchmark, **how).where("doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(leaks, docs["doc_id"] == leaks["__id"], "left_anti")
+    return without(docs, find_leaks(docs, benchmark, **how).select(F.col("doc_id").alias("id")), "leak-ids")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldcohort.llm import hashing
-from fieldcohort.llm.common import arrow_limits, slices, staged
+from fieldcohort.llm.common import arrow_limits, slices, staged, without
 from fieldcohort.llm.quality import training_rows
 
 #: Labelled rows that the chain is fitted on, at most.
@@ -224,5 +224,4 @@ def score_documents(docs: DataFrame, labels: DataFrame, chain=CHAIN, train_rows:
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, **how) -> DataFrame:
     """The rows of ``docs`` whose doc_id no toxic row has; same columns.  Rows without doc_id are kept."""
-    toxic = score_documents(docs, labels, **how).where("toxic and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(toxic, docs["doc_id"] == toxic["__id"], "left_anti")
+    return without(docs, score_documents(docs, labels, **how).where("toxic").select(F.col("doc_id").alias("id")), "toxic-ids")
