@@ -164,7 +164,8 @@ def digest(df: DataFrame) -> DataFrame:
 def redact(df: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """Put ``mark`` in the place of every span (overlapping ones together) in ``text``; same columns, ``n_chars``, where
     present, counts anew for changed texts.  Null texts stay null, texts without spans stay as they are."""
-    got = scan(df)
+    # the row travels as one column, so that no name of the scan meets one of the table's
+    got = scan(df.select(F.struct(*df.columns).alias("__row"), "text"))
     merged = F.aggregate(
         F.col("found"),
         F.filter(F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"))), lambda x: F.lit(False)),
@@ -177,8 +178,14 @@ def redact(df: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         starts = F.concat(F.transform(spans, lambda x: x["s"]), F.array(F.char_length("text")))
         return F.array_join(F.zip_with(ends, starts, lambda a, b: F.substring(F.col("text"), a + 1, b - a)), mark)
 
-    changed = F.size("found") > 0
-    new = {"text": F.when(changed, let(merged, cut)).otherwise(F.col("text"))}
-    if "n_chars" in df.columns:
-        new["n_chars"] = F.when(changed, F.char_length(new["text"]).cast(df.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return got.withColumns(new).select(*df.columns)
+    masked = got.select("__row", F.when(F.size("found") > 0, let(merged, cut)).alias("__masked"))
+
+    def column(name: str) -> Column:
+        old = F.col(f"__row.`{name}`")
+        if name == "text":
+            return F.coalesce("__masked", old).alias(name)
+        if name == "n_chars":
+            return F.coalesce(F.char_length("__masked").cast(df.schema[name].dataType), old).alias(name)
+        return old.alias(name)
+
+    return masked.select(*[column(c) for c in df.columns])
