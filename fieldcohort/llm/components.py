@@ -23,7 +23,7 @@ def components(edges: DataFrame, before: DataFrame | None = None) -> DataFrame:
         edges = edges.join(left, "a", "left").join(right, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     edges = edges.where(F.col("a") != F.col("b"))
     both = staged(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = staged(both.groupBy(F.col("a").alias("id")).agg(F.least(F.first("a"), F.min("b")).alias("label")), "labels")
+    labels = both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("label"))
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         less = labels.join(near, "id").select("id", F.col("label").alias("was"), F.least("label", "near").alias("label"))

@@ -7,9 +7,9 @@ as for independent hashes.  Most texts need two rounds.
 
 Texts with equal shingle sets are one node.  Bands of the sketch give buckets; with BANDS bands of ROWS coordinates a pair
 of similarity 0.8 shares a bucket but with probability (1 - 0.8^4)^32 < 5e-8.  Only components matter, so not all pairs of a
-bucket are looked at: first each node meets the best connected node of its buckets (its hub), then the hubs of its other
-buckets that it is not yet joined to.  In buckets that still span several components, the nodes outside the bucket's largest
-component then meet all others that they are not joined to: as pairs where these are at most PAIRS, else block by block inside
+bucket are looked at: first each node meets the best connected node of its buckets (its hub).  In buckets that then still
+span several components, the nodes outside the bucket's largest component meet all others that they are not joined to:
+as pairs where these are at most PAIRS, else block by block inside
 tasks that return links only.  After that every pair that shares a bucket is in one component or has been verified; no bucket
 is cut or left out.
 
@@ -28,15 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldcohort.llm import hashing
-from fieldcohort.llm.common import arrow_limits, slices, staged, within
+from fieldcohort.llm.common import BROADCAST_IDS, arrow_limits, slices, staged, within, without
 from fieldcohort.llm.components import components
 
 BANDS, ROWS, WORDS, PERCENT = 32, 4, 5, 80
 #: Pairs of a bucket up to which they are formed as rows, and shingles of a bucket in a block of a larger one.
 PAIRS, BLOCK = 256, 1 << 18
 AGREE = 0.55
-#: Ids up to which the table of ids to verify is broadcast (a long each).
-BROADCAST_IDS = 1_000_000
 U = np.uint64
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
@@ -186,24 +184,19 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     nodes = some.join(same.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi")
     keyed = nodes.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first <> last").select("key", "n")
-    shared = staged(keyed.join(shared, "key"), "buckets")
-    # a node's weight: the members of its buckets, all told
-    weights = shared.groupBy("id").agg(F.sum("n").alias("w"))
-    members = staged(shared.join(weights, "id").select("key", "id", "w"), "members")
-    hubs = staged(members.groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("m"))).alias("hub")), "hubs")
-    met = staged(members.join(hubs, "key").select("id", F.col("hub.w").alias("w"), (-F.col("hub.m")).alias("hub")).where("id <> hub").distinct(), "met")
+    members = staged(keyed.join(shared, "key"), "buckets")
+    # a node's weight: the members of its buckets, all told; a bucket's hub: its node of the largest weight
+    weights = members.groupBy("id").agg(F.sum("n").alias("w"))
+    hubs = members.join(weights, "id").groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("m"))).alias("hub"))
     wanted = weights.select(F.col("id").alias("doc_id"))
     near = F.broadcast(wanted) if within(wanted, BROADCAST_IDS) else wanted
     sets = staged(shingle_sets(docs.join(near, "doc_id", "left_semi"), words), "sets")
-    lows = staged(nodes.join(wanted, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "low", F.col("n_shingles").alias("n")), "lows")
-
-    # first the hub of the largest weight
-    pairs = met.groupBy(F.col("id").alias("a")).agg(F.max(F.struct("w", (-F.col("hub")).alias("m"))).alias("best")).select("a", (-F.col("best.m")).alias("b"))
-    labels = components(staged(copies.unionByName(verified(pairs, lows, sets, percent)), "edges"))
-    # then the other hubs that a node is not joined to
-    apart = _labelled(_labelled(met.select(F.col("id").alias("a"), F.col("hub").alias("b")), labels, "a", "la"), labels, "b", "lb").where("la <> lb").select("a", "b")
-    found = staged(verified(apart, lows, sets, percent), "edges")
-    labels = labels if found.isEmpty() else components(found, labels)
+    lows = staged(some.join(near, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "low", F.col("n_shingles").alias("n")), "lows")
+
+    # first each node and the heaviest hub of its buckets
+    met = members.join(hubs, "key").select("id", F.col("hub.w").alias("w"), F.col("hub.m").alias("m")).where("id <> -m")
+    pairs = met.groupBy(F.col("id").alias("a")).agg(F.max(F.struct("w", "m")).alias("best")).select("a", (-F.col("best.m")).alias("b"))
+    labels = components(copies.unionByName(verified(pairs, lows, sets, percent)))
     # then all that share a bucket and are not joined
     labelled = _labelled(members.select("key", "id"), labels, "id", "label")
     parts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
@@ -233,5 +226,4 @@ def reject_copies(docs: DataFrame, **how) -> DataFrame:
     """One document of each component of near duplicates, that with the smallest doc_id; same columns.
 
     Of rows that repeat a kept doc_id all stay; rows without doc_id are kept."""
-    copies = near_duplicates(docs, **how).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(copies, docs["doc_id"] == copies["__id"], "left_anti")
+    return without(docs, near_duplicates(docs, **how).where("not kept").select(F.col("doc_id").alias("id")), "copy-ids")
