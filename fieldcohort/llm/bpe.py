@@ -21,11 +21,11 @@ import regex
 from pandas.util import hash_array
 from pyspark.sql import DataFrame
 
-from fieldcohort.llm.common import arrow_limits, slices
+from fieldcohort.llm.common import arrow_limits, release, slices
 from fieldcohort.llm.hashing import mix
 
 #: Entries of each of the memo's two generations of encoded pre-tokens; when the young one is full, it replaces the old.
-MEMO = 150_000
+MEMO = 100_000
 #: Longer pre-tokens are not kept in the memo.
 MEMO_LENGTH = 64
 
@@ -218,5 +218,6 @@ def encode_documents(df: DataFrame, path: str, pattern: str, keep_ids: bool = Fa
             yield pa.RecordBatch.from_pydict(out)
         # the worker lives on after the task; what it has memorised need not
         tool.memo, tool.old = {}, {}
+        release()
 
     return df.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, schema)

@@ -156,6 +156,8 @@ def fit(docs: DataFrame, vocabulary: np.ndarray, latent: int = LATENT, sketch: i
 def _nystroem(z: np.ndarray, idf: np.ndarray, test: np.ndarray, latent: int) -> np.ndarray:
     """Right singular vectors of the TF-IDF matrix from its sketch, over their singular values, times idf."""
     # A = T diag(idf); with the test matrix W / idf the sketch A'A (W / idf) is idf * T'T W
+    if not z.any():
+        return np.zeros((len(idf), latent), dtype=np.float32)
     test, y = test / idf[:, None], z * idf[:, None]
     shift = 1e-9 * max(np.linalg.norm(y), 1e-300)
     y = y + shift * test

@@ -9,6 +9,9 @@ _BASE, _POWERS = 0x9E3779B97F4A7C15 | 1, {}
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.Generator(np.random.PCG64(20240229)).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
 
+#: Powers are computed for texts of this many bytes at least.
+SHORTEST = 5 << 18
+
 #: ASCII white space: blank and 9 to 13.
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -33,7 +36,7 @@ def seed(k: int) -> np.uint64:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
-        n = max(n, 1 << 21)
+        n = max(n, SHORTEST)
         with np.errstate(over="ignore"):
             for name, base in (("up", _BASE), ("down", _INVERSE)):
                 x = np.full(n, U(base))

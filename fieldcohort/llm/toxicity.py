@@ -104,7 +104,7 @@ def fit_linear(x: Sparse, y: np.ndarray, penalty: float = PENALTY, steps: int =
     free[-1] = True
     v = np.random.Generator(np.random.PCG64(1)).standard_normal(size)
     for _ in range(12):
-        v = x.back(x.dot(v / np.linalg.norm(v)))
+        v = x.back(x.dot(v / max(np.linalg.norm(v), 1e-300)))
     rate = 1 / max(0.25 * np.linalg.norm(v) * 1.1 / max(1, x.n), 1e-9)
     w = z = np.zeros(size)
     momentum = 1.0
