@@ -17,6 +17,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldcohort.llm.common import staged
+
 BITS, SHARDS, SALTS = 4, 16, 256
 
 
@@ -92,6 +94,8 @@ def shard(df: DataFrame, shards: int = SHARDS, bits: int = BITS, salts: int = SA
         hilbert_index(where, bits).alias("curve"),
         F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1))), F.lit(salts)).cast("int").alias("salt"),
     )
+    # rows are narrow and are read three times; the texts are read once
+    rows = staged(rows, "shard-rows")
     parts = rows.groupBy("curve", "salt").agg(F.count(F.lit(1)).alias("n"))
     cells = parts.groupBy("curve").agg(F.sum("n").alias("m"))
     before = Window.rowsBetween(Window.unboundedPreceding, -1)
