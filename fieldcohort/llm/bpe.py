@@ -13,6 +13,7 @@ import functools
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,7 @@ from fieldcohort.llm.common import arrow_limits, release, slices
 from fieldcohort.llm.hashing import mix
 
 #: Entries of each of the memo's two generations of encoded pre-tokens; when the young one is full, it replaces the old.
-MEMO = 100_000
+MEMO = 200_000
 #: Longer pre-tokens are not kept in the memo.
 MEMO_LENGTH = 64
 
@@ -147,15 +148,16 @@ class Codec:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text's ids end."""
         found = [self.split(t) for t in texts]
-        flat = np.array([p for f in found for p in f], dtype=object)
         ends = np.cumsum([len(f) for f in found], dtype=np.int64)
+        flat = np.empty(int(ends[-1]) if len(ends) else 0, dtype=object)
+        flat[:] = list(chain.from_iterable(found))
         if not len(flat):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(texts), dtype=np.int64)
         codes, distinct = pd.factorize(flat)
         whole = self.hash.find(distinct)
-        sizes, parts = np.ones(len(distinct), dtype=np.int64), [None] * len(distinct)
-        for k in np.flatnonzero(whole < 0).tolist():
-            token = distinct[k]
+        sizes, parts = np.ones(len(distinct), dtype=np.int64), []
+        missed = np.flatnonzero(whole < 0)
+        for token in distinct[missed].tolist():
             got = self.memo.get(token)
             if got is None:
                 got = self.old.get(token) or tuple(self.merge(token.encode("utf-8")))
@@ -163,9 +165,14 @@ class Codec:
                     if len(self.memo) >= MEMO:
                         self.old, self.memo = self.memo, {}
                     self.memo[token] = got
-            parts[k], sizes[k] = got, len(got)
-        pool = np.fromiter((x for w, p in zip(whole.tolist(), parts, strict=True) for x in ((w,) if p is None else p)), dtype=np.uint32, count=int(sizes.sum()))
+            parts.append(got)
+        sizes[missed] = lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
         first = np.cumsum(sizes) - sizes
+        # ids of the distinct pre-tokens, one after the other
+        pool = np.empty(int(sizes.sum()), dtype=np.uint32)
+        pool[first] = np.maximum(whole, 0)
+        merged = np.fromiter(chain.from_iterable(parts), dtype=np.uint32, count=int(lengths.sum()))
+        pool[np.arange(len(merged)) + np.repeat(first[missed] - (np.cumsum(lengths) - lengths), lengths)] = merged
         each = sizes[codes]
         to = np.cumsum(each)
         ids = pool[np.arange(int(to[-1])) + np.repeat(first[codes] - (to - each), each)]
