@@ -6,6 +6,8 @@
    on a matrix of terms by a few dozen columns.
 2. Retrieve: windows of about an item's length over every document, and the items' own windows, go to the latent space;
    windows whose cosine with an item's reaches COSINE are candidates, all of them.
+   What the projection blurs is not lost: LCS lets an item lose few of its words, so some of its rarest ones have to stand
+   close together wherever step 3 can agree, and each such region is a candidate as well.
 3. Verify: the longest common subsequence of the item and the region around the window must cover LCS of the item's
    words; under SURE, the item's answer (its last sentence) must be found there as well.
 
@@ -28,7 +30,7 @@ from fieldcohort.llm.common import arrow_limits, slices, without
 
 ITEMS, PASSAGE, SKETCH, LATENT = 2000, 64, 20, 16
 COSINE, MEMBERS, LCS, SURE, ANSWER = 0.75, 0.6, 0.7, 0.9, 0.6
-#: Window lengths in words; an item belongs to the longest that is at most 1.2 times its own length.
+#: Window lengths in words; an item belongs to the longest that is not longer than itself.
 SCALES = (8, 16, 32, 64)
 UNIT = 4
 #: Terms in a block of the summed matrices, and how many sums a task takes in at once.
@@ -51,6 +53,9 @@ class Item:
     scale: int
     masks: dict = field(default_factory=dict)
     answer_masks: dict = field(default_factory=dict)
+    #: Words of its rarest places, and how many of them any stretch that passes step 3 has.
+    rare: np.ndarray | None = None
+    least: int = 1
 
 
 def prepare(rows: list[tuple[int, str]]) -> list[Item]:
@@ -64,7 +69,7 @@ def prepare(rows: list[tuple[int, str]]) -> list[Item]:
         answer, _ = split([sentences[-1].encode()]) if sentences else (words, None)
         if len(answer) < 3:
             answer = words[-5:]
-        scale = max([s for s in SCALES if s <= 1.2 * len(words)], default=SCALES[0])
+        scale = max([s for s in SCALES if s <= len(words)], default=SCALES[0])
         items.append(Item(item_id, words, answer, scale, _masks(words), _masks(answer)))
     return items
 
@@ -86,6 +91,26 @@ def common_subsequence(masks: dict[int, int], size: int, words: list[int]) -> in
     return size - state.bit_count()
 
 
+def wide(size: int) -> int:
+    """Words of the stretch in which LCS of an item has to lie."""
+    return size + size // 2 + 1
+
+
+def choose_rare(items: list[Item], vocabulary: np.ndarray, share: np.ndarray) -> None:
+    """Set ``rare`` and ``least`` of each item.  An item of n words may lose n - LCS * n places, so of any m of its places
+    m less that many are found; any m is right, and the shares of the terms tell which one leaves the fewest regions."""
+    for x in items:
+        size, term = len(x.words), _terms(vocabulary, x.words)
+        lost = size - int(np.ceil(LCS * size - 1e-9))
+        term = term[np.lexsort((term, share[term]))]
+        new = np.diff(term, prepend=-1) != 0
+        hits = np.cumsum(np.where(new, share[term], 0.0))[lost:]  # expected at one word, for m = lost + 1, ...
+        need, mean = np.arange(1, size - lost + 1), np.maximum(hits * wide(size), 1e-12)
+        tail = np.where(need > mean, np.exp(np.minimum(need - mean + need * np.log(mean / need), 0)), 1.0)
+        best = int(np.argmin(hits * (1 + 50 * tail)))
+        x.rare, x.least = np.unique(vocabulary[term[: lost + 1 + best]]), best + 1
+
+
 def _terms(vocabulary: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     """Index of each word among the benchmark's terms, -1 for others."""
     at = np.searchsorted(vocabulary, hashed)
@@ -93,8 +118,9 @@ def _terms(vocabulary: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == hashed, at, -1)
 
 
-def fit(docs: DataFrame, vocabulary: np.ndarray, latent: int = LATENT, sketch: int = SKETCH) -> np.ndarray:
-    """The matrix (terms by latent dimensions) that takes a passage's term counts to latent space, from all documents."""
+def fit(docs: DataFrame, vocabulary: np.ndarray, latent: int = LATENT, sketch: int = SKETCH) -> tuple[np.ndarray, np.ndarray]:
+    """The matrix (terms by latent dimensions) that takes a passage's term counts to latent space, from all documents, and
+    about which share of their words each term is."""
     size = len(vocabulary)
     test = np.random.Generator(np.random.PCG64(7)).standard_normal((size, sketch)).astype(np.float32)
     schema = "block int, part int, passages long, df binary, z binary"
@@ -146,11 +172,11 @@ def fit(docs: DataFrame, vocabulary: np.ndarray, latent: int = LATENT, sketch: i
         parts = -(-parts // FAN_IN)
     got = sorted(summed.collect(), key=lambda r: r["block"])  # terms x sketch, whatever the documents
     if not got:
-        return np.zeros((size, latent), dtype=np.float32)
+        return np.zeros((size, latent), dtype=np.float32), np.zeros(size)
     df = np.concatenate([np.frombuffer(r["df"]) for r in got])
     z = np.concatenate([np.frombuffer(r["z"]).reshape(-1, sketch) for r in got])
     idf = np.log((1 + got[0]["passages"]) / (1 + df)) + 1
-    return _nystroem(z, idf, test.astype(np.float64), latent)
+    return _nystroem(z, idf, test.astype(np.float64), latent), df / max(1, got[0]["passages"] * PASSAGE)
 
 
 def _nystroem(z: np.ndarray, idf: np.ndarray, test: np.ndarray, latent: int) -> np.ndarray:
@@ -203,6 +229,13 @@ class Finder:
             self.member[k, _terms(vocabulary, item.words)] = True
         self.member[:, -1] = False
         self.lengths = np.array([len(x.words) for x in items])
+        # for each term, the items that have it among their rare words
+        rare = [_terms(vocabulary, x.rare) for x in items]
+        terms, owners = np.concatenate(rare), np.repeat(np.arange(len(items)), [len(t) for t in rare])
+        self.rare_count = np.bincount(terms, minlength=len(vocabulary) + 1)
+        self.rare_from = np.cumsum(self.rare_count) - self.rare_count
+        self.rare_items = owners[np.argsort(terms, kind="stable")]
+        self.least, self.wide = np.array([x.least for x in items]), np.array([wide(len(x.words)) for x in items])
         self.shortest = {s: min(len(x.words) for x in items if x.scale == s) for s in self.queries}
 
     def find(self, texts: list[bytes]) -> list[tuple[int, int, float, float, float, int]]:
@@ -243,8 +276,45 @@ class Finder:
                 at, q = np.nonzero(close >= COSINE)
                 if len(at):
                     self._check(found, hashed, term, bounds, text, at + low, owners[q], close[at, q], w_from, w_to, scale)
+        for t, k, begin, end in self._regions(term, owner, bounds):
+            if found.get((t, k), (0, 0))[1] >= SURE:
+                continue
+            got = self._best(self.items[k], hashed[begin:end].tolist())
+            if got and got[:2] > found.get((t, k), (0, 0, 0))[1:3]:
+                start = begin + got[2]
+                found[t, k] = (self._cosine(k, term[start : min(end, start + self.items[k].scale)]), *got[:2], int(start - bounds[t]))
         return [(t, k, *x) for (t, k), x in sorted(found.items())]
 
+    def _cosine(self, k: int, term: np.ndarray) -> float:
+        """The largest cosine of a window (its terms) with one of an item's windows."""
+        vectors, owners = self.queries[self.items[k].scale]
+        v = self.project[term].sum(axis=0)
+        return float((vectors[owners == k] @ (v / max(np.linalg.norm(v), 1e-30))).max())
+
+    def _regions(self, term: np.ndarray, owner: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(text index, item index, first word, end) of the regions that hold every stretch with enough rare words of an item."""
+        count = self.rare_count[term]
+        at = np.flatnonzero(count)
+        count = count[at]
+        where = np.repeat(at, count)
+        if not len(where):
+            return []
+        item = self.rare_items[np.repeat(self.rare_from[term[at]] - (np.cumsum(count) - count), count) + np.arange(len(where))]
+        order = np.argsort(item, kind="stable")
+        where, item = where[order], item[order]
+        last = np.arange(len(item)) + self.least[item] - 1
+        whole = last < len(item)
+        last = np.minimum(last, len(item) - 1)
+        good = whole & (item[last] == item) & (where[last] - where < self.wide[item]) & (owner[where[last]] == owner[where])
+        if not good.any():
+            return []
+        first, last, item = where[good], where[last[good]], item[good]
+        text, reach = owner[first], self.wide[item]
+        begin, end = np.maximum(bounds[text], last - reach + 1), np.minimum(bounds[text + 1], first + reach)
+        # regions of an item that meet are one
+        apart = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (begin[1:] > end[:-1])])
+        return list(zip(text[apart].tolist(), item[apart].tolist(), begin[apart].tolist(), end[np.r_[apart[1:], len(end)] - 1].tolist(), strict=True))
+
     def _check(self, found, hashed, term, bounds, text, at, item, cosine, w_from, w_to, scale) -> None:
         # a window inside a copy holds few words that the item has not
         flat, padded = self.member.ravel(), np.where(term < 0, self.member.shape[1] - 1, term)
@@ -265,24 +335,24 @@ class Finder:
                 # the whole item fits in, wherever in it the window lies
                 begin, end = max(bounds[key[0]], w_from[window] - size), min(bounds[key[0] + 1], w_to[window] + size)
                 got = self._best(x, hashed[begin:end].tolist())
-                if got and got > found.get(key, (0, 0, 0))[1:3]:
-                    found[key] = (float(c[row]), *got, int(w_from[window] - bounds[key[0]]))
+                if got and got[:2] > found.get(key, (0, 0, 0))[1:3]:
+                    found[key] = (float(c[row]), *got[:2], int(w_from[window] - bounds[key[0]]))
 
     @staticmethod
-    def _best(x: Item, region: list[int]) -> tuple[float, float] | None:
-        """The shares of item and answer in the best stretch of a region, one and a half items long."""
-        size, wide = len(x.words), len(x.words) + len(x.words) // 2 + 1
+    def _best(x: Item, region: list[int]) -> tuple[float, float, int] | None:
+        """The shares of item and answer in the best stretch of a region, one and a half items long, and its first word."""
+        size, most = len(x.words), wide(len(x.words))
         if common_subsequence(x.masks, size, region) < LCS * size:
             return None
-        best = (0.0, 0.0)
-        for k in range(0, max(1, len(region) - wide + max(1, size // 8)), max(1, size // 8)):
-            part = region[k : k + wide]
+        best = (0.0, 0.0, 0)
+        for k in range(0, max(1, len(region) - most + max(1, size // 8)), max(1, size // 8)):
+            part = region[k : k + most]
             share = common_subsequence(x.masks, size, part) / size
             if share < LCS or share <= best[0]:
                 continue
             answer = common_subsequence(x.answer_masks, len(x.answer), part) / len(x.answer)
             if share >= SURE or answer >= ANSWER:
-                best = (share, answer)
+                best = (share, answer, k)
         return best if best[0] else None
 
 
@@ -311,7 +381,9 @@ def _search(docs: DataFrame, items: list[Item]) -> DataFrame:
     if not items:
         return docs.sparkSession.createDataFrame([], schema)
     vocabulary = np.unique(np.concatenate([x.words for x in items]))
-    model = docs.sparkSession.sparkContext.broadcast((items, vocabulary, fit(docs, vocabulary)))
+    project, share = fit(docs, vocabulary)
+    choose_rare(items, vocabulary, share)
+    model = docs.sparkSession.sparkContext.broadcast((items, vocabulary, project))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = Finder(*model.value)

@@ -15,6 +15,22 @@ def test_every_exact_passage_is_found(spark, sf):
     assert len(exact) > 20 and exact <= got and len(got - exact) <= 1
 
 
+def test_no_exact_copy_is_lost(spark):
+    # every item of the larger benchmark, 20 times, at any place of many host texts
+    path = "/root/testdata/sf0.1"
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{path}/benchmark.parquet").collect()}
+    hosts = [r.text.split() for r in spark.read.parquet(f"{path}/documents.parquet").where("length(text) > 200").limit(1500).collect()]
+    rnd, docs, planted = random.Random(3), [], set()
+    for k in range(4000):
+        i, host = k % len(items), rnd.choice(hosts)[: rnd.randrange(30, 400)]
+        cut = rnd.randrange(len(host) + 1)
+        docs.append((k, " ".join([*host[:cut], items[i], *host[cut:]])))
+        planted.add((k, i))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.item_id) for r in D.find_leaks(df, spark.read.parquet(f"{path}/benchmark.parquet")).collect()}
+    assert not planted - got
+
+
 def corpus(seed=1):
     rnd = random.Random(seed)
     words = ["".join(rnd.choice("abcdefghijklmno") for _ in range(rnd.randrange(3, 9))) for _ in range(3000)]
