@@ -7,7 +7,8 @@
 2. Retrieve: windows of about an item's length over every document, and the items' own windows, go to the latent space;
    windows whose cosine with an item's reaches COSINE are candidates, all of them.
    What the projection blurs is not lost: LCS lets an item lose few of its words, so some of its rarest ones have to stand
-   close together wherever step 3 can agree, and each such region is a candidate as well.
+   close together wherever step 3 can agree, and each such region is a candidate as well.  For the same reason only texts
+   with such a region are projected: step 3 would reject all candidates of the others.
 3. Verify: the longest common subsequence of the item and the region around the window must cover LCS of the item's
    words; under SURE, the item's answer (its last sentence) must be found there as well.
 
@@ -28,8 +29,10 @@ from pyspark.sql import functions as F
 from fieldcohort.llm import hashing
 from fieldcohort.llm.common import arrow_limits, slices, without
 
-ITEMS, PASSAGE, SKETCH, LATENT = 2000, 64, 20, 16
-COSINE, MEMBERS, LCS, SURE, ANSWER = 0.75, 0.6, 0.7, 0.9, 0.6
+ITEMS, PASSAGE, SKETCH, LATENT = 2000, 64, 40, 32
+COSINE, LCS, SURE, ANSWER = 0.65, 0.7, 0.9, 0.6
+#: Share of a window's words that are an item's: LCS of it over a stretch of one and a half items, less what the window's place costs.
+MEMBERS = 0.9 * LCS / 1.5
 #: Window lengths in words; an item belongs to the longest that is not longer than itself.
 SCALES = (8, 16, 32, 64)
 UNIT = 4
@@ -244,7 +247,13 @@ class Finder:
         if not len(hashed):
             return []
         term = _terms(self.vocabulary, hashed)
-        n = len(texts)
+        regions = self._regions(term, owner, np.searchsorted(owner, np.arange(len(texts) + 1)))
+        if not regions:
+            return []
+        live = np.unique([t for t, *_ in regions])
+        kept = np.isin(owner, live)
+        hashed, term, owner = hashed[kept], term[kept], np.searchsorted(live, owner[kept])
+        n = len(live)
         bounds = np.searchsorted(owner, np.arange(n + 1))
         sizes = np.diff(bounds)
         units = -(-sizes // UNIT)
@@ -283,7 +292,7 @@ class Finder:
             if got and got[:2] > found.get((t, k), (0, 0, 0))[1:3]:
                 start = begin + got[2]
                 found[t, k] = (self._cosine(k, term[start : min(end, start + self.items[k].scale)]), *got[:2], int(start - bounds[t]))
-        return [(t, k, *x) for (t, k), x in sorted(found.items())]
+        return [(int(live[t]), k, *x) for (t, k), x in sorted(found.items())]
 
     def _cosine(self, k: int, term: np.ndarray) -> float:
         """The largest cosine of a window (its terms) with one of an item's windows."""
@@ -313,7 +322,16 @@ class Finder:
         begin, end = np.maximum(bounds[text], last - reach + 1), np.minimum(bounds[text + 1], first + reach)
         # regions of an item that meet are one
         apart = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (begin[1:] > end[:-1])])
-        return list(zip(text[apart].tolist(), item[apart].tolist(), begin[apart].tolist(), end[np.r_[apart[1:], len(end)] - 1].tolist(), strict=True))
+        text, item, begin, end = text[apart], item[apart], begin[apart], end[np.r_[apart[1:], len(end)] - 1]
+        # of those, the ones with a stretch that has LCS of the item's words in any order
+        size = end - begin
+        stop = np.cumsum(size)
+        word = np.arange(stop[-1]) + np.repeat(begin - (stop - size), size)
+        hit = np.concatenate(([0], np.cumsum(self.member[np.repeat(item, size), term[word]])))
+        ahead = np.minimum(np.arange(stop[-1]) + np.repeat(self.wide[item], size), np.repeat(stop, size))
+        held = np.maximum.reduceat(hit[ahead] - hit[:-1], stop - size)
+        good = held >= LCS * self.lengths[item] - 1e-9
+        return list(zip(text[good].tolist(), item[good].tolist(), begin[good].tolist(), end[good].tolist(), strict=True))
 
     def _check(self, found, hashed, term, bounds, text, at, item, cosine, w_from, w_to, scale) -> None:
         # a window inside a copy holds few words that the item has not
@@ -345,14 +363,21 @@ class Finder:
         if common_subsequence(x.masks, size, region) < LCS * size:
             return None
         best = (0.0, 0.0, 0)
-        for k in range(0, max(1, len(region) - most + max(1, size // 8)), max(1, size // 8)):
-            part = region[k : k + most]
-            share = common_subsequence(x.masks, size, part) / size
-            if share < LCS or share <= best[0]:
-                continue
-            answer = common_subsequence(x.answer_masks, len(x.answer), part) / len(x.answer)
-            if share >= SURE or answer >= ANSWER:
-                best = (share, answer, k)
+        # every stretch counts; one that begins with a word of the item has all that those before it have
+        hit = [w in x.masks for w in region]
+        held = sum(hit[:most])
+        for k, own in enumerate(hit):
+            share = min(held, size) / size
+            if own and share >= LCS and share > best[0]:
+                part = region[k : k + most]
+                share = common_subsequence(x.masks, size, part) / size
+                if share >= LCS and share > best[0]:
+                    answer = common_subsequence(x.answer_masks, len(x.answer), part) / len(x.answer)
+                    if share >= SURE or answer >= ANSWER:
+                        best = (share, answer, k)
+            elif best[0] >= SURE and k > best[2] + most:
+                break  # a sure copy; what follows is another one
+            held += (hit[k + most] if k + most < len(hit) else 0) - own
         return best if best[0] else None
 
 

@@ -59,6 +59,40 @@ def test_paraphrases(spark):
     assert kept.columns == df.columns and kept.where("doc_id < 200").count() == 200 and kept.count() <= 201
 
 
+def accepted(text, words):
+    """Whether any stretch of one and a half items has LCS of the item, and its answer, by trying all of them."""
+    (x,) = D.prepare([(0, text)])
+    doc, size = D.split([words.encode()])[0].tolist(), len(x.words)
+    for k in range(len(doc)):
+        part = doc[k : k + size + size // 2 + 1]
+        if sum(w in x.masks for w in part) >= D.LCS * size:
+            share = D.common_subsequence(x.masks, size, part) / size
+            if share >= D.SURE or (share >= D.LCS and D.common_subsequence(x.answer_masks, len(x.answer), part) / len(x.answer) >= D.ANSWER):
+                return True
+    return False
+
+
+def test_paraphrases_that_all_stretches_accept(spark):
+    rnd, words, text, items, docs = corpus(4)
+    planted = set()
+    for k in range(1200):
+        i, x = items[k % len(items)]
+        body, answer = x.split(". ")
+        body, most = body.split(" "), (3 * len(x.split()) // 2 + 1) - 6
+        for _ in range(len(x.split()) * (1 + k % 3) // 10):  # 10, 20 or 30 % are replaced or come in
+            at = rnd.randrange(1, len(body))
+            body[at : at + rnd.randrange(2)] = [rnd.choice(words)]
+        while k % 4 == 0 and len(body) < most:  # these fill the stretch
+            body.insert(rnd.randrange(1, len(body)), rnd.choice(words))
+        doc = f"{text(rnd.randrange(0, 200))} {' '.join(body)} {answer} {text(rnd.randrange(0, 200))}"
+        if accepted(x, doc):
+            planted.add((1000 + k, i))
+        docs.append((1000 + k, doc))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in D.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(planted) > 1000 and not planted - got, (len(planted), len(planted - got))
+
+
 def test_cases(spark):
     item = "the quick brown fox jumps over the lazy dog while nine clever zebras watch in silence. forty two"
     b = spark.createDataFrame([(1, item), (2, None), (3, ""), (None, item), (4, "short one")], "item_id long, text string")
