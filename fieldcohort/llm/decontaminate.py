@@ -12,7 +12,8 @@
 3. Verify: the longest common subsequence of the item and the region around the window must cover LCS of the item's
    words; under SURE, the item's answer (its last sentence) must be found there as well.
 
-The benchmark is a stated query set: it is taken in blocks of ITEMS items, each of which is a pass over the documents.
+The benchmark is a stated query set: terms and latent space are those of all items, the search takes blocks of ITEMS items,
+each of which is a pass over the documents.  What is found of an item does not depend on the blocks.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,7 @@ MEMBERS = 0.9 * LCS / 1.5
 #: Window lengths in words; an item belongs to the longest that is not longer than itself.
 SCALES = (8, 16, 32, 64)
 UNIT = 4
+FOUND = "doc_id long, item_id long, cosine double, lcs double, answer double, word long"
 #: Terms in a block of the summed matrices, and how many sums a task takes in at once.
 BLOCK, FAN_IN = 512, 64
 
@@ -227,10 +230,13 @@ class Finder:
         # a row of zeros for words that are no terms (index -1)
         self.project = np.vstack([project, np.zeros((1, project.shape[1]), dtype=np.float32)])
         self.queries = _query_windows(items, vocabulary, project)
-        self.member = np.zeros((len(items), len(vocabulary) + 1), dtype=bool)
+        # members by the block's own terms; the last column stands for all other words
+        own = np.unique(np.concatenate([x.words for x in items]))
+        self.own = np.full(len(vocabulary) + 1, len(own))
+        self.own[_terms(vocabulary, own)] = np.arange(len(own))
+        self.member = np.zeros((len(items), len(own) + 1), dtype=bool)
         for k, item in enumerate(items):
-            self.member[k, _terms(vocabulary, item.words)] = True
-        self.member[:, -1] = False
+            self.member[k, _terms(own, item.words)] = True
         self.lengths = np.array([len(x.words) for x in items])
         # for each term, the items that have it among their rare words
         rare = [_terms(vocabulary, x.rare) for x in items]
@@ -327,7 +333,7 @@ class Finder:
         size = end - begin
         stop = np.cumsum(size)
         word = np.arange(stop[-1]) + np.repeat(begin - (stop - size), size)
-        hit = np.concatenate(([0], np.cumsum(self.member[np.repeat(item, size), term[word]])))
+        hit = np.concatenate(([0], np.cumsum(self.member[np.repeat(item, size), self.own[term[word]]])))
         ahead = np.minimum(np.arange(stop[-1]) + np.repeat(self.wide[item], size), np.repeat(stop, size))
         held = np.maximum.reduceat(hit[ahead] - hit[:-1], stop - size)
         good = held >= LCS * self.lengths[item] - 1e-9
@@ -335,7 +341,7 @@ class Finder:
 
     def _check(self, found, hashed, term, bounds, text, at, item, cosine, w_from, w_to, scale) -> None:
         # a window inside a copy holds few words that the item has not
-        flat, padded = self.member.ravel(), np.where(term < 0, self.member.shape[1] - 1, term)
+        flat, padded = self.member.ravel(), self.own[term]
         for low in range(0, len(at), 65536):
             a, i, c = at[low : low + 65536], item[low : low + 65536], cosine[low : low + 65536]
             place = w_from[a][:, None] + np.arange(scale)
@@ -392,26 +398,29 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     benchmark = benchmark.selectExpr("cast(item_id as long) item_id", "text")
     blocks = max(1, -(-benchmark.count() // items_at_once))
+    parts = [benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else benchmark for b in range(blocks)]
+    vocabulary = np.zeros(0, dtype=np.uint64)
+    for part in parts:
+        vocabulary = np.union1d(vocabulary, split([(r["text"] or "").encode() for r in part.select("text").collect()])[0])
+    if not len(vocabulary):
+        return docs.sparkSession.createDataFrame([], FOUND)
+    project, share = fit(docs, vocabulary)
+    space = docs.sparkSession.sparkContext.broadcast((vocabulary, project))
     out = None
-    for b in range(blocks):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else benchmark
+    for part in parts:
         items = prepare([(r["item_id"], r["text"]) for r in part.collect()])  # one block of the stated query set
-        got = _search(docs, items)
-        out = got if out is None else out.unionByName(got)
+        if items:
+            choose_rare(items, vocabulary, share)
+            got = _search(docs, items, space)
+            out = got if out is None else out.unionByName(got)
     return out
 
 
-def _search(docs: DataFrame, items: list[Item]) -> DataFrame:
-    schema = "doc_id long, item_id long, cosine double, lcs double, answer double, word long"
-    if not items:
-        return docs.sparkSession.createDataFrame([], schema)
-    vocabulary = np.unique(np.concatenate([x.words for x in items]))
-    project, share = fit(docs, vocabulary)
-    choose_rare(items, vocabulary, share)
-    model = docs.sparkSession.sparkContext.broadcast((items, vocabulary, project))
+def _search(docs: DataFrame, items: list[Item], space: Broadcast) -> DataFrame:
+    block = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = Finder(*model.value)
+        tool = Finder(block.value, *space.value)
         for batch in slices(batches, "text"):
             hits = tool.find([(t or "").encode() for t in batch.column("text").to_pylist()])
             ids = batch.column("doc_id")
@@ -422,7 +431,7 @@ def _search(docs: DataFrame, items: list[Item]) -> DataFrame:
                 names=["doc_id", "item_id", "cosine", "lcs", "answer", "word"],
             )
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, FOUND)
 
 
 def reject_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

@@ -59,6 +59,19 @@ def test_paraphrases(spark):
     assert kept.columns == df.columns and kept.where("doc_id < 200").count() == 200 and kept.count() <= 201
 
 
+def test_blocks_change_nothing(spark):
+    rnd, words, text, items, docs = corpus(7)
+    for k in range(300):
+        w = items[k % 30][1].split(" ")
+        for _ in range(len(w) // 4):
+            w[rnd.randrange(len(w) - 6)] = rnd.choice(words)
+        docs.append((1000 + k, f"{text(rnd.randrange(0, 100))} {' '.join(w)} {text(rnd.randrange(0, 100))}"))
+    b, df = spark.createDataFrame([*items, (99, None), (98, "")], "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    rows = lambda n: sorted((r.doc_id, r.item_id, round(r.cosine, 4), r.lcs, r.answer, r.word) for r in D.find_leaks(df, b, items_at_once=n).collect())
+    whole = rows(100)
+    assert len(whole) > 200 and rows(1) == whole and rows(13) == whole
+
+
 def accepted(text, words):
     """Whether any stretch of one and a half items has LCS of the item, and its answer, by trying all of them."""
     (x,) = D.prepare([(0, text)])
