@@ -6,7 +6,9 @@ ids, hex strings and the entropy candidates are all looked for inside those runs
 Entropy: for each character class a candidate is a maximal run of its characters, at least one window long.  The window
 moves one character at a time; the counts of its characters and the sum of c * log2(c) are updated for the character
 that leaves and the one that enters.  Windows at or over the class's threshold are joined into spans where they overlap.
-A candidate that an allow-list pattern is found in (placeholders, alphabets, plain words) is passed over.
+Allow-list patterns of whole candidates (plain words) pass a candidate over; those found anywhere in it (placeholders,
+alphabets, repeats) pass over the windows that overlap what they match, and a window beginning or ending up to REACH characters from
+the word of a placeholder.
 """
 
 from __future__ import annotations
@@ -27,9 +29,14 @@ RUN = r"((?<![A-Za-z0-9+/=_-])[A-Za-z0-9+/=_-]{16,})"
 CLASSES = {
     "hex": ("0123456789abcdef", 24, 3.0),
     "caps": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 20, 3.6),
+    "mixed": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 20, 3.7),
     "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-", 32, 4.2),
 }
+#: What each window of a class has to hold as well, so that joined words are no candidates.
+HOLDS = {"mixed": r"^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9].*[A-Za-z])"}
 ALLOWED = (r"^[a-z]+$", r"^[A-Z]?[a-z_-]+$", r"(?i)example", r"(?i)x{6,}", r"0123456789", r"(?i)abcdefghij", r"(.)\1{7,}", r"^[-=_+/]+$")
+#: Allow-list patterns that speak for what stands next to them, and how far.
+NEXT_TO, REACH = (r"(?i)example",), 32
 #: Separates marked matches from the rest; where a text holds it, it is read as MARK2, which no pattern matches either.
 MARK, MARK2, BLOCK = "\x01", "\x02", 128
 
@@ -75,8 +82,9 @@ def inside(runs: Column, pattern: str, least: int, test: str) -> Column:
     return F.flatten(F.transform(F.filter(runs, lambda r: r["t"].rlike(test)), lambda r: F.transform(matches(r["t"], pattern, least), lambda x: F.struct((r["s"] + x["s"]).alias("s"), (r["s"] + x["e"]).alias("e"), x["t"].alias("t")))))
 
 
-def hot_windows(run: Column, alphabet: str, width: int, least: float) -> Column:
-    """The joined windows of ``run`` (a string over ``alphabet``) with an entropy of ``least`` bits or more, as array of (s, e)."""
+def hot_windows(run: Column, alphabet: str, width: int, least: float, passes: Callable[[Column], Column] = lambda start: F.lit(True)) -> Column:
+    """The joined windows of ``run`` (a string over ``alphabet``) with an entropy of ``least`` bits or more, as array of (s, e);
+    ``passes`` tells from a window's start whether it counts."""
     logs = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(width + 2)])
     # entropy >= least exactly if the sum of c * log2(c) is at most this
     most = width * (math.log2(width) - least) + 1e-9
@@ -99,7 +107,7 @@ def hot_windows(run: Column, alphabet: str, width: int, least: float) -> Column:
                 joined = (F.size(a["spans"]) > 0) & (F.try_element_at(a["spans"], F.lit(-1))["e"] >= start)
                 grown = F.concat(F.slice(a["spans"], F.lit(1), F.size(a["spans"]) - 1), F.array(F.struct(last["s"].alias("s"), (i + 1).alias("e"))))
                 added = F.concat(a["spans"], F.array(F.struct(start.alias("s"), (i + 1).alias("e"))))
-                spans = F.when((i < width - 1) | (g > most), a["spans"]).when(joined, grown).otherwise(added)
+                spans = F.when((i < width - 1) | (g > most) | ~passes(start), a["spans"]).when(joined, grown).otherwise(added)
                 return F.struct(counts.alias("counts"), g.alias("g"), spans.alias("spans"))
 
             return let(a["g"] + gain, placed)
@@ -110,8 +118,29 @@ def hot_windows(run: Column, alphabet: str, width: int, least: float) -> Column:
     return let(codes, fold)
 
 
-def _shifted(alphabet: str, width: int, least: float) -> Callable[[Column], Column]:
-    return lambda x: F.transform(hot_windows(x["t"], alphabet, width, least), lambda y: F.struct((x["s"] + y["s"]).alias("s"), (x["s"] + y["e"]).alias("e")))
+def _shifted(alphabet: str, width: int, least: float, found: tuple, holds: str | None) -> Callable[[Column], Column]:
+    """Hot windows of a run placed in the text, but for those that meet what the patterns ``found`` match."""
+
+    def of(x: Column) -> Column:
+        def spans(barred: Column) -> Column:
+            def passes(start: Column) -> Column:
+                free = ~F.exists(barred, lambda b: (b["s"] < start + width) & (b["e"] > start))
+                return free & F.substring(x["t"], start + 1, F.lit(width)).rlike(holds) if holds else free
+
+            return F.transform(hot_windows(x["t"], alphabet, width, least, passes), lambda y: F.struct((x["s"] + y["s"]).alias("s"), (x["s"] + y["e"]).alias("e")))
+
+        def reached(patterns: tuple, reach: int) -> Column:
+            return F.transform(matches(x["t"], f"({_any(patterns)})"), lambda m: F.struct((m["s"] - reach).alias("s"), (m["e"] + reach).alias("e")))
+
+        near, only = tuple(p for p in found if p in NEXT_TO), tuple(p for p in found if p not in NEXT_TO)
+        each = [reached(p, r) for p, r in ((near, REACH), (only, 0)) if p]
+        return let(F.concat(*each), spans) if each else spans(F.filter(F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"))), lambda b: F.lit(False)))
+
+    return of
+
+
+def _any(patterns: tuple) -> str:
+    return "|".join(f"(?:{a})" if "\\1" not in a else a.replace("(.)", "(?<rep>.)").replace("\\1", "\\k<rep>") for a in patterns)
 
 
 def _kind(k: int) -> Callable[[Column], Column]:
@@ -121,12 +150,15 @@ def _kind(k: int) -> Callable[[Column], Column]:
 def entropy_spans(runs: Column, classes: dict = CLASSES, allowed: tuple = ALLOWED) -> Column:
     """Spans (s, e) of all classes' hot windows within the runs; equal spans of two classes count once."""
     found = []
-    allow = "|".join(f"(?:{a})" if "\\1" not in a else a.replace("(.)", "(?<rep>.)").replace("\\1", "\\k<rep>") for a in allowed)
-    for alphabet, width, least in classes.values():
+    whole = tuple(a for a in allowed if a.startswith("^") and a.endswith("$"))
+    parts = tuple(a for a in allowed if a not in whole)
+    for name, (alphabet, width, least) in classes.items():
         chars = "".join("\\" + c if c in "-=+/_" else c for c in alphabet)
         pattern = f"([{chars}]{{{width},}})"
-        kept = F.filter(inside(runs, pattern, width, pattern), lambda x: ~x["t"].rlike(allow))
-        found.append(F.flatten(F.transform(kept, _shifted(alphabet, width, least))))
+        kept = inside(runs, pattern, width, pattern)
+        if whole:
+            kept = F.filter(kept, lambda x: ~x["t"].rlike(_any(whole)))
+        found.append(F.flatten(F.transform(kept, _shifted(alphabet, width, least, parts, HOLDS.get(name)))))
     return F.array_distinct(F.concat(*found))
 
 

@@ -84,6 +84,21 @@ def test_allow_list(spark):
     assert [r.n_entropy > 0 for r in sorted(secrets.digest(df).collect())] == [True, False, False, False, False]
 
 
+def test_allowed_parts_and_short_tokens(spark):
+    short = "k9Zt3QmB7xLw2VrN8pHd4J"
+    texts = [
+        f"/srv/example/of/a/folder/with/some/more/names/in/it/{KEY}",  # far from the word
+        f"{KEY}AAAAAAAA{KEY}", f"{KEY}0123456789{KEY}",  # around what is allowed
+        f"see {short} here", f"a/{short}/b",  # under a window of the base64 class
+        "SomeVeryLongClassNameOfJavaCode and TheQuickBrownFoxJumps1", "AAAAAAAA" * 6, f"EXAMPLE{short}",
+    ]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r for r in secrets.digest(df).collect()}
+    assert [got[k].n_entropy > 0 for k in range(len(texts))] == [True, True, True, True, True, False, False, False]
+    masked = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    assert not any(w in masked[k] for k in range(5) for w in (KEY, short, KEY[-20:]))
+
+
 def test_redact(spark):
     texts = [None, "", "no secret", f"é token = {KEY} end", f"{KEY}{KEY} and deadbeefdeadbeef", " ".join(["secret=abcdefghijkl"] * 3)]
     df = spark.createDataFrame([(k, t, len(t) if t is not None else None, 7) for k, t in enumerate(texts)], "doc_id long, text string, n_chars long, found int")
