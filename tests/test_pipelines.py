@@ -47,6 +47,14 @@ def test_model_run(spark, inputs, tmp_path):
     assert pipelines.cohort_summary(tables["design"], ["wab_aq"], ["me_lesion_side"]).count() == 7
 
 
+def test_report_has_a_macro_for_every_model(spark, tmp_path):
+    names = [f"model_{chr(97 + k // 11)}{chr(97 + k % 11)}" for k in range(121)]
+    summary = spark.createDataFrame([(n, 1.0, 0.5, 1.5, 0.2) for n in names], "model string, mae_mean double, mae_p025 double, mae_p975 double, r2_mean double")
+    pipelines.write_report({"model_summary": summary}, str(tmp_path))
+    text = (tmp_path / "macros.tex").read_text()
+    assert all("MaeModel" + n[6:].capitalize() in text for n in names)
+
+
 def test_cli(spark, inputs, tmp_path):
     from fieldcohort import cli
 
