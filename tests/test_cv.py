@@ -57,3 +57,10 @@ def test_settings_and_empty_features(spark):
         cv.CvConfig().check(4)
     with pytest.raises(ValueError, match="no value"):
         cv.Preprocess(np.full((3, 1), np.nan))
+
+
+def test_registered_query_has_all_repeats(spark, sf):
+    from fieldcohort.plans import catalogue
+
+    rows = catalogue.queries()["q59_nested_cv"](spark, sf).collect()
+    assert {r.repeat for r in rows} == set(range(1, cv.CvConfig().repeats + 1)) and len(rows) == 60
