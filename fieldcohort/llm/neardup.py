@@ -7,11 +7,12 @@ as for independent hashes.  Most texts need two rounds.
 
 Texts with equal shingle sets are one node.  Bands of the sketch give buckets; with BANDS bands of ROWS coordinates a pair
 of similarity 0.8 shares a bucket but with probability (1 - 0.8^4)^32 < 5e-8.  Only components matter, so not all pairs of a
-bucket are looked at: first each node meets the best connected node of its buckets (its hub).  In buckets that then still
-span several components, the nodes outside the bucket's largest component meet all others that they are not joined to:
-as pairs where these are at most PAIRS, else block by block inside
-tasks that return links only.  After that every pair that shares a bucket is in one component or has been verified; no bucket
-is cut or left out.
+bucket are looked at: first each node meets the best connected node of its buckets (its hub).  Where a bucket then still
+spans several components, the nodes outside its largest component meet all others that they are not joined to: as pairs
+where these are at most PAIRS.  The members of larger buckets meet by their rarest shingles instead (``prefixes``), which
+keeps every pair of the wanted similarity and none of most texts that merely share a common line; such a group of more
+than PAIRS pairs is compared block by block inside tasks that return links only.  After that every pair that shares a
+bucket is in one component or has been verified; no bucket is cut or left out.
 
 Verification: pairs whose sketches agree in under AGREE of their coordinates are dropped (for a pair of similarity 0.8 or more
 that has a probability under 2e-9 by Chernoff's bound); the others are compared on the full sets.
@@ -32,8 +33,10 @@ from fieldcohort.llm.common import BROADCAST_IDS, arrow_limits, slices, staged,
 from fieldcohort.llm.components import components
 
 BANDS, ROWS, WORDS, PERCENT = 32, 4, 5, 80
-#: Pairs of a bucket up to which they are formed as rows, and shingles of a bucket in a block of a larger one.
-PAIRS, BLOCK = 256, 1 << 18
+#: Pairs of a bucket up to which they are formed as rows; shingles and rows of a block where a group has more pairs.
+PAIRS, BLOCK, BLOCK_ROWS = 256, 1 << 18, 2048
+#: Counters by which shingles are ordered from rare to common; a shingle shares its counter with those of its hash.
+COUNTERS = 1 << 20
 AGREE = 0.55
 U = np.uint64
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
@@ -125,6 +128,59 @@ def verified(pairs: DataFrame, lows: DataFrame, sets: DataFrame, percent: int) -
     return joined.withColumn("both", both).where(F.expr(f"100 * both >= {percent} * (size(sa) + size(sb) - both)")).select("a", "b").distinct()
 
 
+def _counted(sets: DataFrame) -> np.ndarray:
+    """How often shingles occur in ``sets`` (shingles), by counter; COUNTERS numbers, whatever the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(COUNTERS, dtype=np.int64)
+        for batch in batches:
+            seen += np.bincount(_counter(batch.column("shingles").flatten().to_numpy()), minlength=COUNTERS)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["at", "n"])
+
+    total = np.zeros(COUNTERS, dtype=np.int64)
+    rows = sets.select("shingles").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    total[rows["at"].to_numpy()] = rows["n"].to_numpy()
+    return total
+
+
+def _counter(shingles: np.ndarray) -> np.ndarray:
+    return (shingles.view(U) % U(COUNTERS)).astype(np.int64)
+
+
+def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
+    """(token, id, label, outer, n, small): the rarest shingles of each of ``sets`` (id, label, outer, shingles).
+
+    Shingles are ordered by counter and value.  Of two sets x and y with |y| <= |x| and 100 * |x and y| >= percent * |x or y|,
+    at least percent / 100 * |x| of x and, as they share as much as if both had y's size, 2 * percent / (100 + percent) * |y|
+    of y are common, so that the first |x| - ceil(percent / 100 * |x|) + 1 shingles of x and the first
+    |y| - ceil(2 * percent / (100 + percent) * |y|) + 1 of y have one in common (prefix filtering; Chaudhuri, Ganti and
+    Kaushik 2006, Bayardo, Ma and Srikant 2007).  ``small`` marks those of the second kind.  Shingles that no set with
+    ``outer`` counts are left out."""
+
+    table = sets.sparkSession.sparkContext.broadcast(counts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = table.value
+        for batch in batches:
+            column = batch.column("shingles")
+            n = pc.list_value_length(column).to_numpy().astype(np.int64)
+            flat, owner = column.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
+            common = counts[_counter(flat)]
+            order = np.lexsort((flat, common, owner))
+            place = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            most, few = n + (-percent * n) // 100 + 1, n + (-2 * percent * n) // (100 + percent) + 1
+            keep = (place < most[owner]) & (common[order] > 0)
+            at, place = order[keep], place[keep]
+            row = pa.array(owner[at])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat[at]), *[batch.column(c).take(row) for c in ("id", "label", "outer")], pa.array(n[owner[at]]), pa.array(place < few[owner[at]])],
+                names=["token", "id", "label", "outer", "n", "small"],
+            )
+
+    return sets.select("id", "label", "outer", "shingles").mapInArrow(run, "token long, id long, label long, outer boolean, n long, small boolean")
+
+
 def _links(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
     """Links between two blocks of (id, label, shingles) across labels."""
     none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
@@ -146,18 +202,53 @@ def _links(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
     at_x, owner_x, at_y, owner_y = at_x[in_x], owner_x[in_x], at_y[in_y], owner_y[in_y]
     order_x, order_y = np.argsort(at_x, kind="stable"), np.argsort(at_y, kind="stable")
     at_x, owner_x, at_y, owner_y = at_x[order_x], owner_x[order_x], at_y[order_y], owner_y[order_y]
-    for k in range(0, len(shared), 4096):
-        p, q = (slice(*np.searchsorted(a, (k, k + 4096))) for a in (at_x, at_y))
-        m, n = np.zeros((left.num_rows, 4096), dtype=np.float32), np.zeros((right.num_rows, 4096), dtype=np.float32)
+    step = 4096
+    for k in range(0, len(shared), step):
+        width = min(step, len(shared) - k)
+        p, q = (slice(*np.searchsorted(a, (k, k + width))) for a in (at_x, at_y))
+        m, n = np.zeros((left.num_rows, width), dtype=np.float32), np.zeros((right.num_rows, width), dtype=np.float32)
         m[owner_x[p], at_x[p] - k] = 1
         n[owner_y[q], at_y[q] - k] = 1
         both += m @ n.T
-    union = size_x[:, None] + size_y[None, :] - both
+    union = (size_x[:, None] + size_y[None, :]).astype(np.float32) - both
     good = (100 * both >= percent * union) & (left["label"].to_numpy()[:, None] != right["label"].to_numpy()[None, :])
     i, j = np.nonzero(good)
     return pa.table({"a": left["id"].to_numpy()[i], "b": right["id"].to_numpy()[j]}) if len(i) else none
 
 
+def _by_prefix(hot: DataFrame, sets: DataFrame, lows: DataFrame, percent: int) -> DataFrame:
+    """Links across labels among ``hot`` (id, label, outer), but for pairs of which neither is ``outer``."""
+    full = staged(sets.join(hot, "id"), "hot-sets")
+    counts = _counted(full.where("outer"))
+    tokens = staged(prefixes(full, counts, percent), "prefixes")
+    parts = tokens.groupBy("token", "label").agg(F.count_if("small").alias("s"), F.count(F.lit(1)).alias("n"))
+    cost = F.sum("s") * F.sum("n") - F.max(F.col("s") * F.col("n"))
+    split = staged(parts.groupBy("token").agg(cost.alias("cost"), F.max_by("label", F.col("s") * F.col("n")).alias("largest")).where("cost > 0"), "prefix-groups")
+    wanted = F.broadcast(split) if within(split, BROADCAST_IDS) else split
+    tokens = staged(tokens.join(wanted, "token"), "met")
+    few = tokens.where(f"cost <= {PAIRS}")
+    y = few.where("small").select("token", *[F.col(c).alias(f"{c}_y") for c in ("id", "label", "outer", "n")])
+    fits = F.expr(f"label_y <> label and (outer or outer_y) and n_y <= n and 100 * n_y >= {percent} * n")
+    pairs = y.join(few.select("token", "id", "label", "outer", "n"), "token").where(fits).select(F.least("id_y", "id").alias("a"), F.greatest("id_y", "id").alias("b")).distinct()
+    links = verified(pairs, lows, sets, percent)
+    # larger groups in blocks: the small sides outside the largest label with all, those inside it with the others
+    many = tokens.where(f"cost > {PAIRS}").join(full.select("id", "shingles"), "id").withColumn("inside", F.col("label") == F.col("largest"))
+    side = lambda rows, name, part: rows.select("token", F.lit(part).alias("part"), "id", "label", "shingles").withColumn("side", F.lit(name))
+    small = F.col("small")
+    sides = [side(many.where(small & ~F.col("inside")), "y", 0), side(many, "x", 0), side(many.where(small & F.col("inside")), "y", 1), side(many.where(~F.col("inside")), "x", 1)]
+    rows = sides[0].unionByName(sides[1]).unionByName(sides[2]).unionByName(sides[3])
+    sizes = many.groupBy("token").agg(*[F.greatest(F.ceil(F.sum(F.when(c, F.size("shingles"))) / BLOCK), F.ceil(F.count_if(c) / BLOCK_ROWS)).cast("int").alias(f"{n}{p}") for n, p, c in (("y", 0, small & ~F.col("inside")), ("x", 0, F.lit(True)), ("y", 1, small & F.col("inside")), ("x", 1, ~F.col("inside")))])
+    own = lambda n: F.when(F.col("part") == 0, F.col(f"{n}0")).otherwise(F.col(f"{n}1"))
+    rows = rows.join(sizes, "token").withColumns({"blocks": F.when(F.col("side") == "y", own("y")).otherwise(own("x")), "other": F.when(F.col("side") == "y", own("x")).otherwise(own("y"))}).where("other > 0")
+    block, every = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("other") - 1))
+    left = rows.where("side = 'y'").select("token", "part", block.alias("s"), every.alias("m"), "id", "label", "shingles")
+    # both sides come from one table; names of its own keep the right side's columns apart
+    right = rows.where("side = 'x'").select(F.col("token").alias("t2"), F.col("part").alias("p2"), every.alias("s2"), block.alias("m2"), *[F.col(c).alias(f"{c}2") for c in ("id", "label", "shingles")])
+    names = ["token", "part", "s", "m", "id", "label", "shingles"]
+    cells = left.groupBy(*names[:4]).cogroup(right.groupBy("t2", "p2", "s2", "m2")).applyInArrow(lambda x, y: _links(x, y.rename_columns(names), percent), "a long, b long")
+    return links.unionByName(cells.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def _labelled(df: DataFrame, labels: DataFrame, column: str, out: str) -> DataFrame:
     """Add the label of the ids in ``column``; an id without one is its own."""
     found = labels.select(F.col("id").alias(column), F.col("label").alias("__label"))
@@ -207,15 +298,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     outside = few.where("label <> largest").select("key", F.col("id").alias("u"), F.col("label").alias("lu"))
     pairs = outside.join(few.select("key", "id", "label"), "key").where("lu <> label").select(F.least("u", "id").alias("a"), F.greatest("u", "id").alias("b")).distinct()
     links = verified(pairs, lows, sets, percent)
-    many = active.where(f"cost > {PAIRS}").join(sets, "id")
-    blocks = many.groupBy("key").agg(F.ceil(F.sum(F.size("shingles")) / BLOCK).cast("int").alias("blocks"))
-    many = many.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = many.where("label <> largest").select("key", F.col("block").alias("s"), every.alias("m"), "id", "label", "shingles")
-    # both sides come from one table; names of its own keep the right side's columns apart
-    right = many.select(F.col("key").alias("k2"), every.alias("s2"), F.col("block").alias("m2"), *[F.col(c).alias(f"{c}2") for c in ("id", "label", "shingles")])
-    cells = left.groupBy("key", "s", "m").cogroup(right.groupBy("k2", "s2", "m2")).applyInArrow(lambda x, y: _links(x, y.rename_columns(["key", "s", "m", "id", "label", "shingles"]), percent), "a long, b long")
-    found = staged(links.unionByName(cells.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct(), "edges")
+    # a node of a larger bucket may be in the largest component of one and outside that of another
+    hot = active.where(f"cost > {PAIRS}").groupBy("id", "label").agg(F.max(F.col("label") != F.col("largest")).alias("outer"))
+    found = staged(links.unionByName(_by_prefix(hot, sets, lows, percent)).distinct(), "edges")
     labels = labels if found.isEmpty() else components(found, labels)
 
     final = rows_of.select("doc_id", "n_shingles").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")

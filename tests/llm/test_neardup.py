@@ -71,6 +71,42 @@ def test_near_copies(spark, monkeypatch, pairs, block):
     compare(spark, groups(5), 4)
 
 
+@pytest.mark.parametrize("pairs,rows", [(256, 2048), (20, 37)])
+def test_a_common_opening(spark, monkeypatch, pairs, rows):
+    # short texts that share their first words: hopeless pairs but for the planted ones, in buckets of hundreds of texts
+    monkeypatch.setattr(neardup, "PAIRS", pairs)
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", rows)
+    rnd = random.Random(2)
+    texts = {k: f"please click here to read more of w{k}" for k in range(1500)}
+    texts |= {2000 + k: f"please click here to w{k}" for k in range(1500)}
+    tail = [" ".join(f"t{rnd.randrange(10**6)}" for _ in range(30)) for _ in range(40)]
+    # long texts with a common opening of 40 words, in pairs that are a word apart
+    opening = " ".join(f"o{k}" for k in range(40))
+    texts |= {4000 + 2 * k + j: f"{opening} {t}{' end' * j}" for k, t in enumerate(tail) for j in range(2)}
+    # links of the short texts: one more word at the end of the longer opening
+    texts |= {5000 + k: f"please click here to read more of w{k} and so on it goes {'further ' * j}" for k in range(30) for j in range(2)}
+    texts |= {6000: "please click here to read more of", 6001: "please click here to read more"}
+    compare(spark, texts, 4)
+
+
+@pytest.mark.parametrize("percent", [50, 80, 100])
+def test_prefixes_lose_no_pair(spark, percent):
+    rng = np.random.default_rng(percent)
+    pool = rng.integers(-(1 << 62), 1 << 62, 60)
+    sets = {k: np.sort(rng.choice(pool, rng.integers(1, 25), replace=False)) for k in range(250)}
+    df = spark.createDataFrame([(k, k, k % 3 > 0, v.tolist()) for k, v in sets.items()], "id long, label long, outer boolean, shingles array<long>")
+    counts = neardup._counted(df.where("outer"))
+    found = defaultdict(list)
+    for r in neardup.prefixes(df, counts, percent).collect():
+        found[r.token].append((r.id, r.small))
+    met = {(a, b) for rows in found.values() for a, small in rows if small for b, _ in rows}
+    for a in sets:
+        for b in sets:
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if a != b and len(sets[a]) <= len(sets[b]) and (a % 3 or b % 3) and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
+                assert (a, b) in met
+
+
 def test_words_and_cases(spark):
     texts = {1: None, 2: "", 3: "  \t\n", 4: "one two", 5: "ONE\ttwo", 6: "one", 7: "Ünder straße a b c", 8: "ünder straße a b c", 9: "x " * 50_000, 10: "x " * 60_000, 11: "a b c d", 12: "A B C D", 13: "a b c d e"}
     compare(spark, texts, 4)
