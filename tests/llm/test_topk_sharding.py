@@ -19,7 +19,10 @@ def brute(rows, k=20, every=20):
 
 @pytest.mark.parametrize("blocks", [(16384, 1024), (37, 3)])
 @pytest.mark.parametrize("values", [4, 1000])
-def test_against_brute_force(spark, blocks, values):
+@pytest.mark.parametrize("seeds", [4096, 30])
+def test_against_brute_force(spark, monkeypatch, blocks, values, seeds):
+    monkeypatch.setattr(topk, "SEED", seeds)
+    monkeypatch.setattr(topk, "LEAST", 40)
     rng = np.random.default_rng(values)
     rows = [(k, (rng.integers(-values, values, 6) / 64).astype(np.float32)) for k in range(150)]
     df = spark.createDataFrame([(k, v.tolist()) for k, v in rows], "vec_id long, embedding array<float>")
@@ -44,6 +47,30 @@ def test_reading_stops_early():
     assert scores.tolist() == [199990, 199980, 199970, 199960, 199950] and read < 1000
 
 
+@pytest.mark.parametrize("kind", [np.float32, np.float64, np.int64])
+@pytest.mark.parametrize("spread", [0.0, 0.5, 1.5])
+def test_lists_against_products(kind, spread):
+    # weights that fall off: the steeper, the less is read; a floor changes nothing above it
+    rng = np.random.default_rng(int(10 * spread))
+    v = np.floor(rng.normal(size=(3000, 12)) * 40 / (1 + np.arange(12)) ** spread).astype(kind)
+    lists, ids = topk.SortedLists(np.arange(3000), v), np.arange(3000)
+    queries, owns = v[:60], np.arange(60)
+    floors = np.array([np.sort(q @ v[:500].T)[-8] for q in queries], dtype=kind)
+    want = [sorted(zip((-(v @ q)).tolist(), ids.tolist(), strict=True)) for q in queries]
+    want = [[x for x in w if x[1] != own][:7] for w, own in zip(want, owns, strict=True)]
+    for got in (
+        {p: (i, s) for p, i, s, _ in lists.answer(owns, queries, 7, floors)},
+        {p: (i, s) for p, i, s, _ in lists.answer(owns, queries, 7, np.full(60, topk._lowest(np.dtype(kind)), dtype=kind))},
+        {p: lists.top(owns[p], queries[p], 7)[:2] for p in range(60)},
+        {p: lists.top(owns[p], queries[p], 7, floors[p])[:2] for p in range(60)},
+    ):
+        assert {p: list(zip((-s).tolist(), i.tolist(), strict=True)) for p, (i, s) in got.items()} == dict(enumerate(want))
+    read = [lists.top(owns[p], queries[p], 7, floors[p])[2] for p in range(60)]
+    assert np.mean(read) < 3000 * (1.01 if spread < 1 else 0.3)
+    none = lists.top(-1, queries[0], 7, kind(10**6))
+    assert none[2] == 0 and not len(none[0])
+
+
 def test_op6_matches_sql(spark, sf):
     duckdb.sql(f"create or replace view embeddings as select * from '{sf}/embeddings.parquet'")
     got = sorted(map(tuple, registry.op6_threshold_topk(spark, sf).select("query_id", "rank", "vec_id", "score").collect()))
