@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 import numpy as np
@@ -51,6 +52,26 @@ def normal_two_sided(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+@functools.lru_cache(64)
+def _signed_rank_tails(n: int) -> np.ndarray:
+    """P(W <= w) of the sum of positive ranks of ``n`` untied differences, for w from 0 to n (n + 1) / 2."""
+    ways = np.ones(1)
+    for rank in range(1, n + 1):
+        # each rank is in the sum or not
+        ways = np.pad(ways, (0, rank)) + np.pad(ways, (rank, 0))
+    return np.cumsum(ways) / 2.0**n
+
+
+def signed_rank_p(statistic: float, n: int) -> float:
+    """Exact two-sided p of the smaller rank sum of ``n`` differences without zeros and ties."""
+    return min(1.0, 2.0 * float(_signed_rank_tails(n)[int(statistic)]))
+
+
+@F.pandas_udf(DoubleType())
+def _signed_p(statistic: pd.Series, n: pd.Series, z: pd.Series, exact: pd.Series) -> pd.Series:
+    return pd.Series([signed_rank_p(w, int(m)) if e else normal_two_sided(v) if pd.notna(v) else np.nan for w, m, v, e in zip(statistic, n, z, exact, strict=True)])
+
+
 @F.pandas_udf(DoubleType())
 def _correlation_p(r: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([correlation_p(a, int(b)) if pd.notna(a) and pd.notna(b) else np.nan for a, b in zip(r, n, strict=True)])
@@ -69,3 +90,9 @@ def p_of_correlation(r: Column, n: Column) -> Column:
 def p_of_z(z: Column) -> Column:
     """p-values of z statistics; the input is one row for each test."""
     return _normal_p(z.cast("double"))
+
+
+def p_of_signed_ranks(statistic: Column, n: Column, z: Column, exact: Column) -> Column:
+    """p-values of signed-rank tests, exact where ``exact`` says so, else those of z; the input is one row for each test."""
+    p = _signed_p(statistic.cast("double"), n.cast("long"), z.cast("double"), exact.cast("boolean"))
+    return F.when(~F.isnan(p), p)

@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fieldcohort.functions import expr as X
 from fieldcohort.operators import contracts as C
+from fieldcohort.operators import stats
 
 #: Rows up to which a manifest is broadcast in joins; larger ones are joined by shuffling both sides.
 BROADCAST_ROWS = 100_000
@@ -109,8 +110,7 @@ def build_design(manifest: DataFrame, clinical: DataFrame, config: DesignConfig
         passing = hodge.where(X.truthy(F.col("velocity_qc_pass")))
         design, audit["hodge_used"] = join_optional(design, passing, "hhd_", config.minimum_coverage, required=True)
     C.require_unique(design, "subject", "design")
-    order = Window.orderBy("subject", "case_id")
-    return finite_numbers(design).withColumn("row", F.row_number().over(order) - 1), audit
+    return stats.dense_index(finite_numbers(design), ["subject", "case_id"], "row"), audit
 
 
 def manifest_report(manifest: DataFrame) -> DataFrame:

@@ -132,3 +132,46 @@ def coefficient_summary(long: DataFrame) -> DataFrame:
     """Mean, sample deviation, median and count of each model's coefficients."""
     c = F.col("standardized_coefficient")
     return long.groupBy("model", "feature").agg(F.avg(c).alias("mean"), F.stddev_samp(c).alias("std"), F.percentile(c, F.lit(0.5)).alias("median"), F.count(c).alias("n"))
+
+
+# --- validation of large designs, in Spark ----------------------------------------------------------------------------
+
+
+def fold_sums(df: DataFrame, features: list[str], outcome: str) -> DataFrame:
+    """For each fold the sums of products that a linear fit needs, over all its rows: one row a fold, whatever the design."""
+    terms = [F.lit(1.0), *[F.col(f).cast("double") for f in features], F.col(outcome).cast("double")]
+    sums = [F.sum(a * b) for k, a in enumerate(terms) for b in terms[k:]]
+    return df.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("products"))
+
+
+def _ridge_from_sums(products: np.ndarray, size: int, alphas: list[float]) -> list[tuple[float, list[float], list[float], list[float], float]]:
+    """(alpha, means, scales, slopes on standardised features, intercept) from summed products of (1, features, outcome)."""
+    full = np.zeros((size + 2, size + 2))
+    full[np.triu_indices(size + 2)] = products
+    full = full + np.triu(full, 1).T
+    n, mean = full[0, 0], full[0, 1:] / full[0, 0]
+    central = full[1:, 1:] - n * np.outer(mean, mean)
+    scale = np.sqrt(np.maximum(np.diag(central)[:size], 0) / n)
+    scale = np.where(scale > 0, scale, 1.0)
+    gram, cross = central[:size, :size] / np.outer(scale, scale), central[:size, size] / scale
+    fits = [np.linalg.solve(gram + a * np.eye(size), cross) if size else np.zeros(0) for a in alphas]
+    return [(float(a), mean[:size].tolist(), scale.tolist(), w.tolist(), float(mean[size])) for a, w in zip(alphas, fits, strict=True)]
+
+
+def fold_fits(df: DataFrame, features: list[str], outcome: str, alphas: list[float]) -> DataFrame:
+    """Ridge fits on all rows outside each fold (no missing values), for every alpha: fold, alpha, means, scales, slopes,
+    intercept.  Only the folds' sums leave the executors, so the design may be of any size."""
+    rows = fold_sums(df, features, outcome).collect()  # a row for each fold
+    total = np.sum([r["products"] for r in rows], axis=0)
+    made = [(r["fold"], *fit) for r in rows for fit in _ridge_from_sums(total - np.array(r["products"]), len(features), alphas)]
+    return df.sparkSession.createDataFrame(made, "fold int, alpha double, means array<double>, scales array<double>, slopes array<double>, intercept double")
+
+
+def fold_scores(df: DataFrame, fits: DataFrame, features: list[str], outcome: str) -> DataFrame:
+    """Every fit on the rows of its own fold: fold, alpha, n, mae, intercept, slopes."""
+    joined = df.join(F.broadcast(fits), "fold")  # folds times alphas rows
+    predicted = F.col("intercept")
+    for k, f in enumerate(features):
+        predicted = predicted + F.get("slopes", k) * (F.col(f).cast("double") - F.get("means", k)) / F.get("scales", k)
+    each = joined.groupBy("fold", "alpha").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col(outcome) - predicted)).alias("mae"))
+    return each.join(F.broadcast(fits.select("fold", "alpha", "intercept", "slopes")), ["fold", "alpha"])

@@ -1,8 +1,9 @@
-"""Resampling with hashed draws: bootstrap and permutation tests as joins.
+"""Resampling with hashed draws: bootstrap and permutation tests.
 
 A draw is a hash of (seed, replicate, place) modulo the size of the group, so results depend on no random state, can be
-recomputed after a lost executor, and can be checked in another engine.  Replicates times rows are generated where the
-rows are, one group at a time; nothing but keys and values travels.
+recomputed after a lost executor, and can be checked in another engine.  A group's rows travel as one array, once for each
+of CHUNKS chunks of replicates; draws read the array in place, so replicates times rows are made and summed inside tasks
+and neither joined nor shuffled.  Groups are cohort tables: one of them fits a task as an array.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldcohort.functions import expr as X
+from fieldcohort.operators import stats
 from fieldcohort.operators.stats import average_rank
 
 
@@ -19,12 +21,21 @@ def _indexed(df: DataFrame, groups: list[str], key: str) -> DataFrame:
     return df.withColumn("__i", F.row_number().over(order) - 1).withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*groups)))
 
 
+#: Chunks of replicates: as many tasks work on one group, and as many copies of its array travel.
+CHUNKS = 32
+
+
 def resampled(df: DataFrame, groups: list[str], key: str, values: list[str], replicates: int, seed: int) -> DataFrame:
-    """(groups, b, values): ``replicates`` samples with replacement of each group, each of the group's size."""
-    rows = _indexed(df.select(*groups, key, *values), groups, key)
-    slots = rows.select(*groups, "__i", "__n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("b"))
-    drawn = slots.select(*groups, "b", X.draw(F.col("__n"), F.lit(seed), F.col("b"), F.col("__i")).alias("__i"))
-    return drawn.join(rows.select(*groups, "__i", *values), [*groups, "__i"]).drop("__i")
+    """(groups, b, values): ``replicates`` samples with replacement of each group, each of the group's size; all rows of a
+    replicate come from one task."""
+    rows = df.groupBy(*groups).agg(F.array_sort(F.collect_list(F.struct(F.col(key).alias("__key"), *values))).alias("__rows"))
+    chunks = min(CHUNKS, replicates)
+    dealt = rows.select(*groups, F.transform("__rows", lambda r: F.struct(*[r[v].alias(v) for v in values])).alias("__rows"), F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).alias("__c")).repartition(*groups, "__c")
+    # replicates c, c + chunks, c + 2 chunks, ... of each chunk; then a slot for each row
+    of = F.explode(F.sequence(F.col("__c"), F.lit(replicates - 1), F.lit(chunks))).alias("b")
+    slots = dealt.select(*groups, "__rows", of).select(*groups, "__rows", "b", F.explode(F.sequence(F.lit(0), F.size("__rows") - 1)).alias("__i"))
+    drawn = F.get("__rows", X.draw(F.size("__rows"), F.lit(seed), F.col("b"), F.col("__i")).cast("int"))
+    return slots.select(*groups, "b", drawn.alias("__r")).select(*groups, "b", *[F.col(f"__r.{v}").alias(v) for v in values])
 
 
 def bootstrap_mean(df: DataFrame, value: str, groups: list[str], key: str, replicates: int, seed: int = 1) -> DataFrame:
@@ -61,6 +72,12 @@ def permutation_test(df: DataFrame, x: str, y: str, groups: list[str], key: str,
 
 
 def folds(df: DataFrame, key: str, k: int, seed: int = 1) -> DataFrame:
-    """Add ``fold`` (1 to k): rows ordered by a hash of seed and key, the first n mod k folds one row larger."""
-    order = Window.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key)).cast("binary")), key)
-    return df.withColumn("fold", F.ntile(k).over(order))
+    """Add ``fold`` (1 to k): rows ordered by a hash of seed and key, the first n mod k folds one row larger.
+
+    The hash's first digits cut the order into runs, which are numbered by a task each."""
+    hashed = df.withColumn("__h", F.md5(F.concat_ws(":", F.lit(seed), F.col(key)).cast("binary"))).withColumn("__run", F.substring("__h", 1, 2))
+    rows, n = stats.numbered(hashed, ["__run"], ["__h", key], "__i"), F.col("__total")
+    small, larger = F.expr(f"__total div {k}"), n % k
+    # the first ``larger`` folds have one row more
+    fold = F.when(F.col("__i") < larger * (small + 1), F.expr(f"__i div (__total div {k} + 1)")).otherwise(larger + F.expr(f"(__i - (__total % {k}) * (__total div {k} + 1)) div greatest(__total div {k}, 1)"))
+    return rows.withColumn("fold", (fold + 1).cast("int")).drop("__h", "__run", "__i", "__total")

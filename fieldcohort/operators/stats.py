@@ -1,15 +1,19 @@
 """Rank statistics, tests and summaries as windows and aggregates.
 
-Everything is partitioned by the caller's group columns; a rank over a whole table without groups is one sorted
-partition, as its definition asks, and meant for cohort tables.
+Ranks of whole tables come from counts of distinct values (``ranks``): tied rows are counted before they are shuffled, and
+a group's values are ranked in many runs of neighbouring values, whose offsets are sums over a small table.  A group that
+holds a third of the rows is thus ranked by many tasks.  ``average_rank`` is the same as a column, for groups that fit a task.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldcohort.functions import expr as X
+from fieldcohort.functions import special
 
 
 def average_rank(column: str, groups: list[str]) -> Column:
@@ -19,11 +23,76 @@ def average_rank(column: str, groups: list[str]) -> Column:
     return F.when(F.col(column).isNotNull(), F.rank().over(order) + (F.count(F.lit(1)).over(ties) - 1) / 2.0)
 
 
+#: Runs of values between a power of two and the next.
+OCTAVE = 256
+
+
+def run_of(value: Column) -> Column:
+    """The run (long) that a finite double lies in: a larger value is never in an earlier run.
+
+    A run is a stretch of 1 / OCTAVE of the way from one power of two to the next, mirrored for negative values; so the
+    runs depend on the value alone, and are at most about half a million whatever the input."""
+    size = F.abs(value)
+    power = F.floor(F.log2(size)).cast("long")
+    # a power that is one too small or too large at a border gives the same run
+    place = power * OCTAVE + F.floor(size / F.pow(F.lit(2.0), power) * OCTAVE).cast("long") + 1100 * OCTAVE
+    return F.when(value == 0, F.lit(0).cast("long")).when(value > 0, place).otherwise(-place)
+
+
+def ranks(counts: DataFrame, value: str, n: str, groups: list[str], out: str) -> DataFrame:
+    """Add the mean rank from 1 of each distinct value within its group, from (groups, value, n): how often it occurs."""
+    run = "__run"
+    rows = counts.withColumn(run, run_of(F.col(value)))
+    sums = rows.groupBy(*groups, run).agg(F.sum(n).alias("__m"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(*groups, run, F.coalesce(F.sum("__m").over(before.partitionBy(*groups).orderBy(run)), F.lit(0)).alias("__from"))
+    inside = F.coalesce(F.sum(n).over(before.partitionBy(*groups, run).orderBy(value)), F.lit(0))
+    rank = F.col("__from") + F.col("__in") + (F.col(n) + 1) / 2.0
+    return rows.withColumn("__in", inside).join(offsets, [*groups, run]).withColumn(out, rank).drop(run, "__in", "__from")
+
+
+def ranked(df: DataFrame, value: str, groups: list[str], out: str) -> DataFrame:
+    """Add the mean rank of ``value`` (no NULLs) within the groups to the rows of ``df``."""
+    counts = df.groupBy(*groups, value).agg(F.count(F.lit(1)).alias("__n"))
+    return df.join(ranks(counts, value, "__n", groups, out).drop("__n"), [*groups, value])
+
+
 def spearman(df: DataFrame, x: str, y: str, groups: list[str]) -> DataFrame:
     """n and rho for each group, over the rows where both are there; rho is NULL without spread."""
     pairs = df.select(*groups, X.finite(F.col(x)).alias("__x"), X.finite(F.col(y)).alias("__y")).where("__x is not null and __y is not null")
-    ranked = pairs.select(*groups, average_rank("__x", groups).alias("__rx"), average_rank("__y", groups).alias("__ry"))
-    return ranked.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), X.pearson("__rx", "__ry").alias("rho"))
+    both = ranked(ranked(pairs, "__x", groups, "__rx"), "__y", groups, "__ry")
+    return both.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), X.pearson("__rx", "__ry").alias("rho"))
+
+
+def numbered(df: DataFrame, runs: list[str], order: list[str], out: str) -> DataFrame:
+    """Add ``out``, the place from 0 of each row in the order of ``runs`` and then ``order``, and ``__total``, the number of
+    rows.  Each run is numbered by a task of its own; the runs' offsets are sums over a table of their sizes, so there must
+    be few of them (thousands)."""
+    sizes = df.groupBy(*runs).agg(F.count(F.lit(1)).alias("__m"))
+    before = Window.orderBy(*runs).rowsBetween(Window.unboundedPreceding, -1)
+    # a row for each run
+    offsets = sizes.select(*[F.col(r).alias(f"__o{k}") for k, r in enumerate(runs)], F.coalesce(F.sum("__m").over(before), F.lit(0)).alias("__from"), F.sum("__m").over(Window.partitionBy()).alias("__total"))
+    inside = df.withColumn("__in", F.row_number().over(Window.partitionBy(*runs).orderBy(*order)) - 1)
+    same = [inside[r].eqNullSafe(offsets[f"__o{k}"]) for k, r in enumerate(runs)]
+    return inside.join(F.broadcast(offsets), same).withColumn(out, F.col("__from") + F.col("__in")).drop("__in", "__from", *[f"__o{k}" for k in range(len(runs))])
+
+
+#: Rows up to which a table is numbered by one task, and runs that a larger one is cut into.
+ONE_TASK, CUTS = 100_000, 256
+
+
+def dense_index(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """Add ``out``, the place (int, from 0) of each row in the order of the columns ``order``.
+
+    A larger table is cut at the ordered values of a bounded number of its rows (those with the smallest hashes); where the
+    cuts lie changes the work of the tasks, not the numbers."""
+    if df.limit(ONE_TASK + 1).count() <= ONE_TASK:
+        return df.withColumn(out, F.row_number().over(Window.orderBy(*order)) - 1)
+    sample = df.select(*order).orderBy(F.xxhash64(*order), *order).limit(CUTS).distinct()
+    cuts = sample.agg(F.array_sort(F.collect_list(F.struct(*order))).alias("__cuts"))  # one row of CUTS places at most
+    here = F.struct(*order)
+    rows = df.join(F.broadcast(cuts)).withColumn("__run", F.size(F.filter("__cuts", lambda c: c <= here))).drop("__cuts")
+    return numbered(rows, ["__run"], order, out).withColumn(out, F.col(out).cast("int")).drop("__run", "__total")
 
 
 def holm(df: DataFrame, p: str, groups: list[str], tie: str, out: str = "p_holm") -> DataFrame:
@@ -34,27 +103,44 @@ def holm(df: DataFrame, p: str, groups: list[str], tie: str, out: str = "p_holm"
     return scaled.withColumn(out, F.least(F.lit(1.0), F.max("__s").over(order.rowsBetween(Window.unboundedPreceding, 0)))).drop("__s")
 
 
-def wilcoxon(df: DataFrame, d: str, groups: list[str], zeros: str = "pratt") -> DataFrame:
-    """Signed-rank statistic of the differences ``d``: n, w_plus, w_minus, statistic and z (normal approximation with tie
-    correction, no continuity correction).  ``zeros``: "pratt" ranks them and takes them out, "wilcox" drops them first.
-    All-zero groups have statistic 0 and z NULL (p is 1)."""
+def signed_ranks(df: DataFrame, d: str, groups: list[str], zeros: str = "pratt") -> DataFrame:
+    """What a signed-rank test of the differences ``d`` needs: n, n_zero, ties, w_plus, w_minus, statistic and z, from the
+    counts of the distinct absolute differences."""
     rows = df.select(*groups, X.finite(F.col(d)).alias("__d")).where("__d is not null")
     if zeros == "wilcox":
         rows = rows.where("__d <> 0")
-    ranked = rows.withColumn("__a", F.abs("__d"))
-    ranked = ranked.withColumn("__r", average_rank("__a", groups)).withColumn("__t", F.count(F.lit(1)).over(Window.partitionBy(*groups, "__a")))
-    got = ranked.groupBy(*groups).agg(
-        F.count(F.lit(1)).cast("double").alias("n"),
-        F.count_if(F.col("__d") == 0).cast("double").alias("n_zero"),
-        F.coalesce(F.sum(F.when(F.col("__d") > 0, F.col("__r"))), F.lit(0.0)).alias("w_plus"),
-        F.coalesce(F.sum(F.when(F.col("__d") < 0, F.col("__r"))), F.lit(0.0)).alias("w_minus"),
-        # sum of t^3 - t over groups of tied values, each row bringing t^2 - 1
-        F.coalesce(F.sum(F.when(F.col("__d") != 0, F.col("__t") * F.col("__t") - 1.0)), F.lit(0.0)).alias("ties"),
+    sizes = rows.groupBy(*groups, F.abs("__d").alias("__a")).agg(F.count(F.lit(1)).alias("__n"), F.count_if(F.col("__d") > 0).alias("__p"), F.count_if(F.col("__d") < 0).alias("__m"))
+    rank = ranks(sizes, "__a", "__n", groups, "__r")
+    got = rank.groupBy(*groups).agg(
+        F.sum("__n").cast("double").alias("n"),
+        F.coalesce(F.sum(F.when(F.col("__a") == 0, F.col("__n"))), F.lit(0)).cast("double").alias("n_zero"),
+        F.sum(F.col("__p") * F.col("__r")).alias("w_plus"),
+        F.sum(F.col("__m") * F.col("__r")).alias("w_minus"),
+        # t^3 - t over groups of tied values that are not zero
+        F.coalesce(F.sum(F.when(F.col("__a") != 0, F.pow(F.col("__n").cast("double"), 3) - F.col("__n"))), F.lit(0.0)).alias("ties"),
     )
     mean = "(n * (n + 1) - n_zero * (n_zero + 1)) / 4"
     variance = "(n * (n + 1) * (2 * n + 1) - n_zero * (n_zero + 1) * (2 * n_zero + 1)) / 24 - ties / 48"
-    statistic = F.least("w_plus", "w_minus")
-    return got.withColumn("statistic", statistic).withColumn("z", F.expr(f"case when {variance} > 0 then (statistic - {mean}) / sqrt({variance}) end")).select(*groups, F.col("n").cast("long").alias("n"), "w_plus", "w_minus", "statistic", "z")
+    return got.withColumn("statistic", F.least("w_plus", "w_minus")).withColumn("z", F.expr(f"case when {variance} > 0 then (statistic - {mean}) / sqrt({variance}) end"))
+
+
+def wilcoxon(df: DataFrame, d: str, groups: list[str], zeros: str = "pratt") -> DataFrame:
+    """Signed-rank statistic of the differences ``d``: n, w_plus, w_minus, statistic and z (normal approximation with tie
+    correction, no continuity correction).  ``zeros``: "pratt" ranks them and takes them out, "wilcox" drops them first.
+    All-zero groups have statistic 0 and z NULL (p is 1)."""
+    return signed_ranks(df, d, groups, zeros).select(*groups, F.col("n").cast("long").alias("n"), "w_plus", "w_minus", "statistic", "z")
+
+
+#: Differences up to which the signed-rank p is exact, if none is zero and none are tied. Fixed value.
+EXACT = 50
+
+
+def signed_rank_test(df: DataFrame, d: str, groups: list[str], zeros: str = "pratt") -> DataFrame:
+    """statistic and two-sided p_value of the signed-rank test: exact for at most EXACT differences without zeros and ties,
+    else by the normal approximation; 1 where all differences are zero."""
+    got = signed_ranks(df, d, groups, zeros)
+    exact = (F.col("n") <= EXACT) & (F.col("n_zero") == 0) & (F.col("ties") == 0)
+    return got.select(*groups, "statistic", F.coalesce(special.p_of_signed_ranks(F.col("statistic"), F.col("n"), F.col("z"), exact), F.lit(1.0)).alias("p_value"))
 
 
 def summarize_metrics(df: DataFrame, model: str, repeat: str, metrics: list[str]) -> DataFrame:
@@ -105,3 +191,15 @@ def paired_advantage(errors: DataFrame, subject: str, reference: str, models: li
     ``least``."""
     rows = errors.select(subject, F.explode(F.array(*[F.struct(F.lit(m).alias("model"), (F.col(reference) - F.col(m)).alias("d")) for m in models])).alias("r")).select(subject, "r.*")
     return rows.where("d is not null").groupBy("model").agg(F.count(F.lit(1)).alias("n_subjects"), F.avg("d").alias("mean_advantage"), F.avg((F.col("d") > least).cast("double")).alias("improved_fraction"))
+
+
+def first_appearance(df: DataFrame, group: str, place: Column, out: str = "first") -> DataFrame:
+    """The least ``place`` of each group, by which groups come in the order in which they first appear."""
+    return df.groupBy(group).agg(F.min(place).alias(out))
+
+
+def flow_counts(df: DataFrame, unit: str, parts: dict[str, Column], totals: dict[str, Callable[[], Column]]) -> DataFrame:
+    """One row of a flow table: ``parts`` are aggregates for each ``unit``, ``totals`` aggregates over the units.  The parts
+    are summed before they are shuffled, the totals come from one conditional aggregate."""
+    each = df.groupBy(unit).agg(*[c.alias(n) for n, c in parts.items()])
+    return each.agg(*[make().alias(n) for n, make in totals.items()])
