@@ -43,14 +43,25 @@ def contralateral(x: Column, size: int, side: str | Column, buffer: float = 2.0)
     return hemisphere(x, size, other, buffer)
 
 
+def nearest(c: Column) -> Column:
+    """The voxel index nearest to a coordinate; halves go up."""
+    return F.floor(c + 0.5).cast("int")
+
+
+def in_grid(coordinates: tuple[str, str, str], shape: tuple[int, int, int]) -> Column:
+    """Whether all coordinates are finite and between the first and the last voxel centre."""
+    out = F.lit(True)
+    for c, n in zip(coordinates, shape, strict=True):
+        v = X.finite(F.col(c))
+        out = out & v.isNotNull() & (v >= 0) & (v <= n - 1)
+    return out
+
+
 def valid_map(df: DataFrame, masks: DataFrame, shape: tuple[int, int, int], coordinates: tuple[str, str, str] = ("cx", "cy", "cz"), target: str = "target") -> DataFrame:
     """Add ``valid``: the target mask holds, the coordinates are finite and in bounds, and the nearest source voxel lies
     in the source mask (``masks``: case_id, x, y, z of voxels inside)."""
-    inside = F.col(target)
-    for c, n in zip(coordinates, shape, strict=True):
-        v = X.finite(F.col(c))
-        inside = inside & v.isNotNull() & (v >= 0) & (v <= n - 1)
-    near = [F.rint(X.finite(F.col(c))).cast("int").alias(f"__{a}") for a, c in zip(AXES, coordinates, strict=True)]
+    inside = F.col(target) & in_grid(coordinates, shape)
+    near = [nearest(X.finite(F.col(c))).alias(f"__{a}") for a, c in zip(AXES, coordinates, strict=True)]
     source = masks.select(F.col("case_id"), *[F.col(a).alias(f"__{a}") for a in AXES]).distinct().withColumn("__in", F.lit(True))
     joined = df.select("*", *near).join(source, ["case_id", "__x", "__y", "__z"], "left")
     return joined.withColumn("valid", F.coalesce(inside & F.col("__in"), F.lit(False))).drop("__x", "__y", "__z", "__in")
@@ -117,28 +128,49 @@ def folding(df: DataFrame, jac: str = "jac", valid: Column | None = None) -> Dat
     return rows.groupBy("case_id").agg(F.avg((F.col(jac) <= 0).cast("double")).alias("folding_fraction"), F.min(jac).alias("minimum_jacobian"))
 
 
-def lesion_distance(grid: DataFrame, lesion: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """Add ``distance`` to the nearest lesion voxel of the case (NULL where a case has none).
+def _line_sweep(df: DataFrame, axis: str, step: float) -> DataFrame:
+    """The least of d + (step * way)^2 along the lines of an axis, for rows (case_id, x, y, z, d) where d may be NULL.
+
+    A line is one row: an array of its (place, d) in order, and the lower envelope of their parabolas, built with a stack
+    as the line is passed once (Felzenszwalb and Huttenlocher 2012) and read off in a second pass; so the work is linear in
+    the voxels.  Breaks between parabolas are kept beside them."""
+    keys = ["case_id", *[a for a in AXES if a != axis]]
+    lines = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(axis).alias("a"), F.col("d").alias("d")))).alias("__line"))
+    empty = F.filter(F.array(F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("d"), F.lit(0.0).alias("start"))), lambda x: F.lit(False))
+    at = lambda x: x["a"].cast("double") * step
+
+    def meets(top: Column, x: Column) -> Column:
+        """Where the parabola of ``x`` begins to lie below that of ``top``."""
+        return ((x["d"] + at(x) * at(x)) - (top["d"] + top["a"] * top["a"])) / (2.0 * (at(x) - top["a"]))
+
+    def pushed(stack: Column, x: Column) -> Column:
+        # parabolas whose stretch begins behind the meeting point are covered; they are the last of the stack
+        left = F.filter(stack, lambda s: meets(s, x) > s["start"])
+        begin = F.when(F.size(left) > 0, meets(F.try_element_at(left, F.lit(-1)), x)).otherwise(F.lit(float("-inf")))
+        return F.concat(left, F.array(F.struct(at(x).alias("a"), x["d"].alias("d"), begin.alias("start"))))
 
-    Separable: along x the nearest lesion voxel of each line, then the best over y, then over z.  Each pass is a join of
-    grid lines with themselves, so the work is voxels times grid edge, not voxels times lesion voxels."""
-    sx, sy, sz = spacing
-    marked = grid.join(lesion.select("case_id", *AXES).distinct().withColumn("__l", F.lit(True)), ["case_id", *AXES], "left")
-    line = Window.partitionBy("case_id", "y", "z").orderBy("x")
-    at = F.when(F.col("__l"), F.col("x"))
-    back = F.last(at, ignorenulls=True).over(line.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first(at, ignorenulls=True).over(line.rowsBetween(0, Window.unboundedFollowing))
-    d1 = F.pow(F.least(F.col("x") - back, ahead - F.col("x")) * sx, 2)
-    first = marked.select("case_id", *AXES, d1.alias("d"))
+    hulls = lines.withColumn("__hull", F.aggregate(F.filter("__line", lambda x: x["d"].isNotNull()), empty, pushed))
+    hulls = hulls.withColumn("__first", F.transform("__hull", lambda s: s["start"]))
 
-    def sweep(df: DataFrame, axis: str, step: float) -> DataFrame:
-        keys = ["case_id", *[a for a in AXES if a != axis]]
-        other = df.where("d is not null").select(*keys, F.col(axis).alias("__a"), F.col("d").alias("__d"))
-        best = df.select("case_id", *AXES).join(other, keys).groupBy("case_id", *AXES).agg(F.min(F.col("__d") + F.pow((F.col(axis) - F.col("__a")) * step, 2)).alias("d"))
-        return df.select("case_id", *AXES).join(best, ["case_id", *AXES], "left")
+    def read(x: Column) -> Column:
+        # the last parabola that begins at or before the place
+        owner = F.get("__hull", F.size(F.filter("__first", lambda s: s <= at(x))) - 1)
+        return F.struct(x["a"].alias("a"), (owner["d"] + F.pow(at(x) - owner["a"], 2)).alias("d"))
 
-    squared = sweep(sweep(first, "y", sy), "z", sz)
-    return grid.join(squared.select("case_id", *AXES, F.sqrt("d").alias("distance")), ["case_id", *AXES])
+    rows = hulls.select(*keys, F.explode(F.transform("__line", read)).alias("__p"))
+    return rows.select(*keys, F.col("__p.a").alias(axis), F.col("__p.d").alias("d"))
+
+
+def lesion_distance(grid: DataFrame, lesion: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """Add ``distance`` to the nearest lesion voxel of the case (NULL where a case has none).
+
+    Separable: along x the nearest lesion voxel of each line, then the best over y, then over z, each by a fold over the
+    line (``_line_sweep``): no line is joined with itself."""
+    marks = lesion.select("case_id", *AXES).distinct().withColumn("__l", F.lit(True))
+    d = grid.join(marks, ["case_id", *AXES], "left").select("case_id", *AXES, F.when(F.col("__l"), F.lit(0.0)).alias("d"))
+    for axis, step in zip(AXES, spacing, strict=True):
+        d = _line_sweep(d, axis, float(step))
+    return grid.join(d.select("case_id", *AXES, F.sqrt("d").alias("distance")), ["case_id", *AXES])
 
 
 def normals(df: DataFrame, distance: str = "distance", spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
@@ -214,30 +246,33 @@ def support_audit(df: DataFrame, value: str, size: int, side: str = "side") -> D
     return df.where(opposite).groupBy("case_id").agg(F.count_if(F.coalesce(F.col(value) != 0, F.lit(True))).alias("nonzero"), F.max(F.abs(value)).alias("largest"))
 
 
-def nearest_sample(df: DataFrame, source: DataFrame, coordinates: tuple[str, str, str], value: str, out: str = "sampled") -> DataFrame:
-    """The source voxel nearest to each coordinate (ties to even), 0 outside the grid."""
-    near = [F.rint(F.col(c)).cast("int").alias(f"__{a}") for a, c in zip(AXES, coordinates, strict=True)]
-    looked = source.select("case_id", *[F.col(a).alias(f"__{a}") for a in AXES], F.col(value).alias(out))
+def nearest_sample(df: DataFrame, source: DataFrame, coordinates: tuple[str, str, str], value: str, shape: tuple[int, int, int], out: str = "sampled") -> DataFrame:
+    """The source voxel nearest to each coordinate (halves go up), 0 where a coordinate is outside the grid."""
+    near = [nearest(X.finite(F.col(c))).alias(f"__{a}") for a, c in zip(AXES, coordinates, strict=True)]
+    looked = source.select("case_id", *[F.col(a).alias(f"__{a}") for a in AXES], F.col(value).alias("__v"))
     joined = df.select("*", *near).join(looked, ["case_id", "__x", "__y", "__z"], "left")
-    return joined.withColumn(out, F.coalesce(out, F.lit(0.0))).drop("__x", "__y", "__z")
+    return joined.withColumn(out, F.when(in_grid(coordinates, shape), F.coalesce("__v", F.lit(0.0))).otherwise(F.lit(0.0))).drop("__x", "__y", "__z", "__v")
 
 
 def trilinear_sample(df: DataFrame, source: DataFrame, coordinates: tuple[str, str, str], value: str, shape: tuple[int, int, int], out: str = "sampled") -> DataFrame:
-    """Trilinear interpolation at each coordinate from the eight corners; 0 where a coordinate is outside the grid."""
-    inside = F.lit(True)
-    for c, n in zip(coordinates, shape, strict=True):
-        inside = inside & (F.col(c) >= 0) & (F.col(c) <= n - 1)
-    floors = {f"__f{a}": F.floor(c).cast("int") for a, c in zip(AXES, coordinates, strict=True)}
-    corners = F.explode(F.array(*[F.struct(*[F.lit(v).alias(a) for a, v in zip(AXES, (i, j, k), strict=True)]) for i in (0, 1) for j in (0, 1) for k in (0, 1)])).alias("__c")
-    spread = df.withColumns(floors).select("*", corners)
-    weight = F.lit(1.0)
-    for a, c in zip(AXES, coordinates, strict=True):
-        t = F.col(c) - F.col(f"__f{a}")
-        weight = weight * F.when(F.col(f"__c.{a}") == 1, t).otherwise(1 - t)
-    spread = spread.select(*df.columns, weight.alias("__w"), *[(F.col(f"__f{a}") + F.col(f"__c.{a}")).alias(f"__{a}") for a in AXES])
-    looked = source.select("case_id", *[F.col(a).alias(f"__{a}") for a in AXES], F.col(value).alias("__v"))
-    joined = spread.join(looked, ["case_id", "__x", "__y", "__z"], "left")
-    return joined.groupBy(*df.columns).agg(F.sum(F.when(inside, F.coalesce(F.col("__v"), F.lit(0.0)) * F.col("__w")).otherwise(F.lit(0.0))).alias(out))
+    """Trilinear interpolation at each coordinate from the eight corners; 0 where a coordinate is outside the grid.
+
+    Each source voxel is handed to the eight cells that it is a corner of; a cell is then one row with its corners, and a
+    coordinate meets one cell.  Cells are dealt by the keys of that join, so the source is exchanged once, ``df`` once."""
+    corners = [(i, j, k) for i in (0, 1) for j in (0, 1) for k in (0, 1)]
+    spread = source.select("case_id", *AXES, F.col(value).cast("double").alias("__v"), F.explode(F.array(*[F.struct(*[F.lit(v).alias(a) for a, v in zip(AXES, c, strict=True)], F.lit(n).alias("n")) for n, c in enumerate(corners)])).alias("__c"))
+    spread = spread.select("case_id", *[(F.col(a) - F.col(f"__c.{a}")).alias(f"__{a}") for a in AXES], F.col("__c.n").alias("__n"), "__v")
+    cells = spread.groupBy("case_id", "__x", "__y", "__z").agg(*[F.max(F.when(F.col("__n") == n, F.col("__v"))).alias(f"__v{n}") for n in range(8)])
+    low = {f"__{a}": F.floor(X.finite(F.col(c))).cast("int") for a, c in zip(AXES, coordinates, strict=True)}
+    joined = df.withColumns(low).join(cells, ["case_id", "__x", "__y", "__z"], "left")
+    part = [X.finite(F.col(c)) - F.col(f"__{a}") for a, c in zip(AXES, coordinates, strict=True)]
+    total = F.lit(0.0)
+    for n, corner in enumerate(corners):
+        weight = F.lit(1.0)
+        for t, up in zip(part, corner, strict=True):
+            weight = weight * (t if up else 1 - t)
+        total = total + F.coalesce(F.col(f"__v{n}"), F.lit(0.0)) * weight
+    return joined.withColumn(out, F.when(in_grid(coordinates, shape), total).otherwise(F.lit(0.0))).drop("__x", "__y", "__z", *[f"__v{n}" for n in range(8)])
 
 
 def smooth_axis(df: DataFrame, value: str, axis: str, weights: list[float], out: str) -> DataFrame:
@@ -268,3 +303,22 @@ def affine_normal_equations(df: DataFrame, coordinates: tuple[str, str, str]) ->
     design = [F.sum((terms[a] * terms[b]).cast("double")).alias(f"s_{a}{b}") for k, a in enumerate(names) for b in names[k:]]
     target = [F.sum(terms[a].cast("double") * F.col(c)).alias(f"t_{a}_{c}") for a in names for c in coordinates]
     return df.groupBy("case_id").agg(*design, *target)
+
+
+def fullest_slice(mask: DataFrame, axis: str = "z", window: int = 0) -> DataFrame:
+    """For each case the slice of ``axis`` with the most voxels of a mask, weighed against its place (ten voxels make up for
+    one slice), and the largest count: (case_id, axis, n).  With ``window``, the first and last slice to show around it, the
+    2.5 and 97.5 percentiles of the voxels' places wherever these lie further out."""
+    counted = mask.groupBy("case_id", axis).agg(F.count(F.lit(1)).alias("n"))
+    best = counted.groupBy("case_id").agg(F.max_by(F.col(axis).cast("long"), F.col("n") * 10 - F.col(axis)).alias(axis), F.max("n").alias("n"))
+    if not window:
+        return best
+    p = F.percentile(F.col(axis).cast("double"), F.array(F.lit(0.025), F.lit(0.975)))
+    ends = mask.groupBy("case_id").agg(F.floor(F.get(p, 0)).alias("__a"), F.ceil(F.get(p, 1)).alias("__b"))
+    return best.join(ends, "case_id").select("case_id", axis, "n", F.least("__a", F.col(axis) - window).alias("first"), F.greatest("__b", F.col(axis) + window).alias("last"))
+
+
+def vector_error(df: DataFrame, vector: list[str]) -> DataFrame:
+    """n, root mean square and largest length of a vector over each case's rows, as for cycle errors."""
+    square = sum(F.col(c) ** 2 for c in vector)
+    return df.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(square)).alias("rmse"), F.max(F.sqrt(square)).alias("largest"))

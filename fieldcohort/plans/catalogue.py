@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldcohort.functions import expr as X
-from fieldcohort.operators import cases, cohort, inference, resample, stats
+from fieldcohort.operators import cases, cohort, cv, inference, resample, stats
 from fieldcohort.operators import contracts as C
 from fieldcohort.operators import kernels as K
 from fieldcohort.operators import voxel as V
@@ -204,8 +204,6 @@ query("q17_wilcoxon_dropped_zeros", _wilcoxon_sql("wilcox"))(_wilcoxon("wilcox")
 
 @query("q18_coefficient_summary", f"SELECT l_returnflag AS model, l_linestatus AS feature, {s6('avg(l_tax)', 'mean')}, {s6('stddev_samp(l_tax)', 'std')}, {s6('quantile_cont(l_tax::DOUBLE, 0.5)', 'median')}, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def q18(spark, d):
-    from fieldcohort.operators import cv
-
     t = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("model"), F.col("l_linestatus").alias("feature"), F.col("l_tax").alias("standardized_coefficient"))
     return rounded(cv.coefficient_summary(t), "mean", "std", "median")
 
@@ -437,6 +435,9 @@ def q42(spark, d):
     return rounded(f, "v")
 
 
+# nearest voxels: halves go up, as in the array kernel
+_IN = "cx BETWEEN 0 AND 3 AND cy BETWEEN 0 AND 3 AND cz BETWEEN 0 AND 3"
+_NEAREST = "f.x = floor(cx + 0.5) AND f.y = floor(cy + 0.5) AND f.z = floor(cz + 0.5)"
 _AT = "SELECT case_id, x, y, z, u1, x + u0 AS cx, y + u1 AS cy, z + u2 AS cz FROM vfield"
 
 
@@ -450,16 +451,16 @@ def _coordinates(spark, d):
     P.sql("vfield") + f", a AS ({_AT}), k AS (SELECT a.*, i, j, l, floor(cx)::INT + i AS gx, floor(cy)::INT + j AS gy, floor(cz)::INT + l AS gz FROM a, range(2) r(i), range(2) s(j), range(2) t(l)), "
     "w AS (SELECT k.case_id, k.x, k.y, k.z, sum(CASE WHEN cx BETWEEN 0 AND 3 AND cy BETWEEN 0 AND 3 AND cz BETWEEN 0 AND 3 THEN coalesce(f.u1, 0) * (CASE WHEN i = 1 THEN cx - floor(cx) ELSE 1 - (cx - floor(cx)) END) * (CASE WHEN j = 1 THEN cy - floor(cy) ELSE 1 - (cy - floor(cy)) END) * (CASE WHEN l = 1 THEN cz - floor(cz) ELSE 1 - (cz - floor(cz)) END) ELSE 0 END) AS linear "
     "FROM k LEFT JOIN vfield f ON f.case_id = k.case_id AND f.x = gx AND f.y = gy AND f.z = gz GROUP BY 1, 2, 3, 4) "
-    f"SELECT w.case_id, w.x, w.y, w.z, {s6('linear', 'linear')}, {s6('coalesce(f.u1, 0)', 'nearest')} FROM w JOIN a USING (case_id, x, y, z) LEFT JOIN vfield f ON f.case_id = a.case_id AND f.x = round_even(cx, 0) AND f.y = round_even(cy, 0) AND f.z = round_even(cz, 0)",
+    f"SELECT w.case_id, w.x, w.y, w.z, {s6('linear', 'linear')}, {s6(f'CASE WHEN {_IN} THEN coalesce(f.u1, 0) ELSE 0 END', 'nearest')} FROM w JOIN a USING (case_id, x, y, z) LEFT JOIN vfield f ON f.case_id = a.case_id AND {_NEAREST}",
 )
 def q43(spark, d):
     at, f = _coordinates(spark, d)
-    near = V.nearest_sample(at, f, ("cx", "cy", "cz"), "u1", "nearest").select("case_id", "x", "y", "z", "nearest")
+    near = V.nearest_sample(at, f, ("cx", "cy", "cz"), "u1", P.SHAPE, "nearest").select("case_id", "x", "y", "z", "nearest")
     lin = V.trilinear_sample(at, f, ("cx", "cy", "cz"), "u1", P.SHAPE, "linear").select("case_id", "x", "y", "z", "linear")
     return rounded(lin.join(near, ["case_id", "x", "y", "z"]), "linear", "nearest")
 
 
-@query("q43_valid_map", P.sql("vfield") + f", a AS ({_AT}) SELECT a.case_id, count(*) FILTER (WHERE a.u1 > -0.2 AND cx BETWEEN 0 AND 3 AND cy BETWEEN 0 AND 3 AND cz BETWEEN 0 AND 3 AND f.u0 <= 0.1) AS n_valid FROM a LEFT JOIN vfield f ON f.case_id = a.case_id AND f.x = round_even(cx, 0) AND f.y = round_even(cy, 0) AND f.z = round_even(cz, 0) GROUP BY 1")
+@query("q43_valid_map", P.sql("vfield") + f", a AS ({_AT}) SELECT a.case_id, count(*) FILTER (WHERE a.u1 > -0.2 AND {_IN} AND f.u0 <= 0.1) AS n_valid FROM a LEFT JOIN vfield f ON f.case_id = a.case_id AND {_NEAREST} GROUP BY 1")
 def q43b(spark, d):
     at, f = _coordinates(spark, d)
     rows = at.join(f.select("case_id", "x", "y", "z", (F.col("u1") > -0.2).alias("target")), ["case_id", "x", "y", "z"])
@@ -501,10 +502,8 @@ def _folded(spark, d):
 @query("q47_intercept_cv", _FOLDED + ", s AS (SELECT fold, sum(y) AS sy, count(*) AS n FROM f GROUP BY 1), t AS (SELECT fold, (sum(sy) OVER () - sy) / (sum(n) OVER () - n) AS p FROM s) SELECT f.fold, count(*) AS n, round(any_value(p), 6) + 0.0 AS predicted, round(avg(abs(y - p)), 6) + 0.0 AS mae FROM f JOIN t ON f.fold = t.fold GROUP BY 1")
 def q47(spark, d):
     f = _folded(spark, d)
-    sums = f.groupBy("fold").agg(F.sum("y").alias("sy"), F.count(F.lit(1)).alias("n"))
-    total = sums.agg(F.sum("sy").alias("ty"), F.sum("n").alias("tn"))
-    train = sums.join(F.broadcast(total)).select("fold", ((F.col("ty") - F.col("sy")) / (F.col("tn") - F.col("n"))).alias("p"))  # one row of totals
-    return f.join(F.broadcast(train), "fold").groupBy("fold").agg(F.count(F.lit(1)).alias("n"), r6(F.first("p")).alias("predicted"), r6(F.avg(F.abs(F.col("y") - F.col("p")))).alias("mae"))  # a row for each fold
+    scored = cv.fold_scores(f, cv.fold_fits(f, [], "y", [0.0]), [], "y")
+    return scored.select("fold", "n", r6("intercept").alias("predicted"), r6("mae").alias("mae"))
 
 
 _ALPHAS = (0.01, 1.0, 100.0, 10000.0)
@@ -517,11 +516,8 @@ _ALPHAS = (0.01, 1.0, 100.0, 10000.0)
 )
 def q48(spark, d):
     f = _folded(spark, d)
-    outer = F.explode(F.filter(F.array(*[F.lit(k) for k in range(1, 6)]), lambda k: k != F.col("fold"))).alias("fold")
-    m = f.select(outer, "x", "y").groupBy("fold").agg(F.avg("x").alias("mx"), F.stddev_pop("x").alias("sx"), F.avg("y").alias("my"), (F.covar_pop("x", "y") * F.count(F.lit(1)) / F.stddev_pop("x")).alias("sxy"), F.count(F.lit(1)).cast("double").alias("n"))
-    w = m.withColumn("alpha", F.explode(F.array(*[F.lit(a) for a in _ALPHAS]))).withColumn("b", F.col("sxy") / (F.col("n") + F.col("alpha")))
-    j = f.join(F.broadcast(w), "fold")  # folds times alphas rows
-    return j.groupBy("fold", "alpha").agg(r6(F.first("b")).alias("slope"), r6(F.avg(F.abs(F.col("y") - F.col("my") - F.col("b") * (F.col("x") - F.col("mx")) / F.col("sx")))).alias("mae"))
+    scored = cv.fold_scores(f, cv.fold_fits(f, ["x"], "y", list(_ALPHAS)), ["x"], "y")
+    return scored.select("fold", "alpha", r6(F.get("slopes", 0)).alias("slope"), r6("mae").alias("mae"))
 
 
 _VARIANTS = "SELECT vec_id AS case_id, v.variant, embedding[1]::DOUBLE AS p, embedding[1]::DOUBLE * v.k + embedding[2] * 0.1 AS q, embedding[3]::DOUBLE AS y, vec_id % 17 <> 0 AS good FROM embeddings, (VALUES ('low', 0.8), ('high', 1.2)) v(variant, k)"
@@ -575,25 +571,24 @@ def q53(spark, d):
 
 @query("q54_flow_counts", "WITH f AS (SELECT conv_id, count(*) AS turns, count(*) FILTER (WHERE role = 'user') AS users, min(turn) AS first_turn FROM conversations GROUP BY 1) SELECT count(*) AS conversations, count(*) FILTER (WHERE turns >= 4) AS long_ones, sum(users)::BIGINT AS user_turns, max(turns) AS most FROM f")
 def q54(spark, d):
-    f = table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"), F.count_if(F.col("role") == "user").alias("users"))
-    return f.agg(F.count(F.lit(1)).alias("conversations"), F.count_if(F.col("turns") >= 4).alias("long_ones"), F.sum("users").alias("user_turns"), F.max("turns").alias("most"))
+    parts = {"turns": F.count(F.lit(1)), "users": F.count_if(F.col("role") == "user")}
+    totals = {"conversations": lambda: F.count(F.lit(1)), "long_ones": lambda: F.count_if(F.col("turns") >= 4), "user_turns": lambda: F.sum("users"), "most": lambda: F.max("turns")}
+    return stats.flow_counts(table(spark, d, "conversations"), "conv_id", parts, totals)
 
 
 @query("q55_first_appearance", "SELECT role, min(conv_id * 1000 + turn) AS first FROM conversations GROUP BY 1")
 def q55(spark, d):
-    return table(spark, d, "conversations").groupBy("role").agg(F.min(F.col("conv_id") * 1000 + F.col("turn")).alias("first"))
+    return stats.first_appearance(table(spark, d, "conversations"), "role", F.col("conv_id") * 1000 + F.col("turn"))
 
 
 @query("q56_argmax_slice", P.sql("lesion") + "SELECT case_id, arg_max(z, n * 10 - z) AS z, max(n) AS n FROM (SELECT case_id, z, count(*) AS n FROM lesion GROUP BY 1, 2) GROUP BY 1")
 def q56(spark, d):
-    n = P.lesion(P.vfield(spark, d)).groupBy("case_id", "z").agg(F.count(F.lit(1)).alias("n"))
-    return n.groupBy("case_id").agg(F.max_by(F.col("z").cast("long"), F.col("n") * 10 - F.col("z")).alias("z"), F.max("n").alias("n"))
+    return V.fullest_slice(P.lesion(P.vfield(spark, d)), "z")
 
 
 @query("q57_cycle_error", P.sql("vfield") + f", k AS (SELECT *, row_number() OVER (PARTITION BY case_id ORDER BY x, y, z) - 1 AS k FROM vfield) SELECT case_id, count(*) AS n, {s6('sqrt(avg(u0 * u0 + u1 * u1 + u2 * u2))', 'rmse')}, {s6('max(sqrt(u0 * u0 + u1 * u1 + u2 * u2))', 'largest')} FROM k WHERE k % 5 = 0 GROUP BY 1")
 def q57(spark, d):
-    square = F.col("u0") ** 2 + F.col("u1") ** 2 + F.col("u2") ** 2
-    return V.strided_rows(P.vfield(spark, d), 5).groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), r6(F.sqrt(F.avg(square))).alias("rmse"), r6(F.max(F.sqrt(square))).alias("largest"))
+    return rounded(V.vector_error(V.strided_rows(P.vfield(spark, d), 5), ["u0", "u1", "u2"]), "rmse", "largest")
 
 
 @query("q58_table_text", r"SELECT c_custkey, replace(replace(replace(c_name, '#', '\#'), '_', '\_'), '&', '\&') AS name, CASE WHEN c_custkey % 1000 < 1 THEN '<0.001' ELSE printf('%.3f', (c_custkey % 1000) / 1000.0) END AS p, printf('%.2f', c_acctbal) AS bal FROM customer")
@@ -604,10 +599,9 @@ def q58(spark, d):
 
 @query("q59_nested_cv")
 def q59(spark, d):
-    from fieldcohort.operators import cv
-
     # customers with orders, the analysis's own repeats and alphas: standardised account balance, order count and lowest order against mean order
-    m = P.clinical(spark, d).join(table(spark, d, "customer").select(F.col("c_custkey").alias("case_id"), "c_acctbal"), "case_id").withColumn("row", F.row_number().over(Window.orderBy("case_id")) - 1)
+    m = P.clinical(spark, d).join(table(spark, d, "customer").select(F.col("c_custkey").alias("case_id"), "c_acctbal"), "case_id")
+    m = stats.dense_index(m, ["case_id"], "row")
     models = {"intercept_only": (), "balance": ("c_acctbal",), "orders": ("n_orders", "low", "c_acctbal")}
     tasks = cv.nested_cv(m, models, cv.CvConfig(outcome="outcome"))
     long = cv.predictions(tasks, m, "outcome")

@@ -40,9 +40,15 @@ def sided(spark: SparkSession, d: str) -> DataFrame:
     return f.join(side, "case_id", "left").withColumns({"target": F.col("u0") > LESION, "valid": F.col("u2") > -0.3, "side": F.coalesce("side", F.lit("bilateral"))})
 
 
+def staged_field(spark: SparkSession, d: str) -> DataFrame:
+    """The field with side and Jacobian, dealt by case and held, since effect, distance and lesion each read it; ``unpersist``
+    or the end of the session frees it."""
+    return V.jacobian(sided(spark, d)).repartition("case_id").persist()
+
+
 def effect_rows(spark: SparkSession, d: str) -> DataFrame:
     """The lesion effect of every voxel with distance, radial part and magnitude."""
-    f = V.jacobian(sided(spark, d))
+    f = staged_field(spark, d)
     e = V.effect(f, SIZE)
     grid = V.lesion_distance(f.select("case_id", "x", "y", "z"), lesion(f))
     both = V.normals(grid).join(e, ["case_id", "x", "y", "z"])
