@@ -4,7 +4,6 @@ from __future__ import annotations
 
 # Identifiers that tables of this kind carry.
 METHOD_VERSION = "contralateral_control_lesional_only_v2"
-SECOND_METHOD_VERSION = "ants_mni152nlin2009asym_synquickrepro_2mm_v1"
 HODGE_METHOD_VERSION = "log_svf_tapered_periodic_fft_hhd_v1"
 REPRESENTATION = "stationary_velocity_log_of_tapered_displacement"
 SUPPORT = "lesional_hemisphere_only"

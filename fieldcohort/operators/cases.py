@@ -1,13 +1,16 @@
 """Kernels over tables of cases: one row for each case, volumes as arrays, results as columns.
 
-Rows are handed to Python a few at a time (``small_batches``), because a volume row is large; cases are independent, so a
-lost executor costs the cases it was working on.
+Volumes are array columns or, smaller and faster, bytes: little-endian single precision in C order, masks a byte for each voxel.
+Spark cuts the batches that Python gets by their bytes (64 MB unless the session says otherwise), so that large volumes come
+one by one; results go back case by case.  Cases are independent, so a lost executor costs the cases it was working on.
+case_id may have any type; results have the same.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -15,7 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldcohort.operators import kernels as K
+from fieldcohort.sources.report import strict_json
 
+#: Columns of a decomposition. Fixed values.
 HODGE_SCHEMA = (
     "stride int, padding int, boundary_taper_width_voxels double, displacement_smoothing_sigma_voxels double, velocity_squaring_steps int, velocity_maximum_iterations int, "
     "velocity_reconstruction_tolerance double, valid_downsampled_voxels long, total_rms_mm double, curl_free_energy_fraction double, divergence_free_energy_fraction double, "
@@ -25,42 +30,53 @@ HODGE_SCHEMA = (
 HODGE_COLUMNS = [x.split()[0] for x in HODGE_SCHEMA.split(", ")]
 
 
-def small_batches(df: DataFrame, rows: int = 4) -> DataFrame:
-    """Have Spark hand at most ``rows`` rows at a time to Python."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    return df
-
-
-def map_cases(df: DataFrame, run: Callable[[dict], dict], schema: str) -> DataFrame:
-    """One result row for each case row."""
+def map_cases(df: DataFrame, run: Callable[[dict], dict | list[dict]], schema: str, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
+    """The result rows of each case row (``run`` gives one or a list): ``keys`` as they are in ``df``, then ``schema``."""
+    names = [*keys, *[x.split()[0] for x in schema.split(", ")]]
 
     def over(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame([run(r) for r in part.to_dict("records")], columns=[x.split()[0] for x in schema.split(", ")])
+            for k in range(len(part)):
+                row = part.iloc[k].to_dict()
+                got = run(row)
+                yield pd.DataFrame([{key: row[key] for key in keys} | r for r in (got if isinstance(got, list) else [got])], columns=names)
 
-    return df.mapInPandas(over, schema)
+    return df.mapInPandas(over, ", ".join([*[f"`{key}` {df.schema[key].dataType.simpleString()}" for key in keys], schema]))
 
 
 def field(row: dict, name: str = "field", last: int = 3) -> np.ndarray:
     """The array of a row, in the shape that the row gives."""
-    return np.asarray(row[name], dtype=np.float32).reshape(*[int(n) for n in row["shape"]], *([last] if last else []))
+    shape = (*[int(n) for n in row["shape"]], *([last] if last else []))
+    if isinstance(row[name], bytes | bytearray):
+        return np.frombuffer(row[name], dtype="<f4" if last else np.uint8).reshape(shape)
+    return np.asarray(row[name], dtype=np.float32).reshape(shape)
 
 
-def hodge(df: DataFrame, config: K.HodgeConfig = K.HodgeConfig(), spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), isolate: bool = False) -> DataFrame:
-    """Decomposition scalars of (case_id, shape, field, valid).  With ``isolate`` a field that folds becomes a row that fails
-    its check, with the reason; any other error ends the job."""
-    schema = f"case_id long, {HODGE_SCHEMA}, failure_reason string"
+Loader = Callable[[dict], tuple[np.ndarray, np.ndarray, tuple[float, float, float] | None]]
 
-    def run(row: dict) -> dict:
-        out = {c: None for c in HODGE_COLUMNS} | {"case_id": row["case_id"], "failure_reason": None}
-        try:
-            return out | K.hodge_features(field(row), field(row, "valid", 0).astype(bool), spacing, config)
-        except K.NonPositiveJacobian:
-            if not isolate:
-                raise
-            return out | {"stride": config.stride, "padding": config.padding, "velocity_qc_pass": False, "failure_reason": "nonpositive_jacobian"}
 
-    return map_cases(small_batches(df), run, schema)
+def stored(row: dict) -> tuple[np.ndarray, np.ndarray, None]:
+    """Field and mask of a row that holds them as columns."""
+    return field(row), field(row, "valid", 0).astype(bool), None
+
+
+def decomposed(row: dict, config: K.HodgeConfig, spacing: tuple[float, float, float], isolate: bool, load: Loader = stored) -> dict:
+    """Decomposition scalars of a case row; with ``isolate`` a field that folds gives a row that fails its check."""
+    nothing = dict.fromkeys(HODGE_COLUMNS) | {"failure_reason": None}
+    u, valid, own = load(row)
+    try:
+        return nothing | K.hodge_features(u, valid, own or spacing, config)
+    except K.NonPositiveJacobian:
+        if not isolate:
+            raise
+        return nothing | {"stride": config.stride, "padding": config.padding, "velocity_qc_pass": False, "failure_reason": "nonpositive_jacobian"}
+
+
+def hodge(df: DataFrame, config: K.HodgeConfig = K.HodgeConfig(), spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), isolate: bool = False, load: Loader = stored, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
+    """Decomposition scalars of (case_id, shape, field, valid), or of rows that ``load`` makes a field, a mask and a spacing
+    of.  With ``isolate`` a field that folds becomes a row that fails its check, with the reason; any other error ends the
+    job."""
+    return map_cases(df, lambda row: decomposed(row, config, spacing, isolate, load), f"{HODGE_SCHEMA}, failure_reason string", keys)
 
 
 def sensitivity_variants(base: K.HodgeConfig = K.HodgeConfig()) -> dict[str, K.HodgeConfig]:
@@ -74,21 +90,17 @@ def sensitivity_variants(base: K.HodgeConfig = K.HodgeConfig()) -> dict[str, K.H
     return {k: replace(base, **v) for k, v in changes.items()} | {"grid_3mm": grid(3, 8), "grid_5mm": grid(5, 5)}
 
 
-def hodge_sensitivity(df: DataFrame, variants: dict[str, K.HodgeConfig] | None = None, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
-    """Every case under every variant, folding cases as failed rows: (variant, case_id, scalars, failure_reason)."""
+def hodge_sensitivity(df: DataFrame, variants: dict[str, K.HodgeConfig] | None = None, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), load: Loader = stored) -> DataFrame:
+    """Every case under every variant, folding cases as failed rows: (variant, case_id, scalars, failure_reason).  A case's
+    volumes are taken up once for all variants."""
     variants = variants if variants is not None else sensitivity_variants()
-    schema = f"variant string, case_id long, {HODGE_SCHEMA}, failure_reason string"
-    rows = df.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in variants])))
 
-    def run(row: dict) -> dict:
-        config = variants[row["variant"]]
-        out = {c: None for c in HODGE_COLUMNS} | {"variant": row["variant"], "case_id": row["case_id"], "failure_reason": None}
-        try:
-            return out | K.hodge_features(field(row), field(row, "valid", 0).astype(bool), spacing, config)
-        except K.NonPositiveJacobian:
-            return out | {"velocity_qc_pass": False, "failure_reason": "nonpositive_jacobian"}
+    def run(row: dict) -> list[dict]:
+        taken = load(row)
+        return [{"variant": name} | decomposed(row, config, spacing, True, lambda _: taken) for name, config in variants.items()]
 
-    return map_cases(small_batches(rows), run, schema)
+    found = map_cases(df, run, f"variant string, {HODGE_SCHEMA}, failure_reason string")
+    return found.select("variant", "case_id", *HODGE_COLUMNS, "failure_reason")
 
 
 def flow_log(df: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), **how) -> DataFrame:
@@ -96,28 +108,24 @@ def flow_log(df: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0
 
     def run(row: dict) -> dict:
         got = K.logarithm(field(row), spacing, **how)
-        return {"case_id": row["case_id"], "iterations": got.iterations, "relative_rmse": got.relative_rmse, "minimum_jacobian": got.minimum_jacobian, "reconstruction_minimum_jacobian": got.reconstruction_minimum_jacobian, "velocity": got.velocity.ravel().astype(float).tolist()}
+        return {"iterations": got.iterations, "relative_rmse": got.relative_rmse, "minimum_jacobian": got.minimum_jacobian, "reconstruction_minimum_jacobian": got.reconstruction_minimum_jacobian, "velocity": got.velocity.ravel()}
 
-    return map_cases(small_batches(df), run, "case_id long, iterations int, relative_rmse double, minimum_jacobian double, reconstruction_minimum_jacobian double, velocity array<double>")
+    return map_cases(df, run, "iterations int, relative_rmse double, minimum_jacobian double, reconstruction_minimum_jacobian double, velocity array<float>")
 
 
 def flow_exp(df: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), squarings: int = 6) -> DataFrame:
     """Exponential of (case_id, shape, field)."""
-
-    def run(row: dict) -> dict:
-        return {"case_id": row["case_id"], "field": K.exponential(field(row), spacing, squarings).ravel().astype(float).tolist()}
-
-    return map_cases(small_batches(df), run, "case_id long, field array<double>")
+    return map_cases(df, lambda row: {"field": K.exponential(field(row), spacing, squarings).ravel()}, "field array<float>")
 
 
-def affine_fits(df: DataFrame, subsample: int = 1, minimum: int = 4) -> DataFrame:
+def affine_fits(df: DataFrame, subsample: int = 1, minimum: int = 4, rounds: int = K.ROUNDS) -> DataFrame:
     """Robust affine fit of (case_id, shape, field as coordinates, valid)."""
 
     def run(row: dict) -> dict:
-        fit = K.robust_affine(field(row).astype(np.float64), field(row, "valid", 0).astype(bool), subsample, minimum)
-        return {"case_id": row["case_id"], "coefficients": fit.coefficients.ravel().tolist(), "rmse": fit.rmse, "points": fit.points, "inliers": fit.inliers}
+        fit = K.robust_affine(field(row).astype(np.float64), field(row, "valid", 0).astype(bool), subsample, minimum, rounds)
+        return {"coefficients": fit.coefficients.ravel(), "rmse": fit.rmse, "points": fit.points, "inliers": fit.inliers}
 
-    return map_cases(small_batches(df), run, "case_id long, coefficients array<double>, rmse double, points int, inliers double")
+    return map_cases(df, run, "coefficients array<double>, rmse double, points int, inliers double")
 
 
 # --- extraction ------------------------------------------------------------------------------------------------------
@@ -185,36 +193,63 @@ def case_metrics(lesion: np.ndarray, target: np.ndarray, norm: K.Normalized, eff
     return out
 
 
-def extract_case(at: np.ndarray, source_mask: np.ndarray, target_mask: np.ndarray, lesion: np.ndarray, target: np.ndarray, spacing: tuple[float, float, float], source_spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), raw: np.ndarray | None = None, smoothing_mm: float = 2.0, subsample: int = 8, minimum_points: int = 10_000, **limits) -> dict:
-    """From a coordinate map and masks on the atlas grid to the case's record; ``raw`` is a second map whose effect gives the
-    registration sensitivity, zero off the common support."""
+@dataclass(frozen=True)
+class Extracted:
+    """What a case's extraction gives: the flat record and the maps, on the atlas grid."""
+
+    record: dict
+    maps: dict[str, np.ndarray]
+
+
+def extract_maps(at: np.ndarray, source_mask: np.ndarray, target_mask: np.ndarray, lesion: np.ndarray, target: np.ndarray, spacing: tuple[float, float, float], source_spacing: tuple[float, float, float] = (1.0, 1.0, 1.0), raw: np.ndarray | None = None, smoothing_mm: float = 2.0, subsample: int = 8, minimum_points: int = 10_000, raw_mask: np.ndarray | None = None, **limits) -> Extracted:
+    """From a coordinate map and masks on the atlas grid to the case's record and maps; ``raw`` is a second map whose effect
+    gives the registration sensitivity, zero off the common support (with the source mask ``raw_mask``, if it has its own)."""
     lesion, target = lesion.astype(bool), target.astype(bool) | lesion.astype(bool)
     side = K.laterality(lesion)[0]
 
-    def field_of(coordinates: np.ndarray) -> tuple:
-        valid = K.valid_coordinates(coordinates, source_mask, target_mask)
+    def field_of(coordinates: np.ndarray, mask: np.ndarray) -> tuple:
+        valid = K.valid_coordinates(coordinates, mask, target_mask)
         norm = K.normalize(coordinates, valid, side, spacing, source_spacing, smoothing_mm, subsample, minimum_points)
         return norm, *K.effect(norm.displacement, norm.valid, norm.jacobian, target, side)
 
-    norm, effect, logj, keep = field_of(at)
+    norm, effect, logj, keep = field_of(at, source_mask)
     sensitivity = None
     if raw is not None:
-        _, other, _, other_keep = field_of(raw)
-        sensitivity = np.where(keep & other_keep, np.linalg.norm(effect - other, axis=-1), 0.0)
-    return case_metrics(lesion, target, norm, effect, logj, keep, spacing, sensitivity, **limits)
+        _, other, _, other_keep = field_of(raw, source_mask if raw_mask is None else raw_mask)
+        sensitivity = np.where(keep & other_keep, np.linalg.norm(effect - other, axis=-1), 0.0).astype(np.float32)
+    _, normals = K.distance_and_normals(lesion, spacing)
+    maps = {
+        "mass_effect_vector": effect,
+        "mass_effect_magnitude": np.where(keep, np.linalg.norm(effect, axis=-1), 0).astype(np.float32),
+        "mass_effect_radial": np.where(keep, (effect * normals).sum(axis=-1), 0).astype(np.float32),
+        "log_jacobian_asymmetry": logj,
+        "valid_mask": keep.astype(np.uint8),
+        "lesion_atlas": lesion.astype(np.uint8),
+        "target_atlas": target.astype(np.uint8),
+    } | ({"registration_sensitivity": sensitivity} if sensitivity is not None else {})
+    return Extracted(case_metrics(lesion, target, norm, effect, logj, keep, spacing, sensitivity, **limits), maps)
+
+
+def extract_case(*arrays, **how) -> dict:
+    """The record of ``extract_maps``."""
+    return extract_maps(*arrays, **how).record
+
+
+EXTRACTED = "lesion_side string, lesion_laterality_index double, deformation_qc_pass boolean, metrics string"
+
+
+def extracted_row(record: dict) -> dict:
+    """A record as JSON text, beside the columns that filters need."""
+    return {c: record[c] for c in ("lesion_side", "lesion_laterality_index", "deformation_qc_pass")} | {"metrics": json.dumps(strict_json(record))}
 
 
 def extract_cases(df: DataFrame, spacing: tuple[float, float, float], **how) -> DataFrame:
     """Records of (case_id, shape, field as coordinates, source_shape, source_mask, mask, lesion, target) rows, as JSON text
     beside the columns that filters need."""
-    import json
-
-    from fieldcohort.sources.report import strict_json
 
     def run(row: dict) -> dict:
         source = np.asarray(row["source_mask"]).reshape([int(n) for n in row["source_shape"]]).astype(bool)
         masks = [field(row, n, 0).astype(bool) for n in ("mask", "lesion", "target")]
-        got = extract_case(field(row).astype(np.float64), source, *masks, spacing, **how)
-        return {"case_id": row["case_id"], "lesion_side": got["lesion_side"], "lesion_laterality_index": got["lesion_laterality_index"], "deformation_qc_pass": got["deformation_qc_pass"], "metrics": json.dumps(strict_json(got))}
+        return extracted_row(extract_case(field(row).astype(np.float64), source, *masks, spacing, **how))
 
-    return map_cases(small_batches(df), run, "case_id long, lesion_side string, lesion_laterality_index double, deformation_qc_pass boolean, metrics string")
+    return map_cases(df, run, EXTRACTED)

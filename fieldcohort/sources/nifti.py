@@ -1,7 +1,9 @@
-"""NIfTI-1 volumes: a parser, a writer, and a Spark data source.
+"""NIfTI-1 volumes: a parser, a writer, readers by folder and by manifest.
 
-``spark.read.format("nifti").load(folder)`` gives one row for each .nii or .nii.gz file: name, shape, spacing, affine (rows
-of four) and data in C order.  Files reach Python as bytes that Spark has read, so any store that Spark reads will do.
+``read_volumes`` gives one row for each .nii or .nii.gz file: name, shape, spacing, affine (rows of four) and data in C order;
+``case_files`` gives one row for each case of a manifest with the files that its path columns name.  Files reach Python as
+bytes that Spark has read, so any store that Spark reads will do; Spark cuts the batches by their bytes, and volumes are
+unpacked one by one.
 """
 
 from __future__ import annotations
@@ -12,9 +14,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fieldcohort.operators.cohort import small
+from fieldcohort.sources.tables import localized_column
+
 #: Type codes of the format. Fixed values.
 TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4", 1024: "i8", 1280: "u8"}
 CODES = {v: k for k, v in TYPES.items()}
@@ -81,29 +86,67 @@ def render(data: np.ndarray, affine: np.ndarray, description: str = "", compress
     return gzip.compress(raw, mtime=0) if compress else raw
 
 
-def read_volumes(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each volume below ``path``; a few files at a time reach Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+def read_volumes(spark: SparkSession, path: str, as_bytes: bool = False) -> DataFrame:
+    """One row for each volume below ``path``; with ``as_bytes`` the data are little-endian single precision in a binary
+    column, half the size."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = []
             for name, content in zip(part["path"], part["content"], strict=True):
                 data, affine, spacing = parse(bytes(content))
-                rows.append((name.rsplit("/", 1)[-1], list(data.shape), list(spacing), affine.tolist(), np.ascontiguousarray(data, dtype=float).ravel()))
-            yield pd.DataFrame(rows, columns=["name", "shape", "spacing", "affine", "data"])
+                flat = np.ascontiguousarray(data, dtype="<f4" if as_bytes else float)
+                yield pd.DataFrame([(name.rsplit("/", 1)[-1], list(data.shape), list(spacing), affine.tolist(), flat.tobytes() if as_bytes else flat.ravel())], columns=["name", "shape", "spacing", "affine", "data"])
+
+    return _files(spark, path).select("path", "content").mapInPandas(run, SCHEMA.replace("data array<double>", "data binary") if as_bytes else SCHEMA)
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.nii*").load(path)
+
+
+def plain_path(c: Column) -> Column:
+    """A path without scheme and host."""
+    return F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", "")
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.nii*").load(path)
-    return files.select("path", "content").mapInPandas(run, SCHEMA)
+
+def case_files(spark: SparkSession, manifest: DataFrame, columns: dict[str, str], root: str, anchor: str = "ARC", optional: tuple[str, ...] = (), keep: tuple[str, ...] = ("case_id",)) -> DataFrame:
+    """``keep`` and, for each name in ``columns``, the bytes of the file that the manifest's column of that value names.
+
+    Relative paths lie below ``root``, absolute ones that have a component ``anchor`` are moved there (``localized_column``).
+    A path that is NULL or has no file below ``root`` raises, but for NULLs of ``optional`` names.  The files stay packed and
+    are shuffled once, to their case; a case is a task of its own as long as there are at most 10,000."""
+    base = plain_path(F.lit(root.rstrip("/")))
+    at = lambda c: F.when(c.startswith("/") | c.contains(":/"), plain_path(localized_column(c, root, anchor))).otherwise(F.concat(base, F.lit("/"), c))
+    cells = F.array(*[F.struct(F.lit(n).alias("name"), at(F.col(c)).alias("path")) for n, c in columns.items()])
+    wanted = manifest.select(keep[0], F.explode(cells).alias("r")).select(keep[0], "r.name", "r.path")
+    files = _files(spark, root).withColumn("path", plain_path(F.col("path")))
+    needed = wanted.where(F.col("path").isNotNull() | ~F.col("name").isin(*optional)) if optional else wanted
+    missing = [f"{r['name']} of {r[0]}: {r['path']}" for r in needed.join(files.select("path"), "path", "left_anti").select(keep[0], "name", "path").limit(5).collect()]
+    if missing:
+        raise FileNotFoundError(f"missing volumes: {missing}")
+    cases = max(1, min(manifest.count(), 10_000))
+    joined = files.select("path", "content").join(small(wanted), "path").repartition(cases, keep[0])
+    each = joined.groupBy(keep[0]).agg(*[F.max(F.when(F.col("name") == n, F.col("content"))).alias(n) for n in columns])
+    return each.join(small(manifest.select(*keep)), keep[0]) if len(keep) > 1 else each
+
+
+def vector_and_mask(row: dict) -> tuple[np.ndarray, np.ndarray, tuple[float, ...]]:
+    """Field, mask and spacing of a case row with the packed files ``field`` and ``valid``, which must share their geometry."""
+    (u, at, spacing), (valid, mask_at, _) = parse(bytes(row["field"])), parse(bytes(row["valid"]))
+    if not same_geometry((u.shape[:3], at), (valid.shape[:3], mask_at)):
+        raise ValueError(f"field and mask of {row['case_id']} differ in geometry")
+    return np.ascontiguousarray(u, dtype=np.float32), valid > 0, spacing
 
 
 def write_volumes(df: DataFrame, path: str) -> None:
-    """Store (name, shape, affine, data) rows as rendered files in a Parquet table of (name, content); ``extract`` puts
-    them into a local folder.  Executors write nothing themselves, so retries leave no half files."""
+    """Store (name, shape, affine, data) rows as rendered files in a Parquet table of (name, content), by Spark's committer;
+    ``report.write_files`` puts them into a folder."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield pd.DataFrame([(r.name_, render(np.asarray(r.data, dtype=np.float32).reshape([int(n) for n in r.shape_]), np.array([list(a) for a in r.affine]))) for r in part.rename(columns={"name": "name_", "shape": "shape_"}).itertuples()], columns=["name", "content"])
+            for r in part.rename(columns={"name": "name_", "shape": "shape_"}).itertuples():
+                data = np.frombuffer(r.data, dtype="<f4") if isinstance(r.data, bytes | bytearray) else np.asarray(r.data, dtype=np.float32)
+                yield pd.DataFrame([(r.name_, render(data.reshape([int(n) for n in r.shape_]), np.array([list(a) for a in r.affine])))], columns=["name", "content"])
 
     df.select("name", "shape", "affine", "data").mapInPandas(run, "name string, content binary").write.mode("overwrite").parquet(path)
 
@@ -166,3 +209,9 @@ def lps_affine(origin: np.ndarray, spacing: np.ndarray, direction: np.ndarray) -
     out = np.eye(4)
     out[:3, :3], out[:3, 3] = np.asarray(direction) * spacing, origin
     return np.diag([-1.0, -1.0, 1.0, 1.0]) @ out
+
+
+def voxel_map(a: np.ndarray, b: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Voxel indices (rows) of the grid with affine ``a`` as indices of the grid with affine ``b``."""
+    world = np.asarray(index, dtype=float) @ np.asarray(a)[:3, :3].T + np.asarray(a)[:3, 3]
+    return (world - np.asarray(b)[:3, 3]) @ np.linalg.inv(np.asarray(b)[:3, :3]).T
