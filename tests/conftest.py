@@ -25,3 +25,16 @@ def sf():
     if not os.path.isdir(path):
         pytest.skip("no test data here")
     return path
+
+
+@pytest.fixture(autouse=True)
+def settings_stay(request):
+    """No query or operator changes how Spark hands rows to Python: the session is the caller's."""
+    if "spark" not in request.fixturenames:
+        yield
+        return
+    conf = request.getfixturevalue("spark").conf
+    names = [f"spark.sql.execution.arrow.{n}" for n in ("maxRecordsPerBatch", "maxBytesPerBatch", "pyspark.enabled")] + ["spark.sql.shuffle.partitions"]
+    before = [conf.get(n) for n in names]
+    yield
+    assert [conf.get(n) for n in names] == before
