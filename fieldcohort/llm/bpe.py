@@ -12,6 +12,7 @@ import base64
 import functools
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -22,13 +23,15 @@ import regex
 from pandas.util import hash_array
 from pyspark.sql import DataFrame
 
-from fieldcohort.llm.common import arrow_limits, release, slices
+from fieldcohort.llm.common import release, slices
 from fieldcohort.llm.hashing import mix
 
 #: Entries of each of the memo's two generations of encoded pre-tokens; when the young one is full, it replaces the old.
 MEMO = 200_000
 #: Longer pre-tokens are not kept in the memo.
 MEMO_LENGTH = 64
+#: Bytes from which on a pre-token's lists are arrays.
+LONG = 1 << 16
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -116,6 +119,8 @@ class Codec:
     def merge(self, raw: bytes) -> list[int]:
         """The ids of one pre-token: the lowest-ranked neighbour pair, leftmost first, is joined until none is left."""
         n, pairs, join = len(raw), self.pairs, self.joins.get
+        if n > LONG:
+            return self._merge_long(raw)
         # rank of the pair that begins at each place; -1: none, -2: joined to the one before
         rank_at = [pairs[(a << 8) | b] for a, b in zip(raw, raw[1:])]  # noqa: B905
         heap = [(r << 32) | k for k, r in enumerate(rank_at) if r >= 0]
@@ -125,8 +130,38 @@ class Codec:
         heapq.heapify(heap)
         rank_at.append(-1)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pop, push = heapq.heappop, heapq.heappush
-        while heap:
+        self._join(heap, ids, rank_at, after, before, join)
+        return [x for x, r in zip(ids, rank_at, strict=True) if r != -2]
+
+    def _merge_long(self, raw: bytes) -> list[int]:
+        """``merge`` for a very long pre-token: 4 bytes a place in each list, and the pairs of its bytes, sorted, beside a
+        heap of the pairs that joining makes."""
+        n, byte = len(raw), np.frombuffer(raw, dtype=np.uint8).astype(np.int32)
+        ranks = np.array(self.pairs, dtype=np.int32)[(byte[:-1] << 8) | byte[1:]]
+        places = np.flatnonzero(ranks >= 0)
+        first = (ranks[places].astype(np.int64) << 32) | places
+        first.sort()
+        of = np.array([-1 if x is None else x for x in self.single], dtype=np.int32)
+        ids, rank_at = array("i", of[byte].tobytes()), array("i", np.append(ranks, -1).astype(np.int32).tobytes())
+        after, before = (array("i", np.arange(k, n + k, dtype=np.int32).tobytes()) for k in (1, -1))
+        heap: list[int] = []
+        for start in range(0, len(first), LONG):
+            part = first[start : start + LONG].tolist()
+            # pairs made so far come first where they rank lower; what is left goes on with the next part
+            for pair in part:
+                if heap and heap[0] < pair:
+                    self._join(heap, ids, rank_at, after, before, self.joins.get, pair)
+                if rank_at[pair & 0xFFFFFFFF] == pair >> 32:
+                    heapq.heappush(heap, pair)
+        self._join(heap, ids, rank_at, after, before, self.joins.get)
+        kept = np.frombuffer(rank_at, dtype=np.int32) != -2
+        return np.frombuffer(ids, dtype=np.int32)[kept].tolist()
+
+    @staticmethod
+    def _join(heap: list[int], ids, rank_at, after, before, join, until: int = 1 << 62) -> None:
+        """Join the pairs of the heap that rank before ``until``, and those that this makes."""
+        n, pop, push = len(ids), heapq.heappop, heapq.heappush
+        while heap and heap[0] < until:
             top = pop(heap)
             k, rank = top & 0xFFFFFFFF, top >> 32
             if rank_at[k] != rank:
@@ -143,7 +178,6 @@ class Codec:
                 rank_at[p] = r = join((ids[p] << 32) | rank, -1)
                 if r >= 0:
                     push(heap, (r << 32) | p)
-        return [x for x, r in zip(ids, rank_at, strict=True) if r != -2]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after the other, and where each text's ids end."""
@@ -205,7 +239,6 @@ def encode_documents(df: DataFrame, path: str, pattern: str, keep_ids: bool = Fa
     pass through row by row; an empty table gives no rows; other columns are not read.  Rows are independent, so a lost
     executor costs its own tasks only.
     """
-    arrow_limits(df.sparkSession)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * keep_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -20,9 +22,14 @@ SLICE_BYTES = 1 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset, a local one (tests)."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where that is unset, a temporary folder if all of Spark is one process (tests); on a cluster an error, since each
+    executor would write to a disk of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="fieldcohort-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -33,18 +40,36 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, tag: str) -> DataFrame:
+_open = threading.local()
+
+
+def staged(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder as Parquet and read it back: the lineage ends there, and losing an executor
-    costs no recomputation of what stands above."""
+    costs no recomputation of what stands above.
+
+    Inside ``passing`` the table is removed at the end, unless a result needs it longer (``keep``); then it belongs to the
+    ``passing`` around that one, if there is one.  Tables that a returned DataFrame reads stay in the folder."""
     spark, schema = df.sparkSession, df.schema
     path = scratch(spark, tag)
+    if len(levels := getattr(_open, "levels", ())) > 1:
+        levels[-2 if keep else -1].append(path)
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def arrow_limits(spark: SparkSession, most: int = 4 << 20) -> None:
-    """Bound the bytes of the Arrow batches that Spark hands to Python, so that long texts cannot pile up in one batch."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """Remove, at the end, the tables that were staged inside."""
+    levels = _open.__dict__.setdefault("levels", [[]])
+    levels.append([])
+    try:
+        yield
+    finally:
+        for path in levels.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        if len(levels) == 1:
+            levels[0].clear()
 
 
 def release() -> None:
@@ -55,14 +80,17 @@ def release() -> None:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cut batches so that the texts of a slice have about ``most`` bytes (one row at least)."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut batches so that the texts, or lists of 8-byte numbers, of a slice have about ``most`` bytes (one row at least).
+
+    Spark's batches have up to 64 MB unless the session says otherwise; what Python makes of a slice is bounded by this."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        col = batch.column(batch.schema.get_field_index(text))
-        sizes = np.asarray(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        col = batch.column(batch.schema.get_field_index(column))
+        length = pc.multiply(pc.list_value_length(col).cast(pa.int64()), 8) if pa.types.is_list(col.type) else pc.binary_length(col)
+        sizes = np.asarray(pc.fill_null(length, 0).to_numpy(zero_copy_only=False), dtype=np.int64)
         ends = np.cumsum(sizes)
         start = 0
         while start < n:
@@ -86,11 +114,30 @@ def without(docs: DataFrame, ids: DataFrame, tag: str) -> DataFrame:
     """The rows of ``docs`` whose doc_id is not in ``ids`` (id); rows without doc_id stay.
 
     Up to BROADCAST_IDS ids are broadcast, so that the texts stay where they are; beyond that both sides are shuffled."""
-    gone = staged(ids.where("id is not null").select(F.col("id").alias("__gone")).distinct(), tag)
+    gone = staged(ids.where("id is not null").select(F.col("id").alias("__gone")).distinct(), tag, keep=True)
     gone = F.broadcast(gone) if within(gone, BROADCAST_IDS) else gone
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 
+#: A key is hot if it has more than one in so many rows; there are no more hot keys than this.
+HOT = 1000
+#: Rows (of a few numbers each) up to which any one of its keys fits a task, so that no join of a table is divided.
+EASY = 1 << 24
+
+
+def join_by_key(rows: DataFrame, one: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``one``, which has a row for each key and in ``n`` how many rows have that key.
+
+    Beyond EASY rows, keys with more than 1 / HOT of the ``total`` rows, HOT of them at most, are broadcast, so that their
+    rows stay where they are; only the others are shuffled."""
+    if total <= EASY:
+        return rows.join(one, keys)
+    is_hot = F.col(n) * HOT > total
+    hot = F.broadcast(one.where(is_hot))
+    cold = rows.join(hot.select(*keys), keys, "left_anti").join(one.where(~is_hot), keys)
+    return rows.join(hot, keys).unionByName(cold)
+
+
 def crc32_fold(column, folds: int):
     """crc32 of the value as text, modulo ``folds``."""
     return F.crc32(column.cast("string").cast("binary")) % folds

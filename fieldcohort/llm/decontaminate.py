@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldcohort.llm import hashing
-from fieldcohort.llm.common import arrow_limits, slices, without
+from fieldcohort.llm.common import slices, without
 
 ITEMS, PASSAGE, SKETCH, LATENT = 2000, 64, 40, 32
 COSINE, LCS, SURE, ANSWER = 0.65, 0.7, 0.9, 0.6
@@ -394,7 +394,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS
     repeated ids are handled row by row and a null doc_id stays null.  Empty tables give no rows; other columns are not
     read.  Words are runs of ASCII letters and digits and of other characters, A-Z lower-cased.
     """
-    arrow_limits(docs.sparkSession)
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     benchmark = benchmark.selectExpr("cast(item_id as long) item_id", "text")
     blocks = max(1, -(-benchmark.count() // items_at_once))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldcohort.llm import hashing
-from fieldcohort.llm.common import BROADCAST_IDS, arrow_limits, slices, staged, within, without
+from fieldcohort.llm.common import BROADCAST_IDS, EASY, join_by_key, passing, slices, staged, within, without
 from fieldcohort.llm.components import components
 
 BANDS, ROWS, WORDS, PERCENT = 32, 4, 5, 80
@@ -133,7 +133,7 @@ def _counted(sets: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(COUNTERS, dtype=np.int64)
-        for batch in batches:
+        for batch in slices(batches, "shingles", 4 << 20):
             seen += np.bincount(_counter(batch.column("shingles").flatten().to_numpy()), minlength=COUNTERS)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["at", "n"])
@@ -162,7 +162,7 @@ def prefixes(sets: DataFrame, counts: np.ndarray, percent: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = table.value
-        for batch in batches:
+        for batch in slices(batches, "shingles", 4 << 20):
             column = batch.column("shingles")
             n = pc.list_value_length(column).to_numpy().astype(np.int64)
             flat, owner = column.flatten().to_numpy(), np.repeat(np.arange(len(n)), n)
@@ -265,35 +265,47 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     row without doc_id takes no part: component_id null, kept true.  An empty table gives no rows; other columns are not
     read.
     """
-    arrow_limits(docs.sparkSession)
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
-    rows_of = staged(sketch_documents(docs, words, bands, rows), "sketches")
+    with passing(docs.sparkSession):
+        rows_of = staged(sketch_documents(docs, words, bands, rows), "sketches", keep=True)
+        labels = staged(_labels(docs, rows_of, words, percent, bands), "labels", keep=True)
+    final = rows_of.select("doc_id", "n_shingles").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    return final.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"), F.coalesce(F.col("label").isNull() | (F.col("label") == F.col("doc_id")), F.lit(True)).alias("kept"))
+
+
+def _labels(docs: DataFrame, rows_of: DataFrame, words: int, percent: int, bands: int) -> DataFrame:
+    """(id, label) of all documents that have links, from the sketches of all rows."""
     some = rows_of.where("n_shingles > 0 and doc_id is not null")
+    total = rows_of.count()
     same = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     # the links of equal sets: each document with the smallest of its set
-    copies = some.join(same.where("n > 1"), ["h1", "h2"]).where("doc_id <> rep").selectExpr("doc_id a", "rep b").distinct()
+    copies = join_by_key(some.select("h1", "h2", "doc_id"), same.where("n > 1"), ["h1", "h2"], "n", total).where("doc_id <> rep").selectExpr("doc_id a", "rep b").distinct()
     nodes = some.join(same.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi")
     keyed = nodes.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    total *= bands
+    keyed = staged(keyed, "keys") if total > EASY else keyed
     shared = keyed.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("first <> last").select("key", "n")
-    members = staged(keyed.join(shared, "key"), "buckets")
+    members = staged(join_by_key(keyed, shared, ["key"], "n", total), "buckets")
+    total = members.count()
     # a node's weight: the members of its buckets, all told; a bucket's hub: its node of the largest weight
     weights = members.groupBy("id").agg(F.sum("n").alias("w"))
-    hubs = members.join(weights, "id").groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("m"))).alias("hub"))
+    hubs = members.join(weights, "id").groupBy("key").agg(F.max(F.struct("w", (-F.col("id")).alias("m"))).alias("hub"), F.count(F.lit(1)).alias("k"))
     wanted = weights.select(F.col("id").alias("doc_id"))
     near = F.broadcast(wanted) if within(wanted, BROADCAST_IDS) else wanted
     sets = staged(shingle_sets(docs.join(near, "doc_id", "left_semi"), words), "sets")
     lows = staged(some.join(near, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "low", F.col("n_shingles").alias("n")), "lows")
 
     # first each node and the heaviest hub of its buckets
-    met = members.join(hubs, "key").select("id", F.col("hub.w").alias("w"), F.col("hub.m").alias("m")).where("id <> -m")
+    met = join_by_key(members.select("key", "id"), hubs, ["key"], "k", total).select("id", F.col("hub.w").alias("w"), F.col("hub.m").alias("m")).where("id <> -m")
     pairs = met.groupBy(F.col("id").alias("a")).agg(F.max(F.struct("w", "m")).alias("best")).select("a", (-F.col("best.m")).alias("b"))
     labels = components(copies.unionByName(verified(pairs, lows, sets, percent)))
     # then all that share a bucket and are not joined
     labelled = _labelled(members.select("key", "id"), labels, "id", "label")
+    labelled = staged(labelled, "labelled") if total > EASY else labelled
     parts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
     split = parts.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k")).where("k > 1")
-    split = split.select("key", F.col("most.label").alias("largest"), (F.col("n") * (F.col("n") - F.col("most.n"))).alias("cost"))
-    active = staged(labelled.join(split, "key"), "active")
+    split = split.select("key", F.col("most.label").alias("largest"), "n", (F.col("n") * (F.col("n") - F.col("most.n"))).alias("cost"))
+    active = staged(join_by_key(labelled, split, ["key"], "n", total), "active")
     few = active.where(f"cost <= {PAIRS}")
     outside = few.where("label <> largest").select("key", F.col("id").alias("u"), F.col("label").alias("lu"))
     pairs = outside.join(few.select("key", "id", "label"), "key").where("lu <> label").select(F.least("u", "id").alias("a"), F.greatest("u", "id").alias("b")).distinct()
@@ -301,10 +313,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     # a node of a larger bucket may be in the largest component of one and outside that of another
     hot = active.where(f"cost > {PAIRS}").groupBy("id", "label").agg(F.max(F.col("label") != F.col("largest")).alias("outer"))
     found = staged(links.unionByName(_by_prefix(hot, sets, lows, percent)).distinct(), "edges")
-    labels = labels if found.isEmpty() else components(found, labels)
-
-    final = rows_of.select("doc_id", "n_shingles").join(labels.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    return final.select("doc_id", "n_shingles", F.coalesce("label", "doc_id").alias("component_id"), F.coalesce(F.col("label").isNull() | (F.col("label") == F.col("doc_id")), F.lit(True)).alias("kept"))
+    return labels if found.isEmpty() else components(found, labels)
 
 
 def reject_copies(docs: DataFrame, **how) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldcohort.llm.common import arrow_limits, crc32_fold, slices
+from fieldcohort.llm.common import crc32_fold, slices
 
 #: Labelled rows that a model is fitted on, at most.
 TRAIN_ROWS = 20_000
@@ -175,15 +175,16 @@ def _features_of(docs: DataFrame, extra: str = "") -> DataFrame:
 def score_documents(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """Score every whole text: doc_id, held_out, score (likelihood of quality 1), predicted.
 
-    Labels come only from rows with crc32(doc_id) mod 5 other than 0, at most ``train_rows`` of them; null labels are left
-    out, repeated ones each count.  Without any label all scores are 0.5.  A null text scores as an empty one.  A null
+    Labels come only from rows with crc32(doc_id) mod 5 other than 0, at most ``train_rows`` of them and of the documents that
+    they meet; null labels are left out, repeated ones each count.  Without any label all scores are 0.5.  A null text scores as an empty one.  A null
     doc_id is scored, held_out false.  An empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    arrow_limits(spark)
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     chosen = training_rows(labels, ["quality"], train_rows)
-    sample = _features_of(docs.join(F.broadcast(chosen), "doc_id").select("text", F.col("quality").cast("int")), "quality int").collect()
+    # repeated doc_ids may have more documents than labels: those with the smallest hashes are taken
+    sample = _features_of(docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("quality").cast("int")), "doc_id long, quality int")
+    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "x").limit(train_rows).collect()
     y = np.array([r["quality"] for r in sample], dtype=np.float64)
     x = np.array([r["x"] for r in sample], dtype=np.float64).reshape(len(sample), len(FEATURES))
     model = spark.sparkContext.broadcast(fit(x, (y > 0).astype(np.float64)) if len(y) else Model([], 0.0, [], [], [], []))

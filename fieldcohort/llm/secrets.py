@@ -168,7 +168,8 @@ def scan(df: DataFrame, text: str = "text", classes: dict = CLASSES, allowed: tu
 
     Base patterns: leftmost non-overlapping per kind, a match that is too short is dropped after it was consumed.  A null
     or empty text has no spans.  Rows are handled one by one: repeated rows repeat, an empty table stays empty.  Columns of
-    ``df`` named like the added ones are replaced; those named ``__runs`` or ``__assign`` are dropped.
+    ``df`` named like the added ones are replaced; those named ``__runs``, ``__assign``, ``__access``, ``__hex``
+    or ``__entropy`` are dropped.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     marked = df.withColumns({"__runs": matches(whole, RUN), "__assign": matches(whole, ASSIGN, ASSIGN_MIN, 2)})

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 
-from fieldcohort.llm.common import arrow_limits, slices
+from fieldcohort.llm.common import slices
 
 CHUNK, OVERLAP, LIMIT = 1 << 16, 1 << 10, 4096
 #: How the model writes a blank.
@@ -100,7 +100,6 @@ def count_documents(df: DataFrame, path: str, limit: int = LIMIT, chunk: int = C
     bytes, no tokens.  Null or repeated doc_ids pass through row by row; an empty table gives no rows; other columns are
     not read.
     """
-    arrow_limits(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = counter(path, chunk, overlap)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldcohort.llm import hashing
-from fieldcohort.llm.common import arrow_limits, slices, staged, without
+from fieldcohort.llm.common import slices, staged, within, without
 from fieldcohort.llm.quality import training_rows
 
 #: Labelled rows that the chain is fitted on, at most.
@@ -172,7 +172,11 @@ def fit_chain(docs: DataFrame, labels: DataFrame, chain=CHAIN, train_rows: int =
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[batch.column(n) for n in names], pa.ListArray.from_arrays(pa.array(ends), pa.array(bucket.astype(np.int32)))], names=["doc_id", *names, "words"])
 
     fields = ", ".join(f"{n} int" for n in names)
-    sample = staged(joined.select("doc_id", "text", *flags).mapInArrow(run, f"doc_id long, {fields}, words array<int>"), "toxic-sample")
+    found = joined.select("doc_id", "text", *flags).mapInArrow(run, f"doc_id long, {fields}, words array<int>")
+    # repeated doc_ids may have more documents than labels: as many rows are kept as there may be labels
+    sample = staged(found, "toxic-sample")
+    if not within(sample, train_rows):
+        sample = staged(sample.orderBy(F.xxhash64("doc_id"), "doc_id", *names, "words").limit(train_rows), "toxic-sample")
     totals = sample.agg(F.count(F.lit(1)).alias("n"), *[F.sum(n).alias(n) for n in names]).first()
     if not totals["n"]:
         return Chain(np.zeros(0, dtype=np.int64), names)
@@ -205,7 +209,6 @@ def score_documents(docs: DataFrame, labels: DataFrame, chain=CHAIN, train_rows:
     toxic.  A null text counts as empty.  Rows with null or repeated doc_ids are scored one by one; an empty table gives
     no rows; other columns are not read.
     """
-    arrow_limits(docs.sparkSession)
     names = tuple(c[0] for c in chain)
     fitted = fit_chain(docs, labels, chain, train_rows)
     model = docs.sparkSession.sparkContext.broadcast(fitted)

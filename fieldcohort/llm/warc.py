@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldcohort.llm.common import arrow_limits, staged, within
+from fieldcohort.llm.common import slices, staged, within
 
 ARCHIVE_BYTES = 8 << 20
 #: Payloads from this size on are written once, others of the same digest revisit them.
@@ -194,11 +194,10 @@ def write_archives(pages: DataFrame, path: str, least: int = REVISIT_BYTES, most
     response (all rows, where that id repeats), others revisit it, those without an id too; if none has an id, all are
     responses.  Null urls are left out of the record; other columns are not read; an empty table gives no archive.
     """
-    arrow_limits(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive, size = [], 0
-        for batch in batches:
+        for batch in slices(batches, "html"):
             for row in batch.to_pylist():
                 archive.append(one := member(row["page_id"], row["url"], (row["html"] or "").encode(), row["refers_to"]))
                 size += len(one)
@@ -215,8 +214,10 @@ def write_archives(pages: DataFrame, path: str, least: int = REVISIT_BYTES, most
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """Read all archives below ``path``: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    arrow_limits(spark)
+    """Read all archives below ``path``: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Spark hands over each archive file as a whole (what it inflates to is not held); those written here have about
+    ARCHIVE_BYTES.  A file from elsewhere takes about three times its size in an executor and must be under 2 GB."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

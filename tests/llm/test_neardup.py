@@ -1,3 +1,4 @@
+import importlib
 import random
 import re
 from collections import defaultdict
@@ -107,6 +108,16 @@ def test_prefixes_lose_no_pair(spark, percent):
                 assert (a, b) in met
 
 
+def test_divided_joins(spark, monkeypatch):
+    # as for large tables: hot keys and hubs are joined apart
+    from fieldcohort.llm import common
+
+    for module in (common, neardup, importlib.import_module("fieldcohort.llm.components")):
+        monkeypatch.setattr(module, "EASY", 10)
+    texts = groups(6, 40) | {900 + k: "one and the same text of a few words that many have " * 2 for k in range(60)}
+    compare(spark, texts, 4)
+
+
 def test_words_and_cases(spark):
     texts = {1: None, 2: "", 3: "  \t\n", 4: "one two", 5: "ONE\ttwo", 6: "one", 7: "Ünder straße a b c", 8: "ünder straße a b c", 9: "x " * 50_000, 10: "x " * 60_000, 11: "a b c d", 12: "A B C D", 13: "a b c d e"}
     compare(spark, texts, 4)

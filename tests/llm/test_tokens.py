@@ -97,3 +97,14 @@ def test_op4(spark, sf):
     model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     assert {r.doc_id: r.n_tokens for r in registry.op4_token_counts(spark, sf).collect()} == {k: len(model.encode(t)) for k, t in texts.items()}
+
+
+def test_long_pretokens(monkeypatch):
+    codec = bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    rnd = random.Random(5)
+    runs = ["a" * 700, "ab" * 400, "".join(rnd.choice("etaoinshrdlu") for _ in range(3000)), "".join(rnd.choice("the ing and".replace(" ", "")) for _ in range(2000)), "é" * 500, "語" * 300 + "x" * 300]
+    short = [codec.merge(r.encode()) for r in runs]
+    monkeypatch.setattr(bpe, "LONG", 50)
+    assert [codec.merge(r.encode()) for r in runs] == short
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
+    assert short[2] == library.encode_ordinary(runs[2])
