@@ -67,14 +67,27 @@ def hilbert_index(coordinates: list[Column], bits: int) -> Column:
     return _let(F.array(*[c.cast("int") for c in coordinates]), lambda v: run(v, steps))
 
 
+def _hashed(value: Column, bits: int) -> Column:
+    return (F.crc32(F.coalesce(value.cast("string"), F.lit("null")).cast("binary")) % (1 << bits)).cast("int")
+
+
+def cells_of(bits: int = BITS, source: str | None = None, lang: str | None = None, size: int | None = None) -> dict[str, Column]:
+    """The coordinates of given values, by column name: what a reader of ``write_shards``' files adds to its filter, so that
+    whole files are skipped by their min/max statistics."""
+    given = {"source_cell": source, "lang_cell": lang}
+    out = {c: _hashed(F.lit(v), bits) for c, v in given.items() if v is not None}
+    return out | ({"size_cell": _size_cell(F.lit(size), bits)} if size is not None else {})
+
+
+def _size_cell(size: Column, bits: int) -> Column:
+    return F.least(F.lit((1 << bits) - 1), F.floor(F.log2(size.cast("double"))).cast("int"))
+
+
 def quantised(text: Column, lang: Column, source: Column, bits: int) -> list[Column]:
     """The grid coordinates of a document: hashed source, hashed language, and the size on a log scale.
 
     Nulls get a cell of their own kind: they hash as the word "null"."""
-    cells = 1 << bits
-    of = lambda c: (F.crc32(F.coalesce(c.cast("string"), F.lit("null")).cast("binary")) % cells).cast("int")
-    size = F.coalesce(F.octet_length(text), F.lit(0)) + 1
-    return [of(source), of(lang), F.least(F.lit(cells - 1), F.floor(F.log2(size.cast("double"))).cast("int"))]
+    return [_hashed(source, bits), _hashed(lang, bits), _size_cell(F.coalesce(F.octet_length(text), F.lit(0)) + 1, bits)]
 
 
 def shard(df: DataFrame, shards: int = SHARDS, bits: int = BITS, salts: int = SALTS) -> DataFrame:
@@ -82,8 +95,8 @@ def shard(df: DataFrame, shards: int = SHARDS, bits: int = BITS, salts: int = SA
 
     Returns doc_id, size (UTF-8 bytes + 1), text_crc32, law, shard, slot, grown_shard and curve (the Hilbert index).
     The law is ``rows``: counts of shards differ by one at most, and slots count from 0 without gaps.  Within a cell rows
-    follow a salt from their id, then the id, then size and checksum.  A null text has size 1 and no checksum; a null id
-    sorts first; rows that are alike in all of these get neighbouring slots in any order; an empty table gives no rows.
+    follow a salt from id, size and checksum, then these.  A null text has size 1 and no checksum; a null id sorts first; rows
+    that are alike in all of these get neighbouring slots in any order; an empty table gives no rows.
     Other columns of ``df``, whatever their names, are not read.
     """
     where = quantised(F.col("text"), F.col("lang"), F.col("source"), bits)
@@ -92,8 +105,7 @@ def shard(df: DataFrame, shards: int = SHARDS, bits: int = BITS, salts: int = SA
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.col("text").cast("binary")).cast("long").alias("text_crc32"),
         hilbert_index(where, bits).alias("curve"),
-        F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1))), F.lit(salts)).cast("int").alias("salt"),
-    )
+            ).withColumn("salt", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(salts)).cast("int"))
     # rows are narrow and are read three times; the texts are read once
     rows = staged(rows, "shard-rows")
     parts = rows.groupBy("curve", "salt").agg(F.count(F.lit(1)).alias("n"))
@@ -115,10 +127,26 @@ def shard(df: DataFrame, shards: int = SHARDS, bits: int = BITS, salts: int = SA
     )
 
 
-def write_shards(df: DataFrame, path: str, **how) -> None:
-    """Write the rows of ``df`` as one folder per shard, in slot order, so that files prune on every quantised dimension.
-
-    ``df`` must have unique doc_ids; its text travels once, to its shard."""
-    placed = shard(df, **how).select(F.col("doc_id").alias("__id"), "shard", "slot", "curve")
-    joined = df.join(placed, df["doc_id"].eqNullSafe(placed["__id"])).drop("__id")
+#: Columns that ``write_shards`` adds.
+ADDED = ("shard", "slot", "curve", "source_cell", "lang_cell", "size_cell")
+
+
+def write_shards(df: DataFrame, path: str, shards: int = SHARDS, bits: int = BITS, salts: int = SALTS) -> None:
+    """Write the rows of ``df`` (doc_id, text, lang, source and others) as one folder per shard, in slot order.
+
+    Files hold the columns of ``df`` and ADDED: shard, slot, curve index and the coordinates it comes from, small integers
+    whose ranges in a file are narrow; a filter on them (``cells_of``) skips files on every quantised dimension.  Columns of
+    ``df`` with one of these names are replaced.  Null texts and null or repeated doc_ids are rows like others: rows that
+    are alike in id, size and checksum are numbered on both sides, so that each gets one place.  An empty table writes no
+    rows.  A text travels to its place in the order, where it meets its shard, and from there to its shard."""
+    df = df.drop(*ADDED)
+    keys = ["__id", "__size", "__crc"]
+    of = Window.partitionBy(*keys).orderBy(F.lit(1))
+    placed = shard(df, shards, bits, salts).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("text_crc32").alias("__crc"), "shard", "slot", "curve")
+    placed = placed.withColumn("__k", F.row_number().over(of))
+    cells = dict(zip(ADDED[3:], quantised(F.col("text"), F.col("lang"), F.col("source"), bits), strict=True))
+    rows = df.withColumns({"__id": F.col("doc_id"), "__size": (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"), "__crc": F.crc32(F.col("text").cast("binary")).cast("long"), **cells})
+    rows = rows.withColumn("__k", F.row_number().over(of))
+    same = [rows[k].eqNullSafe(placed[k]) for k in [*keys, "__k"]]
+    joined = rows.join(placed, same).select(*[rows[c] for c in [*df.columns, *ADDED[3:]]], placed["shard"], placed["slot"], placed["curve"])
     joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

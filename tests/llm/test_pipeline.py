@@ -44,3 +44,16 @@ def test_stages_keep_odd_rows(spark, sf):
 
 def test_stage_list():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "byte_bpe"]
+
+
+def test_stages_on_repeated_rows(spark, sf):
+    # rows that repeat, texts that tie, ids that repeat: a stage decides by id, keeps every row of a kept one, and again the same
+    long = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, long, "en", "s", 9)] * 3 + [(2, long, "en", "s", 9), (2, "another text of its own", "en", "s", 9), (3, "short", "en", "s", 5), (4, "short", "en", "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    count = lambda df: sorted(r.doc_id for r in df.collect())
+    kept = [1, 1, 1, 3]
+    # 2 is a copy of 1 by one of its texts, 4 of 3
+    for (name, stage), want in zip(corpus_pipeline.STAGES, ([1, 1, 1, 2, 2, 3, 4], kept, kept, kept, kept), strict=True):
+        docs = common.staged(stage(spark, docs, sf), "test")
+        assert count(docs) == want, name

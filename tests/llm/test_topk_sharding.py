@@ -1,9 +1,13 @@
+import glob
+import struct
 import zlib
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
+import xxhash
 
 from fieldcohort.llm import registry, sharding, topk
 
@@ -103,6 +107,52 @@ def test_op7(spark, sf):
     assert order == sorted(order)
 
 
+def hilbert(point, bits):
+    """The place of a point on the curve, by going down the octants and turning the rest of the way into each."""
+    x, n = list(point), len(point)
+    for b in range(bits - 1, 0, -1):
+        low = (1 << b) - 1
+        for k in range(n):
+            if x[k] >> b & 1:
+                x[0] ^= low
+            else:
+                t = (x[0] ^ x[k]) & low
+                x[0], x[k] = x[0] ^ t, x[k] ^ t
+    for k in range(1, n):
+        x[k] ^= x[k - 1]
+    t = 0
+    for b in range(bits - 1, 0, -1):
+        if x[-1] >> b & 1:
+            t ^= (1 << b) - 1
+    x = [v ^ t for v in x]
+    return int("".join(str(v >> b & 1) for b in range(bits - 1, -1, -1) for v in x), 2)
+
+
+def test_op7_by_sorting_everything(spark, sf):
+    path = "/root/testdata/sf0.01"
+    docs = [(r.doc_id, r.text, r.lang, r.source) for r in spark.read.parquet(f"{path}/documents.parquet").collect()]
+    cell = lambda v: zlib.crc32(("null" if v is None else v).encode()) % 16
+
+    def salt(*values):
+        h = 42
+        for v in values:
+            h = h if v is None else xxhash.xxh64_intdigest(struct.pack("<q", v), h)
+        return h % 256 if h < 1 << 63 else (h - (1 << 64)) % 256
+
+    rows = []
+    for doc_id, text, lang, source in docs:
+        size, crc = len((text or "").encode()) + 1, None if text is None else zlib.crc32(text.encode())
+        curve = hilbert((cell(source), cell(lang), min(15, size.bit_length() - 1)), 4)
+        rows.append((curve, salt(doc_id, size, crc), doc_id, size, crc))
+    rows.sort()
+    n = len(rows)
+    got = {r.doc_id: (r.curve, r.size, r.text_crc32, r.shard, r.slot) for r in registry.op7_hilbert_sharding(spark, path).collect()}
+    for rank, (curve, _, doc_id, size, crc) in enumerate(rows):
+        shard = rank * 16 // n
+        assert got[doc_id] == (curve, size, crc, shard, rank - (shard * n + 15) // 16)
+    assert len(got) == n
+
+
 def test_sharding_cases(spark):
     rows = [(k % 7, "same text", "en", "src0", 1) for k in range(40)] + [(None, None, None, None, 1), (100, "", "de", "x", 1), (101, "é" * 100_000, None, "x", 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, shard int")
@@ -121,3 +171,48 @@ def test_written_shards_prune(spark, sf):
     sharding.write_shards(docs, path, shards=4)
     back = spark.read.parquet(path)
     assert back.count() == docs.count() and back.select("shard").distinct().count() == 4
+
+
+def opened(path, column, cell):
+    """How many of the shards' files a reader opens that knows their min/max statistics, how many hold the cell, and how many there are."""
+    files = [pq.ParquetFile(f) for f in glob.glob(f"{path}/shard=*/*.parquet")]
+    at = files[0].schema_arrow.names.index(column)
+    stats = [[f.metadata.row_group(g).column(at).statistics for g in range(f.metadata.num_row_groups)] for f in files]
+    may = [any(s.min <= cell <= s.max for s in groups) for groups in stats]
+    holds = [cell in f.read([column])[column].to_pylist() for f in files]
+    assert all(m for m, h in zip(may, holds, strict=True) if h)
+    return sum(may), sum(holds), len(files)
+
+
+def test_filters_skip_files(spark):
+    from fieldcohort.llm import common
+
+    docs, path = spark.read.parquet("/root/testdata/sf0.1/documents.parquet"), common.scratch(spark, "shards")
+    sharding.write_shards(docs, path)
+    back, local = spark.read.parquet(path), path.removeprefix("file://")
+    assert back.columns == [*docs.columns, "source_cell", "lang_cell", "size_cell", "slot", "curve", "shard"]
+    for column in ("source", "lang"):
+        read = []
+        for value in [r[0] for r in docs.select(column).distinct().collect()]:
+            cell = sharding.cells_of(**{column: value})[f"{column}_cell"]
+            number = spark.range(1).select(cell).first()[0]
+            read.append(opened(local, f"{column}_cell", number))
+            want = docs.where(docs[column] == value).count()
+            assert back.where((back[f"{column}_cell"] == cell) & (back[column] == value)).count() == want
+        files = read[0][2]
+        # a reader without the coordinate has to open all files
+        assert files >= 16 and np.mean([m for m, _, _ in read]) <= 0.75 * files, read
+    sizes = [opened(local, "size_cell", k) for k in (7, 9, 11)]
+    assert np.mean([m for m, _, _ in sizes]) <= 0.9 * files, sizes
+
+
+def test_written_shards_of_odd_rows(spark):
+    from fieldcohort.llm import common
+
+    rows = [(k % 5, "same text", "en", "src0", k) for k in range(20)] + [(None, None, None, None, 1), (None, None, None, None, 2), (100, "", "de", "x", 3)]
+    df, path = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, shard int"), common.scratch(spark, "shards")
+    sharding.write_shards(df, path, shards=3)
+    back = spark.read.parquet(path).collect()
+    assert sorted(Counter((r.doc_id or -1, r.text or "") for r in back).items()) == sorted(Counter((d or -1, t or "") for d, t, *_ in rows).items())
+    check_rows_law([r for r in spark.createDataFrame(back).withColumnsRenamed({}).selectExpr("shard", "slot", "'rows' law", "cast(null as int) grown_shard").collect()], 23, 3)
+    sharding.write_shards(df.limit(0), path + "-none", shards=3)
