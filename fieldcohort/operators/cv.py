@@ -10,7 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DESIGN_ROWS = 200_000
@@ -137,11 +137,12 @@ def coefficient_summary(long: DataFrame) -> DataFrame:
 # --- validation of large designs, in Spark ----------------------------------------------------------------------------
 
 
-def fold_sums(df: DataFrame, features: list[str], outcome: str) -> DataFrame:
-    """For each fold the sums of products that a linear fit needs, over all its rows: one row a fold, whatever the design."""
+def fold_sums(df: DataFrame, features: list[str], outcome: str, folds: list[str] = ["fold"]) -> DataFrame:
+    """For each fold (or cell of several kinds of folds) the sums of products that a linear fit needs, over all its rows: one
+    row a fold, whatever the design."""
     terms = [F.lit(1.0), *[F.col(f).cast("double") for f in features], F.col(outcome).cast("double")]
     sums = [F.sum(a * b) for k, a in enumerate(terms) for b in terms[k:]]
-    return df.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("products"))
+    return df.groupBy(*folds).agg(F.count(F.lit(1)).alias("n"), F.array(*sums).alias("products"))
 
 
 def _ridge_from_sums(products: np.ndarray, size: int, alphas: list[float]) -> list[tuple[float, list[float], list[float], list[float], float]]:
@@ -167,11 +168,39 @@ def fold_fits(df: DataFrame, features: list[str], outcome: str, alphas: list[flo
     return df.sparkSession.createDataFrame(made, "fold int, alpha double, means array<double>, scales array<double>, slopes array<double>, intercept double")
 
 
+def _predicted(features: list[str]) -> Column:
+    """What a fit in columns (means, scales, slopes, intercept) says of a row's features."""
+    out = F.col("intercept")
+    for k, f in enumerate(features):
+        out = out + F.get("slopes", k) * (F.col(f).cast("double") - F.get("means", k)) / F.get("scales", k)
+    return out
+
+
 def fold_scores(df: DataFrame, fits: DataFrame, features: list[str], outcome: str) -> DataFrame:
     """Every fit on the rows of its own fold: fold, alpha, n, mae, intercept, slopes."""
     joined = df.join(F.broadcast(fits), "fold")  # folds times alphas rows
-    predicted = F.col("intercept")
-    for k, f in enumerate(features):
-        predicted = predicted + F.get("slopes", k) * (F.col(f).cast("double") - F.get("means", k)) / F.get("scales", k)
-    each = joined.groupBy("fold", "alpha").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col(outcome) - predicted)).alias("mae"))
+    each = joined.groupBy("fold", "alpha").agg(F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col(outcome) - _predicted(features))).alias("mae"))
     return each.join(F.broadcast(fits.select("fold", "alpha", "intercept", "slopes")), ["fold", "alpha"])
+
+
+def nested_sums(df: DataFrame, features: list[str], outcome: str, alphas: list[float], outer: str = "outer", inner: str = "inner") -> DataFrame:
+    """Nested validation of ridge regression for designs of any size, without missing values, whose folds are columns.
+
+    For each outer fold, alpha has the least mean over the inner folds of the mean absolute error on the rows of that inner
+    fold outside the outer one (the smallest of equals); the fit on all rows outside the outer fold is scored inside it.
+    Returns outer, alpha, n, mae, intercept, slopes.  The sums of the cells of both kinds of folds reach the driver (a few
+    rows), fits go back by a broadcast, and errors are averaged before they are shuffled."""
+    cells = fold_sums(df, features, outcome, [outer, inner]).collect()
+    fits = []
+    for o in sorted({r[outer] for r in cells}):
+        for i in [None, *sorted({r[inner] for r in cells})]:
+            products = np.sum([r["products"] for r in cells if r[outer] != o and r[inner] != i], axis=0)
+            fits += [(o, i, *fit) for fit in _ridge_from_sums(products, len(features), sorted(alphas))]
+    table = df.sparkSession.createDataFrame(fits, "o int, i int, alpha double, means array<double>, scales array<double>, slopes array<double>, intercept double")
+    error = F.abs(F.col(outcome) - _predicted(features))
+    tuned = df.join(F.broadcast(table.where("i is not null")), (F.col(outer) != F.col("o")) & (F.col(inner) == F.col("i")))
+    each = tuned.groupBy("o", "i", "alpha").agg(F.avg(error).alias("mae")).groupBy("o", "alpha").agg(F.avg("mae").alias("mae"))
+    best = each.groupBy("o").agg(F.min(F.struct("mae", "alpha")).alias("best")).select("o", "best.alpha")
+    final = table.where("i is null").drop("i").join(best, ["o", "alpha"])
+    scored = df.join(F.broadcast(final), F.col(outer) == F.col("o"))
+    return scored.groupBy(F.col("o").alias(outer), "alpha").agg(F.count(F.lit(1)).alias("n"), F.avg(error).alias("mae"), F.first("intercept").alias("intercept"), F.first("slopes").alias("slopes"))

@@ -246,6 +246,14 @@ def support_audit(df: DataFrame, value: str, size: int, side: str = "side") -> D
     return df.where(opposite).groupBy("case_id").agg(F.count_if(F.coalesce(F.col(value) != 0, F.lit(True))).alias("nonzero"), F.max(F.abs(value)).alias("largest"))
 
 
+def support_of_maps(df: DataFrame, values: list[str], size: int, side: str = "side") -> DataFrame:
+    """``support_audit`` of several maps at once: (case_id, map, nonzero, largest)."""
+    opposite = contralateral(F.col("x"), size, F.col(side), 0.0)
+    wide = df.where(opposite).groupBy("case_id").agg(*[x for v in values for x in (F.count_if(F.coalesce(F.col(v) != 0, F.lit(True))).alias(f"{v}__nonzero"), F.max(F.abs(v)).alias(f"{v}__largest"))])
+    cells = F.array(*[F.struct(F.lit(v).alias("map"), F.col(f"{v}__nonzero").alias("nonzero"), F.col(f"{v}__largest").alias("largest")) for v in values])
+    return wide.select("case_id", F.explode(cells).alias("m")).select("case_id", "m.*")
+
+
 def nearest_sample(df: DataFrame, source: DataFrame, coordinates: tuple[str, str, str], value: str, shape: tuple[int, int, int], out: str = "sampled") -> DataFrame:
     """The source voxel nearest to each coordinate (halves go up), 0 where a coordinate is outside the grid."""
     near = [nearest(X.finite(F.col(c))).alias(f"__{a}") for a, c in zip(AXES, coordinates, strict=True)]

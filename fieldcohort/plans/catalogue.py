@@ -18,7 +18,7 @@ from fieldcohort.operators import kernels as K
 from fieldcohort.operators import voxel as V
 from fieldcohort.plans import proxies as P
 from fieldcohort.session import table
-from fieldcohort.sources import report
+from fieldcohort.sources import report, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -418,6 +418,27 @@ def q41b(spark, d):
     return got.select("case_id", "points", r6("rmse").alias("rmse"), r6("inliers").alias("inliers"))
 
 
+def _ortho(source: str, extra: str = "") -> str:
+    """Residuals of u0, u1, u2 of each case on 1, x, y, z, which are made orthogonal one after the other."""
+    w = "OVER (PARTITION BY case_id)"
+    steps = [f"a1 AS (SELECT *, x - avg(x) {w} AS p FROM {source})", f"a2 AS (SELECT *, y - avg(y) {w} - sum(y * p) {w} / sum(p * p) {w} * p AS q FROM a1)", f"a3 AS (SELECT *, z - avg(z) {w} - sum(z * p) {w} / sum(p * p) {w} * p - sum(z * q) {w} / sum(q * q) {w} * q AS r FROM a2)"]
+    left = [f"u{k} - avg(u{k}) {w} - " + " - ".join(f"sum(u{k} * {v}) {w} / sum({v} * {v}) {w} * {v}" for v in "pqr") + f" AS e{k}" for k in range(3)]
+    return f"(WITH {', '.join(steps)} SELECT * EXCLUDE (p, q, r), {', '.join(left)} FROM a3{extra})"
+
+
+@query(
+    "q41_affine_one_round",
+    P.sql("sided") + f", f AS (SELECT case_id, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z, u0, u1, u2 FROM sided WHERE valid), e AS (SELECT *, sqrt(e0 * e0 + e1 * e1 + e2 * e2) AS miss FROM {_ortho('f')}), "
+    "m AS (SELECT case_id, quantile_cont(miss, 0.5) AS mid FROM e GROUP BY 1), s AS (SELECT e.case_id, any_value(mid) AS mid, quantile_cont(abs(miss - mid), 0.5) AS mad, count(*) AS n FROM e JOIN m ON e.case_id = m.case_id GROUP BY 1), "
+    "k AS (SELECT e.case_id, x, y, z, u0, u1, u2, miss <= mid + 4.5 * greatest(1.4826 * mad, 1e-6) AS near, n FROM e JOIN s ON e.case_id = s.case_id), c AS (SELECT case_id, count(*) FILTER (WHERE near) >= 12 AS enough FROM k GROUP BY 1), "
+    f"g AS (SELECT k.case_id, x, y, z, u0, u1, u2, n FROM k JOIN c ON k.case_id = c.case_id WHERE near OR NOT enough), h AS {_ortho('g')} "
+    f"SELECT case_id, count(*)::INT AS points, {s6('sqrt(avg(e0 * e0 + e1 * e1 + e2 * e2))', 'rmse')}, {s6('count(*)::DOUBLE / any_value(n)', 'inliers')} FROM h GROUP BY 1",
+)
+def q41c(spark, d):
+    got = cases.affine_fits(_fields(spark, d), 1, 12, rounds=1)
+    return got.select("case_id", "points", r6("rmse").alias("rmse"), r6("inliers").alias("inliers"))
+
+
 _W = V.gaussian_weights(0.6)
 
 
@@ -528,12 +549,15 @@ _VARIANTS = "SELECT vec_id AS case_id, v.variant, embedding[1]::DOUBLE AS p, emb
     f"WITH t AS ({_VARIANTS}), g AS (SELECT * FROM t WHERE good), r AS (SELECT variant, p, q, " + ", ".join(f"{_RANK.format(g='variant', c=c)} AS r{c}" for c in "pqy") + f" FROM g) SELECT variant, 'a' AS feature, count(*) AS n, {s6('corr(rp, rq)', 'rho_primary')}, {s6('corr(rq, ry)', 'rho_outcome')}, {s6('quantile_cont(abs(p - q), 0.5)', 'median_abs_difference')} FROM r GROUP BY 1",
 )
 def q49(spark, d):
+    return rounded(inference.variant_agreement(*_variants(spark, d), ["a"], "y"), "rho_primary", "rho_outcome", "median_abs_difference")
+
+
+def _variants(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("case_id"), *[F.get("embedding", k).cast("double").alias(n) for k, n in enumerate(("hhd_a", "o", "y"))])
     variants = e.withColumn("v", F.explode(F.array(F.struct(F.lit("low").alias("variant"), F.lit(0.8).alias("k")), F.struct(F.lit("high").alias("variant"), F.lit(1.2).alias("k")))))
     # the third number is a float in the tables, so its product with 0.1 is taken in double
     rows = variants.select("case_id", "v.variant", (F.col("hhd_a") * F.col("v.k") + F.col("o") * 0.1).alias("a"), (F.col("case_id") % 17 != 0).cast("string").alias("velocity_qc_pass"))
-    got = inference.variant_agreement(e, rows, ["a"], "y")
-    return rounded(got, "rho_primary", "rho_outcome", "median_abs_difference")
+    return e, rows
 
 
 @query("q50_pipeline_agreement", "WITH a AS (SELECT vec_id, embedding[1]::DOUBLE AS d1, embedding[2]::DOUBLE AS d2 FROM embeddings), t AS (SELECT 'd1' AS descriptor, a.d1 AS x, b.d1 AS y FROM a JOIN a b ON a.vec_id = b.vec_id + 1 UNION ALL SELECT 'd2', a.d2, b.d2 FROM a JOIN a b ON a.vec_id = b.vec_id + 1) " + _spearman_sql("t", "x", "y", "descriptor"))
@@ -609,6 +633,102 @@ def q59(spark, d):
     return got.select("repeat", "model", "n", *[F.round(c, 3).alias(c) for c in ("mae", "rmse", "r2", "pearson_r")])
 
 
+_NEST = ("WITH f AS (SELECT c_custkey AS k, c_acctbal::DOUBLE AS x, (c_custkey * 53 % 997)::DOUBLE + c_acctbal / 50 AS y, ntile(5) OVER (ORDER BY md5(concat_ws(':', 1, c_custkey)), c_custkey)::INT AS o, ntile(4) OVER (ORDER BY md5(concat_ws(':', 2, c_custkey)), c_custkey)::INT AS i FROM customer), "
+    "t AS (SELECT a.o, b.i, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, covar_pop(x, y) * count(*) / stddev_pop(x) AS sxy, count(*)::DOUBLE AS n FROM f JOIN (SELECT unnest(range(1, 6)) AS o) a ON f.o <> a.o JOIN (SELECT unnest(range(0, 5)) AS i) b ON f.i <> b.i GROUP BY 1, 2), "
+    f"w AS (SELECT t.*, alpha::DOUBLE AS alpha, sxy / (n + alpha) AS b FROM t, (VALUES {', '.join(f'({a})' for a in _ALPHAS)}) v(alpha)), e AS (SELECT w.o, w.i, alpha, avg(abs(y - my - b * (x - mx) / sx)) AS mae FROM w JOIN f ON f.o <> w.o AND f.i = w.i WHERE w.i > 0 GROUP BY 1, 2, 3), "
+    "c AS (SELECT o, alpha, avg(mae) AS mae FROM e GROUP BY 1, 2), s AS (SELECT o, alpha FROM c QUALIFY row_number() OVER (PARTITION BY o ORDER BY mae, alpha) = 1) "
+    "SELECT w.o AS \"outer\", w.alpha, count(*) AS n, round(any_value(b), 6) + 0.0 AS slope, round(avg(abs(y - my - b * (x - mx) / sx)), 6) + 0.0 AS mae FROM w JOIN s ON w.o = s.o AND w.alpha = s.alpha AND w.i = 0 JOIN f ON f.o = w.o GROUP BY 1, 2"
+)
+
+
+@query("q60_nested_sums", _NEST)
+def q60(spark, d):
+    c = table(spark, d, "customer")
+    f = resample.folds(resample.folds(c, "c_custkey", 5, 1).withColumnRenamed("fold", "outer"), "c_custkey", 4, 2).withColumnRenamed("fold", "inner")
+    f = f.select("outer", "inner", F.col("c_acctbal").cast("double").alias("x"), (((F.col("c_custkey") * 53) % 997).cast("double") + F.col("c_acctbal") / 50).alias("y"))
+    got = cv.nested_sums(f, ["x"], "y", list(_ALPHAS))
+    return got.select("outer", "alpha", "n", r6(F.get("slopes", 0)).alias("slope"), r6("mae").alias("mae"))
+
+
+@query("q61_required_join", P.sql("manifest", "clinical") + f"SELECT c.case_id, {s6('c.outcome', 'outcome')}, m.segment AS hhd_segment, round(m.bal, 4) + 0.0 AS hhd_bal FROM clinical c JOIN manifest m USING (case_id)")
+def q61(spark, d):
+    joined, used = cohort.join_optional(P.clinical(spark, d).select("case_id", "outcome"), P.manifest(spark, d).select("case_id", "segment", "bal"), "hhd_", 0.95, required=True)
+    assert used
+    return rounded(joined, "outcome").withColumn("hhd_bal", F.round("hhd_bal", 4) + 0.0)
+
+
+@query("q62_contracts", "SELECT n_name, count(*) OVER () AS rows FROM nation")
+def q62(spark, d):
+    n = table(spark, d, "nation")
+    n = C.require_columns(n, ["n_name", "n_regionkey"], "nation")
+    n = C.require_count(C.require_all(n, F.col("n_regionkey").between(0, 4), "regions"), n.count(), "nations")
+    C.require_same_keys(n.select(F.col("n_regionkey").alias("k")), table(spark, d, "region").select(F.col("r_regionkey").alias("k")), "k")
+    return n.join(F.broadcast(n.agg(F.count(F.lit(1)).alias("rows")))).select("n_name", "rows")  # one row
+
+
+_AGREE = f"WITH t AS ({_VARIANTS}), g AS (SELECT * FROM t WHERE good), r AS (SELECT variant, p, q, " + ", ".join(f"{_RANK.format(g='variant', c=c)} AS r{c}" for c in "pq") + " FROM g), a AS (SELECT variant, corr(rp, rq) AS rho, quantile_cont(abs(p - q), 0.5) AS gap FROM r GROUP BY 1) "
+
+
+@query("q63_feature_ranges", _AGREE + f"SELECT 'a' AS feature, {s6('min(rho)', 'minimum_rho')}, {s6('max(rho)', 'maximum_rho')}, {s6('max(gap)', 'maximum_difference')} FROM a")
+def q63(spark, d):
+    return rounded(inference.feature_ranges(inference.variant_agreement(*_variants(spark, d), ["a"], "y")), "minimum_rho", "maximum_rho", "maximum_difference")
+
+
+@query("q64_failure_counts", "SELECT event_type AS variant, CASE WHEN user_id % 3 = 0 THEN 'none' WHEN user_id % 3 = 1 THEN 'none' ELSE 'nonpositive_jacobian' END AS reason, count(*) AS n FROM events GROUP BY 1, 2")
+def q64(spark, d):
+    reason = F.when(F.col("user_id") % 3 == 1, " ").when(F.col("user_id") % 3 == 2, "nonpositive_jacobian ")
+    return inference.failure_counts(table(spark, d, "events").select(F.col("event_type").alias("variant"), reason.alias("failure_reason")))
+
+
+_ABS = P.sql("pred_long") + ", e AS (SELECT model, subject, avg(abs(observed - predicted)) AS v FROM pred_long GROUP BY 1, 2)"
+
+
+@query(
+    "q65_mae_inference",
+    _ABS + f", i AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY subject) - 1 AS i, count(*) OVER (PARTITION BY model) AS n FROM e), s AS (SELECT model, b, {_DRAW.format(k='7, b, i', n='n')} AS j FROM i, range(20) r(b)), m AS (SELECT s.model, s.b, avg(v) AS m FROM s JOIN i ON s.model = i.model AND s.j = i.i GROUP BY 1, 2), "
+    "c AS (SELECT model, quantile_cont(m, 0.025) AS lo, quantile_cont(m, 0.975) AS hi FROM m GROUP BY 1) "
+    "SELECT e.model, count(*) AS n, " + ", ".join(f"round({x}, 3) + 0.0 AS {n}" for x, n in (("avg(v)", '"mean"'), ("any_value(lo)", "ci025"), ("any_value(hi)", "ci975"), ("quantile_cont(v, 0.25)", "q25"), ("quantile_cont(v, 0.5)", "q50"), ("quantile_cont(v, 0.75)", "q75"))) + " FROM e JOIN c ON e.model = c.model GROUP BY 1",
+)
+def q65(spark, d):
+    long = P.pred_long(spark, d).withColumn("absolute_error", F.abs(F.col("observed") - F.col("predicted")))
+    got = inference.mae_inference(long, 20, 7)
+    return got.withColumns({c: F.round(c, 3) + 0.0 for c in ("mean", "ci025", "ci975", "q25", "q50", "q75")})
+
+
+@query("q66_pending_cases", "SELECT c_custkey AS case_id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def q66(spark, d):
+    finished = table(spark, d, "orders").select(F.col("o_custkey").alias("case_id"), F.col("o_orderstatus").alias("method_version"))
+    return tables.pending(table(spark, d, "customer").select(F.col("c_custkey").alias("case_id")), finished, "F")
+
+
+@query("q67_localized_paths", "SELECT page_id, CASE page_id % 3 WHEN 0 THEN '/new/root/sub/' || page_id || '.nii.gz' WHEN 1 THEN '/kept/' || page_id ELSE NULL END AS path FROM pages")
+def q67(spark, d):
+    p = F.col("page_id").cast("string")
+    old = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/a/ARC/b/ARC/sub/"), p, F.lit(".nii.gz"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("/kept/"), p))
+    return table(spark, d, "pages").select("page_id", old.alias("old")).select("page_id", tables.localized_column(F.col("old"), "/new/root/").alias("path"))
+
+
+_FOREST = "WITH t AS (SELECT l_linenumber AS label, avg(l_tax)::DOUBLE AS m, min(l_tax) - 0.01 * (l_linenumber % 2) AS lo, max(l_tax)::DOUBLE AS hi FROM lineitem GROUP BY 1)"
+
+
+@query("q68_forest_and_text", _FOREST + f" SELECT label, {s6('m', 'estimate')}, {s6('lo', 'low')}, {s6('hi', 'high')}, lo > 0 OR hi < 0 AS excludes_zero, printf('%.3f (%.3f, %.3f)', round(m, 6), round(lo, 6), round(hi, 6)) AS text FROM t")
+def q68(spark, d):
+    t = table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("label")).agg(r6(F.avg("l_tax").cast("double")).alias("m"), r6((F.min("l_tax") - 0.01 * (F.col("l_linenumber") % 2)).cast("double")).alias("lo"), r6(F.max("l_tax").cast("double")).alias("hi"))
+    return report.forest_data(t, "label", "m", "lo", "hi").join(t.select("label", report.interval_text("m", "lo", "hi", 3).alias("text")), "label")
+
+
+@query("q69_support_of_all_maps", P.sql("effect", "sided") + " UNION ALL ".join(f"SELECT case_id, '{c}' AS map, count(*) FILTER (WHERE {c} <> 0) AS nonzero, max(abs({c})) AS largest FROM effect JOIN sided USING (case_id, x, y, z) WHERE (side = 'left' AND x > 1.5) OR (side = 'right' AND x < 1.5) GROUP BY 1" for c in ("e0", "e1", "e2", "logj")))
+def q69(spark, d):
+    f = P.sided(spark, d)
+    e = V.effect(V.jacobian(f), P.SIZE).join(f.select("case_id", "x", "y", "z", "side"), ["case_id", "x", "y", "z"]).where("side <> 'bilateral'")
+    return V.support_of_maps(e, ["e0", "e1", "e2", "logj"], P.SIZE)
+
+
+@query("q70_dense_index", "SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1)::INT AS place FROM orders")
+def q70(spark, d):
+    return stats.dense_index(table(spark, d, "orders").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"], "place").select("o_orderkey", "place")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -125,3 +125,65 @@ def test_variant_agreement(spark):
     got = inference.variant_agreement(primary, variant, ["a", "b", "c"], "wab_aq").collect()
     assert len(got) == 3 and all(r.n == 23 and r.rho_primary == pytest.approx(1) and r.median_abs_difference == 0 for r in got)
     assert inference.feature_ranges(spark.createDataFrame(got)).count() == 3
+
+
+def test_ranks_by_runs(spark):
+    # values of all sizes and signs, with ties: runs must not change their order
+    rng = np.random.default_rng(9)
+    v = np.concatenate([rng.normal(size=300) * 10.0 ** rng.integers(-8, 9, 300), rng.integers(-4, 5, 200).astype(float), 2.0 ** np.arange(-20, 20), -(2.0 ** np.arange(-20, 20)), np.nextafter(2.0 ** np.arange(-20, 20), 0)])
+    pdf = pd.DataFrame({"g": np.arange(len(v)) % 3, "v": v, "k": np.arange(len(v))})
+    got = {r.k: r.r for r in stats.ranked(spark.createDataFrame(pdf), "v", ["g"], "r").collect()}
+    want = pdf.groupby("g")["v"].rank()
+    assert [got[k] for k in range(len(v))] == want.tolist()
+    runs = [r.x for r in spark.createDataFrame([(x,) for x in sorted(v.tolist())], "v double").select(stats.run_of(F.col("v")).alias("x")).collect()]
+    assert runs == sorted(runs)
+
+
+def test_exact_signed_rank_p(spark):
+    d = [1.5, -2.0, 3.0, 4.0, -5.5, 6.0, 7.0]
+    r = stats.signed_rank_test(spark.createDataFrame([(1, v) for v in d], "g int, d double"), "d", ["g"]).first()
+    sums = [sum(k + 1 for k in range(7) if m >> k & 1) for m in range(128)]
+    assert r.statistic == 7 and r.p_value == pytest.approx(min(1, 2 * sum(s <= 7 for s in sums) / 128))
+    # zeros, ties or many differences: the normal approximation
+    for rows in ([0.0, *d], [1.5, *d], list(range(1, 60))):
+        df = spark.createDataFrame([(1, float(v)) for v in rows], "g int, d double")
+        z = stats.wilcoxon(df, "d", ["g"]).first().z
+        assert stats.signed_rank_test(df, "d", ["g"]).first().p_value == pytest.approx(special.normal_two_sided(z))
+    assert stats.signed_rank_test(spark.createDataFrame([(1, 0.0)], "g int, d double"), "d", ["g"]).first().p_value == 1
+
+
+def test_numbering_in_runs(spark, monkeypatch):
+    monkeypatch.setattr(stats, "ONE_TASK", 10)
+    monkeypatch.setattr(stats, "CUTS", 7)
+    rows = [(f"s{k * 7919 % 300:03d}", k % 5, k) for k in range(400)] + [(None, 1, 400), (None, 1, 401)]
+    got = stats.dense_index(spark.createDataFrame(rows, "a string, b int, k int").repartition(5), ["a", "b", "k"], "row").collect()
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1], r[2]))
+    assert [r.k for r in sorted(got, key=lambda r: r.row)] == [k for _, _, k in want] and sorted(r.row for r in got) == list(range(402))
+
+
+def test_folds_have_equal_sizes(spark):
+    for n, k in ((3, 5), (23, 5), (100, 4)):
+        got = [r.fold for r in resample.folds(spark.range(n), "id", k).collect()]
+        sizes = [got.count(f) for f in range(1, k + 1)]
+        assert sum(sizes) == n and sizes == sorted(sizes, reverse=True) and max(sizes) - min(sizes) <= 1
+
+
+def test_nested_sums_against_plain_fits(spark):
+    from fieldcohort.operators import cv
+
+    rng = np.random.default_rng(4)
+    x, outer, inner = rng.normal(size=(120, 3)) * [1, 50, 0.1] + [0, 300, 5], np.arange(120) % 4 + 1, np.arange(120) // 4 % 3 + 1
+    y, alphas = x @ [1, 0.02, 3] + rng.normal(size=120), [0.01, 1.0, 10.0, 100.0]
+    df = spark.createDataFrame([(*map(float, r), float(t), int(o), int(i)) for r, t, o, i in zip(x, y, outer, inner, strict=True)], "a double, b double, c double, y double, outer int, inner int")
+    got = {r.outer: r for r in cv.nested_sums(df, ["a", "b", "c"], "y", alphas).collect()}
+
+    def error(train, test, alpha):
+        prepare = cv.Preprocess(x[train])
+        w = cv.ridge_path(prepare(x[train]), y[train], np.array([alpha]))[:, 0]
+        return np.abs(y[test] - prepare(x[test]) @ w - y[train].mean()).mean()
+
+    for o in range(1, 5):
+        rest = outer != o
+        errors = [np.mean([error(rest & (inner != i), rest & (inner == i), a) for i in (1, 2, 3)]) for a in alphas]
+        best = alphas[int(np.argmin(errors))]
+        assert got[o].alpha == best and got[o].mae == pytest.approx(error(rest, ~rest, best), abs=1e-9) and got[o].n == 30
