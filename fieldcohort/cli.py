@@ -1,7 +1,9 @@
-"""Command line: audit, collect, extract, hodge, hodge-sensitivity, model, report, compare, reproduce.
+"""Command line: audit, collect, extract, hodge, hodge-sensitivity, model, report, compare, reproduce, second.
 
 A value given on the command line comes before one in the TOML file, that before the default; a given 0 counts.  A step that
-lacks an input raises; ``reproduce`` is audit, model and report.
+lacks an input raises.  ``reproduce`` is audit, hodge, hodge-sensitivity, model and report; ``second`` is what follows the
+registration of a second pipeline: hodge on its own grid, model with its own limits, comparison with the first one, public
+aggregates and the supplement.
 """
 
 from __future__ import annotations
@@ -20,9 +22,9 @@ from fieldcohort.plans import pipelines, volumes
 from fieldcohort.session import get_session
 from fieldcohort.sources import nifti, report, tables
 
-COMMANDS = ("audit", "collect", "extract", "hodge", "hodge-sensitivity", "model", "report", "compare", "reproduce")
-TEXT = ("manifest", "clinical", "uncertainty", "hodge", "fields", "design", "legacy", "atlas-image", "atlas-mask", "tables", "other-manifest", "predictions", "other-predictions", "anchor")
-NUMBERS = (("seed", int), ("repeats", int), ("replicates", int), ("stride", int), ("padding", int), ("taper", float), ("sigma", float), ("expected", int), ("smoothing", float), ("subsample", int), ("minimum-points", int))
+COMMANDS = ("audit", "collect", "extract", "hodge", "hodge-sensitivity", "model", "report", "compare", "reproduce", "second")
+TEXT = ("manifest", "clinical", "uncertainty", "hodge", "fields", "design", "legacy", "atlas-image", "atlas-mask", "tables", "other-manifest", "predictions", "other-predictions", "anchor", "method-version")
+NUMBERS = (("seed", int), ("repeats", int), ("replicates", int), ("stride", int), ("padding", int), ("taper", float), ("sigma", float), ("expected", int), ("smoothing", float), ("subsample", int), ("minimum-points", int), ("minimum-voxels", int))
 
 
 def parser() -> argparse.ArgumentParser:
@@ -55,6 +57,8 @@ class Run:
         self.spacing = tuple(args.spacing or self.config.get("grid", {}).get("spacing", (1.0, 1.0, 1.0)))
         self.settings = K.HodgeConfig(**{k: self.get("hodge", k, getattr(K.HodgeConfig(), k)) for k in ("stride", "padding", "taper", "sigma")})
         self.anchor = self.get("paths", "anchor", "ARC")
+        self.version = self.get("model", "method-version", N.METHOD_VERSION)
+        self.made: dict[str, DataFrame] = {}
 
     def get(self, section: str, key: str, default=None):
         return tables.setting(self.config, section, key, default, getattr(self.args, key.replace("-", "_"), None))
@@ -65,6 +69,9 @@ class Run:
         return value
 
     def read(self, key: str, optional: bool = False) -> DataFrame | None:
+        """An input table, or what an earlier step of this call has made of that name."""
+        if key in self.made:
+            return self.made[key]
         if optional and not self.get("paths", key):
             return None
         return tables.read_table(self.spark, self.need(key))
@@ -73,7 +80,7 @@ class Run:
         """Prepared fields as Parquet if they are given, else the volumes that the manifest names."""
         if path := self.get("paths", "fields"):
             return self.spark.read.parquet(path), cases.stored
-        return volumes.fields(self.spark, self.manifest(), self.need("data"), anchor=self.anchor), nifti.vector_and_mask
+        return volumes.fields(self.spark, self.manifest(), self.need("data"), self.version, self.anchor), nifti.vector_and_mask
 
     def manifest(self) -> DataFrame:
         # ids are text, whatever they look like
@@ -82,7 +89,7 @@ class Run:
 
     def audit(self) -> None:
         manifest = self.manifest()
-        got = pipelines.audit_manifest(manifest, expected=self.get("audit", "expected")) | {"status": "pass"}
+        got = pipelines.audit_manifest(manifest, self.version, self.get("audit", "expected")) | {"status": "pass"}
         folder = str(Path(self.need("manifest")).parent)
         found = tables.marker_counts(self.spark, folder)
         got |= {"failure_records": found["errors"], "completion_markers": found["complete"]}
@@ -118,6 +125,7 @@ class Run:
         keys = tuple(k for k in volumes.KEYS if k in fields.columns)
         rows, summary = pipelines.run_hodge(fields, self.spacing, self.settings, load, keys)
         pipelines.write_tables({"hodge_manifest": rows}, self.out)
+        self.made["hodge"] = rows
         report.write_json(f"{self.out}/hodge_summary.json", {"method_version": N.HODGE_METHOD_VERSION} | summary)
         report.write_json(f"{self.out}/hodge_config.json", report.redact({"method_version": N.HODGE_METHOD_VERSION, "config": vars(self.settings), "input_manifest": self.get("paths", "manifest")}))
 
@@ -127,14 +135,34 @@ class Run:
         else:
             design, _ = cohort.build_design(self.manifest(), self.read("clinical"), hodge=self.read("hodge"))
         fields, load = self.fields()
-        pipelines.write_tables(pipelines.run_sensitivity(fields, design, self.spacing, load=load), f"{self.out}/sensitivity")
+        self.sensitivity = pipelines.run_sensitivity(fields, design, self.spacing, load=load)
+        pipelines.write_tables(self.sensitivity, f"{self.out}/sensitivity")
 
     def model(self) -> None:
-        base = pipelines.ModelRun()
-        run = pipelines.ModelRun(cohort.DesignConfig(), cv.CvConfig(seed=self.get("model", "seed", base.cv.seed), repeats=self.get("model", "repeats", base.cv.repeats)), self.get("model", "replicates", base.replicates))
-        made, audit = pipelines.run_model(self.read("manifest"), self.read("clinical"), run, self.read("uncertainty", True), self.read("hodge", True))
+        base, design = pipelines.ModelRun(), cohort.DesignConfig()
+        limits = cohort.DesignConfig(method_version=self.version, minimum_voxels=self.get("model", "minimum-voxels", design.minimum_voxels))
+        run = pipelines.ModelRun(limits, cv.CvConfig(seed=self.get("model", "seed", base.cv.seed), repeats=self.get("model", "repeats", base.cv.repeats)), self.get("model", "replicates", base.replicates))
+        made, audit = pipelines.run_model(self.manifest(), self.read("clinical"), run, self.read("uncertainty", True), self.read("hodge", True))
         report.write_json(f"{self.out}/model/analysis_config.json", audit)
         pipelines.write_tables(made, f"{self.out}/model")
+        self.made["other-predictions"] = made["predictions"]
+
+    def reproduce(self) -> None:
+        for step in (self.audit, self.hodge, self.hodge_sensitivity, self.model):
+            step()
+        # reports read one folder
+        pipelines.write_tables({k: v for k, v in self.sensitivity.items() if k != "variants"}, f"{self.out}/model")
+        self.report()
+
+    def second(self) -> None:
+        """``manifest`` and ``predictions`` are the first pipeline's, ``other-manifest`` the second's, whose version and limits
+        are given; what the first one found is compared, not fitted again."""
+        first, own = self.read("manifest"), self.read("other-manifest")
+        self.made["manifest"] = own
+        self.hodge()
+        self.model()
+        self.made |= {"manifest": first, "other-manifest": own}
+        self.compare()
 
     def report(self) -> None:
         """From the stored tables of a run; nothing is fitted again."""
@@ -147,7 +175,7 @@ class Run:
         sides = []
         for prefix in ("", "other-"):
             rows = {"manifest": self.read(f"{prefix}manifest")}
-            if self.get("paths", f"{prefix}predictions"):
+            if self.get("paths", f"{prefix}predictions") or f"{prefix}predictions" in self.made:
                 rows["predictions"] = self.read(f"{prefix}predictions")
             sides.append(rows)
         features = [f.removeprefix("me_") for f in N.DEFORMATION]
@@ -161,6 +189,5 @@ class Run:
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     run = Run(args)
-    for step in ("audit", "model", "report") if args.command == "reproduce" else (args.command,):
-        getattr(run, step.replace("-", "_"))()
+    getattr(run, args.command.replace("-", "_"))()
     return 0

@@ -195,3 +195,46 @@ def test_sampling_of_halves(spark):
     mask = source.where("v > 0")
     kept = {r.k: r.valid for r in V.valid_map(points.selectExpr("*", "true target"), mask, v.shape).collect()}
     assert [kept[k] for k in range(9)] == (K.sample((v > 0).astype(float), at, linear=False) > 0.5).tolist()
+
+
+@pytest.fixture(scope="module")
+def cohort_files(tmp_path_factory):
+    """A cohort of 24 whose cases share four small fields, with its clinical table."""
+    root, rng, n = tmp_path_factory.mktemp("cohort"), np.random.default_rng(1), 24
+    keep = np.zeros(SHAPE, np.uint8)
+    keep[:10, 2:-2, 2:-2] = 1
+    for k in range(4):
+        (root / f"u{k}.nii.gz").write_bytes(nifti.render((smooth_field(k + 10, 0.6) * keep[..., None]).astype(np.float32), AFFINE))
+    (root / "valid.nii.gz").write_bytes(nifti.render(keep, AFFINE))
+    (root / "flat.nii.gz").write_bytes(nifti.render(np.zeros(SHAPE, np.float32), AFFINE))
+    ids = [f"sub-{k:03d}_x" for k in range(n)]
+    manifest = pd.DataFrame({"case_id": ids, "subject": [f"sub-{k:03d}" for k in range(n)], "session": "ses-1", "method_version": N.METHOD_VERSION, "effect_field_support": N.SUPPORT, "contralesional_effect_value": 0.0, "lesion_side": "left", "laterality_supported": True, "normalized_field_folding_fraction": 0.01, "mass_effect_3_20mm_magnitude_mm_n_voxels": 2000, "deformation_qc_pass": True})
+    manifest = manifest.assign(**{f.removeprefix("me_"): rng.normal(size=n) for f in N.DEFORMATION}).assign(**dict.fromkeys(N.MAPS, "flat.nii.gz"))
+    manifest = manifest.assign(mass_effect_vector_path=[f"u{k % 4}.nii.gz" for k in range(n)], valid_mask_path="valid.nii.gz")
+    clinical = pd.DataFrame({"case_id": ids, "subject": manifest["subject"], "wab_days": rng.uniform(10, 900, n), "age_at_stroke": rng.normal(60, 9, n)} | {f: rng.normal(size=n) for f in N.LESION})
+    clinical["wab_aq"] = rng.normal(60, 15, n) + 8 * clinical["lesion_volume_ml"]
+    out = tmp_path_factory.mktemp("tables")
+    manifest.to_csv(out / "manifest.csv", index=False)
+    clinical.to_csv(out / "clinical.csv", index=False)
+    return root, out
+
+
+def test_reproduce_and_second(spark, cohort_files, tmp_path):
+    root, given = cohort_files
+    how = ["--data", str(root), "--clinical", str(given / "clinical.csv"), "--repeats", "1", "--replicates", "20", "--taper", "1", "--sigma", "0.5", "--padding", "2"]
+    assert cli.main(["reproduce", "--manifest", str(given / "manifest.csv"), "--output", str(tmp_path / "first"), "--stride", "3", *how]) == 0
+    made = {p.name for p in (tmp_path / "first/model").iterdir()}
+    assert {"predictions", "agreement", "failures", "paired_comparisons", "design"} <= made
+    text = (tmp_path / "first/report/macros.tex").read_text()
+    assert "LesionPlusMassEffectPlusHodge" in text and (tmp_path / "first/report/sensitivity.tex").exists()
+    predictions = spark.read.option("header", True).csv(str(tmp_path / "first/model/predictions"))
+    assert predictions.select("case_id").distinct().count() == 24
+    # a second pipeline with a version of its own
+    own = pd.read_csv(given / "manifest.csv").assign(method_version="second_v1", mass_effect_3_20mm_magnitude_mm_n_voxels=150)
+    own.to_csv(given / "own.csv", index=False)
+    assert cli.main(["second", "--manifest", str(given / "manifest.csv"), "--other-manifest", str(given / "own.csv"), "--predictions", str(tmp_path / "first/model/predictions"), "--method-version", "second_v1", "--minimum-voxels", "125", "--stride", "2", "--output", str(tmp_path / "second"), *how]) == 0
+    rows = spark.read.option("header", True).csv(str(tmp_path / "second/comparison/predictive_comparison")).collect()
+    # the models without decompositions are the same in both
+    assert {r["model"]: abs(float(r["mean"])) < 1e-9 for r in rows if "hodge" not in r["model"]} == {m: True for m in ("intercept_only", "clinical_only", "lesion_standard", "lesion_plus_mass_effect")}
+    assert json.loads((tmp_path / "second/frozen/aggregates.json").read_text())["flow"]["common"] == 24
+    assert (tmp_path / "second/comparison/predictive_comparison.tex").exists()
