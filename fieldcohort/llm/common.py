@@ -40,6 +40,23 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+#: Bytes of the batches that Spark hands to Python while a table is staged (its default is 64 MB).
+BATCH_BYTES = 4 << 20
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None]:
+    """Bound Spark's Arrow batches for what runs inside, so that long texts do not pile up in executors; the session's own
+    value is there again afterwards."""
+    name, conf = "spark.sql.execution.arrow.maxBytesPerBatch", spark.conf
+    explicit, before = name in conf.getAll, conf.get(name)
+    conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        conf.set(name, before) if explicit else conf.unset(name)
+
+
 _open = threading.local()
 
 
@@ -53,7 +70,8 @@ def staged(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     path = scratch(spark, tag)
     if len(levels := getattr(_open, "levels", ())) > 1:
         levels[-2 if keep else -1].append(path)
-    df.write.parquet(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -13,7 +13,8 @@
    words; under SURE, the item's answer (its last sentence) must be found there as well.
 
 The benchmark is a stated query set: terms and latent space are those of all items, the search takes blocks of ITEMS items,
-each of which is a pass over the documents.  What is found of an item does not depend on the blocks.
+each of which is a pass over the documents.  What is found of an item does not depend on the blocks.  The fit holds SKETCH
+numbers for each distinct word of the benchmark in a task (32 MB for 100,000 words).
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ from fieldcohort.llm import hashing
 from fieldcohort.llm.common import slices, without
 
 ITEMS, PASSAGE, SKETCH, LATENT = 2000, 64, 40, 32
+#: Bytes of the items of a block, on average.
+ITEM_BYTES = 16 << 20
 COSINE, LCS, SURE, ANSWER = 0.65, 0.7, 0.9, 0.6
 #: Share of a window's words that are an item's: LCS of it over a stretch of one and a half items, less what the window's place costs.
 MEMBERS = 0.9 * LCS / 1.5
@@ -57,6 +60,8 @@ class Item:
     words: np.ndarray
     answer: np.ndarray
     scale: int
+    #: Rows of the benchmark that are this item.
+    copies: int = 1
     masks: dict = field(default_factory=dict)
     answer_masks: dict = field(default_factory=dict)
     #: Words of its rarest places, and how many of them any stretch that passes step 3 has.
@@ -64,10 +69,11 @@ class Item:
     least: int = 1
 
 
-def prepare(rows: list[tuple[int, str]]) -> list[Item]:
-    """Items from (item_id, text); texts without words are left out, as nothing can hold them."""
+def prepare(rows: list[tuple[int, str]] | list[tuple[int, str, int]]) -> list[Item]:
+    """Items from (item_id, text) and perhaps how often each row is there; texts without words are left out, as nothing can
+    hold them."""
     items = []
-    for item_id, text in rows:
+    for item_id, text, *copies in rows:
         words, _ = split([(text or "").encode()])
         if not len(words):
             continue
@@ -76,7 +82,7 @@ def prepare(rows: list[tuple[int, str]]) -> list[Item]:
         if len(answer) < 3:
             answer = words[-5:]
         scale = max([s for s in SCALES if s <= len(words)], default=SCALES[0])
-        items.append(Item(item_id, words, answer, scale, _masks(words), _masks(answer)))
+        items.append(Item(item_id, words, answer, scale, *(copies or [1]), _masks(words), _masks(answer)))
     return items
 
 
@@ -396,7 +402,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS
     """
     docs = docs.selectExpr("cast(doc_id as long) doc_id", "text")
     benchmark = benchmark.selectExpr("cast(item_id as long) item_id", "text")
-    blocks = max(1, -(-benchmark.count() // items_at_once))
+    # rows that repeat are one item, whose finds are repeated; so a block has a bounded number of items, and of bytes
+    benchmark = benchmark.groupBy("item_id", "text").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    size = benchmark.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    blocks = max(1, -(-size["rows"] // items_at_once), -(-size["bytes"] // ITEM_BYTES))
     parts = [benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else benchmark for b in range(blocks)]
     vocabulary = np.zeros(0, dtype=np.uint64)
     for part in parts:
@@ -407,7 +416,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS
     space = docs.sparkSession.sparkContext.broadcast((vocabulary, project))
     out = None
     for part in parts:
-        items = prepare([(r["item_id"], r["text"]) for r in part.collect()])  # one block of the stated query set
+        items = prepare([(r["item_id"], r["text"], r["n"]) for r in part.orderBy("item_id", "text").collect()])  # one block of the stated query set
         if items:
             choose_rare(items, vocabulary, share)
             got = _search(docs, items, space)
@@ -422,6 +431,7 @@ def _search(docs: DataFrame, items: list[Item], space: Broadcast) -> DataFrame:
         tool = Finder(block.value, *space.value)
         for batch in slices(batches, "text"):
             hits = tool.find([(t or "").encode() for t in batch.column("text").to_pylist()])
+            hits = [h for h in hits for _ in range(tool.items[h[1]].copies)]
             ids = batch.column("doc_id")
             columns = zip(*hits, strict=True) if hits else [()] * 6
             text, item, cosine, lcs, answer, word = columns

@@ -35,6 +35,8 @@ from fieldcohort.llm.components import components
 BANDS, ROWS, WORDS, PERCENT = 32, 4, 5, 80
 #: Pairs of a bucket up to which they are formed as rows; shingles and rows of a block where a group has more pairs.
 PAIRS, BLOCK, BLOCK_ROWS = 256, 1 << 18, 2048
+#: Parts of a group of equal sets.
+SALTS = 64
 #: Counters by which shingles are ordered from rare to common; a shingle shares its counter with those of its hash.
 COUNTERS = 1 << 20
 AGREE = 0.55
@@ -277,9 +279,13 @@ def _labels(docs: DataFrame, rows_of: DataFrame, words: int, percent: int, bands
     """(id, label) of all documents that have links, from the sketches of all rows."""
     some = rows_of.where("n_shingles > 0 and doc_id is not null")
     total = rows_of.count()
-    same = some.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
-    # the links of equal sets: each document with the smallest of its set
-    copies = join_by_key(some.select("h1", "h2", "doc_id"), same.where("n > 1"), ["h1", "h2"], "n", total).where("doc_id <> rep").selectExpr("doc_id a", "rep b").distinct()
+    # the links of equal sets, by way of a part of the group: each document with the smallest of its part, these with the
+    # smallest of all; a group of any size is thus dealt to SALTS keys
+    salted = some.select("h1", "h2", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt"), "doc_id")
+    part = salted.groupBy("h1", "h2", "salt").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    same = part.groupBy("h1", "h2").agg(F.min("first").alias("rep"))
+    copies = salted.join(part.where("n > 1").drop("n"), ["h1", "h2", "salt"]).where("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    copies = copies.unionByName(part.join(same, ["h1", "h2"]).where("first <> rep").select(F.col("first").alias("a"), F.col("rep").alias("b"))).distinct()
     nodes = some.join(same.select("h1", "h2", F.col("rep").alias("doc_id")), ["h1", "h2", "doc_id"], "left_semi")
     keyed = nodes.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     total *= bands

@@ -98,7 +98,7 @@ def count_documents(df: DataFrame, path: str, limit: int = LIMIT, chunk: int = C
 
     Returns doc_id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > ``limit``).  A null text counts as empty: no
     bytes, no tokens.  Null or repeated doc_ids pass through row by row; an empty table gives no rows; other columns are
-    not read.
+    not read.  A text that has no blank between two words for long is encoded in chunks as long as that stretch.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldcohort.llm.common import slices, staged, within
+from fieldcohort.llm.common import passing, slices, small_batches, staged, within
 
 ARCHIVE_BYTES = 8 << 20
 #: Payloads from this size on are written once, others of the same digest revisit them.
@@ -207,10 +207,11 @@ def write_archives(pages: DataFrame, path: str, least: int = REVISIT_BYTES, most
         if archive:
             yield pa.RecordBatch.from_pydict({"archive": pa.array([b"".join(archive)], pa.binary())})
 
-    rows = plan_records(pages, least).mapInArrow(run, "archive binary")
-    text = rows.select(F.col("archive").cast("string").alias("value"))
-    # latin-1 gives the separator's characters as the bytes of the same numbers
-    text.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
+    with passing(pages.sparkSession), small_batches(pages.sparkSession):
+        rows = plan_records(pages, least).mapInArrow(run, "archive binary")
+        text = rows.select(F.col("archive").cast("string").alias("value"))
+        # latin-1 gives the separator's characters as the bytes of the same numbers
+        text.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
