@@ -30,16 +30,36 @@ HODGE_SCHEMA = (
 HODGE_COLUMNS = [x.split()[0] for x in HODGE_SCHEMA.split(", ")]
 
 
+#: Result rows, and bytes of their arrays and files, that are handed back together.
+ROWS, BYTES = 256, 8 << 20
+
+
+def _size(value: object) -> int:
+    if isinstance(value, list):
+        return sum(_size(v) for v in value)
+    if isinstance(value, dict):
+        return sum(_size(v) for v in value.values())
+    return value.nbytes if isinstance(value, np.ndarray) else len(value) if isinstance(value, bytes | str) else 8
+
+
 def map_cases(df: DataFrame, run: Callable[[dict], dict | list[dict]], schema: str, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
     """The result rows of each case row (``run`` gives one or a list): ``keys`` as they are in ``df``, then ``schema``."""
     names = [*keys, *[x.split()[0] for x in schema.split(", ")]]
 
     def over(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made, size = [], 0
         for part in parts:
             for k in range(len(part)):
                 row = part.iloc[k].to_dict()
                 got = run(row)
-                yield pd.DataFrame([{key: row[key] for key in keys} | r for r in (got if isinstance(got, list) else [got])], columns=names)
+                got = got if isinstance(got, list) else [got]
+                made += [{key: row[key] for key in keys} | r for r in got]
+                size += _size(got)
+                if len(made) >= ROWS or size >= BYTES:
+                    yield pd.DataFrame(made, columns=names)
+                    made, size = [], 0
+        if made:
+            yield pd.DataFrame(made, columns=names)
 
     return df.mapInPandas(over, ", ".join([*[f"`{key}` {df.schema[key].dataType.simpleString()}" for key in keys], schema]))
 

@@ -6,7 +6,7 @@ distances, shells).  Neighbour access is a window over a grid line; the mirror i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldcohort.functions import expr as X
@@ -24,6 +24,15 @@ def explode_volume(df: DataFrame, case: str, data: str, shape: tuple[int, int, i
     return rows.select("case_id", F.expr(f"pos div {ny * nz}").cast("int").alias("x"), F.expr(f"(pos div {nz}) % {ny}").cast("int").alias("y"), (F.col("pos") % nz).cast("int").alias("z"), F.col(value).cast("double").alias(value))
 
 
+def register_functions(spark: SparkSession) -> None:
+    """Register the table function explode_volume(data, ny, nz) for SQL: a row (x, y, z, value) for each voxel of an array in C
+    order.  Its body is SQL, so that queries which use it are planned as a whole."""
+    spark.sql(
+        "CREATE OR REPLACE TEMPORARY FUNCTION explode_volume(data ARRAY<DOUBLE>, ny INT, nz INT) RETURNS TABLE (x INT, y INT, z INT, value DOUBLE) "
+        "RETURN SELECT CAST(pos DIV (ny * nz) AS INT), CAST((pos DIV nz) % ny AS INT), CAST(pos % nz AS INT), col FROM posexplode(data)"
+    )
+
+
 def collect_volume(df: DataFrame, value: str, out: str = "data") -> DataFrame:
     """One array for each case, in C order; meant for grids that fit a row."""
     return df.groupBy("case_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", "y", "z", value))), lambda v: v[value]).alias(out))

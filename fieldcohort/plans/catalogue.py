@@ -729,6 +729,23 @@ def q70(spark, d):
     return stats.dense_index(table(spark, d, "orders").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"], "place").select("o_orderkey", "place")
 
 
+@query("q71_redacted_maps", "SELECT page_id, 'x=' || page_id || ';url_path_basename=' || string_split(url, '/')[-1] || ';where_basename=' || page_id || '.nii' AS shown FROM pages")
+def q71(spark, d):
+    p = table(spark, d, "pages")
+    page = F.col("page_id").cast("string")
+    m = report.redact_map(F.create_map(F.lit("url_path"), F.col("url"), F.lit("where"), F.concat(F.lit("/a/b/"), page, F.lit(".nii")), F.lit("x"), page, F.lit("none_path"), F.lit(None).cast("string")))
+    entries = lambda key: F.concat(F.lit(key), F.lit("="), F.element_at(F.col("m"), F.lit(key)))
+    shown = p.select("page_id", m.alias("m")).where(F.size("m") == 3)
+    return shown.select("page_id", F.concat_ws(";", entries("x"), entries("url_path_basename"), entries("where_basename")).alias("shown"))
+
+
+@query("q72_volume_function", P.sql("vox") + f"SELECT case_id, x, y, z, {s6('value', 'value')} FROM vox")
+def q72(spark, d):
+    V.register_functions(spark)
+    table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("data")).createOrReplaceTempView("q72_volumes")
+    return rounded(spark.sql("SELECT vec_id AS case_id, v.* FROM q72_volumes, LATERAL explode_volume(data, 4, 4) v"), "value")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -238,3 +238,20 @@ def test_reproduce_and_second(spark, cohort_files, tmp_path):
     assert {r["model"]: abs(float(r["mean"])) < 1e-9 for r in rows if "hodge" not in r["model"]} == {m: True for m in ("intercept_only", "clinical_only", "lesion_standard", "lesion_plus_mass_effect")}
     assert json.loads((tmp_path / "second/frozen/aggregates.json").read_text())["flow"]["common"] == 24
     assert (tmp_path / "second/comparison/predictive_comparison.tex").exists()
+
+
+def test_slices_and_grids(spark):
+    rows = [("c", 0, y, z) for z, n in ((2, 3), (5, 9), (6, 1), (30, 1)) for y in range(n)]
+    mask = spark.createDataFrame(rows, "case_id string, x int, y int, z int")
+    r = V.fullest_slice(mask, "z", 4).first()
+    low, high = np.percentile([z for *_, z in rows], [2.5, 97.5])
+    assert (r["z"], r["n"], r["first"], r["last"]) == (5, 9, min(int(np.floor(low)), 1), max(int(np.ceil(high)), 9))
+    a, b = np.diag([2.0, 2, 2, 1]), np.diag([1.0, 1, 1, 1])
+    a[:3, 3] = (-4, 1, 0)
+    assert np.allclose(nifti.voxel_map(a, b, [[2, 0, 1]]), [[0, 1, 2]]) and np.allclose(nifti.voxel_map(b, a, nifti.voxel_map(a, b, [[2, 5, 1]])), [[2, 5, 1]])
+
+
+def test_redacted_maps(spark):
+    df = spark.createDataFrame([({"path": "/a/b.nii", "keep": "v", "x_manifest": "c/d.csv", "abs": "/e/f", "gone_path": None},), (None,), ({},)], "m map<string,string>")
+    got = [r.m for r in df.select(report.redact_map(df.m).alias("m")).collect()]
+    assert got == [{"path_basename": "b.nii", "keep": "v", "x_manifest_basename": "d.csv", "abs_basename": "f"}, None, {}]
