@@ -162,7 +162,7 @@ def _ridge_from_sums(products: np.ndarray, size: int, alphas: list[float]) -> li
 def fold_fits(df: DataFrame, features: list[str], outcome: str, alphas: list[float]) -> DataFrame:
     """Ridge fits on all rows outside each fold (no missing values), for every alpha: fold, alpha, means, scales, slopes,
     intercept.  Only the folds' sums leave the executors, so the design may be of any size."""
-    rows = fold_sums(df, features, outcome).collect()  # a row for each fold
+    rows = fold_sums(df, features, outcome).orderBy("fold").collect()  # a row for each fold
     total = np.sum([r["products"] for r in rows], axis=0)
     made = [(r["fold"], *fit) for r in rows for fit in _ridge_from_sums(total - np.array(r["products"]), len(features), alphas)]
     return df.sparkSession.createDataFrame(made, "fold int, alpha double, means array<double>, scales array<double>, slopes array<double>, intercept double")

@@ -165,3 +165,24 @@ def feature_ranges(agreement: DataFrame) -> DataFrame:
 def failure_counts(variants: DataFrame) -> DataFrame:
     """How often each variant failed and why; no reason is none."""
     return variants.groupBy("variant", F.coalesce(F.nullif(F.trim("failure_reason"), F.lit("")), F.lit("none")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def partial_rank_sums(df: DataFrame, x: str, y: str, covariates: list[str]) -> DataFrame:
+    """n and the partial rank correlation of x and y given the covariates, for tables of any size: ranks from counts of
+    distinct values, then sums of products of ranks, which are all that reaches the driver.  NULL where it is undefined."""
+    columns = [x, y, *covariates]
+    rows = df.select(F.lit(1).alias("__g"), *[X.finite(F.col(c)).alias(f"__v{k}") for k, c in enumerate(columns)]).dropna()
+    for k in range(len(columns)):
+        rows = stats.ranked(rows, f"__v{k}", ["__g"], f"__r{k}")
+    ranks = [F.col(f"__r{k}") for k in range(len(columns))]
+    sums = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(r).alias(f"s{k}") for k, r in enumerate(ranks)], *[F.sum(ranks[i] * ranks[j]).alias(f"p{i}_{j}") for i in range(len(ranks)) for j in range(i, len(ranks))]).first()
+    n, size = sums["n"], len(columns)
+    rho = None
+    if n > size:
+        mean = np.array([sums[f"s{k}"] / n for k in range(size)])
+        gram = np.array([[sums[f"p{min(i, j)}_{max(i, j)}"] - n * mean[i] * mean[j] for j in range(size)] for i in range(size)])
+        # what the covariates explain goes out of the block of x and y
+        left = gram[:2, :2] - gram[:2, 2:] @ np.linalg.lstsq(gram[2:, 2:], gram[2:, :2], rcond=None)[0] if covariates else gram
+        if left[0, 0] > 1e-9 * n and left[1, 1] > 1e-9 * n:
+            rho = float(left[0, 1] / np.sqrt(left[0, 0] * left[1, 1]))
+    return df.sparkSession.createDataFrame([(n, rho)], "n long, partial_rho double")

@@ -339,3 +339,55 @@ def vector_error(df: DataFrame, vector: list[str]) -> DataFrame:
     """n, root mean square and largest length of a vector over each case's rows, as for cycle errors."""
     square = sum(F.col(c) ** 2 for c in vector)
     return df.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(square)).alias("rmse"), F.max(F.sqrt(square)).alias("largest"))
+
+
+def volumes_ml(df: DataFrame, masks: list[str], voxel_mm3: float = 1.0) -> DataFrame:
+    """The volume of each mask column in ml, for each case: its voxels times their volume."""
+    return df.groupBy("case_id").agg(*[(F.count_if(F.col(m)) * F.lit(voxel_mm3) / 1000.0).alias(f"{m}_ml") for m in masks])
+
+
+def field_energy(df: DataFrame, vector: list[str], other: list[str], valid: Column) -> DataFrame:
+    """For each case the energy of a vector field (sum of squares), its root mean square on the valid voxels, and how far
+    another field lies from it: the root mean square of the difference over that of the field."""
+    square = sum(F.col(c) ** 2 for c in vector)
+    gap = sum((F.col(a) - F.col(b)) ** 2 for a, b in zip(vector, other, strict=True))
+    return df.groupBy("case_id").agg(F.sum(square).alias("energy"), F.sqrt(F.avg(F.when(valid, square))).alias("rms"), (F.sqrt(F.avg(gap)) / F.greatest(F.sqrt(F.avg(square)), F.lit(1e-12))).alias("relative_rmse"))
+
+
+def affine_prediction(coefficients: list[list[float]]) -> list[Column]:
+    """The coordinates that an affine map (rows for x, y, z and the shift) gives each voxel."""
+    terms = [F.col("x"), F.col("y"), F.col("z"), F.lit(1.0)]
+    return [sum(t * F.lit(float(row[k])) for t, row in zip(terms, coefficients, strict=True)).alias(f"p{k}") for k in range(3)]
+
+
+def sensitivity(effect_rows: DataFrame, other: DataFrame, vector: tuple[str, ...] = ("e0", "e1", "e2"), valid: str = "effect_valid") -> DataFrame:
+    """How far two effects of a case lie apart at each voxel, zero off their common support (zeros count in summaries)."""
+    keys = ["case_id", *AXES]
+    both = effect_rows.select(*keys, valid, *vector).join(other.select(*keys, F.col(valid).alias("__v"), *[F.col(c).alias(f"__{c}") for c in vector]), keys)
+    apart = F.sqrt(sum((F.col(c) - F.col(f"__{c}")) ** 2 for c in vector))
+    return both.select(*keys, F.when(F.col(valid) & F.col("__v"), apart).otherwise(F.lit(0.0)).alias("sensitivity"))
+
+
+def compose(outer: DataFrame, inner: DataFrame, shape: tuple[int, int, int], vector: list[str], spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
+    """The displacement of (identity + outer) after (identity + inner), as voxel rows; the identity continues beyond the grid.
+    Each component of ``outer`` is sampled where ``inner`` leads."""
+    at = [f"__c{a}" for a in AXES]
+    moved = inner.select("case_id", *AXES, *vector, *[(F.col(a) + F.col(u) / h).alias(c) for a, u, h, c in zip(AXES, vector, spacing, at, strict=True)])
+    for u in vector:
+        moved = trilinear_sample(moved, outer, tuple(at), u, shape, f"__{u}")
+    return moved.select("case_id", *AXES, *[(F.col(u) + F.col(f"__{u}")).alias(u) for u in vector])
+
+
+def mirror_dice(mask: DataFrame, size: int) -> DataFrame:
+    """Overlap of each case's mask (rows of voxels inside) with its own mirror image."""
+    places = mask.select("case_id", *AXES).distinct()
+    image = places.select("case_id", (F.lit(size - 1) - F.col("x")).cast("int").alias("x"), "y", "z")
+    common = places.join(image, ["case_id", *AXES]).groupBy("case_id").agg(F.count(F.lit(1)).alias("__both"))
+    sizes = places.groupBy("case_id").agg(F.count(F.lit(1)).alias("__n"))
+    return sizes.join(common, "case_id", "left").select("case_id", (F.coalesce("__both", F.lit(0)) / F.col("__n")).alias("dice"))
+
+
+def physical_point(index: list[Column], origin: list[float], spacing: list[float], direction: list[list[float]]) -> list[Column]:
+    """The physical point (LPS) of voxel indices, as columns p0, p1, p2."""
+    steps = [i * F.lit(float(h)) for i, h in zip(index, spacing, strict=True)]
+    return [(sum(F.lit(float(d)) * s for d, s in zip(row, steps, strict=True)) + F.lit(float(o))).alias(f"p{k}") for k, (row, o) in enumerate(zip(direction, origin, strict=True))]
