@@ -38,7 +38,7 @@ PAIRS, BLOCK, BLOCK_ROWS = 256, 1 << 18, 2048
 #: Parts of a group of equal sets.
 SALTS = 64
 #: Counters by which shingles are ordered from rare to common; a shingle shares its counter with those of its hash.
-COUNTERS = 1 << 20
+COUNTERS = 1 << 18
 AGREE = 0.55
 U = np.uint64
 EMPTY = U(0xFFFFFFFFFFFFFFFF)

@@ -86,15 +86,17 @@ class SortedLists:
 
     def far(self, queries: np.ndarray, floors: np.ndarray) -> np.ndarray:
         """Whether half of the candidates or more would be read before the bound falls below the floor."""
-        heads = self.heads(queries).astype(np.float64)
-        first = np.sort(heads[:, 0, :], axis=1)
+        # every fourth run will do to tell
+        q = queries[:, None, :]
+        heads = np.where(q > 0, self.high[::4], self.low[::4]) * q
+        first = np.sort(heads[:, 0, :].astype(np.float64), axis=1)
         d = first.shape[1]
         # the level where sum(min(level, first)) is the floor; what lies above the level is read.  The sum is concave, so that
         # its straight pieces meet the floor at this level or below it
         before = np.concatenate((np.zeros((len(first), 1)), np.cumsum(first, axis=1)[:, :-1]), axis=1)
         level = (floors[:, None].astype(np.float64) - before) / (d - np.arange(d))
         level = np.where(floors > first.sum(axis=1), np.inf, level.max(axis=1, initial=-np.inf))
-        read = ((heads > level[:, None, None]) & (queries != 0)[:, None, :]).sum(axis=(1, 2)) * self.step
+        read = ((heads > level[:, None, None]) & (queries != 0)[:, None, :]).sum(axis=(1, 2)) * self.step * 4
         return (read * 2 >= len(self.ids)) | ~queries.any(axis=1)
 
     def top(self, own: int, query: np.ndarray, k: int, floor: float | int | None = None) -> tuple[np.ndarray, np.ndarray, int]:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldcohort.llm import hashing
-from fieldcohort.llm.common import passing, slices, staged, within, without
+from fieldcohort.llm.common import passing, release, slices, staged, within, without
 from fieldcohort.llm.quality import training_rows
 
 #: Labelled rows that the chain is fitted on, at most.
@@ -160,7 +160,9 @@ class Chain:
 def fit_chain(docs: DataFrame, labels: DataFrame, chain=CHAIN, train_rows: int = TRAIN_ROWS, features: int = FEATURES) -> Chain:
     """Fit a chain on at most ``train_rows`` labelled rows outside the held-out fold."""
     with passing(docs.sparkSession):
-        return _fit_chain(docs, labels, chain, train_rows, features)
+        fitted = _fit_chain(docs, labels, chain, train_rows, features)
+    release()  # the driver goes on without the sample
+    return fitted
 
 
 def _fit_chain(docs: DataFrame, labels: DataFrame, chain, train_rows: int, features: int) -> Chain:
