@@ -141,8 +141,9 @@ def _line_sweep(df: DataFrame, axis: str, step: float) -> DataFrame:
     """The least of d + (step * way)^2 along the lines of an axis, for rows (case_id, x, y, z, d) where d may be NULL.
 
     A line is one row: an array of its (place, d) in order, and the lower envelope of their parabolas, built with a stack
-    as the line is passed once (Felzenszwalb and Huttenlocher 2012) and read off in a second pass; so the work is linear in
-    the voxels.  Breaks between parabolas are kept beside them."""
+    as the line is passed once (Felzenszwalb and Huttenlocher 2012) and read off in a second pass, both inside the row; so
+    the work is voxels times parabolas of a line (the mask's extent along it), and each voxel is shuffled once.  Breaks
+    between parabolas are kept beside them."""
     keys = ["case_id", *[a for a in AXES if a != axis]]
     lines = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(axis).alias("a"), F.col("d").alias("d")))).alias("__line"))
     empty = F.filter(F.array(F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("d"), F.lit(0.0).alias("start"))), lambda x: F.lit(False))
