@@ -8,7 +8,10 @@ from pyspark.sql import SparkSession
 
 
 def get_session(app: str = "fieldcohort", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """Return a session with UTC time, AQE and Arrow on; ANSI stays at Spark's default (on)."""
+    """A session with UTC time, AQE and Arrow on; ANSI stays at Spark's default (on).  A session that is there already is
+    returned as it is: its settings are its owner's."""
+    if active := SparkSession.getActiveSession():
+        return active
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
