@@ -15,7 +15,6 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from fieldcohort.operators import kernels as K
 from fieldcohort.sources.report import strict_json
