@@ -212,7 +212,8 @@ def _links(left: pa.Table, right: pa.Table, percent: int) -> pa.Table:
         m[owner_x[p], at_x[p] - k] = 1
         n[owner_y[q], at_y[q] - k] = 1
         both += m @ n.T
-    union = (size_x[:, None] + size_y[None, :]).astype(np.float32) - both
+    both = both.astype(np.int64)
+    union = size_x[:, None] + size_y[None, :] - both
     good = (100 * both >= percent * union) & (left["label"].to_numpy()[:, None] != right["label"].to_numpy()[None, :])
     i, j = np.nonzero(good)
     return pa.table({"a": left["id"].to_numpy()[i], "b": right["id"].to_numpy()[j]}) if len(i) else none

@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from fieldcohort.llm import neardup, registry
@@ -166,3 +167,12 @@ def test_components_of_chains_and_stars(spark):
     more = components(spark.createDataFrame([(5, 130), (300, 301)], "a long, b long"), spark.createDataFrame(rows)).collect()
     later = {r.id: r.label for r in more}
     assert later[159] == 0 and later[40] == 0 and later[301] == 300
+
+
+def test_links_of_very_large_sets_are_exact():
+    # unions of 5,000,009: 100 * 4,000,007 is 20 short of 80 * 5,000,009, less than single precision holds at that size
+    def table(first, end, label):
+        return pa.table({"id": pa.array([label]), "label": pa.array([label]), "shingles": pa.array([np.arange(first, end)])})
+
+    for common, linked in ((4_000_007, 0), (4_000_008, 1)):
+        assert neardup._links(table(0, 4_500_000, 1), table(4_500_000 - common, 5_000_009, 2), 80).num_rows == linked
