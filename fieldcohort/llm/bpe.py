@@ -32,6 +32,8 @@ MEMO = 200_000
 MEMO_LENGTH = 64
 #: Bytes from which on a pre-token's lists are arrays.
 LONG = 1 << 16
+#: Bytes of a packed id.
+ID_BYTES = array("I").itemsize
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -113,8 +115,9 @@ class Codec:
         self.pairs = [self.ranks.get(bytes((k >> 8, k & 255)), -1) for k in range(1 << 16)]
         whole = [(token.decode(), rank) for token, rank in self.ranks.items() if _is_text(token)]
         self.hash = PerfectHash([t for t, _ in whole], [r for _, r in whole])
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        # pre-token -> its ids, packed, which takes a quarter of a tuple of numbers
+        self.memo: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def merge(self, raw: bytes) -> list[int]:
         """The ids of one pre-token: the lowest-ranked neighbour pair, leftmost first, is joined until none is left."""
@@ -194,18 +197,18 @@ class Codec:
         for token in distinct[missed].tolist():
             got = self.memo.get(token)
             if got is None:
-                got = self.old.get(token) or tuple(self.merge(token.encode("utf-8")))
+                got = self.old.get(token) or array("I", self.merge(token.encode("utf-8"))).tobytes()
                 if len(token) <= MEMO_LENGTH:
                     if len(self.memo) >= MEMO:
                         self.old, self.memo = self.memo, {}
                     self.memo[token] = got
             parts.append(got)
-        sizes[missed] = lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+        sizes[missed] = lengths = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // ID_BYTES
         first = np.cumsum(sizes) - sizes
         # ids of the distinct pre-tokens, one after the other
         pool = np.empty(int(sizes.sum()), dtype=np.uint32)
         pool[first] = np.maximum(whole, 0)
-        merged = np.fromiter(chain.from_iterable(parts), dtype=np.uint32, count=int(lengths.sum()))
+        merged = np.frombuffer(b"".join(parts), dtype=np.uintc)
         pool[np.arange(len(merged)) + np.repeat(first[missed] - (np.cumsum(lengths) - lengths), lengths)] = merged
         each = sizes[codes]
         to = np.cumsum(each)
