@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldcohort.llm import hashing
-from fieldcohort.llm.common import slices, without
+from fieldcohort.llm.common import slices, small_batches, without
 
 ITEMS, PASSAGE, SKETCH, LATENT = 2000, 64, 40, 32
 #: Bytes of the items of a block, on average.
@@ -182,7 +182,8 @@ def fit(docs: DataFrame, vocabulary: np.ndarray, latent: int = LATENT, sketch: i
     while parts > 1:
         summed = summed.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int")).groupBy("block", "part").applyInArrow(lambda k, g: add(k, g).set_column(1, "part", pa.array([k[1].as_py()], pa.int32())), schema)
         parts = -(-parts // FAN_IN)
-    got = sorted(summed.collect(), key=lambda r: r["block"])  # terms x sketch, whatever the documents
+    with small_batches(docs.sparkSession):
+        got = sorted(summed.collect(), key=lambda r: r["block"])  # terms x sketch, whatever the documents
     if not got:
         return np.zeros((size, latent), dtype=np.float32), np.zeros(size)
     df = np.concatenate([np.frombuffer(r["df"]) for r in got])

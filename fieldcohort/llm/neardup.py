@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldcohort.llm import hashing
-from fieldcohort.llm.common import BROADCAST_IDS, EASY, join_by_key, passing, slices, staged, within, without
+from fieldcohort.llm.common import BROADCAST_IDS, EASY, join_by_key, passing, slices, small_batches, staged, within, without
 from fieldcohort.llm.components import components
 
 BANDS, ROWS, WORDS, PERCENT = 32, 4, 5, 80
@@ -141,7 +141,8 @@ def _counted(sets: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["at", "n"])
 
     total = np.zeros(COUNTERS, dtype=np.int64)
-    rows = sets.select("shingles").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    with small_batches(sets.sparkSession):
+        rows = sets.select("shingles").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
     total[rows["at"].to_numpy()] = rows["n"].to_numpy()
     return total
 
