@@ -32,6 +32,8 @@ MEMO = 200_000
 MEMO_LENGTH = 64
 #: Bytes from which on a pre-token's lists are arrays.
 LONG = 1 << 16
+#: Text bytes encoded at once; every pre-token of them is an object.
+PIECE_BYTES = 1 << 18
 #: Bytes of a packed id.
 ID_BYTES = array("I").itemsize
 
@@ -246,7 +248,7 @@ def encode_documents(df: DataFrame, path: str, pattern: str, keep_ids: bool = Fa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path, pattern)
-        for batch in slices(batches, "text"):
+        for batch in slices(batches, "text", PIECE_BYTES):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids, ends = tool.encode(texts)
             cuts = np.split(ids, ends[:-1])
