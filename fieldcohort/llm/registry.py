@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldcohort.llm import bpe, common, decontaminate, neardup, quality, secrets, sharding, token_counts, topk, toxicity, warc
+from fieldcohort.llm import bpe, common, decontaminate, filter_audit, neardup, quality, secrets, sharding, token_counts, token_files, topk, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,9 +95,49 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(_read(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = common.scratch(spark, "token-files")
+    token_files.write_files(_read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"))
+    return token_files.read_files(spark, path)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS x FROM documents),
+w AS (SELECT *, regexp_extract_all(x, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY x) AS top FROM t),
+m AS (
+  SELECT doc_id, part, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+    + 4 * (100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 3 * length(x))::INT + 8 * regexp_matches(x, '[#$%&*|]')::INT
+    + 16 * coalesce(top < doc_id, false)::INT AS mask FROM w),
+l AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+c AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS toxic
+  FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+f(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+o AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND (a.bit | b.bit | c.bit | d.bit | e.bit) = 31),
+s AS (SELECT filter_order, k::INT AS step, bits[k] AS bit, coalesce(list_sum(bits[1:k - 1]), 0)::INT AS before FROM o, unnest([1, 2, 3, 4, 5]) u(k)),
+r AS (
+  SELECT part, filter_order, step, n, good, toxic, mask = bit AS alone, (mask & bit) <> 0 AS fails, (mask & before) <> 0 AS gone, bit_count(mask::INT) AS k
+  FROM c, s)
+SELECT part, filter_order, step, coalesce(sum(n) FILTER (NOT fails AND NOT gone), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (fails AND NOT gone), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (fails AND gone), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (alone), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (fails AND NOT gone), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (fails AND NOT gone), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(120 * n // greatest(k, 1)) FILTER (fails), 0)::BIGINT AS shapley
+FROM r GROUP BY part, filter_order, step
+"""
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_warc, op2_toxicity, op3_byte_bpe, op4_token_counts, op5_quality, op6_threshold_topk, op7_hilbert_sharding, op8_minhash_neardup, op9_decontamination, op10_secret_scan)}
+    return {
+        f.__name__: f
+        for f in (op1_warc, op2_toxicity, op3_byte_bpe, op4_token_counts, op5_quality, op6_threshold_topk, op7_hilbert_sharding, op8_minhash_neardup, op9_decontamination, op10_secret_scan, op11_token_files, op12_filter_audit)
+    }
 
 
 def oracle_sql() -> dict:
-    return {"op1_warc": OP1_SQL, "op6_threshold_topk": OP6_SQL, "op8_minhash_neardup": OP8_SQL}
+    return {"op1_warc": OP1_SQL, "op6_threshold_topk": OP6_SQL, "op8_minhash_neardup": OP8_SQL, "op12_filter_audit": OP12_SQL}
