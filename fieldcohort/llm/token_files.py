@@ -22,43 +22,74 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldcohort.llm.common import slices, small_batches
+from fieldcohort.llm.common import release, slices, small_batches
 
 #: Text bytes of a file, on average; a file is one task's work and some 0.8 times as large.
 FILE_BYTES = 128 << 20
 #: Files that a corpus has at least, if it has as many times LEAST_BYTES of text.
 FILES, LEAST_BYTES = 48, 1 << 20
-#: Text bytes encoded at once, and from which on a text is cut.
+#: Text bytes encoded at once, and characters from which on a text that goes to the library is cut.
 PIECE_BYTES = 1 << 18
+#: Pre-tokens that the memo keeps, and how long they are at most.
+MEMO, LONG = 300_000, 64
 #: Ids that the reader holds at once.
 READ_IDS = 1 << 20
 #: Bit of an index entry's offset that marks a document without doc_id.
 NO_ID = 1 << 31
 #: A blank between two characters that are none: the split pattern of byte-level BPE always begins a pre-token there.
 CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Characters of which libraries might think differently whether they are letters, numbers or blanks: all but ASCII, Latin
+#: letters and common punctuation, whose classes are as old as Unicode's tables.
+RARE = re.compile("[^\t\n\r -~\u00a1-\u024f\u2010-\u2027\u20ac]")
+
+
+class _Memo(dict):
+    """Packed ids of pre-tokens; the library's model is asked for those that are not there."""
+
+    def __init__(self, model, dtype: np.dtype, most: int):
+        self.model, self.dtype, self.most = model, dtype, most
+        # the characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, others from 256 on
+        plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+        others = [k for k in range(256) if k not in plain]
+        self.letters = {k: chr(k) for k in plain} | {k: chr(256 + n) for n, k in enumerate(others)}
+
+    def __missing__(self, piece: str) -> bytes:
+        got = np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))], dtype=self.dtype).tobytes()
+        if len(piece) <= LONG:
+            if len(self) >= self.most:
+                self.clear()
+            self[piece] = got
+        return got
 
 
 class Encoder:
     """A tokenizer file of the ``tokenizers`` library.
 
-    Texts longer than ``piece`` bytes are cut before single blanks where pre-tokens begin whatever stands around them, so
-    that what the library holds at once is bounded; that holds for a byte-level pre-tokenizer which puts no blank in front
-    and for no normalizer; with others, or without such blanks, a text is encoded as a whole."""
+    For byte-level BPE without normalizer or leading blank, texts of common characters are split by the published pattern and
+    the library's model encodes each pre-token that the memo does not hold; its own splitting takes most of its time.  Texts
+    with RARE characters or added tokens, and all texts of other tokenizers, go to the library as they are; long ones are cut
+    before single blanks, where pre-tokens begin whatever stands around them, so that what it holds at once is bounded."""
 
-    def __init__(self, path: str, piece: int = PIECE_BYTES):
+    def __init__(self, path: str, piece: int = PIECE_BYTES, most: int = MEMO):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for every core
         from tokenizers import Tokenizer
 
         self.tool, self.piece = Tokenizer.from_file(path), piece
         how = json.loads(self.tool.to_str())
-        before = how["pre_tokenizer"] or {}
+        before, model = how["pre_tokenizer"] or {}, how["model"]
+        self.added = [x["content"] for x in how["added_tokens"]]
         blanks = any(" " in x["content"] or x["lstrip"] or x["rstrip"] for x in how["added_tokens"])
         self.cuts = before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before.get("use_regex", True) and not how["normalizer"] and not blanks
+        plain = model["type"] == "BPE" and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback"))
+        self.split = regex.compile(public_tokenizers.PATTERN).findall if self.cuts and plain else None
         self.dtype = np.dtype("<u2" if self.tool.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
+        self.memo = _Memo(self.tool.model, self.dtype, most)
 
     def pieces(self, text: str) -> list[str]:
         if not self.cuts or len(text) <= self.piece:
@@ -69,14 +100,16 @@ class Encoder:
             start = cut.start()
         return [*out, text[start:]]
 
-    def encode(self, text: str) -> np.ndarray:
-        got = (self.tool.encode_batch_fast([p], add_special_tokens=False)[0].ids for p in self.pieces(text))
-        return np.concatenate([np.array(x, dtype=self.dtype) for x in got])
+    def common(self, text: str) -> bool:
+        """Whether pre-tokens are those of the library for certain."""
+        return self.split is not None and not RARE.search(text) and not any(a in text for a in self.added)
 
-    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        if any(len(t) > self.piece for t in texts):
-            return [self.encode(t) for t in texts]
-        return [np.array(x.ids, dtype=self.dtype) for x in self.tool.encode_batch_fast(texts, add_special_tokens=False)]
+    def encode(self, text: str) -> bytes:
+        """The ids of a text, packed little-endian in ``dtype``."""
+        if self.common(text):
+            return b"".join(map(self.memo.__getitem__, self.split(text)))
+        got = (self.tool.encode_batch_fast([p], add_special_tokens=False)[0].ids for p in self.pieces(text))
+        return b"".join(np.array(x, dtype=self.dtype).tobytes() for x in got)
 
 
 @functools.lru_cache(2)
@@ -116,9 +149,9 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, file_bytes: int = FI
         tool = encoder(tokenizer)
         width, at = tool.dtype.itemsize, 0
         for batch in slices(batches, "text", PIECE_BYTES):
-            got = tool.encode_batch(batch.column("text").to_pylist())
+            got = [tool.encode(t) for t in batch.column("text").to_pylist()]
             entries = np.zeros(len(got), dtype=INDEX)
-            sizes = np.array([len(x) + 1 for x in got], dtype=np.uint64)
+            sizes = np.array([len(x) // width + 1 for x in got], dtype=np.uint64)
             entries["start"] = at + np.cumsum(sizes) - sizes
             at += int(sizes.sum())
             if batch.column("doc_id").null_count:
@@ -127,9 +160,12 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, file_bytes: int = FI
             if at >= NO_ID:
                 raise ValueError("a file has over 2^31 ids; give fewer bytes to a file")
             packed = entries.tobytes()
-            values = [x.tobytes() for x in got] + [packed[k : k + 16 - width] for k in range(0, len(packed), 16)]
+            values = got + [packed[k : k + 16 - width] for k in range(0, len(packed), 16)]
             kinds = [f"uint{8 * width}"] * len(got) + ["index"] * len(got)
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.binary())], names=["kind", "value"])
+        # the worker lives on after the task
+        tool.memo.clear()
+        release()
 
     with small_batches(spark), _writers(spark, 4):
         out = ordered.mapInArrow(run, "kind string, value binary").select("kind", F.col("value").cast("string").alias("value"))

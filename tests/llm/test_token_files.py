@@ -102,26 +102,50 @@ def test_repeated_and_empty(spark, library):
     assert read(spark, written(spark, docs.limit(0))) == []
 
 
+def same(tool, library, text):
+    return np.frombuffer(tool.encode(text), dtype=tool.dtype).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_cuts_change_nothing(library):
     tool = token_files.Encoder(PATH, piece=5)
-    texts = ["one two  three   four\n five\tsix it's we'll 'tis  ", "<|endoftext|> a<|endoftext|> b", "a  b \x1c c   d", "x" * 100]
+    tool.split = None
+    texts = ["one two  three   four\n five\tsix it's we'll 'tis  ", "<|endoftext|> a<|endoftext|> b", "a  b \x1c c   d", "x" * 100]
     assert len(tool.pieces(texts[0])) > 3
     for t in texts:
-        assert tool.encode(t).tolist() == library.encode(t, add_special_tokens=False).ids
+        assert same(tool, library, t)
+
+
+def test_common_texts(library):
+    tool = token_files.Encoder(PATH, most=7)
+    texts = ["it's we'll IT'S 'tis  two   blanks\n\n\tÄrger ñandú ²½ 12345 – “quoted” … 5€ ", "a" * 500, ""]
+    for t in texts * 2:
+        assert tool.common(t) and same(tool, library, t)
+    assert len(tool.memo) <= 7 and "a" * 500 not in tool.memo
+    for t in ("a\x0bb", "日本", "a\u00a0b", "x<|endoftext|>y", "🙂"):
+        assert not tool.common(t) and same(tool, library, t)
+
+
+@pytest.fixture(scope="module")
+def tools():
+    slow = token_files.Encoder(PATH, piece=3)
+    slow.split = None
+    return slow, token_files.Encoder(PATH)
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.text(alphabet=st.sampled_from(list("ab1' .\n\t  é")), max_size=60))
-def test_any_cut(library, text):
-    assert token_files.Encoder.encode(_small(), text).tolist() == library.encode(text, add_special_tokens=False).ids
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("ab1' .\n\t  éÄ²–€—,")), max_size=60) | st.text(max_size=40))
+def test_any_text(tools, library, text):
+    assert all(same(t, library, text) for t in tools)
 
 
-def _small(found=[]):  # noqa: B006
-    if not found:
-        found.append(token_files.Encoder(PATH, piece=3))
-    return found[0]
+def test_every_character_of_common_texts(library):
+    tool = token_files.Encoder(PATH)
+    chars = [chr(c) for c in range(0x20B0) if not token_files.RARE.search(chr(c))]
+    assert len(chars) > 500
+    for c in chars:
+        assert same(tool, library, f"a{c}b {c} 1{c}2{c}{c} '{c}s")
 
 
-def test_wider_ids_and_other_tokenizers():
+def test_other_tokenizers():
     tool = token_files.Encoder(P.path("word_bpe_49k.json"), piece=5)
-    assert not tool.cuts and tool.pieces("a b c d e f g") == ["a b c d e f g"] and tool.dtype == np.dtype("<u2")
+    assert not tool.cuts and not tool.common("a") and tool.pieces("a b c d e f g") == ["a b c d e f g"] and tool.dtype == np.dtype("<u2")
