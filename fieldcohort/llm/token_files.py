@@ -22,9 +22,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,9 +42,12 @@ READ_IDS = 1 << 20
 NO_ID = 1 << 31
 #: A blank between two characters that are none: the split pattern of byte-level BPE always begins a pre-token there.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Characters of which libraries might think differently whether they are letters, numbers or blanks: all but ASCII, Latin
-#: letters and common punctuation, whose classes are as old as Unicode's tables.
+#: Letters, digits and blanks of common texts: ASCII, Latin letters, common punctuation. Of other characters, libraries might
+#: think differently whether they are one of these.
+LETTERS, DIGITS, BLANKS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", " \t\n\r"
 RARE = re.compile("[^\t\n\r -~\u00a1-\u024f\u2010-\u2027\u20ac]")
+#: The published split pattern of byte-level BPE, with these classes written out, which takes less than half the time.
+SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^{BLANKS}{LETTERS}{DIGITS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
 
 
 class _Memo(dict):
@@ -87,7 +88,7 @@ class Encoder:
         blanks = any(" " in x["content"] or x["lstrip"] or x["rstrip"] for x in how["added_tokens"])
         self.cuts = before.get("type") == "ByteLevel" and not before["add_prefix_space"] and before.get("use_regex", True) and not how["normalizer"] and not blanks
         plain = model["type"] == "BPE" and not any(model.get(x) for x in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback"))
-        self.split = regex.compile(public_tokenizers.PATTERN).findall if self.cuts and plain else None
+        self.split = SPLIT.findall if self.cuts and plain else None
         self.dtype = np.dtype("<u2" if self.tool.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self.memo = _Memo(self.tool.model, self.dtype, most)
 
@@ -163,8 +164,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, file_bytes: int = FI
             values = got + [packed[k : k + 16 - width] for k in range(0, len(packed), 16)]
             kinds = [f"uint{8 * width}"] * len(got) + ["index"] * len(got)
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(values, pa.binary())], names=["kind", "value"])
-        # the worker lives on after the task
-        tool.memo.clear()
+        # the worker lives on after the task, with its memo
         release()
 
     with small_batches(spark), _writers(spark, 4):
