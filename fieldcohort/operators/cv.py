@@ -1,18 +1,26 @@
 """Repeated nested cross-validation of ridge regression.
 
-The work is a table of tasks (repeat, outer fold, model); each task runs as a group of a pandas function over the design,
-which is broadcast: a cohort table, bounded by DESIGN_ROWS and checked.  Larger designs are refused rather than collected.
+``nested_ridge`` takes designs of any size, with missing values: a fit needs sums of products only, and a median of a training
+fold comes from counts of runs of values (``order``).  ``nested_cv`` runs a table of tasks (repeat, outer fold, model), each a
+group of a pandas function over the design, which is broadcast: a cohort table, bounded by DESIGN_ROWS and checked; larger
+designs are refused there rather than collected.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import product
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldcohort.functions import expr as X
+from fieldcohort.operators import order
+
 DESIGN_ROWS = 200_000
 
 
@@ -149,7 +157,11 @@ def _ridge_from_sums(products: np.ndarray, size: int, alphas: list[float]) -> li
     """(alpha, means, scales, slopes on standardised features, intercept) from summed products of (1, features, outcome)."""
     full = np.zeros((size + 2, size + 2))
     full[np.triu_indices(size + 2)] = products
-    full = full + np.triu(full, 1).T
+    return _ridge_from_gram(full + np.triu(full, 1).T, size, alphas)
+
+
+def _ridge_from_gram(full: np.ndarray, size: int, alphas: list[float]) -> list[tuple[float, list[float], list[float], list[float], float]]:
+    """The same from the whole matrix of products."""
     n, mean = full[0, 0], full[0, 1:] / full[0, 0]
     central = full[1:, 1:] - n * np.outer(mean, mean)
     scale = np.sqrt(np.maximum(np.diag(central)[:size], 0) / n)
@@ -204,3 +216,207 @@ def nested_sums(df: DataFrame, features: list[str], outcome: str, alphas: list[f
     final = table.where("i is null").drop("i").join(best, ["o", "alpha"])
     scored = df.join(F.broadcast(final), F.col(outer) == F.col("o"))
     return scored.groupBy(F.col("o").alias(outer), "alpha").agg(F.count(F.lit(1)).alias("n"), F.avg(error).alias("mae"), F.first("intercept").alias("intercept"), F.first("slopes").alias("slopes"))
+
+
+# --- the whole validation, for designs of any size with missing values --------------------------------------------------
+
+
+def hashed_folds(key: Column, config: CvConfig) -> Column:
+    """Folds of a row for ``nested_ridge``, decided by hashes of seed, repeat and key: an array over repeats of the outer fold
+    and, for each outer fold, the inner fold that the row is in when that one is held out; all from 0."""
+
+    def of(repeat: Column) -> Column:
+        inner = F.transform(F.sequence(F.lit(0), F.lit(config.outer_folds - 1)), lambda a: X.draw(F.lit(config.inner_folds), F.lit(config.seed), repeat, a, key).cast("int"))
+        return F.struct(X.draw(F.lit(config.outer_folds), F.lit(config.seed), repeat, key).cast("int").alias("outer"), inner.alias("inner"))
+
+    return F.transform(F.sequence(F.lit(1), F.lit(config.repeats)), of)
+
+
+@dataclass
+class _Design:
+    """Columns of a design as terms of linear models: 1, each feature less its mean (missing: 0), an indicator for each feature
+    that has gaps, and the outcome less its mean.  An imputed feature is a sum of its term and a multiple of its indicator."""
+
+    rows: DataFrame
+    features: list[str]
+    gaps: list[int]
+    centre: np.ndarray
+
+    @property
+    def size(self) -> int:
+        return 1 + len(self.features) + len(self.gaps)
+
+    def terms(self) -> list[Column]:
+        x = [F.coalesce(F.col(f"x{k}") - F.lit(float(self.centre[k])), F.lit(0.0)) for k in range(len(self.features))]
+        return [F.lit(1.0), *x, *[F.col(f"x{k}").isNull().cast("double") for k in self.gaps], F.col("y") - F.lit(float(self.centre[-1]))]
+
+    def imputed(self, medians: np.ndarray) -> np.ndarray:
+        """The matrix from terms to (1, imputed features, outcome)."""
+        p = len(self.features)
+        out = np.zeros((self.size + 1, p + 2))
+        out[: p + 1, : p + 1], out[-1, -1] = np.eye(p + 1), 1
+        for j, k in enumerate(self.gaps):
+            out[1 + p + j, 1 + k] = medians[j] - self.centre[k]
+        return out
+
+
+def _design(df: DataFrame, features: list[str], outcome: str, folds: str) -> _Design:
+    rows = df.select(X.finite(F.col(outcome)).alias("y"), *[X.finite(F.col(f)).alias(f"x{k}") for k, f in enumerate(features)], F.col(folds).alias("folds")).where("y is not null")
+    seen = rows.agg(F.count("y").alias("n"), F.avg("y").alias("y"), *[F.count(f"x{k}").alias(f"n{k}") for k in range(len(features))], *[F.avg(f"x{k}").alias(f"x{k}") for k in range(len(features))]).first()
+    if not seen["n"] or any(not seen[f"n{k}"] for k in range(len(features))):
+        raise ValueError("a design has rows, and each feature values")
+    gaps = [k for k in range(len(features)) if seen[f"n{k}"] < seen["n"]]
+    return _Design(rows, features, gaps, np.array([seen[f"x{k}"] for k in range(len(features))] + [seen["y"]]))
+
+
+def _held_out(rows: DataFrame, *columns: Column) -> DataFrame:
+    """repeat, outer, inner and ``columns`` of each row, once for each outer fold of each repeat that it trains for."""
+    each = rows.select("*", F.posexplode("folds").alias("repeat", "f")).select("*", F.posexplode("f.inner").alias("outer", "inner"))
+    return each.where("outer <> f.outer").select("repeat", "outer", "inner", *columns)
+
+
+def _medians(design: _Design, inner: int) -> dict:
+    """The median of each feature with gaps in each training set: (repeat, outer, held-out inner fold or None, feature)."""
+    if not design.gaps:
+        return {}
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), F.col(f"x{k}").alias("v")) for k in design.gaps])).alias("g")
+    long = _held_out(design.rows.select("folds", values).where("g.v is not null"), F.col("g.feature").alias("feature"), F.col("g.v").alias("v"))
+    sets = lambda c: [(c[0], c[1], b, c[3]) for b in [None, *range(inner)] if b != c[2]]
+    size, got = order.order_statistics(long, "v", ["repeat", "outer", "inner", "feature"], sets, lambda n: order.around(n, 0.5)[:2])
+    return {key: order.interpolated(got, key, n, 0.5) for key, n in size.items()}
+
+
+def _fit_terms(design: _Design, products: np.ndarray, medians: np.ndarray, picked: list[int], alphas: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """For each alpha: what a term adds to a prediction (of the outcome less its mean), and slopes on standardised features."""
+    a = design.imputed(medians)
+    take = [0, *[1 + k for k in picked], a.shape[1] - 1]
+    full = (a.T @ products @ a)[np.ix_(take, take)]
+    fits = _ridge_from_gram(full, len(picked), alphas)
+    out = np.zeros((len(alphas), design.size))
+    for row, (_, means, scales, slopes, intercept) in zip(out, fits, strict=True):
+        raw = np.array(slopes) / np.array(scales)
+        beta = np.zeros(a.shape[1])
+        beta[take[:-1]] = [intercept - raw @ np.array(means), *raw]
+        row[:] = (a @ beta)[:-1]
+    return out, np.array([f[3] for f in fits])
+
+
+def nested_ridge(df: DataFrame, models: dict[str, tuple[str, ...]], config: CvConfig, folds: str = "folds") -> tuple[DataFrame, DataFrame]:
+    """Repeated nested validation of ridge regression for designs of any size, with missing values.
+
+    ``folds`` is a column as ``hashed_folds`` makes it.  In each training set features with gaps get the median of that set,
+    and features are standardised by it (population deviation).  For each repeat, outer fold and model, alpha has the least
+    mean over inner folds of the mean absolute error, the smallest of equals; models without features have alpha 0.
+
+    Returns the fits (repeat, outer, model, alpha, coefficients on standardised features) and the sums of their errors on the
+    held-out rows (repeat, outer, model, n, absolute, squared, and sums of observed and predicted less the outcome's mean), from
+    which ``scores`` makes metrics.  Rows without an outcome take no part.  Sums by fold, and medians, reach the driver; their
+    number depends on repeats, folds and features alone.  Fits go back by a broadcast, errors are summed where the rows are.
+    """
+    spark = df.sparkSession
+    features = sorted({f for fs in models.values() for f in fs})
+    names, alphas = list(models), sorted(config.alphas)
+    picked = [[features.index(f) for f in models[m]] for m in names]
+    design = _design(df, features, config.outcome, folds)
+    size, inner = design.size, config.inner_folds
+    terms = design.terms()
+    upper = np.triu_indices(size + 1)
+    sums = _held_out(design.rows, F.array(*terms).alias("t")).groupBy("repeat", "outer", "inner").agg(F.array(*[F.sum(F.get("t", int(i)) * F.get("t", int(j))) for i, j in zip(*upper, strict=True)]).alias("s"))
+    cells: dict = {}
+    for r in sums.collect():  # a row for each repeat, outer and inner fold
+        full = np.zeros((size + 1, size + 1))
+        full[upper] = r["s"]
+        cells[r["repeat"], r["outer"], r["inner"]] = full + np.triu(full, 1).T
+    medians = _medians(design, inner)
+
+    def fit(r: int, a: int, b: int | None, m: int, at: list[float]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [cells[r, a, c] for c in range(inner) if c != b and (r, a, c) in cells]
+        if not parts or any((r, a, b, k) not in medians for k in design.gaps):
+            raise ValueError("a training fold has no rows, or a feature no value in it")
+        return _fit_terms(design, np.sum(parts, axis=0), np.array([medians[r, a, b, k] for k in design.gaps]), picked[m], at)
+
+    places = list(product(range(config.repeats), range(config.outer_folds)))
+    tune = {(r, a, b): np.vstack([fit(r, a, b, m, alphas)[0] for m in range(len(names)) if picked[m]] or [np.zeros((0, size))]) for r, a in places for b in range(inner)}
+    errors = _tuning_errors(design, tune, config)
+    fits, final = [], {}
+    tuned = [m for m in range(len(names)) if picked[m]]
+    for r, a in places:
+        mean = np.mean([errors[r, a, b] for b in range(inner) if (r, a, b) in errors], axis=0).reshape(len(tuned), len(alphas))
+        betas = []
+        for m, name in enumerate(names):
+            alpha = alphas[int(np.argmin(mean[tuned.index(m)]))] if picked[m] else 0.0
+            beta, slopes = fit(r, a, None, m, [alpha])
+            betas.append(beta[0])
+            fits.append((r + 1, a + 1, name, float(alpha), slopes[0].tolist()))
+        final[r, a] = np.array(betas)
+    table = spark.createDataFrame(fits, "repeat int, outer int, model string, alpha double, coefficients array<double>")
+    return table, _held_out_sums(design, final, names)
+
+
+def _batches(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Terms, outcome, outer folds (rows by repeats) and inner folds (rows by repeats by outer folds) of Arrow batches."""
+    for batch in batches:
+        if n := batch.num_rows:
+            t = batch.column("t").flatten().to_numpy().reshape(n, size + 1)
+            outer = batch.column("outer").flatten().to_numpy().reshape(n, -1)
+            yield t[:, :size], t[:, size], outer, batch.column("inner").flatten().to_numpy().reshape(n, outer.shape[1], -1)
+
+
+def _arrays(design: _Design) -> DataFrame:
+    return design.rows.select(F.array(*design.terms()).alias("t"), F.transform("folds", lambda f: f["outer"]).alias("outer"), F.flatten(F.transform("folds", lambda f: f["inner"])).alias("inner"))
+
+
+def _tuning_errors(design: _Design, fits: dict, config: CvConfig) -> dict:
+    """The mean absolute error of each fit (repeat, outer, inner; one after the other) on the rows of its inner fold."""
+    data, size = design.rows.sparkSession.sparkContext.broadcast(fits), design.size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for t, y, outer, inner in _batches(batches, size):
+            for (r, a, b), beta in data.value.items():
+                rows = np.flatnonzero((outer[:, r] != a) & (inner[:, r, a] == b))
+                if len(rows) and len(beta):
+                    off = np.abs(y[rows][:, None] - t[rows] @ beta.T).sum(axis=0)
+                    n, seen = total.get((r, a, b), (0, 0.0))
+                    total[r, a, b] = n + len(rows), seen + off
+        keys = sorted(total)
+        columns = [pa.array([k[j] for k in keys], pa.int32()) for j in range(3)]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array([total[k][0] for k in keys], pa.int64()), pa.array([total[k][1].tolist() for k in keys], pa.list_(pa.float64()))], names=["repeat", "outer", "inner", "n", "off"])
+
+    got = _arrays(design).mapInArrow(run, "repeat int, outer int, inner int, n long, off array<double>")
+    one = got.select("repeat", "outer", "inner", "n", F.posexplode("off").alias("k", "off")).groupBy("repeat", "outer", "inner", "k").agg((F.sum("off") / F.sum("n")).alias("mae"))
+    each = one.groupBy("repeat", "outer", "inner").agg(F.array_sort(F.collect_list(F.struct("k", "mae"))).alias("mae"))  # as many as models times alphas
+    return {(r["repeat"], r["outer"], r["inner"]): np.array([x["mae"] for x in r["mae"]]) for r in each.collect()}
+
+
+def _held_out_sums(design: _Design, fits: dict, names: list[str]) -> DataFrame:
+    data, size = design.rows.sparkSession.sparkContext.broadcast(fits), design.size
+    fields = ["n", "absolute", "squared", "s_y", "s_yy", "s_p", "s_pp", "s_yp"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict = {}
+        for t, y, outer, _ in _batches(batches, size):
+            for (r, a), beta in data.value.items():
+                rows = np.flatnonzero(outer[:, r] == a)
+                if len(rows):
+                    o, p = y[rows][:, None], t[rows] @ beta.T
+                    e = o - p
+                    sums = [np.full(len(names), float(len(rows))), np.abs(e).sum(axis=0), (e * e).sum(axis=0), np.repeat(o.sum(), len(names)), np.repeat((o * o).sum(), len(names)), p.sum(axis=0), (p * p).sum(axis=0), (o * p).sum(axis=0)]
+                    total[r, a] = total.get((r, a), 0) + np.array(sums)
+        keys = [(r, a, m) for r, a in sorted(total) for m in range(len(names))]
+        columns = [pa.array([r + 1 for r, _, _ in keys], pa.int32()), pa.array([a + 1 for _, a, _ in keys], pa.int32()), pa.array([names[m] for _, _, m in keys], pa.string())]
+        yield pa.RecordBatch.from_arrays([*columns, *[pa.array([float(total[r, a][j, m]) for r, a, m in keys], pa.float64()) for j in range(len(fields))]], names=["repeat", "outer", "model", *fields])
+
+    got = _arrays(design).mapInArrow(run, "repeat int, outer int, model string, " + ", ".join(f"{f} double" for f in fields))
+    return got.groupBy("repeat", "outer", "model").agg(F.sum("n").cast("long").alias("n"), *[F.sum(f).alias(f) for f in fields[1:]])
+
+
+def scores(sums: DataFrame, groups: list[str]) -> DataFrame:
+    """n, mae, rmse, r2 and pearson_r for each group from the sums of ``nested_ridge``."""
+    added = sums.groupBy(*groups).agg(*[F.sum(c).alias(c) for c in ("n", "absolute", "squared", "s_y", "s_yy", "s_p", "s_pp", "s_yp")])
+    n = F.col("n")
+    yy, pp, yp = (F.col(f"s_{a}{b}") - F.col(f"s_{a}") * F.col(f"s_{b}") / n for a, b in ("yy", "pp", "yp"))
+    return added.select(
+        *groups, "n", (F.col("absolute") / n).alias("mae"), F.sqrt(F.col("squared") / n).alias("rmse"), (1 - F.try_divide(F.col("squared"), yy)).alias("r2"),
+        F.when((yy > 1e-12 * n) & (pp > 1e-12 * n), yp / F.sqrt(yy * pp)).alias("pearson_r"),
+    )

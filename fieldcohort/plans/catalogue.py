@@ -622,16 +622,63 @@ def q58(spark, d):
     return table(spark, d, "customer").select("c_custkey", X.tex_escape(F.col("c_name")).alias("name"), X.p_text(p).alias("p"), F.format_string("%.2f", "c_acctbal").alias("bal"))
 
 
-@query("q59_nested_cv")
+def _nested_sql(low: str) -> str:
+    """Twenty repeats of nested validation of two models and their baseline; ``low`` is the third feature, perhaps with gaps.
+
+    z: rows by repeat and held-out outer fold; m: medians of training sets; t: moments of imputed features; w: ridge fits by
+    Cramer's rule on standardised features; e: errors on inner folds."""
+    alphas = ", ".join(f"({float(a)!r}::DOUBLE)" for a in cv.CvConfig().alphas)
+    draw = lambda k, *key: f"(('0x' || left(md5(concat_ws(':', 2026, r, {', '.join((*key, 'k'))})), 8))::BIGINT % {k})::INT"
+    pairs = [(i, j) for i in (1, 2, 3) for j in range(i + 1, 4)]
+    b = {  # solutions of (n + alpha on the diagonal, c_ij elsewhere) * b = g
+        1: "(g1 * (d * d - c23 * c23) - c12 * (g2 * d - c23 * g3) + c13 * (g2 * c23 - d * g3)) / det",
+        2: "(d * (g2 * d - c23 * g3) - g1 * (c12 * d - c23 * c13) + c13 * (c12 * g3 - g2 * c13)) / det",
+        3: "(d * (d * g3 - g2 * c23) - c12 * (c12 * g3 - g2 * c13) + g1 * (c12 * c23 - d * c13)) / det",
+    }
+    predicted = "CASE model WHEN 'intercept_only' THEN my WHEN 'balance' THEN my + b0 * (x1 - m1) / s1 ELSE my + b1 * (x1 - m1) / s1 + b2 * (x2 - m2) / s2 + b3 * (coalesce(x3, med) - m3) / s3 END"
+    return P.sql("clinical") + f"""
+, f AS (SELECT c.case_id AS k, c.outcome::DOUBLE AS y, c_acctbal::DOUBLE AS x1, n_orders::DOUBLE AS x2, {low} AS x3 FROM clinical c JOIN customer ON c.case_id = c_custkey),
+o AS (SELECT f.*, r, {draw(5)} AS f_outer FROM f, (SELECT unnest(range(1, 21)) AS r)),
+z AS (SELECT *, {draw(4, 'a')} AS f_inner FROM o, (SELECT unnest(range(0, 5)) AS a) WHERE f_outer <> a),
+h AS (SELECT z.*, held FROM z, (SELECT unnest(range(-1, 4)) AS held) WHERE f_inner <> held),
+m AS (SELECT r, a, held, quantile_cont(x3, 0.5) AS med FROM h GROUP BY ALL),
+i AS (SELECT r, a, held, med, y, x1, x2, coalesce(x3, med) AS x3 FROM h JOIN m USING (r, a, held)),
+t AS (
+  SELECT r, a, held, any_value(med) AS med, count(*)::DOUBLE AS n, avg(y) AS my, {', '.join(f'avg(x{k}) AS m{k}, stddev_pop(x{k}) AS s{k}, covar_pop(x{k}, y) * count(*) / stddev_pop(x{k}) AS g{k}' for k in (1, 2, 3))},
+    {', '.join(f'covar_pop(x{p}, x{q}) * count(*) / (stddev_pop(x{p}) * stddev_pop(x{q})) AS c{p}{q}' for p, q in pairs)} FROM i GROUP BY r, a, held),
+d AS (SELECT *, n + alpha AS d, (n + alpha) * ((n + alpha) * (n + alpha) - c23 * c23) - c12 * (c12 * (n + alpha) - c23 * c13) + c13 * (c12 * c23 - (n + alpha) * c13) AS det FROM t, (VALUES {alphas}) v(alpha)),
+w AS (SELECT *, g1 / d AS b0, {', '.join(f'{x} AS b{k}' for k, x in b.items())} FROM d),
+w2 AS (SELECT w.*, model FROM w, (VALUES ('balance'), ('orders')) u(model)),
+e AS (SELECT w2.r, w2.a, held, model, alpha, avg(abs(y - ({predicted}))) AS mae FROM w2 JOIN z ON z.r = w2.r AND z.a = w2.a AND z.f_inner = held GROUP BY 1, 2, 3, 4, 5),
+c AS (SELECT r, a, model, alpha, avg(mae) AS mae FROM e GROUP BY 1, 2, 3, 4),
+s AS (SELECT r, a, model, alpha FROM c QUALIFY row_number() OVER (PARTITION BY r, a, model ORDER BY mae, alpha) = 1
+  UNION ALL SELECT DISTINCT r, a, 'intercept_only', {float(cv.CvConfig().alphas[0])!r} FROM c),
+l AS (
+  SELECT w.r, s.model, y, {predicted.replace('CASE model', 'CASE s.model')} AS p
+  FROM w JOIN s ON s.r = w.r AND s.a = w.a AND s.alpha = w.alpha AND w.held = -1 JOIN o ON o.r = w.r AND o.f_outer = w.a)
+SELECT r::INT AS repeat, model, count(*) AS n, round(avg(abs(y - p)), 3) + 0.0 AS mae, round(sqrt(avg((y - p) ^ 2)), 3) + 0.0 AS rmse, round(1 - avg((y - p) ^ 2) / var_pop(y), 3) + 0.0 AS r2, round(corr(y, p), 3) + 0.0 AS pearson_r
+FROM l GROUP BY 1, 2"""
+
+
+def _nested(spark, d, low: Column) -> DataFrame:
+    # customers with orders, the analysis's own repeats and alphas: account balance, order count and lowest order against mean order
+    m = P.clinical(spark, d).join(table(spark, d, "customer").select(F.col("c_custkey").alias("case_id"), "c_acctbal"), "case_id").withColumn("low", low)
+    config = cv.CvConfig(outcome="outcome")
+    m = m.withColumn("folds", cv.hashed_folds(F.col("case_id"), config))
+    _, sums = cv.nested_ridge(m, {"intercept_only": (), "balance": ("c_acctbal",), "orders": ("n_orders", "low", "c_acctbal")}, config)
+    got = cv.scores(sums, ["repeat", "model"])
+    return got.select("repeat", "model", "n", *[(F.round(c, 3) + 0.0).alias(c) for c in ("mae", "rmse", "r2", "pearson_r")])
+
+
+@query("q59_nested_cv", _nested_sql("low::DOUBLE"))
 def q59(spark, d):
-    # customers with orders, the analysis's own repeats and alphas: standardised account balance, order count and lowest order against mean order
-    m = P.clinical(spark, d).join(table(spark, d, "customer").select(F.col("c_custkey").alias("case_id"), "c_acctbal"), "case_id")
-    m = stats.dense_index(m, ["case_id"], "row")
-    models = {"intercept_only": (), "balance": ("c_acctbal",), "orders": ("n_orders", "low", "c_acctbal")}
-    tasks = cv.nested_cv(m, models, cv.CvConfig(outcome="outcome"))
-    long = cv.predictions(tasks, m, "outcome")
-    got = stats.error_metrics(long, "observed", "predicted", ["repeat", "model"])
-    return got.select("repeat", "model", "n", *[F.round(c, 3).alias(c) for c in ("mae", "rmse", "r2", "pearson_r")])
+    return _nested(spark, d, F.col("low"))
+
+
+@query("q88_nested_cv_gaps", _nested_sql("CASE WHEN case_id % 7 > 1 THEN low::DOUBLE END"))
+def q88(spark, d):
+    # two in seven values of a feature are missing: each training set's own median stands for them
+    return _nested(spark, d, F.when(F.col("case_id") % 7 > 1, F.col("low")))
 
 
 _NEST = ("WITH f AS (SELECT c_custkey AS k, c_acctbal::DOUBLE AS x, (c_custkey * 53 % 997)::DOUBLE + c_acctbal / 50 AS y, ntile(5) OVER (ORDER BY md5(concat_ws(':', 1, c_custkey)), c_custkey)::INT AS o, ntile(4) OVER (ORDER BY md5(concat_ws(':', 2, c_custkey)), c_custkey)::INT AS i FROM customer), "

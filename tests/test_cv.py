@@ -64,3 +64,71 @@ def test_registered_query_has_all_repeats(spark, sf):
 
     rows = catalogue.queries()["q59_nested_cv"](spark, sf).collect()
     assert {r.repeat for r in rows} == set(range(1, cv.CvConfig().repeats + 1)) and len(rows) == 60
+
+
+def shuffled_folds(n, config):
+    """The folds of ``nested_cv`` as ``nested_ridge`` takes them: for each row, over repeats, outer and inner by outer."""
+    out = [[] for _ in range(n)]
+    for r in range(config.repeats):
+        seed = config.seed + 1009 * r
+        outer = cv.kfold(n, config.outer_folds, seed)
+        inner = np.zeros((n, config.outer_folds), dtype=int)
+        for a in range(config.outer_folds):
+            train = np.flatnonzero(outer != a)
+            inner[train, a] = cv.kfold(len(train), config.inner_folds, seed + a + 1)
+        for k in range(n):
+            out[k].append((int(outer[k]), inner[k].tolist()))
+    return out
+
+
+FOLDS = "folds array<struct<outer:int,inner:array<int>>>"
+
+
+@pytest.mark.parametrize("n,missing", [(60, 0.0), (61, 0.15), (15_000, 0.1)])
+def test_large_form_equals_the_small_one(spark, n, missing):
+    rng = np.random.default_rng(n)
+    # a mean far above the spread, whose squares hold no digit of it
+    x = rng.normal(size=(n, 3)) * [1, 5, 1e-3] + [0, 1e6, 7]
+    y = 60 + 8 * x[:, 0] + (x[:, 1] - 1e6) + rng.normal(0, 10, n)
+    x[rng.random((n, 3)) < missing] = np.nan
+    x[:, 0] = np.where(np.isnan(x[:, 0]), 0.5, x[:, 0])
+    few = cv.CvConfig(repeats=2, outer_folds=4, inner_folds=3, alphas=(0.01, 1.0, 30.0, 1000.0))
+    models = {"intercept_only": (), "one": ("a",), "all": ("c", "b", "a")}
+    pdf = pd.DataFrame(x, columns=["a", "b", "c"]).assign(wab_aq=y, row=range(n))
+    df = spark.createDataFrame(pdf)
+    tasks = cv.nested_cv(df, models, few)
+    want = {(r.repeat, r.outer_fold, r.model): r for r in tasks.collect()}
+    folds = spark.createDataFrame([(k, f) for k, f in enumerate(shuffled_folds(n, few))], f"row long, {FOLDS}")
+    fits, sums = cv.nested_ridge(df.join(folds, "row"), models, few)
+    got = {(r.repeat, r.outer, r.model): r for r in fits.collect()}
+    assert set(got) == set(want)
+    for key, r in got.items():
+        assert r.alpha == want[key].alpha
+        assert r.coefficients == pytest.approx(want[key].coefficients, rel=1e-6, abs=1e-9)
+    old = {(r.repeat, r.model): r for r in stats.error_metrics(cv.predictions(tasks, df.withColumn("case_id", df["row"])), "observed", "predicted", ["repeat", "model"]).collect()}
+    new = {(r.repeat, r.model): r for r in cv.scores(sums, ["repeat", "model"]).collect()}
+    for key, r in old.items():
+        assert new[key].n == r.n == n
+        for c in ("mae", "rmse", "r2"):
+            assert new[key][c] == pytest.approx(r[c], rel=1e-7, abs=1e-9), (key, c)
+        if key[1] != "intercept_only":
+            assert new[key].pearson_r == pytest.approx(r.pearson_r, rel=1e-6)
+
+
+def test_hashed_folds_and_odd_designs(spark):
+    few = cv.CvConfig(repeats=3, outer_folds=4, inner_folds=3, alphas=(1.0,), outcome="y")
+    ids = spark.range(400)
+    df = ids.select("id", cv.hashed_folds(ids["id"], few).alias("folds"))
+    rows = df.collect()
+    assert rows == df.repartition(7).orderBy("id").collect()
+    for r in rows:
+        assert len(r.folds) == 3 and all(0 <= f.outer < 4 and len(f.inner) == 4 and set(f.inner) <= {0, 1, 2} for f in r.folds)
+    assert len({tuple(f.outer for f in r.folds) for r in rows}) > 30
+    data = df.selectExpr("folds", "case when id % 9 = 0 then null when id % 9 = 1 then double('NaN') else double(id) end y", "double(id) a", "cast(null as double) b", "case when id < 3 then 1.0 end c")
+    fits, sums = cv.nested_ridge(data, {"m": ("a",)}, few)
+    assert fits.count() == 12 and {r.n for r in cv.scores(sums, ["repeat"]).collect()} == {sum(k % 9 > 1 for k in range(400))}
+    for feature, said in (("b", "has rows"), ("c", "no value")):
+        with pytest.raises(ValueError, match=said):
+            cv.nested_ridge(data, {"m": ("a", feature)}, few)
+    with pytest.raises(ValueError, match="has rows"):
+        cv.nested_ridge(data.limit(0), {"m": ("a",)}, few)
