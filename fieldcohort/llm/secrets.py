@@ -4,8 +4,9 @@ One pass marks assignments such as ``token = ...``; another marks runs of charac
 ids, hex strings and the entropy candidates are all looked for inside those runs, which are a small part of the text.
 
 Entropy: for each character class a candidate is a maximal run of its characters, at least one window long.  The window
-moves one character at a time; the counts of its characters and the sum of c * log2(c) are updated for the character
-that leaves and the one that enters.  Windows at or over the class's threshold are joined into spans where they overlap.
+moves one character at a time; the counts of its characters, packed ten to a long, and the sum of c * log2(c) are updated
+for the character that leaves and the one that enters.  Windows at or over the class's threshold are joined into spans where
+they overlap.  Long runs are walked in blocks that overlap by a window, so that the work grows with their length.
 Allow-list patterns of whole candidates (plain words) pass a candidate over; those found anywhere in it (placeholders,
 alphabets, repeats) pass over the windows that overlap what they match, and a window beginning or ending up to REACH characters from
 the word of a placeholder.
@@ -32,13 +33,16 @@ CLASSES = {
     "mixed": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 20, 3.7),
     "base64": ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-", 32, 4.2),
 }
-#: What each window of a class has to hold as well, so that joined words are no candidates.
-HOLDS = {"mixed": r"^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9].*[A-Za-z])"}
+#: Classes whose windows have to hold a small letter, a capital and a digit with a letter somewhere behind it, so that joined
+#: words are no candidates.
+HOLDS = ("mixed",)
 ALLOWED = (r"^[a-z]+$", r"^[A-Z]?[a-z_-]+$", r"(?i)example", r"(?i)x{6,}", r"0123456789", r"(?i)abcdefghij", r"(.)\1{7,}", r"^[-=_+/]+$")
 #: Allow-list patterns that speak for what stands next to them, and how far.
 NEXT_TO, REACH = (r"(?i)example",), 32
 #: Separates marked matches from the rest; where a text holds it, it is read as MARK2, which no pattern matches either.
 MARK, MARK2, BLOCK = "\x01", "\x02", 128
+#: Window starts of a run that are walked together, and counts in a long: six bits each, for windows of up to 63 characters.
+STRETCH, PACKED, COUNT_BITS = 1024, 10, 6
 
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -82,59 +86,90 @@ def inside(runs: Column, pattern: str, least: int, test: str) -> Column:
     return F.flatten(F.transform(F.filter(runs, lambda r: r["t"].rlike(test)), lambda r: F.transform(matches(r["t"], pattern, least), lambda x: F.struct((r["s"] + x["s"]).alias("s"), (r["s"] + x["e"]).alias("e"), x["t"].alias("t")))))
 
 
-def hot_windows(run: Column, alphabet: str, width: int, least: float, passes: Callable[[Column], Column] = lambda start: F.lit(True)) -> Column:
-    """The joined windows of ``run`` (a string over ``alphabet``) with an entropy of ``least`` bits or more, as array of (s, e);
-    ``passes`` tells from a window's start whether it counts."""
+def _no_spans() -> Column:
+    return F.filter(F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"))), lambda x: F.lit(False))
+
+
+def joined(spans: Column) -> Column:
+    """Spans (s, e), of which none begins or ends before the one in front of it, with those that meet as one."""
+
+    def of(v: Column) -> Column:
+        first = F.filter(v, lambda x, i: (i == 0) | (F.get(v, i - 1)["e"] < x["s"]))
+        last = F.filter(v, lambda x, i: (i == F.size(v) - 1) | (F.get(v, i + 1)["s"] > x["e"]))
+        return F.zip_with(first, last, lambda x, y: F.struct(x["s"].alias("s"), y["e"].alias("e")))
+
+    return let(spans, of)
+
+
+def hot_windows(run: Column, alphabet: str, width: int, least: float, barred: Column | None = None, mixed: bool = False) -> Column:
+    """The joined windows of ``run`` (a string over ``alphabet``) with an entropy of ``least`` bits or more, as array of (s, e),
+    but for those that meet a span of ``barred`` and, with ``mixed``, those without a small letter, a capital and a digit with
+    a letter behind it."""
     logs = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(width + 2)])
     # entropy >= least exactly if the sum of c * log2(c) is at most this
     most = width * (math.log2(width) - least) + 1e-9
+    kinds = {k: F.array(*[F.lit(kind(c)) for c in alphabet]) for k, kind in (("lower", str.islower), ("upper", str.isupper), ("digit", str.isdigit))} if mixed else {}
 
-    def fold(codes: Column) -> Column:
-        state = F.struct(
-            F.array_repeat(F.lit(0), len(alphabet)).alias("counts"),
-            F.lit(0.0).alias("g"),
-            F.filter(F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"))), lambda x: F.lit(False)).alias("spans"),
-        )
+    def fold(codes: Column, begin: Column, end: Column, near: Column | None) -> Column:
+        """The spans of windows that end from ``begin`` + width on and before ``end``, with what lies before them as a run-up."""
+        state = [F.array_repeat(F.lit(0).cast("long"), -(-len(alphabet) // PACKED)).alias("counts"), F.lit(0.0).alias("g"), *[F.lit(-1).alias(k) for k in (*kinds, "found") if mixed], _no_spans().alias("spans")]
 
         def step(a: Column, i: Column) -> Column:
-            new, old = F.get(codes, i), F.when(i >= width, F.get(codes, i - width)).otherwise(F.lit(-1))
-            n_new, n_old = F.get(a["counts"], new), F.when(old >= 0, F.get(a["counts"], old)).otherwise(F.lit(0))
+            new, old = F.get(codes, i), F.when(i - begin >= width, F.get(codes, i - width)).otherwise(F.lit(-1))
+            bits = lambda c: (c % PACKED) * COUNT_BITS
+            count = lambda c: F.call_function("shiftright", F.get(a["counts"], F.floor(c / PACKED).cast("int")), bits(c)).bitwiseAND(F.lit((1 << COUNT_BITS) - 1).cast("long")).cast("int")
+            n_new, n_old = count(new), F.when(old >= 0, count(old)).otherwise(F.lit(0))
             gain = F.when(old == new, F.lit(0.0)).otherwise(F.get(logs, n_new + 1) - F.get(logs, n_new) + F.when(old >= 0, F.get(logs, n_old - 1) - F.get(logs, n_old)).otherwise(F.lit(0.0)))
-            counts = F.transform(a["counts"], lambda c, j: c + F.when(j == new, 1).otherwise(0) - F.when(j == old, 1).otherwise(0))
+            one = lambda c, j: F.when(j == F.floor(c / PACKED).cast("int"), F.call_function("shiftleft", F.lit(1).cast("long"), bits(c))).otherwise(F.lit(0).cast("long"))
+            counts = F.transform(a["counts"], lambda c, j: c + one(new, j) - F.when(old >= 0, one(old, j)).otherwise(F.lit(0).cast("long")))
+            # places of the last character of each kind, and of the last digit that a letter stands behind
+            at = {k: F.when(F.get(kind, new), i).otherwise(a[k]) for k, kind in kinds.items()}
+            if mixed:
+                at["found"] = F.when(~F.get(kinds["digit"], new), a["digit"]).otherwise(a["found"])
 
             def placed(g: Column) -> Column:
-                start, last = i - (width - 1), F.element_at(a["spans"], -1)
-                joined = (F.size(a["spans"]) > 0) & (F.try_element_at(a["spans"], F.lit(-1))["e"] >= start)
+                start, last = i - (width - 1), F.try_element_at(a["spans"], F.lit(-1))
+                good = (start >= begin) & (g <= most)
+                for k in ("lower", "upper", "found") if mixed else ():
+                    good = good & (at[k] >= start)
+                if near is not None:
+                    good = good & ~F.exists(near, lambda x: (x["s"] < start + width) & (x["e"] > start))
                 grown = F.concat(F.slice(a["spans"], F.lit(1), F.size(a["spans"]) - 1), F.array(F.struct(last["s"].alias("s"), (i + 1).alias("e"))))
                 added = F.concat(a["spans"], F.array(F.struct(start.alias("s"), (i + 1).alias("e"))))
-                spans = F.when((i < width - 1) | (g > most) | ~passes(start), a["spans"]).when(joined, grown).otherwise(added)
-                return F.struct(counts.alias("counts"), g.alias("g"), spans.alias("spans"))
+                spans = F.when(~good, a["spans"]).when(F.coalesce(last["e"] >= start, F.lit(False)), grown).otherwise(added)
+                return F.struct(counts.alias("counts"), g.alias("g"), *[at[k].alias(k) for k in (*kinds, "found") if mixed], spans.alias("spans"))
 
             return let(a["g"] + gain, placed)
 
-        return F.aggregate(F.sequence(F.lit(0), F.size(codes) - 1), state, step, lambda a: a["spans"])
+        return F.aggregate(F.sequence(begin, end - 1), F.struct(*state), step, lambda a: a["spans"])
+
+    def blocks(codes: Column) -> Column:
+        def block(b: Column) -> Column:
+            # windows that start from b * STRETCH on, up to the next block's first
+            begin, end = b * STRETCH, F.least(F.size(codes), (b + 1) * STRETCH + width - 1)
+            if barred is None:
+                return fold(codes, begin, end, None)
+            return let(F.filter(barred, lambda x: (x["s"] < end) & (x["e"] > begin)), lambda near: fold(codes, begin, end, near))
+
+        return joined(F.flatten(F.transform(F.sequence(F.lit(0), F.floor((F.size(codes) - 1) / STRETCH).cast("int")), block)))
 
     codes = F.transform(F.filter(F.split(run, ""), lambda c: c != ""), lambda c: F.instr(F.lit(alphabet), c) - 1)
-    return let(codes, fold)
+    return let(codes, blocks)
 
 
-def _shifted(alphabet: str, width: int, least: float, found: tuple, holds: str | None) -> Callable[[Column], Column]:
+def _shifted(alphabet: str, width: int, least: float, found: tuple, mixed: bool) -> Callable[[Column], Column]:
     """Hot windows of a run placed in the text, but for those that meet what the patterns ``found`` match."""
 
     def of(x: Column) -> Column:
-        def spans(barred: Column) -> Column:
-            def passes(start: Column) -> Column:
-                free = ~F.exists(barred, lambda b: (b["s"] < start + width) & (b["e"] > start))
-                return free & F.substring(x["t"], start + 1, F.lit(width)).rlike(holds) if holds else free
-
-            return F.transform(hot_windows(x["t"], alphabet, width, least, passes), lambda y: F.struct((x["s"] + y["s"]).alias("s"), (x["s"] + y["e"]).alias("e")))
+        def spans(barred: Column | None) -> Column:
+            return F.transform(hot_windows(x["t"], alphabet, width, least, barred, mixed), lambda y: F.struct((x["s"] + y["s"]).alias("s"), (x["s"] + y["e"]).alias("e")))
 
         def reached(patterns: tuple, reach: int) -> Column:
             return F.transform(matches(x["t"], f"({_any(patterns)})"), lambda m: F.struct((m["s"] - reach).alias("s"), (m["e"] + reach).alias("e")))
 
         near, only = tuple(p for p in found if p in NEXT_TO), tuple(p for p in found if p not in NEXT_TO)
         each = [reached(p, r) for p, r in ((near, REACH), (only, 0)) if p]
-        return let(F.concat(*each), spans) if each else spans(F.filter(F.array(F.struct(F.lit(0).alias("s"), F.lit(0).alias("e"))), lambda b: F.lit(False)))
+        return let(F.concat(*each), spans) if each else spans(None)
 
     return of
 
@@ -158,7 +193,7 @@ def entropy_spans(runs: Column, classes: dict = CLASSES, allowed: tuple = ALLOWE
         kept = inside(runs, pattern, width, pattern)
         if whole:
             kept = F.filter(kept, lambda x: ~x["t"].rlike(_any(whole)))
-        found.append(F.flatten(F.transform(kept, _shifted(alphabet, width, least, parts, HOLDS.get(name)))))
+        found.append(F.flatten(F.transform(kept, _shifted(alphabet, width, least, parts, name in HOLDS))))
     return F.array_distinct(F.concat(*found))
 
 

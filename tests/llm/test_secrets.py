@@ -78,6 +78,44 @@ def test_sliding_entropy(spark, kind):
     assert got == {k: windows(r, alphabet, width, least) for k, r in enumerate(runs)}
 
 
+def holds(window):
+    """A small letter, a capital and a digit with a letter behind it."""
+    return bool(re.search("^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9].*[A-Za-z])", window))
+
+
+def test_long_runs_in_blocks(spark):
+    # runs over many blocks, windows that meet what is barred, and the rule of the mixed class, each window looked at anew
+    import random
+
+    alphabet, width, least = secrets.CLASSES["mixed"]
+    rnd = random.Random(8)
+    runs = ["".join(rnd.choice(rnd.choice([alphabet, alphabet[:26], alphabet[26:52], alphabet[52:], "aB"])) for _ in range(n)) for n in (1, 19, 20, 1024, 1043, 1044, 5000)]
+    runs += ["".join("".join(rnd.choice(alphabet) for _ in range(rnd.randrange(60))) + "a" * rnd.randrange(40) for _ in range(120))]
+    barred = [(s, s + rnd.randrange(1, 40)) for s in rnd.sample(range(5000), 15)]
+    df = spark.createDataFrame([(k, r, [{"s": a, "e": b} for a, b in barred]) for k, r in enumerate(runs)], "k int, r string, b array<struct<s:int,e:int>>")
+    rows = df.select("k", secrets.hot_windows(F.col("r"), alphabet, width, least, F.col("b"), True).alias("h")).collect()
+    for x in rows:
+        want = []
+        for k in range(len(runs[x.k]) - width + 1):
+            part = runs[x.k][k : k + width]
+            if windows(part, alphabet, width, least) and holds(part) and not any(a < k + width and b > k for a, b in barred):
+                if want and want[-1][1] >= k:
+                    want[-1] = (want[-1][0], k + width)
+                else:
+                    want.append((k, k + width))
+        assert [(y.s, y.e) for y in x.h] == want, x.k
+
+
+def test_a_very_long_run(spark):
+    import random
+
+    rnd = random.Random(2)
+    text = "".join(rnd.choice(secrets.CLASSES["mixed"][0]) for _ in range(200_000))
+    spans = secrets.digest(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().spans.split(",")
+    # random letters and digits are hot all over for the class of base64
+    assert "entropy:0:200000" in spans
+
+
 def test_allow_list(spark):
     texts = [KEY, "EXAMPLE" + KEY, "abcdefghijklmnopqrstuvwxyz0123456789ABCDEF", "a" * 40, "thequickbrownfoxjumpsoverthelazydogagainandagain"]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
