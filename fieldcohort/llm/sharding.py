@@ -105,7 +105,7 @@ def shard(df: DataFrame, shards: int = SHARDS, bits: int = BITS, salts: int = SA
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.col("text").cast("binary")).cast("long").alias("text_crc32"),
         hilbert_index(where, bits).alias("curve"),
-            ).withColumn("salt", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(salts)).cast("int"))
+    ).withColumn("salt", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(salts)).cast("int"))
     # rows are narrow and are read three times; the texts are read once
     rows = staged(rows, "shard-rows")
     parts = rows.groupBy("curve", "salt").agg(F.count(F.lit(1)).alias("n"))
@@ -140,13 +140,15 @@ def write_shards(df: DataFrame, path: str, shards: int = SHARDS, bits: int = BIT
     are alike in id, size and checksum are numbered on both sides, so that each gets one place.  An empty table writes no
     rows.  A text travels to its place in the order, where it meets its shard, and from there to its shard."""
     df = df.drop(*ADDED)
-    keys = ["__id", "__size", "__crc"]
-    of = Window.partitionBy(*keys).orderBy(F.lit(1))
-    placed = shard(df, shards, bits, salts).select(F.col("doc_id").alias("__id"), F.col("size").alias("__size"), F.col("text_crc32").alias("__crc"), "shard", "slot", "curve")
-    placed = placed.withColumn("__k", F.row_number().over(of))
-    cells = dict(zip(ADDED[3:], quantised(F.col("text"), F.col("lang"), F.col("source"), bits), strict=True))
-    rows = df.withColumns({"__id": F.col("doc_id"), "__size": (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long"), "__crc": F.crc32(F.col("text").cast("binary")).cast("long"), **cells})
-    rows = rows.withColumn("__k", F.row_number().over(of))
-    same = [rows[k].eqNullSafe(placed[k]) for k in [*keys, "__k"]]
-    joined = rows.join(placed, same).select(*[rows[c] for c in [*df.columns, *ADDED[3:]]], placed["shard"], placed["slot"], placed["curve"])
-    joined.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    keys, of = ["id", "size", "crc"], Window.partitionBy("id", "size", "crc").orderBy(F.lit(1))
+    placed = shard(df, shards, bits, salts).select(F.col("doc_id").alias("id"), "size", F.col("text_crc32").alias("crc"), "shard", "slot", "curve")
+    placed = placed.withColumn("k", F.row_number().over(of))
+    # a row travels as one column, so that none of its names meets one of these
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    cells = F.struct(*[c.alias(n) for n, c in zip(ADDED[3:], quantised(F.col("text"), F.col("lang"), F.col("source"), bits), strict=True)]).alias("cells")
+    rows = df.select(row, cells, F.col("doc_id").alias("id"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).cast("long").alias("crc"))
+    rows = rows.withColumn("k", F.row_number().over(of))
+    same = [rows[k].eqNullSafe(placed[k]) for k in [*keys, "k"]]
+    joined = rows.join(placed, same).select("row", "cells", "shard", "slot", "curve").repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot")
+    out = joined.select(*[F.col(f"row.`{c}`").alias(c) for c in df.columns], *[F.col(f"cells.{c}") for c in ADDED[3:]], "shard", "slot", "curve")
+    out.write.partitionBy("shard").parquet(path)

@@ -216,3 +216,16 @@ def test_written_shards_of_odd_rows(spark):
     assert sorted(Counter((r.doc_id or -1, r.text or "") for r in back).items()) == sorted(Counter((d or -1, t or "") for d, t, *_ in rows).items())
     check_rows_law([r for r in spark.createDataFrame(back).withColumnsRenamed({}).selectExpr("shard", "slot", "'rows' law", "cast(null as int) grown_shard").collect()], 23, 3)
     sharding.write_shards(df.limit(0), path + "-none", shards=3)
+
+
+def test_written_shards_keep_every_column(spark):
+    from fieldcohort.llm import common
+
+    names = ["__id", "__size", "__crc", "__k", "id", "size", "crc", "k", "row", "cells", "a.b", "rank", "salt", "shard"]
+    rows = [(n, f"text {n % 3}", "en", "s", *[f"{c}{n}" for c in names]) for n in range(30)]
+    df, path = spark.createDataFrame(rows, ["doc_id", "text", "lang", "source", *names]), common.scratch(spark, "shards")
+    sharding.write_shards(df, path, shards=3)
+    back = spark.read.parquet(path)
+    assert set(back.columns) == {"doc_id", "text", "lang", "source", *names, *sharding.ADDED}
+    for r in back.collect():
+        assert all(r[c] == f"{c}{r.doc_id}" for c in names if c not in sharding.ADDED) and r.text == f"text {r.doc_id % 3}"
