@@ -1,27 +1,26 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 1. Fit: every document is cut into passages; over the terms of the benchmark, document frequencies and the product
-   T'T W (T: passage-term counts, W: a Gaussian test matrix) are summed in one distributed pass.  With idf weights on both
+   T'T W (T: passage-term counts, W: a random test matrix of signs) are summed in one distributed pass.  With idf weights on both
    sides that is the sketch of a randomised SVD of the TF-IDF passage matrix, completed in its single-pass (Nystroem) form
    on a matrix of terms by a few dozen columns.
-2. Retrieve: windows of about an item's length over every document, and the items' own windows, go to the latent space;
-   windows whose cosine with an item's reaches COSINE are candidates, all of them.
-   What the projection blurs is not lost: LCS lets an item lose few of its words, so some of its rarest ones have to stand
-   close together wherever step 3 can agree, and each such region is a candidate as well.  For the same reason only texts
-   with such a region are projected: step 3 would reject all candidates of the others.
-3. Verify: the longest common subsequence of the item and the region around the window must cover LCS of the item's
+2. Retrieve: a term's vector is its direction in latent space, as long as its idf.  Windows of about an item's length over
+   every document, and the items' own windows, are sums of such vectors; windows whose cosine with an item's reaches COSINE,
+   and that share MEMBERS of their words with it, are candidates, all of them.
+3. Verify: the longest common subsequence of the item and a stretch around the window must cover LCS of the item's
    words; under SURE, the item's answer (its last sentence) must be found there as well.
 
 The benchmark is a stated query set: terms and latent space are those of all items, the search takes blocks of ITEMS items,
 each of which is a pass over the documents.  What is found of an item does not depend on the blocks.  The fit holds SKETCH
-numbers for each distinct word of the benchmark in a task (32 MB for 100,000 words).
+numbers for each distinct word of the benchmark in a task (16 MB for 100,000 words), the search LATENT.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +34,17 @@ from fieldcohort.llm.common import slices, small_batches, without
 ITEMS, PASSAGE, SKETCH, LATENT = 2000, 64, 40, 32
 #: Bytes of the items of a block, on average.
 ITEM_BYTES = 16 << 20
-COSINE, LCS, SURE, ANSWER = 0.65, 0.7, 0.9, 0.6
+COSINE, LCS, SURE, ANSWER = 0.7, 0.7, 0.9, 0.6
 #: Share of a window's words that are an item's: LCS of it over a stretch of one and a half items, less what the window's place costs.
 MEMBERS = 0.9 * LCS / 1.5
 #: Window lengths in words; an item belongs to the longest that is not longer than itself.
-SCALES = (8, 16, 32, 64)
-UNIT = 4
+SCALES = (1, 2, 4, 8, 16, 32, 64)
+#: Windows begin at multiples of this many words, or of one word if any item is shorter than SHORT.
+UNIT, SHORT = 4, 11
+#: Units whose windows are compared with the items' at once, and columns of the items' tables of words.
+STRIDE, MARKS = 4096, 4096
+#: Cosines computed at once, and items whose masks a worker keeps.
+COSINES, KEPT = 1 << 21, 256
 FOUND = "doc_id long, item_id long, cosine double, lcs double, answer double, word long"
 #: Terms in a block of the summed matrices, and how many sums a task takes in at once.
 BLOCK, FAN_IN = 512, 64
@@ -54,7 +58,7 @@ def split(texts: list[bytes]):
 
 @dataclass
 class Item:
-    """A benchmark item: its words, those of its answer, and one bit mask of places for each word."""
+    """A benchmark item: its words and those of its answer; masks have a bit for each place of a word."""
 
     item_id: int
     words: np.ndarray
@@ -62,11 +66,18 @@ class Item:
     scale: int
     #: Rows of the benchmark that are this item.
     copies: int = 1
-    masks: dict = field(default_factory=dict)
-    answer_masks: dict = field(default_factory=dict)
-    #: Words of its rarest places, and how many of them any stretch that passes step 3 has.
-    rare: np.ndarray | None = None
-    least: int = 1
+
+    @functools.cached_property
+    def masks(self) -> dict[int, int]:
+        return _masks(self.words)
+
+    @functools.cached_property
+    def answer_masks(self) -> dict[int, int]:
+        return _masks(self.answer)
+
+    def forget(self) -> None:
+        self.__dict__.pop("masks", None)
+        self.__dict__.pop("answer_masks", None)
 
 
 def prepare(rows: list[tuple[int, str]] | list[tuple[int, str, int]]) -> list[Item]:
@@ -82,7 +93,7 @@ def prepare(rows: list[tuple[int, str]] | list[tuple[int, str, int]]) -> list[It
         if len(answer) < 3:
             answer = words[-5:]
         scale = max([s for s in SCALES if s <= len(words)], default=SCALES[0])
-        items.append(Item(item_id, words, answer, scale, *(copies or [1]), _masks(words), _masks(answer)))
+        items.append(Item(item_id, words, answer, scale, *(copies or [1])))
     return items
 
 
@@ -108,21 +119,6 @@ def wide(size: int) -> int:
     return size + size // 2 + 1
 
 
-def choose_rare(items: list[Item], vocabulary: np.ndarray, share: np.ndarray) -> None:
-    """Set ``rare`` and ``least`` of each item.  An item of n words may lose n - LCS * n places, so of any m of its places
-    m less that many are found; any m is right, and the shares of the terms tell which one leaves the fewest regions."""
-    for x in items:
-        size, term = len(x.words), _terms(vocabulary, x.words)
-        lost = size - int(np.ceil(LCS * size - 1e-9))
-        term = term[np.lexsort((term, share[term]))]
-        new = np.diff(term, prepend=-1) != 0
-        hits = np.cumsum(np.where(new, share[term], 0.0))[lost:]  # expected at one word, for m = lost + 1, ...
-        need, mean = np.arange(1, size - lost + 1), np.maximum(hits * wide(size), 1e-12)
-        tail = np.where(need > mean, np.exp(np.minimum(need - mean + need * np.log(mean / need), 0)), 1.0)
-        best = int(np.argmin(hits * (1 + 50 * tail)))
-        x.rare, x.least = np.unique(vocabulary[term[: lost + 1 + best]]), best + 1
-
-
 def _terms(vocabulary: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     """Index of each word among the benchmark's terms, -1 for others."""
     at = np.searchsorted(vocabulary, hashed)
@@ -130,24 +126,29 @@ def _terms(vocabulary: np.ndarray, hashed: np.ndarray) -> np.ndarray:
     return np.where(vocabulary[at] == hashed, at, -1)
 
 
-def fit(docs: DataFrame, vocabulary: np.ndarray, latent: int = LATENT, sketch: int = SKETCH) -> tuple[np.ndarray, np.ndarray]:
-    """The matrix (terms by latent dimensions) that takes a passage's term counts to latent space, from all documents, and
-    about which share of their words each term is."""
+def signs(terms: np.ndarray, sketch: int) -> np.ndarray:
+    """The rows of the random test matrix of these terms (hashes): signs from the bits of another hash of each, so that no task
+    holds the matrix."""
+    bits = hashing.mix(terms + hashing.seed(7))
+    return (((bits[:, None] >> np.arange(sketch, dtype=np.uint64)) & np.uint64(1)).astype(np.float32) * 2 - 1).astype(np.float32)
+
+
+def fit(docs: DataFrame, vocabulary: np.ndarray, latent: int = LATENT, sketch: int = SKETCH) -> np.ndarray:
+    """The matrix (terms by latent dimensions) that takes a passage's term counts to latent space, from all documents."""
     size = len(vocabulary)
-    test = np.random.Generator(np.random.PCG64(7)).standard_normal((size, sketch)).astype(np.float32)
     schema = "block int, part int, passages long, df binary, z binary"
 
     def rows(z: np.ndarray, df: np.ndarray, n: int, part: int) -> pa.RecordBatch:
         cut = [slice(k, k + BLOCK) for k in range(0, size, BLOCK)]
         return pa.RecordBatch.from_arrays(
-            [pa.array(range(len(cut)), pa.int32()), pa.array([part] * len(cut), pa.int32()), pa.array([n] * len(cut), pa.int64()), pa.array([df[c].tobytes() for c in cut], pa.binary()), pa.array([z[c].tobytes() for c in cut], pa.binary())],
+            [pa.array(range(len(cut)), pa.int32()), pa.array([part] * len(cut), pa.int32()), pa.array([n] * len(cut), pa.int64()), pa.array([df[c].tobytes() for c in cut], pa.binary()), pa.array([z[c].astype(np.float64).tobytes() for c in cut], pa.binary())],
             names=["block", "part", "passages", "df", "z"],
         )
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        z, df, n = np.zeros((size, sketch)), np.zeros(size), 0
+        z, df, n = np.zeros((size, sketch), dtype=np.float32), np.zeros(size), 0
         for batch in slices(batches, "text"):
             hashed, owner = split([(t or "").encode() for t in batch.column("text").to_pylist()])
             if not len(hashed):
@@ -165,7 +166,8 @@ def fit(docs: DataFrame, vocabulary: np.ndarray, latent: int = LATENT, sketch: i
             df += np.bincount(t, minlength=size)
             counts = counts.astype(np.float32)[:, None]
             first = np.flatnonzero(np.diff(p, prepend=-1))
-            projected = np.add.reduceat(test[t] * counts, first, axis=0)[np.cumsum(np.diff(p, prepend=p[0]) > 0)]
+            own, of = np.unique(t, return_inverse=True)
+            projected = np.add.reduceat(signs(vocabulary[own], sketch)[of] * counts, first, axis=0)[np.cumsum(np.diff(p, prepend=p[0]) > 0)]
             order = np.argsort(t, kind="stable")
             edge = np.flatnonzero(np.diff(t[order], prepend=-1))
             z[t[order][edge]] += np.add.reduceat((projected * counts)[order], edge, axis=0)
@@ -185,11 +187,11 @@ def fit(docs: DataFrame, vocabulary: np.ndarray, latent: int = LATENT, sketch: i
     with small_batches(docs.sparkSession):
         got = sorted(summed.collect(), key=lambda r: r["block"])  # terms x sketch, whatever the documents
     if not got:
-        return np.zeros((size, latent), dtype=np.float32), np.zeros(size)
+        return np.zeros((size + 1, latent), dtype=np.float32)
     df = np.concatenate([np.frombuffer(r["df"]) for r in got])
     z = np.concatenate([np.frombuffer(r["z"]).reshape(-1, sketch) for r in got])
     idf = np.log((1 + got[0]["passages"]) / (1 + df)) + 1
-    return _nystroem(z, idf, test.astype(np.float64), latent), df / max(1, got[0]["passages"] * PASSAGE)
+    return term_vectors(_nystroem(z, idf, signs(vocabulary, sketch).astype(np.float64), latent), idf)
 
 
 def _nystroem(z: np.ndarray, idf: np.ndarray, test: np.ndarray, latent: int) -> np.ndarray:
@@ -211,6 +213,14 @@ def _nystroem(z: np.ndarray, idf: np.ndarray, test: np.ndarray, latent: int) ->
     return (idf[:, None] * out).astype(np.float32)
 
 
+def term_vectors(project: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """With a row of zeros behind them, for words that are no terms (index -1), the terms' directions in latent space, each as long as its idf: so no single foreign word of a window outweighs the
+    others, and the cosine of two windows is about the share of rare words that they have in common, or related ones."""
+    out = np.zeros((len(project) + 1, project.shape[1]), dtype=np.float32)
+    out[:-1] = project * (idf / np.maximum(np.linalg.norm(project, axis=1), 1e-30))[:, None]
+    return out
+
+
 def _query_windows(items: list[Item], vocabulary: np.ndarray, project: np.ndarray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     """For each scale: unit vectors of the items' windows, and the index of the item of each."""
     out = {}
@@ -230,28 +240,20 @@ def _query_windows(items: list[Item], vocabulary: np.ndarray, project: np.ndarra
 
 
 class Finder:
-    """Finds the items of one block in texts."""
+    """Finds the items of one block in texts: candidates by the cosine of their windows with those of items, then the checks."""
 
-    def __init__(self, items: list[Item], vocabulary: np.ndarray, project: np.ndarray):
-        self.items, self.vocabulary = items, vocabulary
-        # a row of zeros for words that are no terms (index -1)
-        self.project = np.vstack([project, np.zeros((1, project.shape[1]), dtype=np.float32)])
+    def __init__(self, items: list[Item], vocabulary: np.ndarray, project: np.ndarray, cosine: float = COSINE, unit: int = UNIT):
+        self.items, self.vocabulary, self.cosine = items, vocabulary, cosine
+        self.project, self.unit = project, unit
+        #: Items that have masks now.
+        self.used: set[int] = set()
         self.queries = _query_windows(items, vocabulary, project)
-        # members by the block's own terms; the last column stands for all other words
-        own = np.unique(np.concatenate([x.words for x in items]))
-        self.own = np.full(len(vocabulary) + 1, len(own))
-        self.own[_terms(vocabulary, own)] = np.arange(len(own))
-        self.member = np.zeros((len(items), len(own) + 1), dtype=bool)
+        # words of items by their index modulo MARKS: a word of an item is always marked, few others are
+        self.member = np.zeros((len(items), MARKS + 1), dtype=bool)
         for k, item in enumerate(items):
-            self.member[k, _terms(own, item.words)] = True
+            self.member[k, _terms(vocabulary, item.words) % MARKS] = True
         self.lengths = np.array([len(x.words) for x in items])
-        # for each term, the items that have it among their rare words
-        rare = [_terms(vocabulary, x.rare) for x in items]
-        terms, owners = np.concatenate(rare), np.repeat(np.arange(len(items)), [len(t) for t in rare])
-        self.rare_count = np.bincount(terms, minlength=len(vocabulary) + 1)
-        self.rare_from = np.cumsum(self.rare_count) - self.rare_count
-        self.rare_items = owners[np.argsort(terms, kind="stable")]
-        self.least, self.wide = np.array([x.least for x in items]), np.array([wide(len(x.words)) for x in items])
+        self.wide = np.array([wide(len(x.words)) for x in items])
         self.shortest = {s: min(len(x.words) for x in items if x.scale == s) for s in self.queries}
 
     def find(self, texts: list[bytes]) -> list[tuple[int, int, float, float, float, int]]:
@@ -259,115 +261,83 @@ class Finder:
         hashed, owner = split(texts)
         if not len(hashed):
             return []
-        term = _terms(self.vocabulary, hashed)
-        regions = self._regions(term, owner, np.searchsorted(owner, np.arange(len(texts) + 1)))
-        if not regions:
-            return []
-        live = np.unique([t for t, *_ in regions])
-        kept = np.isin(owner, live)
-        hashed, term, owner = hashed[kept], term[kept], np.searchsorted(live, owner[kept])
-        n = len(live)
+        term, n = _terms(self.vocabulary, hashed), len(texts)
         bounds = np.searchsorted(owner, np.arange(n + 1))
-        sizes = np.diff(bounds)
-        units = -(-sizes // UNIT)
+        units = -(-np.diff(bounds) // self.unit)
         unit_from = np.cumsum(units) - units
         unit_owner = np.repeat(np.arange(n), units)
-        within = np.arange(len(unit_owner)) - unit_from[unit_owner]
-        first_word = bounds[unit_owner] + within * UNIT
-        sums = np.zeros((len(unit_owner) + 1, self.project.shape[1]))
-        np.cumsum(np.add.reduceat(self.project[term], first_word, axis=0), axis=0, dtype=np.float64, out=sums[1:])
-        known = np.concatenate(([0], np.cumsum(np.add.reduceat((term >= 0).astype(np.int64), first_word))))
-        found: dict[tuple[int, int], tuple[float, float, float, int]] = {}
-        for scale, (vectors, owners) in self.queries.items():
-            wide, step = max(1, scale // UNIT), max(1, scale // 4 // UNIT)
-            room = np.maximum(units - wide, 0)
+        first_word = bounds[unit_owner] + (np.arange(len(unit_owner)) - unit_from[unit_owner]) * self.unit
+        known = np.concatenate(([0], np.cumsum(np.add.reduceat((term >= 0).astype(np.int32), first_word))))
+        marks = np.where(term >= 0, term % MARKS, MARKS)
+        windows = []
+        for scale in self.queries:
+            across, step = max(1, scale // self.unit), max(1, scale // 4 // self.unit)
+            room = np.maximum(units - across, 0)
             counts = np.where(units > 0, -(-room // step) + 1, 0)
             text = np.repeat(np.arange(n), counts)
-            k = np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)
-            start = np.minimum(k * step, room[text])
-            stop = np.minimum(start + wide, units[text])
-            # a window with fewer terms of the benchmark than _check asks of a single item's cannot pass there
-            enough = known[unit_from[text] + stop] - known[unit_from[text] + start] >= MEMBERS * min(scale, self.shortest[scale])
-            text, start, stop = text[enough], start[enough], stop[enough]
-            v = (sums[unit_from[text] + stop] - sums[unit_from[text] + start]).astype(np.float32)
-            v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
-            w_from = bounds[text] + start * UNIT
-            w_to = np.minimum(bounds[text] + stop * UNIT, bounds[text + 1])
-            for low in range(0, len(v), 8192):
-                close = v[low : low + 8192] @ vectors.T
-                at, q = np.nonzero(close >= COSINE)
-                if len(at):
-                    self._check(found, hashed, term, bounds, text, at + low, owners[q], close[at, q], w_from, w_to, scale)
-        for t, k, begin, end in self._regions(term, owner, bounds):
-            if found.get((t, k), (0, 0))[1] >= SURE:
-                continue
-            got = self._best(self.items[k], hashed[begin:end].tolist())
-            if got and got[:2] > found.get((t, k), (0, 0, 0))[1:3]:
-                start = begin + got[2]
-                found[t, k] = (self._cosine(k, term[start : min(end, start + self.items[k].scale)]), *got[:2], int(start - bounds[t]))
-        return [(int(live[t]), k, *x) for (t, k), x in sorted(found.items())]
-
-    def _cosine(self, k: int, term: np.ndarray) -> float:
-        """The largest cosine of a window (its terms) with one of an item's windows."""
-        vectors, owners = self.queries[self.items[k].scale]
-        v = self.project[term].sum(axis=0)
-        return float((vectors[owners == k] @ (v / max(np.linalg.norm(v), 1e-30))).max())
-
-    def _regions(self, term: np.ndarray, owner: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(text index, item index, first word, end) of the regions that hold every stretch with enough rare words of an item."""
-        count = self.rare_count[term]
-        at = np.flatnonzero(count)
-        count = count[at]
-        where = np.repeat(at, count)
-        if not len(where):
-            return []
-        item = self.rare_items[np.repeat(self.rare_from[term[at]] - (np.cumsum(count) - count), count) + np.arange(len(where))]
-        order = np.argsort(item, kind="stable")
-        where, item = where[order], item[order]
-        last = np.arange(len(item)) + self.least[item] - 1
-        whole = last < len(item)
-        last = np.minimum(last, len(item) - 1)
-        good = whole & (item[last] == item) & (where[last] - where < self.wide[item]) & (owner[where[last]] == owner[where])
-        if not good.any():
-            return []
-        first, last, item = where[good], where[last[good]], item[good]
-        text, reach = owner[first], self.wide[item]
-        begin, end = np.maximum(bounds[text], last - reach + 1), np.minimum(bounds[text + 1], first + reach)
-        # regions of an item that meet are one
-        apart = np.flatnonzero(np.r_[True, (item[1:] != item[:-1]) | (text[1:] != text[:-1]) | (begin[1:] > end[:-1])])
-        text, item, begin, end = text[apart], item[apart], begin[apart], end[np.r_[apart[1:], len(end)] - 1]
-        # of those, the ones with a stretch that has LCS of the item's words in any order
-        size = end - begin
-        stop = np.cumsum(size)
-        word = np.arange(stop[-1]) + np.repeat(begin - (stop - size), size)
-        hit = np.concatenate(([0], np.cumsum(self.member[np.repeat(item, size), self.own[term[word]]])))
-        ahead = np.minimum(np.arange(stop[-1]) + np.repeat(self.wide[item], size), np.repeat(stop, size))
-        held = np.maximum.reduceat(hit[ahead] - hit[:-1], stop - size)
-        good = held >= LCS * self.lengths[item] - 1e-9
-        return list(zip(text[good].tolist(), item[good].tolist(), begin[good].tolist(), end[good].tolist(), strict=True))
-
-    def _check(self, found, hashed, term, bounds, text, at, item, cosine, w_from, w_to, scale) -> None:
-        # a window inside a copy holds few words that the item has not
-        flat, padded = self.member.ravel(), self.own[term]
-        for low in range(0, len(at), 65536):
-            a, i, c = at[low : low + 65536], item[low : low + 65536], cosine[low : low + 65536]
+            start = np.minimum((np.arange(len(text)) - np.repeat(np.cumsum(counts) - counts, counts)) * step, room[text])
+            low, high = unit_from[text] + start, unit_from[text] + np.minimum(start + across, units[text])
+            # a window with fewer terms of the benchmark than a single item's has to have cannot pass below
+            enough = np.flatnonzero(known[high] - known[low] >= MEMBERS * min(scale, self.shortest[scale]))
+            windows.append((scale, text[enough], low[enough], high[enough]))
+        near: list[np.ndarray] = []
+        for base in range(0, len(first_word), STRIDE):
+            parts = [(scale, slice(*np.searchsorted(low, (base, base + STRIDE)))) for scale, _, low, _ in windows]
+            top = max((high[at].max() for (_, at), (*_, high) in zip(parts, windows, strict=True) if at.stop > at.start), default=base)
+            if top > base:
+                # sums of the words' vectors up to each unit, once for the windows of all lengths
+                begin, end = first_word[base], first_word[top] if top < len(first_word) else len(term)
+                sums = np.zeros((top - base + 1, self.project.shape[1]))
+                np.cumsum(np.add.reduceat(self.project[term[begin:end]], first_word[base:top] - begin, axis=0), axis=0, dtype=np.float64, out=sums[1:])
+                for (scale, at), (_, text, low, high) in zip(parts, windows, strict=True):
+                    if at.stop > at.start:
+                        near += self._near(sums, base, marks, bounds, first_word, text[at], low[at], high[at], scale)
+        return self._verify(np.concatenate(near), hashed, bounds) if any(map(len, near)) else []
+
+    def _near(self, sums, base, marks, bounds, first_word, text, low, high, scale) -> list[np.ndarray]:
+        """Which windows, given by their first and last units, are near a window of an item: rows of text, item, first word and
+        end of the window, cosine."""
+        vectors, owners = self.queries[scale]
+        v = (sums[high - base] - sums[low - base]).astype(np.float32)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-30)
+        w_from, w_to = first_word[low], np.minimum(first_word[high - 1] + self.unit, bounds[text + 1])
+        rows, some = [], max(1, COSINES // len(vectors))
+        for k in range(0, len(v), some):
+            close = v[k : k + some] @ vectors.T
+            at, q = np.nonzero(close >= self.cosine)
+            rows.append((at + k, q, close[at, q]))
+        at, q, cosine = (np.concatenate(c) for c in zip(*rows, strict=True))
+        flat, out = self.member.ravel(), []
+        for k in range(0, len(at), 16384):
+            a, i = at[k : k + 16384], owners[q[k : k + 16384]]
             place = w_from[a][:, None] + np.arange(scale)
-            inside = place < w_to[a][:, None]
-            # words past the window's end count as the term that no item has
-            words = np.where(inside, padded[np.minimum(place, len(term) - 1)], self.member.shape[1] - 1)
-            shared = np.take(flat, i[:, None] * self.member.shape[1] + words).sum(axis=1, dtype=np.int16)
+            # words past the window's end count as those that no item has; a window inside a copy holds few others
+            words = np.where(place < w_to[a][:, None], marks[np.minimum(place, len(marks) - 1)], MARKS)
+            shared = np.take(flat, i[:, None] * (MARKS + 1) + words).sum(axis=1, dtype=np.int16)
             good = shared >= MEMBERS * np.minimum(scale, self.lengths[i])
-            for row in np.flatnonzero(good).tolist():
-                key, window = (int(text[a[row]]), int(i[row])), int(a[row])
-                if found.get(key, (0, 0))[1] >= SURE:
-                    continue
-                x = self.items[key[1]]
-                size = len(x.words)
-                # the whole item fits in, wherever in it the window lies
-                begin, end = max(bounds[key[0]], w_from[window] - size), min(bounds[key[0] + 1], w_to[window] + size)
-                got = self._best(x, hashed[begin:end].tolist())
-                if got and got[:2] > found.get(key, (0, 0, 0))[1:3]:
-                    found[key] = (float(c[row]), *got[:2], int(w_from[window] - bounds[key[0]]))
+            out.append(np.column_stack((text[a], i, w_from[a], w_to[a], cosine[k : k + 16384]))[good])
+        return out
+
+    def _verify(self, near: np.ndarray, hashed: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, float, float, float, int]]:
+        """The candidates that pass, the best stretch of each text and item."""
+        text, item, w_from, w_to = near[:, :4].astype(np.int64).T
+        # a stretch around the window, wherever in it the window lies; those of an item that meet are one
+        reach = self.wide[item]
+        begin, end = np.maximum(bounds[text], w_to - reach), np.minimum(bounds[text + 1], w_from + reach)
+        order = np.lexsort((begin, item, text))
+        text, item, begin, end, cosine = text[order], item[order], begin[order], end[order], near[order, 4]
+        apart = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (begin[1:] > end[:-1])])
+        found: dict[tuple[int, int], tuple[float, float, float, int]] = {}
+        for row, stop, most in zip(apart.tolist(), np.maximum.reduceat(end, apart).tolist(), np.maximum.reduceat(cosine, apart).tolist(), strict=True):
+            key = int(text[row]), int(item[row])
+            if found.get(key, (0, 0))[1] < SURE and (got := self._best(self.items[key[1]], hashed[begin[row] : stop].tolist())) and got[:2] > found.get(key, (0, 0, 0))[1:3]:
+                found[key] = (most, *got[:2], int(begin[row] + got[2] - bounds[key[0]]))
+        self.used.update(item[apart].tolist())
+        if len(self.used) > KEPT:
+            for k in self.used:
+                self.items[k].forget()
+            self.used.clear()
+        return [(t, k, *x) for (t, k), x in sorted(found.items())]
 
     @staticmethod
     def _best(x: Item, region: list[int]) -> tuple[float, float, int] | None:
@@ -408,28 +378,30 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS
     size = benchmark.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
     blocks = max(1, -(-size["rows"] // items_at_once), -(-size["bytes"] // ITEM_BYTES))
     parts = [benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else benchmark for b in range(blocks)]
-    vocabulary = np.zeros(0, dtype=np.uint64)
+    vocabulary, unit = np.zeros(0, dtype=np.uint64), UNIT
     for part in parts:
-        vocabulary = np.union1d(vocabulary, split([(r["text"] or "").encode() for r in part.select("text").collect()])[0])
+        words, owner = split([(r["text"] or "").encode() for r in part.select("text").collect()])
+        vocabulary = np.union1d(vocabulary, words)
+        if len(owner) and np.unique(owner, return_counts=True)[1].min() < SHORT:
+            unit = 1
     if not len(vocabulary):
         return docs.sparkSession.createDataFrame([], FOUND)
-    project, share = fit(docs, vocabulary)
+    project = fit(docs, vocabulary)
     space = docs.sparkSession.sparkContext.broadcast((vocabulary, project))
     out = None
     for part in parts:
         items = prepare([(r["item_id"], r["text"], r["n"]) for r in part.orderBy("item_id", "text").collect()])  # one block of the stated query set
         if items:
-            choose_rare(items, vocabulary, share)
-            got = _search(docs, items, space)
+            got = _search(docs, items, space, unit)
             out = got if out is None else out.unionByName(got)
     return out
 
 
-def _search(docs: DataFrame, items: list[Item], space: Broadcast) -> DataFrame:
+def _search(docs: DataFrame, items: list[Item], space: Broadcast, unit: int) -> DataFrame:
     block = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = Finder(block.value, *space.value)
+        tool = Finder(block.value, *space.value, unit=unit)
         for batch in slices(batches, "text"):
             hits = tool.find([(t or "").encode() for t in batch.column("text").to_pylist()])
             hits = [h for h in hits for _ in range(tool.items[h[1]].copies)]

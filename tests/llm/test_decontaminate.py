@@ -138,3 +138,56 @@ def test_svd_finds_the_dominant_directions():
     u = np.linalg.svd(t)[2][0]
     q, _ = np.linalg.qr(p.astype(float))
     assert np.linalg.norm(q.T @ u) > 0.99
+
+
+def test_the_cosine_decides():
+    rnd, words, text, items, docs = corpus(3)
+    own = D.prepare(items)
+    vocabulary = np.unique(np.concatenate([x.words for x in own]))
+    space = D.term_vectors(np.random.default_rng(1).normal(size=(len(vocabulary), 32)), np.full(len(vocabulary), 5.0))
+    texts = [f"{text(50)} {x} {text(50)}".encode() for _, x in items]
+    hits = {c: {(t, k) for t, k, *_ in D.Finder(own, vocabulary, space, cosine=c).find(texts)} for c in (D.COSINE, 9.0)}
+    assert hits[D.COSINE] == {(k, k) for k in range(len(items))} and not hits[9.0]
+
+
+def test_memory_of_a_block_of_long_items():
+    # 2,000 items of 400 words of their own: a worker of the search stays small
+    import subprocess
+    import sys
+
+    code = """
+import resource
+import numpy as np
+from fieldcohort.llm import decontaminate as D
+rng = np.random.default_rng(0)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+texts = [" ".join(f"w{k * 400 + j}" for j in range(400)) for k in range(2000)]
+items = D.prepare(list(enumerate(texts)))
+vocabulary = np.unique(np.concatenate([x.words for x in items]))
+space = np.zeros((len(vocabulary) + 1, D.LATENT), dtype=np.float32)
+for k in range(0, len(vocabulary), 10_000):
+    space[k : k + 10_000] = rng.standard_normal((len(space[k : k + 10_000]), D.LATENT))
+space[-1] = 0
+tool = D.Finder(items, vocabulary, space)
+assert len(tool.find([t.encode() for t in texts[:300]])) == 300
+for k in range(300, 900, 50):
+    assert len(tool.find([t.encode() for t in texts[k : k + 50]])) == 50
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024, before)
+"""
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True, env=__import__("os").environ | {"OMP_NUM_THREADS": "1"})
+    most, before = map(float, done.stdout.split())
+    assert most < 450 and most - before < 330, (most, before)
+
+
+def test_short_items(spark):
+    b = spark.createDataFrame([(1, "xyzzy"), (2, "plugh frobnicate"), (3, "one rare quuxword here"), (4, "seven words make up this whole grault")], "item_id long, text string")
+    rnd = random.Random(1)
+    fill = lambda n: " ".join(rnd.choice(["alpha", "beta", "gamma", "delta", "one", "here"]) for _ in range(n))
+    docs, want = [], set()
+    for k in range(200):
+        text = ["xyzzy", "plugh frobnicate", "one rare quuxword here", "seven words make up this whole grault"][k % 4]
+        docs.append((k, f"{fill(k % 13)} {text} {fill(k % 7)}"))
+        want.add((k, k % 4 + 1))
+    docs += [(1000 + k, fill(50)) for k in range(20)]
+    got = {(r.doc_id, r.item_id) for r in D.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), b).collect()}
+    assert got == want
