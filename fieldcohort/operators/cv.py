@@ -202,12 +202,16 @@ def nested_sums(df: DataFrame, features: list[str], outcome: str, alphas: list[f
     fold outside the outer one (the smallest of equals); the fit on all rows outside the outer fold is scored inside it.
     Returns outer, alpha, n, mae, intercept, slopes.  The sums of the cells of both kinds of folds reach the driver (a few
     rows), fits go back by a broadcast, and errors are averaged before they are shuffled."""
-    cells = fold_sums(df, features, outcome, [outer, inner]).collect()
+    # sums of squares hold the spread only if the means are out of them
+    centre = list(df.agg(*[F.coalesce(F.avg(F.col(f).cast("double")), F.lit(0.0)) for f in [*features, outcome]]).first())
+    moved = df.select(outer, inner, *[(F.col(f).cast("double") - F.lit(c)).alias(f) for f, c in zip([*features, outcome], centre, strict=True)])
+    cells = fold_sums(moved, features, outcome, [outer, inner]).collect()
     fits = []
     for o in sorted({r[outer] for r in cells}):
         for i in [None, *sorted({r[inner] for r in cells})]:
             products = np.sum([r["products"] for r in cells if r[outer] != o and r[inner] != i], axis=0)
-            fits += [(o, i, *fit) for fit in _ridge_from_sums(products, len(features), sorted(alphas))]
+            for alpha, means, scales, slopes, intercept in _ridge_from_sums(products, len(features), sorted(alphas)):
+                fits.append((o, i, alpha, [m + c for m, c in zip(means, centre, strict=False)], scales, slopes, intercept + centre[-1]))
     table = df.sparkSession.createDataFrame(fits, "o int, i int, alpha double, means array<double>, scales array<double>, slopes array<double>, intercept double")
     error = F.abs(F.col(outcome) - _predicted(features))
     tuned = df.join(F.broadcast(table.where("i is not null")), (F.col(outer) != F.col("o")) & (F.col(inner) == F.col("i")))

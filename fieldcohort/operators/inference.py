@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from fieldcohort.functions import expr as X
 from fieldcohort.functions import special
 from fieldcohort.operators import contracts as C
-from fieldcohort.operators import resample, stats
+from fieldcohort.operators import bootstrap, resample, stats
 
 #: name -> (first variable, second variable); outcome stands for the configured one. Fixed values.
 OUTCOME = "outcome"
@@ -67,30 +67,13 @@ def partial_rank(x: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
 
 def adjusted_associations(design: DataFrame, exposures: dict[str, str], outcome: str, covariates: tuple[str, ...], replicates: int = 5000, seed: int = 1) -> DataFrame:
     """Partial rank correlation of each exposure with the outcome given the covariates: bootstrap percentiles (ranked anew in
-    every draw; under 99 % defined ones raise), residual-permutation p and Holm's adjustment.  One task for each exposure."""
+    every draw; under 99 % defined ones raise), residual-permutation p and Holm's adjustment.  Replicates are shared by many
+    tasks (``bootstrap.partial_rank_draws``)."""
     columns = [outcome, *covariates]
     rows = F.array(*[F.struct(F.lit(n).alias("association"), F.lit(k).alias("number"), X.finite(F.col(e)).alias("exposure")) for k, (n, e) in enumerate(exposures.items())])
-    long = design.select(F.explode(rows).alias("r"), *[X.finite(F.col(c)).alias(f"c{k}") for k, c in enumerate(columns)]).select("r.*", *[f"c{k}" for k in range(len(columns))]).dropna()
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(list(part.columns))
-        x = part[["exposure", *[f"c{k}" for k in range(len(columns))]]].to_numpy(float)
-        rng = np.random.default_rng([seed, int(part["number"].iloc[0])])
-        seen, a, b = partial_rank(x)
-        draws = []
-        for _ in range(replicates):
-            try:
-                draws.append(partial_rank(x[rng.integers(0, len(x), len(x))])[0])
-            except ValueError:
-                continue
-        if len(draws) < 0.99 * replicates:
-            raise ValueError(f"too many undefined draws for {part['association'].iloc[0]}")
-        low, high = np.percentile(draws, [2.5, 97.5])
-        a, b = a / np.linalg.norm(a), b / np.linalg.norm(b)
-        hits = sum(abs(a @ rng.permutation(b)) >= abs(seen) for _ in range(replicates))
-        return pd.DataFrame([(part["association"].iloc[0], len(x), seen, low, high, (1 + hits) / (replicates + 1))], columns=["association", "n", "partial_rho", "ci025", "ci975", "p_value"])
-
-    tested = long.groupBy("association").applyInPandas(run, "association string, n long, partial_rho double, ci025 double, ci975 double, p_value double")
+    names = [f"c{k}" for k in range(len(columns))]
+    long = design.select(F.explode(rows).alias("r"), *[X.finite(F.col(c)).alias(n) for c, n in zip(columns, names, strict=True)]).select("r.*", *names).dropna()
+    tested = bootstrap.partial_rank_draws(long, "association", "number", ["exposure", *names], replicates, seed)
     return stats.holm(tested.withColumn("family", F.lit(1)), "p_value", ["family"], "association", "p_value_holm").drop("family")
 
 
@@ -174,7 +157,9 @@ def partial_rank_sums(df: DataFrame, x: str, y: str, covariates: list[str]) -> D
     rows = df.select(F.lit(1).alias("__g"), *[X.finite(F.col(c)).alias(f"__v{k}") for k, c in enumerate(columns)]).dropna()
     for k in range(len(columns)):
         rows = stats.ranked(rows, f"__v{k}", ["__g"], f"__r{k}")
-    ranks = [F.col(f"__r{k}") for k in range(len(columns))]
+    # mean ranks of n rows are around (n + 1) / 2
+    middle = (rows.count() + 1) / 2
+    ranks = [F.col(f"__r{k}") - F.lit(middle) for k in range(len(columns))]
     sums = rows.agg(F.count(F.lit(1)).alias("n"), *[F.sum(r).alias(f"s{k}") for k, r in enumerate(ranks)], *[F.sum(ranks[i] * ranks[j]).alias(f"p{i}_{j}") for i in range(len(ranks)) for j in range(i, len(ranks))]).first()
     n, size = sums["n"], len(columns)
     rho = None

@@ -58,10 +58,22 @@ def ranked(df: DataFrame, value: str, groups: list[str], out: str) -> DataFrame:
 
 
 def spearman(df: DataFrame, x: str, y: str, groups: list[str]) -> DataFrame:
-    """n and rho for each group, over the rows where both are there; rho is NULL without spread."""
+    """n and rho for each group, over the rows where both are there; rho is NULL without spread.
+
+    Rows are first counted by their pair of values, and both columns are ranked in one pass over these counts, which is all
+    that is shuffled; ranks go back to the pairs."""
     pairs = df.select(*groups, X.finite(F.col(x)).alias("__x"), X.finite(F.col(y)).alias("__y")).where("__x is not null and __y is not null")
-    both = ranked(ranked(pairs, "__x", groups, "__rx"), "__y", groups, "__ry")
-    return both.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"), X.pearson("__rx", "__ry").alias("rho"))
+    pairs = pairs.groupBy(*groups, "__x", "__y").agg(F.count(F.lit(1)).alias("__n"))
+    sides = F.explode(F.array(*[F.struct(F.lit(w).alias("__w"), F.col(f"__{w}").alias("__v")) for w in "xy"])).alias("__s")
+    counts = pairs.select(*groups, "__n", sides).groupBy(*groups, F.col("__s.__w").alias("__w"), F.col("__s.__v").alias("__v")).agg(F.sum("__n").alias("__n"))
+    rank = ranks(counts, "__v", "__n", [*groups, "__w"], "__r").drop("__n")
+    of = {w: rank.where(F.col("__w") == w).select(*groups, F.col("__v").alias(f"__{w}"), F.col("__r").alias(f"__r{w}")) for w in "xy"}
+    both = pairs.join(of["x"], [*groups, "__x"]).join(of["y"], [*groups, "__y"])
+    weighted = lambda a, b: F.sum(F.col("__n") * F.col(a) * F.col(b)) / F.sum("__n")
+    sums = both.groupBy(*groups).agg(F.sum("__n").alias("n"), weighted("__rx", "__rx").alias("xx"), weighted("__ry", "__ry").alias("yy"), weighted("__rx", "__ry").alias("xy"))
+    # ranks of n rows have the mean (n + 1) / 2, with and without ties
+    vx, vy, cov = (F.col(c) - F.pow((F.col("n") + 1) / 2, 2) for c in ("xx", "yy", "xy"))
+    return sums.select(*groups, "n", F.when((F.col("n") >= 2) & (vx > 1e-9) & (vy > 1e-9), cov / F.sqrt(vx * vy)).alias("rho"))
 
 
 def numbered(df: DataFrame, runs: list[str], order: list[str], out: str) -> DataFrame:

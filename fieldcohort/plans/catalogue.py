@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldcohort.functions import expr as X
-from fieldcohort.operators import cases, cohort, cv, inference, resample, stats
+from fieldcohort.operators import bootstrap, cases, cohort, cv, inference, resample, stats
 from fieldcohort.operators import contracts as C
 from fieldcohort.operators import kernels as K
 from fieldcohort.operators import voxel as V
@@ -919,6 +919,21 @@ def q87(spark, d):
     return got.withColumn("value", F.round("value", 4) + 0.0)
 
 
+@query("q89_bootstrap_means")
+def q89(spark, d):
+    # the analysis's own number of replicates over all line items, whose groups are dealt to blocks
+    got = bootstrap.bootstrap_means(table(spark, d, "lineitem").withColumn("line", F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey")), "l_quantity", ["l_returnflag"], "line", 5000, 2026)
+    return rounded(got, "mean", "ci025", "ci975")
+
+
+@query("q90_adjusted_associations")
+def q90(spark, d):
+    # customers with orders: balance and lowest order against mean order, given the number of orders; 5000 draws and permutations
+    m = P.clinical(spark, d).join(table(spark, d, "customer").select(F.col("c_custkey").alias("case_id"), "c_acctbal"), "case_id")
+    got = inference.adjusted_associations(m, {"balance": "c_acctbal", "lowest": "low"}, "outcome", ("n_orders",), 5000, 2026)
+    return rounded(got, "partial_rho", "ci025", "ci975", "p_value", "p_value_holm")
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldcohort.operators import voxel as V
-from fieldcohort.session import table
+from fieldcohort.session import staged, table
 
 SIZE, SHAPE = 4, (4, 4, 4)
 LESION = 0.1
@@ -41,9 +41,8 @@ def sided(spark: SparkSession, d: str) -> DataFrame:
 
 
 def staged_field(spark: SparkSession, d: str) -> DataFrame:
-    """The field with side and Jacobian, dealt by case and held, since effect, distance and lesion each read it; ``unpersist``
-    or the end of the session frees it."""
-    return V.jacobian(sided(spark, d)).repartition("case_id").persist()
+    """The field with side and Jacobian, dealt by case and staged, since effect, distance and lesion each read it."""
+    return staged(V.jacobian(sided(spark, d)).repartition("case_id"), "field")
 
 
 def effect_rows(spark: SparkSession, d: str) -> DataFrame:

@@ -5,8 +5,9 @@ from __future__ import annotations
 import os
 import re
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "fieldcohort", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
@@ -47,3 +48,11 @@ def shared_dir(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="fieldcohort-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
+
+
+def staged(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to the shared folder as Parquet and read back: computed once however often it is read, without holding
+    memory of the session; the files stay."""
+    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

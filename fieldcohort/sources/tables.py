@@ -100,9 +100,16 @@ def localized(path: str, root: str | os.PathLike, anchor: str = "ARC", exists=os
 
 
 def localized_column(column, root: str, anchor: str = "ARC"):
-    """The same as a column, without looking at files: what follows the last ``anchor``, below ``root``; others unchanged."""
+    """The same as a column, without looking at files: what follows the last ``anchor``, below ``root``; others unchanged.
+
+    A path that leaves ``root``, because more of its components are ``..`` than there are folders before them, raises when the
+    row is read, as ``localized`` does."""
     tail = F.regexp_extract(column, rf"^(?:.*/)?{anchor}/(.*)$", 1)
-    return F.when(tail != "", F.concat(F.lit(root.rstrip("/") + "/"), tail)).otherwise(column)
+    # how deep each component leads, and whether any place on the way lies above the root
+    step = lambda p: F.when(p == "..", -1).when((p == "") | (p == "."), 0).otherwise(1)
+    walk = F.aggregate(F.split(tail, "/"), F.struct(F.lit(0).alias("depth"), F.lit(0).alias("least")), lambda a, p: F.struct((a["depth"] + step(p)).alias("depth"), F.least(a["least"], a["depth"] + step(p)).alias("least")))
+    leaves = F.raise_error(F.concat(column, F.lit(f" leaves {root}"))).cast("string")
+    return F.when(tail == "", column).when(walk["least"] < 0, leaves).when(tail != "", F.concat(F.lit(root.rstrip("/") + "/"), tail)).otherwise(column)
 
 
 def required(paths: list[str | None]) -> None:

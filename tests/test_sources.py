@@ -132,3 +132,13 @@ def test_stream(spark, tmp_path):
     stream = collect.case_stream(spark, str(tmp_path / "in"), "case_id string, deformation_qc_pass boolean")
     collect.write_cases(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_localized_paths_stay_below_the_root(spark):
+    rows = ["/a/ARC/x/../y", "/a/ARC/x/y", "no anchor/../x", None, "/a/ARC/./x//y/../../z"]
+    df = spark.createDataFrame([(r,) for r in rows], "p string")
+    got = [r[0] for r in df.select(tables.localized_column(df["p"], "/data/")).collect()]
+    assert got == ["/data/x/../y", "/data/x/y", "no anchor/../x", None, "/data/./x//y/../../z"]
+    for bad in ("/a/ARC/../../etc/x", "/a/ARC/x/../../y/z", "/a/ARC/.."):
+        with pytest.raises(Exception, match="leaves /data"):
+            spark.createDataFrame([(bad,)], "p string").select(tables.localized_column(F.col("p"), "/data")).collect()
