@@ -167,7 +167,8 @@ class Run:
     def report(self) -> None:
         """From the stored tables of a run; nothing is fitted again."""
         stored = pipelines.read_tables(self.spark, self.get("paths", "tables", f"{self.out}/model"))
-        written = pipelines.write_report(stored, f"{self.out}/report") | pipelines.write_supplement(stored, f"{self.out}/report")
+        known = {name: json.loads(file.read_text()) if (file := Path(self.out, path)).exists() else {} for name, path in (("flow", "model/analysis_config.json"), ("hodge", "hodge_summary.json"))}
+        written = pipelines.write_report(stored, f"{self.out}/report", **known) | pipelines.write_supplement(stored, f"{self.out}/report")
         print(json.dumps(written))
 
     def compare(self) -> None:

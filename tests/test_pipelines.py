@@ -44,6 +44,10 @@ def test_model_run(spark, inputs, tmp_path):
     assert tables["left_model_summary"].count() == 4
     written = pipelines.write_report(tables, str(tmp_path))
     assert set(written) == {"paired_comparisons.tex", "model_summary.tex", "macros.tex", "associations.tex"}
+    text = (tmp_path / "macros.tex").read_text()
+    ages = np.array([r[0] for r in tables["design"].select("age_at_stroke").collect()])
+    assert r"\newcommand{\CohortMeLesionSideLeft}{30}" in text and f"\\newcommand{{\\CohortAgeAtStrokeMedian}}{{{np.median(ages):.2f}}}" in text
+    assert f"\\newcommand{{\\CohortFoldingPercentQThree}}{{{1.0:.2f}}}" in text and not any(x in text for x in ("CohortSex", "Minimum", "Maximum"))
     assert pipelines.cohort_summary(tables["design"], ["wab_aq"], ["me_lesion_side"]).count() == 7
 
 
@@ -61,3 +65,16 @@ def test_cli(spark, inputs, tmp_path):
     inputs[0].toPandas().to_csv(tmp_path / "manifest.csv", index=False)
     assert cli.main(["audit", "--manifest", str(tmp_path / "manifest.csv"), "--output", str(tmp_path / "out")]) == 0
     assert (tmp_path / "out/cohort_audit.json").exists()
+
+
+def test_macros_of_cohort_and_decomposition(spark, tmp_path):
+    rows = [("count", "sex", "F", 12.0), ("count", "sex", None, 2.0), ("quantile", "wab_days", "median", 41.5), ("quantile", "wab_days", "q1", None)]
+    summary = spark.createDataFrame(rows, "kind string, name string, level string, value double")
+    hodge = {"method_version": "v", "cases": 214, "passed": 213, "curl_free_energy_fraction": {"median": 0.25, "maximum": 4.9e-8, "minimum": None}}
+    pipelines.write_report({"cohort_summary": summary}, str(tmp_path), {"joined": 211, "hodge_used": True, "models": {"clinical_only": 2}}, hodge)
+    lines = (tmp_path / "macros.tex").read_text().splitlines()
+    for want in (r"{\CohortSexF}{12}", r"{\CohortSexMissing}{2}", r"{\CohortWabDaysMedian}{41.50}", r"{\CohortWabDaysQOne}{nan}", r"{\HodgeCases}{214}", r"{\HodgeCurlFreeEnergyFractionMedian}{0.25}", r"{\HodgeCurlFreeEnergyFractionMaximum}{4.90e-08}", r"{\FlowJoined}{211}", r"{\FlowModelsClinicalOnly}{2}"):
+        assert r"\newcommand" + want in lines
+    assert len(lines) == 9
+    with pytest.raises(ValueError, match="at most 3"):
+        pipelines.summary_macros(summary, 3)
