@@ -6,6 +6,11 @@ distances, shells).  Neighbour access is a window over a grid line; the mirror i
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -137,45 +142,52 @@ def folding(df: DataFrame, jac: str = "jac", valid: Column | None = None) -> Dat
     return rows.groupBy("case_id").agg(F.avg((F.col(jac) <= 0).cast("double")).alias("folding_fraction"), F.min(jac).alias("minimum_jacobian"))
 
 
-def _line_sweep(df: DataFrame, axis: str, step: float) -> DataFrame:
-    """The least of d + (step * way)^2 along the lines of an axis, for rows (case_id, x, y, z, d) where d may be NULL.
-
-    A line is one row: an array of its (place, d) in order, and the lower envelope of their parabolas, built with a stack
-    as the line is passed once (Felzenszwalb and Huttenlocher 2012) and read off in a second pass, both inside the row; so
-    the work is voxels times parabolas of a line (the mask's extent along it), and each voxel is shuffled once.  Breaks
-    between parabolas are kept beside them."""
-    keys = ["case_id", *[a for a in AXES if a != axis]]
-    lines = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(axis).alias("a"), F.col("d").alias("d")))).alias("__line"))
-    empty = F.filter(F.array(F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("d"), F.lit(0.0).alias("start"))), lambda x: F.lit(False))
-    at = lambda x: x["a"].cast("double") * step
+#: Voxels of the lines that a task sweeps at once.
+SWEPT = 1 << 20
 
-    def meets(top: Column, x: Column) -> Column:
-        """Where the parabola of ``x`` begins to lie below that of ``top``."""
-        return ((x["d"] + at(x) * at(x)) - (top["d"] + top["a"] * top["a"])) / (2.0 * (at(x) - top["a"]))
 
-    def pushed(stack: Column, x: Column) -> Column:
-        # parabolas whose stretch begins behind the meeting point are covered; they are the last of the stack
-        left = F.filter(stack, lambda s: meets(s, x) > s["start"])
-        begin = F.when(F.size(left) > 0, meets(F.try_element_at(left, F.lit(-1)), x)).otherwise(F.lit(float("-inf")))
-        return F.concat(left, F.array(F.struct(at(x).alias("a"), x["d"].alias("d"), begin.alias("start"))))
+def _swept(places: np.ndarray, d: np.ndarray, step: float) -> np.ndarray:
+    """The least of d + (step * way)^2 along each line (a row of places and of d, NaN where there is none)."""
+    out, at = np.full(d.shape, np.inf), places * step
+    known = np.where(np.isnan(d), np.inf, d)
+    for j in np.flatnonzero(np.isfinite(known).any(axis=0)):
+        np.minimum(out, known[:, j : j + 1] + (at - at[:, j : j + 1]) ** 2, out=out)
+    return np.where(np.isinf(out), np.nan, out)
 
-    hulls = lines.withColumn("__hull", F.aggregate(F.filter("__line", lambda x: x["d"].isNotNull()), empty, pushed))
-    hulls = hulls.withColumn("__first", F.transform("__hull", lambda s: s["start"]))
 
-    def read(x: Column) -> Column:
-        # the last parabola that begins at or before the place
-        owner = F.get("__hull", F.size(F.filter("__first", lambda s: s <= at(x))) - 1)
-        return F.struct(x["a"].alias("a"), (owner["d"] + F.pow(at(x) - owner["a"], 2)).alias("d"))
+def _line_sweep(df: DataFrame, axis: str, step: float) -> DataFrame:
+    """The least of d + (step * way)^2 along the lines of an axis, for rows (case_id, x, y, z, d) where d may be NULL.
 
-    rows = hulls.select(*keys, F.explode(F.transform("__line", read)).alias("__p"))
-    return rows.select(*keys, F.col("__p.a").alias(axis), F.col("__p.d").alias("d"))
+    A line is one row, so each voxel is shuffled once; lines of one length are swept together as an array, once for each
+    place at which any of them has a value."""
+    keys = ["case_id", *[a for a in AXES if a != axis]]
+    lines = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(axis).alias("a"), F.col("d").alias("d")))).alias("line"))
+    lines = lines.select(*keys, F.transform("line", lambda x: x["a"].cast("int")).alias("a"), F.transform("line", lambda x: x["d"]).alias("d"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column("a")).to_numpy()
+            a, d = batch.column("a").flatten().to_numpy(), batch.column("d").flatten().to_numpy(zero_copy_only=False)
+            first, out = np.cumsum(sizes) - sizes, np.empty(len(d))
+            for n in np.unique(sizes):
+                rows = np.flatnonzero(sizes == n)
+                for part in np.array_split(rows, -(-len(rows) * int(n) // SWEPT)):
+                    at = first[part][:, None] + np.arange(n)
+                    out[at] = _swept(a[at].astype(np.float64), d[at].astype(np.float64), step)
+            ends = pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32())
+            found = pa.ListArray.from_arrays(ends, pa.array(out, pa.float64(), from_pandas=True))
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in keys], pa.ListArray.from_arrays(ends, pa.array(a, pa.int32())), found], names=[*keys, "a", "d"])
+
+    swept = lines.mapInArrow(run, lines.schema)
+    rows = swept.select(*keys, F.explode(F.arrays_zip("a", "d")).alias("p"))
+    return rows.select(*keys, F.col("p.a").alias(axis), F.col("p.d").alias("d"))
 
 
 def lesion_distance(grid: DataFrame, lesion: DataFrame, spacing: tuple[float, float, float] = (1.0, 1.0, 1.0)) -> DataFrame:
     """Add ``distance`` to the nearest lesion voxel of the case (NULL where a case has none).
 
-    Separable: along x the nearest lesion voxel of each line, then the best over y, then over z, each by a fold over the
-    line (``_line_sweep``): no line is joined with itself."""
+    Separable: along x the nearest lesion voxel of each line, then the best over y, then over z (``_line_sweep``): no line is
+    joined with itself."""
     marks = lesion.select("case_id", *AXES).distinct().withColumn("__l", F.lit(True))
     d = grid.join(marks, ["case_id", *AXES], "left").select("case_id", *AXES, F.when(F.col("__l"), F.lit(0.0)).alias("d"))
     for axis, step in zip(AXES, spacing, strict=True):
