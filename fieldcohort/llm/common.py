@@ -119,6 +119,22 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = SLICE_BYT
     release()
 
 
+def open_file(uri: str):
+    """A file below the shared folder, opened for reading where a task runs: by the system where it is local or mounted there,
+    by Arrow's file systems elsewhere."""
+    if local := local_path(uri):
+        return open(local, "rb")  # noqa: SIM115
+    from pyarrow import fs
+
+    store, inner = fs.FileSystem.from_uri(uri)
+    return store.open_input_file(inner)
+
+
+def local_path(uri: str) -> str | None:
+    """The path of a local file, of a name with or without scheme; None for other file systems."""
+    return re.sub(r"^file:/*", "/", uri) if re.match(r"file:|/", uri) else None
+
+
 def within(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has ``rows`` rows at most; reads no more than needed to tell."""
     return df.limit(rows + 1).count() <= rows

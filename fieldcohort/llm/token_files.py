@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fieldcohort.llm.common import release, slices, small_batches
+from fieldcohort.llm.common import local_path, open_file, release, slices, small_batches
 
 #: Text bytes of a file, on average; a file is one task's work and some 0.8 times as large.
 FILE_BYTES = 128 << 20
@@ -182,13 +182,10 @@ class Flat:
 
     def __init__(self, uri: str, dtype: np.dtype, size: int):
         self.dtype, self.n, self.file = dtype, size // dtype.itemsize, None
-        if re.match(r"file:|/", uri):
-            self.map = np.memmap(re.sub(r"^file:/*", "/", uri), dtype=dtype, mode="r") if self.n else np.zeros(0, dtype)
+        if local := local_path(uri):
+            self.map = np.memmap(local, dtype=dtype, mode="r") if self.n else np.zeros(0, dtype)
         else:
-            from pyarrow import fs
-
-            store, inner = fs.FileSystem.from_uri(uri)
-            self.file = store.open_input_file(inner)
+            self.file = open_file(uri)
 
     def __getitem__(self, at: slice) -> np.ndarray:
         if self.file is None:

@@ -5,8 +5,8 @@ frames each record by its Content-Length and verifies the block digest and the p
 piece and a record's headers, and the payload only if that is asked for.
 
 Archives are written by Spark's text writer, so that task retries and lost executors leave no half archives behind: a row
-is the bytes of an archive, and what the writer puts after a row, where a text has its line end, is an empty gzip member,
-which the format allows anywhere and readers pass over.
+is some megabytes of records, and what the writer puts after a row, where a text has its line end, is an empty gzip member,
+which the format allows anywhere and readers pass over.  An archive has as many rows as make about a gigabyte.
 """
 
 from __future__ import annotations
@@ -20,9 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fieldcohort.llm.common import passing, slices, small_batches, staged, within
+from fieldcohort.llm.common import open_file, passing, slices, small_batches, staged, within
 
-ARCHIVE_BYTES = 8 << 20
+#: Bytes of a row of records, and of an archive.
+ROW_BYTES, ARCHIVE_BYTES = 4 << 20, 1 << 30
 #: Payloads from this size on are written once, others of the same digest revisit them.
 REVISIT_BYTES = 1000
 #: Groups of equal payloads up to which the table of groups is broadcast; a row of it has about 60 bytes.
@@ -187,8 +188,9 @@ def plan_records(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     return joined.select("page_id", "url", "html", F.when(F.col("page_id").eqNullSafe(F.col("top")), None).otherwise(F.col("top")).alias("refers_to"))
 
 
-def write_archives(pages: DataFrame, path: str, least: int = REVISIT_BYTES, most: int = ARCHIVE_BYTES) -> None:
-    """Write a record for each row of ``pages`` (page_id, url, html) into archives of about ``most`` bytes below ``path``.
+def write_archives(pages: DataFrame, path: str, least: int = REVISIT_BYTES, most: int = ARCHIVE_BYTES, row: int = ROW_BYTES) -> None:
+    """Write a record for each row of ``pages`` (page_id, url, html) into archives of about ``most`` bytes, at most one a task
+    if its records make less, below ``path``; a task holds ``row`` bytes and a record.
 
     Null html is an empty payload.  Of equal payloads of ``least`` bytes and more, the row with the largest page_id is the
     response (all rows, where that id repeats), others revisit it, those without an id too; if none has an id, all are
@@ -198,10 +200,10 @@ def write_archives(pages: DataFrame, path: str, least: int = REVISIT_BYTES, most
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         archive, size = [], 0
         for batch in slices(batches, "html"):
-            for row in batch.to_pylist():
-                archive.append(one := member(row["page_id"], row["url"], (row["html"] or "").encode(), row["refers_to"]))
+            for page in batch.to_pylist():
+                archive.append(one := member(page["page_id"], page["url"], (page["html"] or "").encode(), page["refers_to"]))
                 size += len(one)
-                if size >= most:
+                if size >= min(row, most):
                     yield pa.RecordBatch.from_pydict({"archive": pa.array([b"".join(archive)], pa.binary())})
                     archive, size = [], 0
         if archive:
@@ -211,23 +213,38 @@ def write_archives(pages: DataFrame, path: str, least: int = REVISIT_BYTES, most
         rows = plan_records(pages, least).mapInArrow(run, "archive binary")
         text = rows.select(F.col("archive").cast("string").alias("value"))
         # latin-1 gives the separator's characters as the bytes of the same numbers
-        text.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
+        text.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", max(1, most // row)).text(path)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """Read all archives below ``path``: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
-    Spark hands over each archive file as a whole (what it inflates to is not held); those written here have about
-    ARCHIVE_BYTES.  A file from elsewhere takes about three times its size in an executor and must be under 2 GB."""
+    Spark lists the files; a task opens its archives itself and reads them in pieces, whatever their size.  Archives from
+    elsewhere may be of one gzip member a record, with or without empty ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for content in batch.column("content"):
-                raw = memoryview(content.as_buffer())
-                records = read_archive(bytes(raw[k : k + PIECE]) for k in range(0, len(raw), PIECE))
-                got = [(_page(r["id"]), r["payload_bytes"], r["payload_digest"], r["type"], _page(r["refers_to"])) for r in records]
-                kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*got, strict=True), kinds, strict=True)] if got else [pa.array([], t) for t in kinds], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") > 0).select("content")
-    return files.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+            for uri in batch.column("path").to_pylist():
+                with open_file(uri) as file:
+                    got = []
+                    for r in read_archive(iter(lambda file=file: file.read(PIECE), b"")):
+                        got.append((_page(r["id"]), r["payload_bytes"], r["payload_digest"], r["type"], _page(r["refers_to"])))
+                        if len(got) == RECORDS:
+                            yield _records(got)
+                            got = []
+                    yield _records(got)
+
+    files = spark.read.format("binaryFile").load(path).where(F.col("length") > 0).select("path", "length")
+    # as many tasks as files: names are so short that Spark would join them
+    count = max(1, files.count())
+    return files.repartitionByRange(count, "path").select("path").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+
+
+#: Records that a reader hands on at once.
+RECORDS = 4096
+
+
+def _records(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
+    columns = zip(*rows, strict=True) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])

@@ -70,3 +70,43 @@ def test_query_matches_sql(spark, sf):
     duckdb.sql(f"create or replace view pages as select * from '{sf}/pages.parquet'")
     names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     assert got == sorted(duckdb.sql(f"select {', '.join(names)} from ({registry.OP1_SQL})").fetchall())
+
+
+READ_LARGE = """
+import os, resource, sys
+from fieldcohort.llm import common, warc
+path, times = sys.argv[1], int(sys.argv[2])
+one = warc.member(1, "http://x/", os.urandom(1 << 20), None) + warc.EMPTY_MEMBER
+with open(path, "wb") as f:
+    for _ in range(times):
+        f.write(one)
+n = 0
+with common.open_file("file:" + path) as f:
+    for r in warc.read_archive(iter(lambda: f.read(warc.PIECE), b"")):
+        n += r["payload_bytes"]
+assert n == times << 20
+print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024)
+"""
+
+
+def test_large_archives_are_read_in_pieces(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    done = subprocess.run([sys.executable, "-c", READ_LARGE, str(tmp_path / "big.warc.gz"), "200"], capture_output=True, text=True, timeout=200, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    assert float(done.stdout) < 250
+
+
+def test_an_archive_has_many_rows(spark):
+    # a task's records make one archive of several rows, or several archives
+    rows = [(k, "u", f"{k} " * 300) for k in range(200)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    for most, least, archives in ((1 << 30, 1, 1), (20_000, 2, 100)):
+        path = common.scratch(spark, "warc-test")
+        warc.write_archives(df, path, most=most, row=5000)
+        files = glob.glob(path.removeprefix("file://") + "/part*")
+        assert least <= len(files) <= archives
+        assert sorted(r.page_id for r in warc.read_archives(spark, path).collect()) == list(range(200))
+        assert sum(gzip.open(f).read().count(b"WARC/1.1\r\n") for f in files) == 200
+    assert max(open(f, "rb").read().count(warc.EMPTY_MEMBER) for f in files) > 1
