@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fieldcohort.functions import expr as X
-from fieldcohort.operators import bootstrap, cases, cohort, cv, inference, resample, stats
+from fieldcohort.operators import affine, bootstrap, cases, cohort, cv, inference, resample, stats
 from fieldcohort.operators import contracts as C
 from fieldcohort.operators import kernels as K
 from fieldcohort.operators import voxel as V
@@ -413,12 +413,6 @@ def _fields(spark, d, scale: float = 1.0):
     return rows.select("case_id", F.array(*[F.lit(n) for n in P.SHAPE]).alias("shape"), F.flatten(F.transform("v", lambda r: F.array(r["u0"] * scale, r["u1"] * scale, r["u2"] * scale))).alias("field"), F.transform("v", lambda r: r["valid"].cast("int")).alias("valid"))
 
 
-@query("q41_robust_affine")
-def q41b(spark, d):
-    got = cases.affine_fits(_fields(spark, d), 1, 12)
-    return got.select("case_id", "points", r6("rmse").alias("rmse"), r6("inliers").alias("inliers"))
-
-
 def _ortho(source: str, extra: str = "") -> str:
     """Residuals of u0, u1, u2 of each case on 1, x, y, z, which are made orthogonal one after the other."""
     w = "OVER (PARTITION BY case_id)"
@@ -440,6 +434,42 @@ def q41c(spark, d):
     return got.select("case_id", "points", r6("rmse").alias("rmse"), r6("inliers").alias("inliers"))
 
 
+def _rounds_sql(rounds: int = K.ROUNDS, least: int = 12) -> str:
+    """Iterated trimming: each round fits on the kept points, by residuals on 1, x, y, z made orthogonal one after the other
+    over these, and keeps those within the limit, where that leaves enough points and changes any."""
+    w = "OVER (PARTITION BY case_id)"
+    over = lambda text: f"sum({text}) FILTER (WHERE kept) {w}"
+    mean = lambda c: f"avg({c}) FILTER (WHERE kept) {w}"
+    steps = ["k0 AS (SELECT case_id, x::DOUBLE AS x, y::DOUBLE AS y, z::DOUBLE AS z, u0, u1, u2, true AS kept, false AS done FROM sided WHERE valid)"]
+
+    def missed(k: int) -> list[str]:
+        left = ", ".join(f"u{j} - {mean(f'u{j}')} - " + " - ".join(f"{over(f'u{j} * {v}')} / {over(f'{v} * {v}')} * {v}" for v in "pqr") + f" AS e{j}" for j in range(3))
+        return [
+            f"a{k} AS (SELECT *, x - {mean('x')} AS p FROM k{k})",
+            f"b{k} AS (SELECT *, y - {mean('y')} - {over('y * p')} / {over('p * p')} * p AS q FROM a{k})",
+            f"c{k} AS (SELECT *, z - {mean('z')} - {over('z * p')} / {over('p * p')} * p - {over('z * q')} / {over('q * q')} * q AS r FROM b{k})",
+            f"e{k} AS MATERIALIZED (SELECT case_id, x, y, z, u0, u1, u2, kept, done, sqrt(e0 * e0 + e1 * e1 + e2 * e2) AS miss FROM (SELECT *, {left} FROM c{k}))",
+        ]
+
+    for k in range(rounds):
+        steps += missed(k)
+        steps += [
+            f"m{k} AS (SELECT case_id, quantile_cont(miss, 0.5) AS mid FROM e{k} WHERE kept GROUP BY 1)",
+            f"s{k} AS (SELECT e{k}.case_id, any_value(mid) AS mid, quantile_cont(abs(miss - mid), 0.5) AS mad FROM e{k} JOIN m{k} ON e{k}.case_id = m{k}.case_id WHERE kept GROUP BY 1)",
+            f"n{k} AS (SELECT e{k}.*, miss <= mid + {K.LIMIT} * greatest({K.MAD} * mad, {K.LEAST_SCALE}) AS near FROM e{k} JOIN s{k} ON e{k}.case_id = s{k}.case_id)",
+            f"t{k} AS (SELECT case_id, NOT bool_or(done) AND count(*) FILTER (WHERE near) >= {least} AND bool_or(near <> kept) AS moves FROM n{k} GROUP BY 1)",
+            f"k{k + 1} AS MATERIALIZED (SELECT n{k}.case_id, x, y, z, u0, u1, u2, CASE WHEN moves THEN near ELSE kept END AS kept, NOT moves AS done FROM n{k} JOIN t{k} ON n{k}.case_id = t{k}.case_id)",
+        ]
+    steps += missed(rounds)
+    return P.sql("sided") + ", " + ", ".join(steps) + f" SELECT case_id, count(*) FILTER (WHERE kept)::INT AS points, {s6('sqrt(avg(miss * miss) FILTER (WHERE kept))', 'rmse')}, {s6('avg(kept::INT)', 'inliers')} FROM e{rounds} GROUP BY 1"
+
+
+@query("q41_robust_affine", _rounds_sql())
+def q41b(spark, d):
+    got = affine.robust_affine(P.sided(spark, d).where("valid"), 12)
+    return got.select("case_id", "points", r6("rmse").alias("rmse"), r6("inliers").alias("inliers"))
+
+
 _W = V.gaussian_weights(0.6)
 
 
