@@ -1,23 +1,29 @@
 """NIfTI-1 volumes: a parser, a writer, readers by folder and by manifest.
 
 ``read_volumes`` gives one row for each .nii or .nii.gz file: name, shape, spacing, affine (rows of four) and data in C order;
-``case_files`` gives one row for each case of a manifest with the files that its path columns name.  Files reach Python as
-bytes that Spark has read, so any store that Spark reads will do; Spark cuts the batches by their bytes, and volumes are
+``case_files`` gives one row for each case of a manifest with the files that its path columns name; ``read_headers`` reads no
+voxels, ``read_slabs`` gives a row for each slab.  For these two tasks open files themselves; else files reach Python as bytes that Spark has read, so any store that Spark reads will do; Spark cuts the batches by their bytes, and volumes are
 unpacked one by one.
 """
 
 from __future__ import annotations
 
+import contextlib
 import gzip
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from fieldcohort.operators.cohort import small
+from fieldcohort.sources import files
 from fieldcohort.sources.tables import localized_column
 
 #: Type codes of the format. Fixed values.
@@ -26,11 +32,31 @@ CODES = {v: k for k, v in TYPES.items()}
 SCHEMA = "name string, shape array<int>, spacing array<double>, affine array<array<double>>, data array<double>"
 
 
-def parse(raw: bytes) -> tuple[np.ndarray, np.ndarray, tuple[float, ...]]:
-    """Data (scaled where the header says so), affine and spacing of a file's bytes."""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
-    order = next((o for o in "<>" if struct.unpack(o + "i", raw[:4])[0] == 348), None)
+@dataclass(frozen=True)
+class Header:
+    """What a file's first bytes say of its data."""
+
+    shape: tuple[int, ...]
+    spacing: tuple[float, ...]
+    affine: np.ndarray
+    kind: np.dtype
+    offset: int
+    slope: float
+    inter: float
+
+    def scaled(self, data: np.ndarray) -> np.ndarray:
+        if self.slope != 0.0 and np.isfinite(self.slope) and (self.slope, self.inter) != (1.0, 0.0):
+            return data * self.slope + self.inter
+        return data
+
+
+#: Bytes of a header.
+HEAD = 348
+
+
+def header(raw: bytes) -> Header:
+    """The header in the first HEAD bytes of an unpacked file."""
+    order = next((o for o in "<>" if len(raw) >= HEAD and struct.unpack(o + "i", raw[:4])[0] == HEAD), None)
     if order is None or raw[344:347] not in (b"n+1", b"ni1"):
         raise ValueError("not a NIfTI-1 file")
     dims = struct.unpack(order + "8h", raw[40:56])
@@ -39,11 +65,6 @@ def parse(raw: bytes) -> tuple[np.ndarray, np.ndarray, tuple[float, ...]]:
         raise ValueError(f"type code {code} is not supported")
     zooms = struct.unpack(order + "8f", raw[76:108])
     offset, slope, inter = struct.unpack(order + "3f", raw[108:120])
-    shape = dims[1 : dims[0] + 1]
-    kind = np.dtype(order + TYPES[code])
-    data = np.frombuffer(raw, dtype=kind, count=int(np.prod(shape)), offset=int(offset)).reshape(shape, order="F")
-    if slope not in (0.0,) and np.isfinite(slope) and (slope, inter) != (1.0, 0.0):
-        data = data * slope + inter
     qform, sform = struct.unpack(order + "2h", raw[252:256])
     if sform > 0:
         affine = np.vstack([np.array(struct.unpack(order + "12f", raw[280:328])).reshape(3, 4), [0, 0, 0, 1]])
@@ -51,7 +72,16 @@ def parse(raw: bytes) -> tuple[np.ndarray, np.ndarray, tuple[float, ...]]:
         affine = _quaternion(struct.unpack(order + "6f", raw[256:280]), zooms)
     else:
         affine = np.diag([*zooms[1:4], 1.0])
-    return data, affine.astype(float), tuple(float(z) for z in zooms[1:4])
+    return Header(tuple(dims[1 : dims[0] + 1]), tuple(float(z) for z in zooms[1:4]), affine.astype(float), np.dtype(order + TYPES[code]), int(offset), slope, inter)
+
+
+def parse(raw: bytes) -> tuple[np.ndarray, np.ndarray, tuple[float, ...]]:
+    """Data (scaled where the header says so), affine and spacing of a file's bytes."""
+    if raw[:2] == b"\x1f\x8b":
+        raw = gzip.decompress(raw)
+    head = header(raw)
+    data = np.frombuffer(raw, dtype=head.kind, count=int(np.prod(head.shape)), offset=head.offset).reshape(head.shape, order="F")
+    return head.scaled(data), head.affine, head.spacing
 
 
 def _quaternion(q: tuple[float, ...], zooms: tuple[float, ...]) -> np.ndarray:
@@ -104,6 +134,78 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.nii*").load(path)
 
 
+@contextlib.contextmanager
+def _unpacked(uri: str) -> Iterator[BinaryIO]:
+    """A file's unpacked bytes, from the first on."""
+    with files.open_file(uri) as raw:
+        packed = raw.read(2) == b"\x1f\x8b"
+        raw.seek(0)
+        if packed:
+            with gzip.GzipFile(fileobj=raw) as inner:
+                yield inner
+        else:
+            yield raw
+
+
+def _by_file(spark: SparkSession, path: str, read: Callable[[str], Iterator[dict]], schema: str) -> DataFrame:
+    """What ``read`` makes of each volume file below ``path``, a task for each; Spark lists the files, tasks open them."""
+    found = _files(spark, path).select("path")
+    kinds = found.sparkSession.createDataFrame([], schema).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = to_arrow_schema(kinds)
+        for batch in batches:
+            for uri in batch.column("path").to_pylist():
+                for row in read(uri):
+                    yield pa.RecordBatch.from_pylist([row], schema=fields)
+
+    return found.repartitionByRange(max(1, found.count()), "path").mapInArrow(run, schema)
+
+
+def read_headers(spark: SparkSession, path: str) -> DataFrame:
+    """name, shape, spacing, affine and type of each volume below ``path``, from its first bytes: no voxel is read."""
+
+    def read(uri: str) -> Iterator[dict]:
+        with _unpacked(uri) as raw:
+            head = header(raw.read(HEAD))
+        yield {"name": uri.rsplit("/", 1)[-1], "shape": list(head.shape), "spacing": list(head.spacing), "affine": head.affine.tolist(), "type": head.kind.str[1:]}
+
+    return _by_file(spark, path, read, "name string, shape array<int>, spacing array<double>, affine array<array<double>>, type string")
+
+
+def read_slabs(spark: SparkSession, path: str, thickness: int = 16) -> DataFrame:
+    """The volumes below ``path`` in slabs of up to ``thickness`` places of the last axis: name, shape (of the volume), spacing,
+    affine, first (place on the last axis), thick and data (little-endian single precision, C order, of the slab).
+
+    Files hold the last axis outermost, so a slab is a stretch of the file; a task holds one slab, packed files too."""
+    if thickness < 1:
+        raise ValueError("a slab has at least one place")
+
+    def read(uri: str) -> Iterator[dict]:
+        with _unpacked(uri) as raw:
+            head = header(raw.read(HEAD))
+            _take(raw, head.offset - HEAD)
+            across = int(np.prod(head.shape[:-1]))
+            for first in range(0, head.shape[-1], thickness):
+                thick = min(thickness, head.shape[-1] - first)
+                data = np.frombuffer(_take(raw, across * thick * head.kind.itemsize), dtype=head.kind).reshape((*head.shape[:-1], thick), order="F")
+                flat = np.ascontiguousarray(head.scaled(data), dtype="<f4").tobytes()
+                yield {"name": uri.rsplit("/", 1)[-1], "shape": list(head.shape), "spacing": list(head.spacing), "affine": head.affine.tolist(), "first": first, "thick": thick, "data": flat}
+
+    return _by_file(spark, path, read, "name string, shape array<int>, spacing array<double>, affine array<array<double>>, first int, thick int, data binary")
+
+
+def _take(raw: BinaryIO, size: int) -> bytes:
+    """The next ``size`` bytes; a file that ends before raises."""
+    got = raw.read(size)
+    while len(got) < size:
+        more = raw.read(size - len(got))
+        if not more:
+            raise ValueError("a volume file ends before its data do")
+        got += more
+    return bytes(got)
+
+
 def plain_path(c: Column) -> Column:
     """A path without scheme and host."""
     return F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?(?=/)", "")
@@ -119,13 +221,13 @@ def case_files(spark: SparkSession, manifest: DataFrame, columns: dict[str, str]
     at = lambda c: F.when(c.startswith("/") | c.contains(":/"), plain_path(localized_column(c, root, anchor))).otherwise(F.concat(base, F.lit("/"), c))
     cells = F.array(*[F.struct(F.lit(n).alias("name"), at(F.col(c)).alias("path")) for n, c in columns.items()])
     wanted = manifest.select(keep[0], F.explode(cells).alias("r")).select(keep[0], "r.name", "r.path")
-    files = _files(spark, root).withColumn("path", plain_path(F.col("path")))
+    stored = _files(spark, root).withColumn("path", plain_path(F.col("path")))
     needed = wanted.where(F.col("path").isNotNull() | ~F.col("name").isin(*optional)) if optional else wanted
-    missing = [f"{r['name']} of {r[0]}: {r['path']}" for r in needed.join(files.select("path"), "path", "left_anti").select(keep[0], "name", "path").limit(5).collect()]
+    missing = [f"{r['name']} of {r[0]}: {r['path']}" for r in needed.join(stored.select("path"), "path", "left_anti").select(keep[0], "name", "path").limit(5).collect()]
     if missing:
         raise FileNotFoundError(f"missing volumes: {missing}")
     cases = max(1, min(manifest.count(), 10_000))
-    joined = files.select("path", "content").join(small(wanted), "path").repartition(cases, keep[0])
+    joined = stored.select("path", "content").join(small(wanted), "path").repartition(cases, keep[0])
     each = joined.groupBy(keep[0]).agg(*[F.max(F.when(F.col("name") == n, F.col("content"))).alias(n) for n in columns])
     return each.join(small(manifest.select(*keep)), keep[0]) if len(keep) > 1 else each
 

@@ -142,3 +142,52 @@ def test_localized_paths_stay_below_the_root(spark):
     for bad in ("/a/ARC/../../etc/x", "/a/ARC/x/../../y/z", "/a/ARC/.."):
         with pytest.raises(Exception, match="leaves /data"):
             spark.createDataFrame([(bad,)], "p string").select(tables.localized_column(F.col("p"), "/data")).collect()
+
+
+def volumes(tmp_path):
+    rng = np.random.default_rng(4)
+    made = {}
+    for name, shape, packed in (("a.nii", (5, 4, 7), False), ("b.nii.gz", (3, 2, 4, 3), True), ("c.nii.gz", (4, 4, 1), True)):
+        data = rng.normal(size=shape).astype(np.float32)
+        (tmp_path / "vol").mkdir(exist_ok=True)
+        (tmp_path / "vol" / name).write_bytes(nifti.render(data, np.diag([2.0, 1, 1, 1]), compress=packed))
+        made[name] = data
+    return made, str(tmp_path / "vol")
+
+
+def test_headers_are_read_alone(spark, tmp_path):
+    made, path = volumes(tmp_path)
+    # nothing behind the header is needed
+    (tmp_path / "vol/a.nii").write_bytes((tmp_path / "vol/a.nii").read_bytes()[: nifti.HEAD])
+    got = {r["name"]: r for r in nifti.read_headers(spark, path).collect()}
+    assert {n: tuple(r["shape"]) for n, r in got.items()} == {n: d.shape for n, d in made.items()}
+    assert got["a.nii"].spacing == [2.0, 1.0, 1.0] and got["a.nii"].affine[0] == [2.0, 0, 0, 0] and got["b.nii.gz"]["type"] == "f4"
+    (tmp_path / "vol/d.nii").write_bytes(b"short")
+    with pytest.raises(Exception, match="not a NIfTI-1 file"):
+        nifti.read_headers(spark, path).collect()
+
+
+@pytest.mark.parametrize("thickness", [1, 3, 16])
+def test_slabs_make_the_volume(spark, tmp_path, thickness):
+    made, path = volumes(tmp_path)
+    rows = nifti.read_slabs(spark, path, thickness).collect()
+    for name, data in made.items():
+        own = sorted((r for r in rows if r["name"] == name), key=lambda r: r["first"])
+        assert [r["first"] for r in own] == list(range(0, data.shape[-1], thickness))
+        parts = [np.frombuffer(r["data"], "<f4").reshape((*data.shape[:-1], r["thick"])) for r in own]
+        assert np.array_equal(np.concatenate(parts, axis=-1), data)
+    (tmp_path / "vol/a.nii").write_bytes((tmp_path / "vol/a.nii").read_bytes()[:-1])
+    with pytest.raises(Exception, match="ends before"):
+        nifti.read_slabs(spark, path, thickness).collect()
+    with pytest.raises(ValueError, match="at least one"):
+        nifti.read_slabs(spark, path, 0)
+
+
+def test_files_by_name_of_a_store(spark, tmp_path):
+    df = spark.createDataFrame([("a/b.bin", bytearray(b"one")), ("c.bin", bytearray(b"two"))], "name string, content binary")
+    for _ in range(2):
+        report.write_files(df, f"file://{tmp_path}/out")
+    assert {str(p.relative_to(tmp_path / "out")): p.read_bytes() for p in (tmp_path / "out").rglob("*") if p.is_file()} == {"a/b.bin": b"one", "c.bin": b"two"}
+    for bad in ("/x", "a/../../x", ""):
+        with pytest.raises(Exception, match="leaves"):
+            report.write_files(spark.createDataFrame([(bad, bytearray(b"1"))], "name string, content binary"), str(tmp_path / "out"))
