@@ -19,12 +19,12 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pandas.util import hash_array
 from pyspark.sql import DataFrame
 
 from fieldcohort.llm.common import release, slices
 from fieldcohort.llm.hashing import mix
+from fieldcohort.llm.splitting import splitter
 
 #: Entries of each of the memo's two generations of encoded pre-tokens; when the young one is full, it replaces the old.
 MEMO = 200_000
@@ -107,7 +107,7 @@ class Codec:
 
     def __init__(self, path: str, pattern: str):
         self.ranks = read_ranks(path)
-        self.split = regex.compile(pattern).findall
+        self.split = splitter(pattern)
         self.table = [b""] * (max(self.ranks.values(), default=-1) + 1)
         for token, rank in self.ranks.items():
             self.table[rank] = token

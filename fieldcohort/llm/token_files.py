@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fieldcohort.llm.common import local_path, open_file, release, slices, small_batches
+from fieldcohort.llm.splitting import RARE, SPLIT
 
 #: Text bytes of a file, on average; a file is one task's work and some 0.8 times as large.
 FILE_BYTES = 128 << 20
@@ -42,12 +43,6 @@ READ_IDS = 1 << 20
 NO_ID = 1 << 31
 #: A blank between two characters that are none: the split pattern of byte-level BPE always begins a pre-token there.
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Letters, digits and blanks of common texts: ASCII, Latin letters, common punctuation. Of other characters, libraries might
-#: think differently whether they are one of these.
-LETTERS, DIGITS, BLANKS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be", " \t\n\r"
-RARE = re.compile("[^\t\n\r -~\u00a1-\u024f\u2010-\u2027\u20ac]")
-#: The published split pattern of byte-level BPE, with these classes written out, which takes less than half the time.
-SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^{BLANKS}{LETTERS}{DIGITS}]+|[{BLANKS}]+(?![^{BLANKS}])|[{BLANKS}]+")
 
 
 class _Memo(dict):

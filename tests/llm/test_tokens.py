@@ -4,12 +4,13 @@ import random
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import sentencepiece
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fieldcohort.llm import bpe, registry, token_counts
+from fieldcohort.llm import bpe, registry, splitting, token_counts
 
 RND = random.Random(1)
 ODD = ["", "a" * 3000, "é" * 2000, "\x00\x01퟿", " \n\n  x", "abcab" * 1000, "1234567890" * 100, "<|endoftext|> it's we'll", "".join(chr(RND.choice([RND.randrange(32, 127), RND.randrange(160, 0xD7FF), RND.randrange(0x10000, 0x1FFFF)])) for _ in range(2000))]
@@ -39,6 +40,21 @@ def test_any_text(codec, library, text):
     assert ids.tolist() == library.encode_ordinary(text) and codec.decode(ids) == text.encode()
 
 
+def test_common_characters_split_alike(codec, library):
+    assert P.PATTERN == splitting.PATTERN
+    for c in [chr(c) for c in range(0x20B0) if not splitting.RARE.search(chr(c))]:
+        text = f"a{c}b {c} 1{c}2{c}{c} '{c}s  {c}\n{c}"
+        assert codec.split(text) == regex.compile(P.PATTERN).findall(text)
+        assert codec.encode([text])[0].tolist() == library.encode_ordinary(text)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from(list("ab1' .\n\t\r  éÄ²–€—,_'s")), max_size=60))
+def test_common_texts_split_alike(text):
+    assert splitting.splitter(P.PATTERN)(text) == regex.compile(P.PATTERN).findall(text)
+    assert splitting.splitter(r"\w+")(text) == regex.compile(r"\w+").findall(text)
+
+
 def test_memo_changes_nothing(codec, monkeypatch):
     texts = ["Unwahrscheinlichkeiten zurückgewiesen " * 3, "quintessentially xylophonic"] * 5
     want = codec.encode(texts)[0].tolist()
