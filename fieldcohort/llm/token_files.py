@@ -18,6 +18,7 @@ import functools
 import json
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -35,8 +36,8 @@ FILE_BYTES = 128 << 20
 FILES, LEAST_BYTES = 48, 1 << 20
 #: Text bytes encoded at once, and characters from which on a text that goes to the library is cut.
 PIECE_BYTES = 1 << 18
-#: Pre-tokens that the memo keeps, and how long they are at most.
-MEMO, LONG = 300_000, 64
+#: Pre-tokens that each of the memo's two generations keeps, and how long they are at most.
+MEMO, LONG = 400_000, 64
 #: Ids that the reader holds at once.
 READ_IDS = 1 << 20
 #: Bit of an index entry's offset that marks a document without doc_id.
@@ -49,16 +50,22 @@ class _Memo(dict):
     """Packed ids of pre-tokens; the library's model is asked for those that are not there."""
 
     def __init__(self, model, dtype: np.dtype, most: int):
-        self.model, self.dtype, self.most = model, dtype, most
+        # a full memo becomes the old one, from which pre-tokens that come again are taken over
+        self.model, self.dtype, self.most, self.old = model, dtype, most, {}
         # the characters that stand for bytes in a byte-level vocabulary: printable ones for themselves, others from 256 on
         plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
         others = [k for k in range(256) if k not in plain]
+        self.pack = [struct.Struct(f"<{n}{'H' if dtype.itemsize == 2 else 'I'}").pack for n in range(16)]
         self.letters = {k: chr(k) for k in plain} | {k: chr(256 + n) for n, k in enumerate(others)}
 
     def __missing__(self, piece: str) -> bytes:
-        got = np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))], dtype=self.dtype).tobytes()
+        got = self.old.get(piece)
+        if got is None:
+            ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]
+            got = self.pack[len(ids)](*ids) if len(ids) < len(self.pack) else np.array(ids, dtype=self.dtype).tobytes()
         if len(piece) <= LONG:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[piece] = got
         return got
