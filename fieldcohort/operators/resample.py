@@ -2,8 +2,8 @@
 
 A draw is a hash of (seed, replicate, place) modulo the size of the group, so results depend on no random state, can be
 recomputed after a lost executor, and can be checked in another engine.  A group's rows travel as one array, once for each
-of CHUNKS chunks of replicates; draws read the array in place, so replicates times rows are made and summed inside tasks
-and neither joined nor shuffled.  Groups are cohort tables: one of them fits a task as an array.
+of CHUNKS chunks of replicates; draws read the array in place.  The means of ``bootstrap_mean`` are summed inside tasks;
+``bootstrap_spearman`` ranks a replicate's draws by windows, for which they are shuffled.  Groups are cohort tables: one of them fits a task as an array.
 """
 
 from __future__ import annotations
