@@ -20,8 +20,11 @@ from pyspark.sql import functions as F
 
 from fieldcohort.functions import expr as X
 from fieldcohort.operators import order
+from fieldcohort.session import staged
 
 DESIGN_ROWS = 200_000
+#: Parts of a design whose folds are hashed, and bits of a value that a round of medians looks at: training sets are many.
+PARTS, MEDIAN_BITS = 96, 11
 
 
 @dataclass(frozen=True)
@@ -236,6 +239,12 @@ def hashed_folds(key: Column, config: CvConfig) -> Column:
     return F.transform(F.sequence(F.lit(1), F.lit(config.repeats)), of)
 
 
+def with_hashed_folds(df: DataFrame, key: str, config: CvConfig, out: str = "folds") -> DataFrame:
+    """Add the folds of each row.  A row takes over a hundred hashes but few bytes, so rows are dealt to PARTS tasks, whatever
+    their size, before they are hashed."""
+    return df.repartition(PARTS, key).withColumn(out, hashed_folds(F.col(key), config))
+
+
 @dataclass
 class _Design:
     """Columns of a design as terms of linear models: 1, each feature less its mean (missing: 0), an indicator for each feature
@@ -266,6 +275,8 @@ class _Design:
 
 def _design(df: DataFrame, features: list[str], outcome: str, folds: str) -> _Design:
     rows = df.select(X.finite(F.col(outcome)).alias("y"), *[X.finite(F.col(f)).alias(f"x{k}") for k, f in enumerate(features)], F.col(folds).alias("folds")).where("y is not null")
+    # read by every pass of a validation: folds are hashed once
+    rows = staged(rows, "design")
     seen = rows.agg(F.count("y").alias("n"), F.avg("y").alias("y"), *[F.count(f"x{k}").alias(f"n{k}") for k in range(len(features))], *[F.avg(f"x{k}").alias(f"x{k}") for k in range(len(features))]).first()
     if not seen["n"] or any(not seen[f"n{k}"] for k in range(len(features))):
         raise ValueError("a design has rows, and each feature values")
@@ -284,9 +295,10 @@ def _medians(design: _Design, inner: int) -> dict:
     if not design.gaps:
         return {}
     values = F.explode(F.array(*[F.struct(F.lit(k).alias("feature"), F.col(f"x{k}").alias("v")) for k in design.gaps])).alias("g")
-    long = _held_out(design.rows.select("folds", values).where("g.v is not null"), F.col("g.feature").alias("feature"), F.col("g.v").alias("v"))
+    long = design.rows.select("folds", values).select("folds", "g.feature", "g.v")
     sets = lambda c: [(c[0], c[1], b, c[3]) for b in [None, *range(inner)] if b != c[2]]
-    size, got = order.order_statistics(long, "v", ["repeat", "outer", "inner", "feature"], sets, lambda n: order.around(n, 0.5)[:2])
+    spread = lambda rows: _held_out(rows, *[F.col(c) for c in rows.columns if c != "folds"])
+    size, got = order.order_statistics(long, "v", ["repeat", "outer", "inner", "feature"], sets, lambda n: order.around(n, 0.5)[:2], spread, MEDIAN_BITS)
     return {key: order.interpolated(got, key, n, 0.5) for key, n in size.items()}
 
 

@@ -2,7 +2,7 @@
 
 Every finite double has a place among all doubles, a whole number whose leading bits name the run of values it lies in.
 Rows are counted by run, a bounded table; the counts say in which run a wanted rank lies, and only the rows of that run are
-counted again, by the next bits.  After four rounds a run is one value; a run that holds one distinct value is done before.
+counted again, by the next bits.  After four rounds of BITS a run is one value; a run that holds one distinct value is done before.
 No group is sorted, gathered or sampled: what leaves an executor are counters, and what reaches the driver is a row for each
 wanted rank.
 
@@ -47,17 +47,24 @@ def value_of(place: int) -> float:
     return math.copysign(struct.unpack("<d", struct.pack("<q", abs(place)))[0], place) if place else 0.0
 
 
-def order_statistics(df: DataFrame, value: str, cells: list[str], sets: Callable[[tuple], Iterable], ranks: Callable[[int], Iterable[int]]) -> tuple[dict, dict]:
+def order_statistics(
+    df: DataFrame, value: str, cells: list[str], sets: Callable[[tuple], Iterable], ranks: Callable[[int], Iterable[int]], spread: Callable[[DataFrame], DataFrame] | None = None, bits: int = BITS
+) -> tuple[dict, dict]:
     """Sizes of sets, and the values at wanted ranks of them.
 
     ``cells`` are columns; ``sets`` tells from a cell's values the (hashable) keys of the sets it is part of; ``ranks`` tells
     from a set's size the ranks wanted, from 0.  Rows whose ``value`` is NULL or not finite do not count; NULLs in cells are a
     value.  Returns {set: size} and {(set, rank): value}; sets without values are in neither.
+
+    Where a row counts in many cells, ``spread`` makes a row for each of them, with the columns ``cells``, and keeps what
+    else there is; it is given only the rows that a round still looks at.  Fewer ``bits`` mean more rounds with fewer runs.
     """
     spark = df.sparkSession
     names = [f"__c{k}" for k in range(len(cells))]
-    rows = df.select(*[F.col(c).alias(n) for c, n in zip(cells, names, strict=True)], X.finite(F.col(value)).alias("__v")).where("__v is not null")
-    found = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).limit(CELLS + 1).collect()
+    spread = spread or (lambda rows: rows)
+    rows = df.withColumn("__w", X.finite(F.col(value))).where("__w is not null").withColumn("__q", place_of(F.col("__w")))
+    celled = lambda rows, *more: spread(rows).select(*[F.col(c).alias(n) for c, n in zip(cells, names, strict=True)], *more)
+    found = celled(rows).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).limit(CELLS + 1).collect()
     if len(found) > CELLS:
         raise ValueError(f"over {CELLS} cells; fewer groups, or window functions where groups are small")
     numbers: dict = {}
@@ -72,24 +79,31 @@ def order_statistics(df: DataFrame, value: str, cells: list[str], sets: Callable
     if not wanted:
         return size, {}
     keys = {k: key for key, k in numbers.items()}
+    table = None
     if names:
-        table = spark.createDataFrame([(k, *tuple(r)[:-1]) for k, r in enumerate(found)], StructType([StructField("__cell", LongType()), *[StructField(f"__t{n}", rows.schema[n].dataType) for n in names]]))
-        same = [F.col(n).eqNullSafe(F.col(f"__t{n}")) for n in names]
-        rows = rows.join(F.broadcast(table), same).select("__cell", place_of(F.col("__v")).alias("__p"))  # CELLS rows at most
-    else:
-        rows = rows.select(F.lit(0).cast("long").alias("__cell"), place_of(F.col("__v")).alias("__p"))
+        types = celled(rows).schema
+        table = spark.createDataFrame([(k, *tuple(r)[:-1]) for k, r in enumerate(found)], StructType([StructField("__cell", LongType()), *[StructField(f"__t{n}", types[n].dataType) for n in names]]))
+
+    def numbered(rows: DataFrame) -> DataFrame:
+        placed = celled(rows, F.col("__q").alias("__p"))
+        if table is None:
+            return placed.select(F.lit(0).cast("long").alias("__cell"), "__p")
+        return placed.join(F.broadcast(table), [F.col(n).eqNullSafe(F.col(f"__t{n}")) for n in names]).select("__cell", "__p")  # CELLS rows at most
+
     parts = F.broadcast(spark.createDataFrame(members, "__cell long, __set long"))
     got: dict = {}
-    for shift in range(64 - BITS, -1, -BITS):
-        run = F.shiftright("__p", shift)
-        outer = F.lit(0).cast("long") if shift == 64 - BITS else F.shiftright("__p", shift + BITS)
-        inside = rows.select("__cell", "__p", outer.alias("__outer"), run.alias("__run"))
-        if shift < 64 - BITS:
-            runs = spark.createDataFrame(sorted({(w[2],) for w in wanted}), "__outer long")
-            inside = inside.join(F.broadcast(runs), "__outer", "left_semi")
+    shift = before = 64
+    while shift:
+        shift, before = max(shift - bits, 0), shift
+        left = rows
+        if before < 64:
+            runs = spark.createDataFrame(sorted({(w[2],) for w in wanted}), "__only long")
+            left = rows.join(F.broadcast(runs), F.shiftright("__q", before) == F.col("__only"), "left_semi")
+        outer = F.lit(0).cast("long") if before == 64 else F.shiftright("__p", before)
+        inside = numbered(left).select("__cell", "__p", outer.alias("__outer"), F.shiftright("__p", shift).alias("__run"))
         counts = inside.groupBy("__cell", "__outer", "__run").agg(F.count(F.lit(1)).alias("n"), F.min("__p").alias("low"), F.max("__p").alias("high"))
         of_sets = counts.join(parts, "__cell").groupBy("__set", "__outer", "__run").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-        # the runs of one run, 2^BITS at most, in their order
+        # the runs of one run, 2^bits at most, in their order
         ladder = of_sets.groupBy("__set", "__outer").agg(F.array_sort(F.collect_list(F.struct("__run", "n", "low", "high"))).alias("runs"))
         asked = F.broadcast(spark.createDataFrame(wanted, "__set long, rank long, __outer long, left long"))
         # walk the runs until the rank lies within one

@@ -2,6 +2,8 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 from fieldcohort.operators import cv, stats
 
 
@@ -132,3 +134,14 @@ def test_hashed_folds_and_odd_designs(spark):
             cv.nested_ridge(data, {"m": ("a", feature)}, few)
     with pytest.raises(ValueError, match="has rows"):
         cv.nested_ridge(data.limit(0), {"m": ("a",)}, few)
+
+
+def test_folds_are_hashed_by_many_tasks_and_once(spark):
+    df = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 1.5).alias("y"), F.when(F.col("id") % 3 > 0, F.col("id") % 7).alias("x"))
+    config = cv.CvConfig(outcome="y", repeats=2, outer_folds=3, inner_folds=2, alphas=(1.0, 10.0))
+    rows = cv.with_hashed_folds(df, "k", config)
+    # small rows would all come to one task
+    assert rows.rdd.getNumPartitions() == cv.PARTS
+    assert {r.k: r.folds for r in rows.collect()} == {r.k: r.folds for r in df.withColumn("folds", cv.hashed_folds(F.col("k"), config)).collect()}
+    design = cv._design(rows, ["x"], "y", "folds")
+    assert "md5" not in design.rows._jdf.queryExecution().executedPlan().toString()

@@ -70,3 +70,21 @@ def test_odd_tables(spark, monkeypatch):
     monkeypatch.setattr(order, "CELLS", 1)
     with pytest.raises(ValueError, match="cells"):
         order.quantiles(spark.range(5).select("id", F.col("id").cast("double").alias("v")), "v", ["id"], [0.5])
+
+
+def test_rows_spread_over_cells(spark):
+    # a row in several cells, a few bits of its value at a time; rows of other runs are left out before they are spread
+    rng = np.random.default_rng(8)
+    v = np.concatenate((rng.normal(size=400), rng.integers(0, 3, 100)))
+    df = spark.createDataFrame(list(enumerate(v.tolist())), "k int, v double")
+    given = []
+
+    def spread(rows):
+        given.append(rows)
+        return rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("o")).where("k % 5 <> o")
+
+    size, got = order.order_statistics(df, "v", ["o"], lambda c: [c[0]], lambda n: [0, n // 2], spread, 11)
+    for o in range(5):
+        own = np.sort(v[np.arange(len(v)) % 5 != o])
+        assert (size[o], got[o, 0], got[o, len(own) // 2]) == (len(own), own[0], own[len(own) // 2])
+    assert given[-1].count() < len(v) / 4
