@@ -187,3 +187,12 @@ def test_nested_sums_against_plain_fits(spark):
         errors = [np.mean([error(rest & (inner != i), rest & (inner == i), a) for i in (1, 2, 3)]) for a in alphas]
         best = alphas[int(np.argmin(errors))]
         assert got[o].alpha == best and got[o].mae == pytest.approx(error(rest, ~rest, best), abs=1e-9) and got[o].n == 30
+
+
+def test_permuted_rows_are_not_broadcast(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(300).select((F.col("id") % 2).alias("g"), F.col("id").alias("k"), F.rand(1).alias("x"), F.rand(2).alias("y")).write.parquet(path)
+    got = resample.permutation_test(spark.read.parquet(path), "x", "y", ["g"], "k", 20)
+    # the observed correlations, a row a group, may be; the replicates' rows may not
+    assert "__j" not in "".join(x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastExchange" in x or "BroadcastHashJoin" in x)
+    assert got.count() == 2
