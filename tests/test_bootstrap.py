@@ -40,6 +40,18 @@ def test_sums_of_a_block(monkeypatch):
     assert ones.tolist() == draws.tolist() and B.block_sums(values, np.zeros(4, dtype=int), 3, "g", 2).tolist() == [0] * 4
 
 
+def test_sums_of_repeated_values(monkeypatch):
+    rng = np.random.default_rng(4)
+    values, draws = rng.choice([1.0, 2.0, 7.0], 3000, p=[0.5, 0.3, 0.2]), np.full(4000, 3000)
+    made = []
+    monkeypatch.setattr(B, "bisect_right", lambda *a: made.append(a))
+    got = B.block_sums(values, draws, 3, "g", 0)
+    # no draw is made by itself; mean and variance are those of draws with replacement
+    assert not made and got.mean() == pytest.approx(values.sum(), rel=0.001) and got.var() == pytest.approx(3000 * values.var(), rel=0.08)
+    monkeypatch.setattr(B, "DRAWS", 5)
+    assert B.block_sums(np.ones(60), np.arange(9), 3, "g", 0).tolist() == list(range(9))
+
+
 def test_means_equal_a_plain_loop(spark):
     rng = np.random.default_rng(2)
     n = 900
