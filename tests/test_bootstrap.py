@@ -100,6 +100,14 @@ def test_keyed_permutations(n):
         assert abs(np.corrcoef(np.arange(n), p)[0, 1]) < 0.1
 
 
+def test_permuted_products_in_pieces(monkeypatch):
+    rng = np.random.default_rng(7)
+    a, b, whole = rng.normal(size=1000), rng.normal(size=1000), B.keyed_permutation(1000, 5, "x")
+    monkeypatch.setattr(B, "PIECE", 64)
+    assert (B.keyed_permutation(1000, 5, "x") == whole).all() and B.permuted_product(a, b, 5, "x") == pytest.approx(a @ b[whole])
+    assert B.keyed_permutation(0, 5).tolist() == []
+
+
 def test_permutations_are_uniform():
     seen = Counter(tuple(B.keyed_permutation(4, k).tolist()) for k in range(6000))
     assert len(seen) == 24 and min(seen.values()) > 120 and max(seen.values()) < 480
