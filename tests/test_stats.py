@@ -196,3 +196,29 @@ def test_permuted_rows_are_not_broadcast(spark, tmp_path):
     # the observed correlations, a row a group, may be; the replicates' rows may not
     assert "__j" not in "".join(x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastExchange" in x or "BroadcastHashJoin" in x)
     assert got.count() == 2
+
+
+def test_ranks_are_not_broadcast(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(500).select(F.lit(1).alias("g"), (F.col("id") * 7 % 250).cast("double").alias("v")).write.parquet(path)
+    got = stats.ranked(spark.read.parquet(path), "v", ["g"], "r")
+    # sums by run may be: there are half a million at most
+    assert "SortMergeJoin [g#" in got._jdf.queryExecution().executedPlan().toString().replace("+- ", "").split("BroadcastHashJoin")[0]
+    assert sorted(r.r for r in got.collect()) == sorted(pd.Series([k * 7 % 250 for k in range(500)]).rank().tolist())
+
+
+def test_pairs_meet_in_one_pass(spark):
+    from fieldcohort.operators.contracts import ContractError
+
+    row = "case_id int, subject string, repeat int, outer_fold int, model string, predicted double, absolute_error double"
+    rows = [(k, f"s{k % 3}", 1, 1, m, float(k), float(k % 4)) for k in range(12) for m in ("m", "base")]
+    a, b = spark.createDataFrame([*rows, (0, "s0", 1, 1, "only_a", 1.0, 1.0)], row), spark.createDataFrame([(*r[:6], r[6] + (r[4] == "m")) for r in rows], row)
+    got = {r.model: r for r in inference.paired_pipelines(a, b, 5, baseline="base").collect()}
+    assert set(got) == {"m", "base"} and (got["m"].n, got["m"]["mean"], got["base"]["mean"]) == (3, 1.0, 0.0)
+    # the tables are read for the check alone: what follows reads what it wrote
+    assert "paired-" in str(inference.paired_pipelines(a, b, 5).inputFiles())
+    with pytest.raises(ContractError, match="baseline"):
+        inference.paired_pipelines(a, b.withColumn("predicted", F.col("predicted") + (F.col("case_id") == 3).cast("double")), 5, baseline="base")
+    # equal counts, other keys
+    with pytest.raises(ContractError, match="pair up"):
+        inference.paired_pipelines(a, b.withColumn("case_id", F.col("case_id") + 1), 5)
