@@ -23,7 +23,7 @@ from fieldcohort.operators import order
 from fieldcohort.session import staged
 
 DESIGN_ROWS = 200_000
-#: Parts of a design whose folds are hashed, and bits of a value that a round of medians looks at: training sets are many.
+#: Parts of a table whose rows take long for their bytes, and bits of a value that a round of medians looks at: training sets are many.
 PARTS, MEDIAN_BITS = 96, 11
 
 
