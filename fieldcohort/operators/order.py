@@ -28,18 +28,34 @@ BITS = 16
 CELLS, RANKS = 200_000, 1_000_000
 
 
+def _power(value: Column) -> Column:
+    """The power of two (int) below a finite double, or one next to it: a logarithm may round to the other side of a power."""
+    return F.greatest(F.least(F.floor(F.log2(F.abs(value))), F.lit(1023)), F.lit(-1022)).cast("int")
+
+
+def _place(value: Column, power: Column, unit: Column) -> Column:
+    """The place of a finite double, from ``_power`` of it and two to that power."""
+    size = F.abs(value)
+    up, down = (size / 2 >= unit) & (power < 1023), (size < unit) & (power > -1022)
+    power = power + F.when(up, 1).when(down, -1).otherwise(0)
+    share = size / unit * F.when(up, 0.5).when(down, 2.0).otherwise(1.0)
+    return F.signum(value).cast("long") * ((power + 1022).cast("long") * F.lit(1 << 52) + (share * F.lit(float(1 << 52))).cast("long"))
+
+
 def place_of(value: Column) -> Column:
     """The place (long) of a finite double: larger values have larger places, equal ones equal places, both zeros 0.
 
     Positive doubles have the whole number that their bits spell, from their power of two and their fraction, whose
     scaling by powers of two is exact; negative ones mirror them."""
-    size = F.abs(value)
-    two = F.lit(2.0)
-    guess = F.greatest(F.least(F.floor(F.log2(size)).cast("int"), F.lit(1023)), F.lit(-1022))
-    # a logarithm next to a power of two may round to the other side of it
-    power = guess + F.when((size >= F.pow(two, guess + 1)) & (guess < 1023), 1).when((size < F.pow(two, guess)) & (guess > -1022), -1).otherwise(0)
-    place = (power + 1022).cast("long") * F.lit(1 << 52) + (size / F.pow(two, power) * F.lit(float(1 << 52))).cast("long")
-    return F.when(value == 0, F.lit(0).cast("long")).when(value > 0, place).otherwise(-place)
+    return _place(value, _power(value), F.pow(F.lit(2.0), _power(value)))
+
+
+def placed(rows: DataFrame, value: str, out: str) -> DataFrame:
+    """Add ``out``, the place of a finite ``value`` (no NULLs), in steps that are columns, so that each is computed once a row.
+
+    The place is never NULL for Spark: a test for NULL would be moved to before the steps, and would repeat them all."""
+    steps = rows.withColumn("__power", _power(F.col(value))).withColumn("__unit", F.pow(F.lit(2.0), F.col("__power")))
+    return steps.withColumn(out, F.coalesce(_place(F.col(value), F.col("__power"), F.col("__unit")), F.lit(0).cast("long"))).drop("__power", "__unit")
 
 
 def value_of(place: int) -> float:
@@ -62,7 +78,8 @@ def order_statistics(
     spark = df.sparkSession
     names = [f"__c{k}" for k in range(len(cells))]
     spread = spread or (lambda rows: rows)
-    rows = df.withColumn("__w", X.finite(F.col(value))).where("__w is not null").withColumn("__q", place_of(F.col("__w")))
+    rows = df.withColumn("__w", X.finite(F.col(value))).where("__w is not null")
+    rows = placed(rows, "__w", "__q")
     celled = lambda rows, *more: spread(rows).select(*[F.col(c).alias(n) for c, n in zip(cells, names, strict=True)], *more)
     found = celled(rows).groupBy(*names).agg(F.count(F.lit(1)).alias("n")).limit(CELLS + 1).collect()
     if len(found) > CELLS:
@@ -97,8 +114,9 @@ def order_statistics(
         shift, before = max(shift - bits, 0), shift
         left = rows
         if before < 64:
+            # a row for each run; an inner join stays above the steps of a place, where a semi-join would be moved below them
             runs = spark.createDataFrame(sorted({(w[2],) for w in wanted}), "__only long")
-            left = rows.join(F.broadcast(runs), F.shiftright("__q", before) == F.col("__only"), "left_semi")
+            left = rows.join(F.broadcast(runs), F.shiftright("__q", before) == F.col("__only")).drop("__only")
         outer = F.lit(0).cast("long") if before == 64 else F.shiftright("__p", before)
         inside = numbered(left).select("__cell", "__p", outer.alias("__outer"), F.shiftright("__p", shift).alias("__run"))
         counts = inside.groupBy("__cell", "__outer", "__run").agg(F.count(F.lit(1)).alias("n"), F.min("__p").alias("low"), F.max("__p").alias("high"))

@@ -88,3 +88,15 @@ def test_rows_spread_over_cells(spark):
         own = np.sort(v[np.arange(len(v)) % 5 != o])
         assert (size[o], got[o, 0], got[o, len(own) // 2]) == (len(own), own[0], own[len(own) // 2])
     assert given[-1].count() < len(v) / 4
+
+
+def test_a_place_is_computed_once_a_row(spark):
+    # in every round, the later ones with their filter on runs too
+    v = EDGES + np.random.default_rng(9).normal(size=300).tolist()
+    df = spark.createDataFrame([("a", x) for x in [*v, None, float("nan")]], "g string, v double")
+    given = []
+    size, got = order.order_statistics(df, "v", ["g"], lambda c: [c[0]], lambda n: [0, n // 2, n - 1], lambda rows: given.append(rows) or rows)
+    own = sorted(v)
+    assert size == {"a": len(v)} and got == {("a", k): own[k] for k in (0, len(v) // 2, len(v) - 1)}
+    plans = [rows.select("g", "__q")._jdf.queryExecution().optimizedPlan().toString() for rows in given]
+    assert len(plans) > 2 and [p.upper().count("LOG2(") for p in plans] == [1] * len(plans)
