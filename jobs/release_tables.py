@@ -112,7 +112,8 @@ def release(people: DataFrame, settings: Settings = Settings()) -> DataFrame:
     steps = flow(people, settings)
     withheld = F.col("complete") < settings.minimum_cell
     open_sites = steps.where(~withheld).select("site")
-    good = people.where((F.col("visits") >= settings.minimum_visits) & (F.col("items") > 0) & F.col("outcome").isNotNull()).join(open_sites, "site", "left_semi")
+    # a row for each site; by Spark's estimate, from the files' bytes, a large table would be shuffled by site, a task for each
+    good = people.where((F.col("visits") >= settings.minimum_visits) & (F.col("items") > 0) & F.col("outcome").isNotNull()).join(F.broadcast(open_sites), "site", "left_semi")
     long = good.unpivot(["site", "key", "outcome"], [F.col(d).cast("double").alias(d) for d in settings.descriptors], "descriptor", "v").where("v is not null")
     keys, blank = ["site", "descriptor"], F.lit(None)
     names = ["all", "visited", "measured", "complete"]

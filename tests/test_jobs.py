@@ -1,4 +1,5 @@
 import os
+import re
 import shutil
 import subprocess
 import sys
@@ -167,6 +168,19 @@ def test_a_single_hidden_count_takes_another_with_it(spark):
     assert got == {("a", 0): None, ("a", 1): 50, ("a", 2): None, ("a", 3): 9, ("b", 0): None, ("b", 1): None, ("b", 2): 7, ("c", 0): 8, ("d", 0): None}
 
 
+def test_participants_are_not_shuffled_by_site(spark):
+    # whatever Spark's estimate of the table of sites
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        plan = release_tables.release(people(spark, {"big": 40}), release_tables.Settings(descriptors=("mean_price",)))._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    joins = re.findall(r"(\w+) \[site#\d+\], \[site#\d+\], LeftSemi", plan)
+    assert joins and set(joins) == {"BroadcastHashJoin"}
+
+
 def test_release_reruns_and_forgets_withheld_sites(spark, sf, tmp_path):
     out, work = str(tmp_path / "out"), str(tmp_path / "work")
     first = release_tables.run(spark, sf, out, work, release_tables.Settings(minimum_cell=2))
