@@ -163,3 +163,55 @@ def test_undefined_draws_raise(spark):
         inference.adjusted_associations(df, {"one": "e"}, "aq", ("c",), 50).collect()
     with pytest.raises(Exception, match="undefined"):
         inference.adjusted_associations(df, {"one": "c"}, "aq", ("c",), 5).collect()
+
+
+@pytest.mark.parametrize("cell", [1, 2, 3])
+def test_shuffled_blocks_are_uniform(monkeypatch, cell):
+    monkeypatch.setattr(B, "CELL", cell)
+    seen = Counter(tuple(B.keyed_permutation(4, k).tolist()) for k in range(6000))
+    assert len(seen) == 24 and min(seen.values()) > 180 and max(seen.values()) < 320
+    p = B.keyed_permutation(1000, 5, "x")
+    assert sorted(p.tolist()) == list(range(1000)) and abs(np.corrcoef(np.arange(1000), p)[0, 1]) < 0.1
+    a, b = np.random.default_rng(7).normal(size=(2, 1000))
+    assert B.permuted_product(a, b, 5, "x") == pytest.approx(a @ b[p])
+
+
+def test_draws_of_many_rows_go_block_by_block(monkeypatch):
+    monkeypatch.setattr(B, "CELL", 16)
+    x = np.random.default_rng(8).normal(size=(50, 3))
+    own, ordered = B.RankDraws(x), x[np.lexsort(x.T[::-1])]
+    each = np.array([own.draw(1, 2, k) for k in range(4000)])
+    # a multinomial's sums, means, variances and covariances
+    assert (each.sum(axis=1) == 50).all() and np.allclose(each.mean(axis=0), 1, atol=0.08) and np.allclose(each.var(axis=0), 49 / 50, atol=0.12)
+    assert np.cov(each.T)[~np.eye(50, dtype=bool)].mean() == pytest.approx(-1 / 50, abs=0.002)
+    for counts in each[:10]:
+        assert own.rho(counts) == pytest.approx(inference.partial_rank(np.repeat(ordered, counts, axis=0))[0], abs=1e-9)
+
+
+def test_repeated_rows_are_one_count():
+    rng = np.random.default_rng(9)
+    x, often = np.round(rng.normal(size=(20, 3)), 1), rng.integers(4, 30, 20)
+    x[:, 1] += x[:, 0]
+    own, whole = B.RankDraws(x, often), np.repeat(x, often, axis=0)
+    assert (own.n, own.total) == (20, often.sum()) and own.rho(own.often.astype(float)) == pytest.approx(inference.partial_rank(whole)[0], abs=1e-12)
+    each = np.array([own.draw(1, 2, k) for k in range(4000)])
+    share = own.often / own.total
+    assert (each.sum(axis=1) == own.total).all() and np.allclose(each.mean(axis=0), own.often, rtol=0.03) and np.allclose(each.var(axis=0), own.total * share * (1 - share), rtol=0.15)
+    ordered = x[np.lexsort(x.T[::-1])]
+    assert own.rho(each[0]) == pytest.approx(inference.partial_rank(np.repeat(ordered, each[0].astype(int), axis=0))[0], abs=1e-9)
+    # rows that hardly repeat are rows of their own
+    assert B.RankDraws(x, np.minimum(often, 3)).n == np.minimum(often, 3).sum()
+
+
+def test_repeated_rows_of_a_table(spark):
+    rng = np.random.default_rng(10)
+    pdf = pd.DataFrame(rng.normal(size=(40, 3)), columns=["e", "aq", "c"])
+    pdf["e"] += pdf["aq"]
+    pdf = pd.concat([pdf] * 6)
+    got = inference.adjusted_associations(spark.createDataFrame(pdf), {"one": "e"}, "aq", ("c",), 400, seed=3)
+    # replicates are drawn in one place of the plan, not again for each of their summaries
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("FlatMapGroupsInArrow") == 1
+    r, x = got.first(), pdf.to_numpy()
+    draws = [inference.partial_rank(x[rng.integers(0, 240, 240)])[0] for _ in range(400)]
+    assert (r.n, r.partial_rho) == (240, pytest.approx(inference.partial_rank(x)[0])) and r.p_value == pytest.approx(1 / 401)
+    assert (r.ci025, r.ci975) == pytest.approx(tuple(np.percentile(draws, [2.5, 97.5])), abs=0.03)
