@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -222,3 +223,40 @@ def test_pairs_meet_in_one_pass(spark):
     # equal counts, other keys
     with pytest.raises(ContractError, match="pair up"):
         inference.paired_pipelines(a, b.withColumn("case_id", F.col("case_id") + 1), 5)
+
+
+def plain_draws(values, seed, replicates):
+    """The drawn values of each replicate, one hash after the other."""
+    n = len(values)
+    return [[values[int(hashlib.md5(f"{seed}:{b}:{i}".encode()).hexdigest()[:8], 16) % n] for i in range(n)] for b in replicates]
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 10, 11, 100, 1234])
+def test_draws_hashed_together(monkeypatch, n):
+    values, replicates = np.random.default_rng(n).normal(size=(2, n)), [0, 3, 9, 10, 99, 100, 4999]
+    for seed, lanes in ((9, 1 << 15), (-5, 50), (123456789, 1)):
+        monkeypatch.setattr(resample, "LANES", lanes)
+        got = resample.drawn_sums(list(values), seed, replicates if lanes > 1 or n < 20 else replicates[:2])
+        for own, column in zip(got, values, strict=True):
+            assert own.tolist() == pytest.approx([sum(x) for x in plain_draws(column, seed, replicates)][: len(own)], abs=1e-9)
+
+
+def test_bootstrap_means_equal_a_plain_loop(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(g, k, None if g == "gaps" and k % 3 else float(rng.normal())) for g, n in (("a", 30), ("b", 30), ("c", 7), ("gaps", 30), ("one", 1)) for k in range(n)] + [("none", 0, None)]
+    df = spark.createDataFrame(rows, "g string, k int, v double")
+    got = {r.g: r for r in resample.bootstrap_mean(df, "v", ["g"], "k", 70, seed=4).collect()}
+    assert set(got) == {r[0] for r in rows}
+    for g, r in got.items():
+        means = [np.mean(kept) for x in plain_draws([v for h, _, v in rows if h == g], 4, range(70)) if (kept := [v for v in x if v is not None])]
+        assert r.n == sum(h == g for h, *_ in rows)
+        assert (r.ci025, r.ci975) == (pytest.approx(tuple(np.percentile(means, [2.5, 97.5])), abs=1e-9) if means else (None, None))
+
+
+def test_pipelines_are_compared_with_all_replicates(spark, sf, monkeypatch):
+    from fieldcohort.plans import catalogue
+
+    asked, real = [], resample.bootstrap_mean
+    monkeypatch.setattr(resample, "bootstrap_mean", lambda df, value, groups, key, replicates, seed=1: asked.append(replicates) or real(df, value, groups, key, 3, seed))
+    catalogue.queries()["q85_pipeline_intervals"](spark, sf)
+    assert asked == [5000] and "range(5000)" in catalogue.oracle_sql()["q85_pipeline_intervals"]
